@@ -1,0 +1,84 @@
+"""Rows of spreadsheet workbooks and paragraphs of word-processor files, read with the standard library."""
+
+from __future__ import annotations
+
+import datetime
+import io
+import re
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+# Built-in number formats that show a date or a time, and day 0 of the serial calendar.
+_DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+_EPOCH = datetime.datetime(1899, 12, 30)
+
+
+def _column(reference: str) -> int:
+    number = 0
+    for letter in re.match(r"[A-Z]+", reference).group():
+        number = number * 26 + ord(letter) - 64
+    return number - 1
+
+
+def _text(node) -> str:
+    return "".join(t.text or "" for t in node.iter(f"{_SHEET}t"))
+
+
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    """Indices of cell styles that format a number as date or time."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    custom = {
+        int(f.get("numFmtId"))
+        for f in root.iter(f"{_SHEET}numFmt")
+        if re.search(r"[dmyhs]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", f.get("formatCode", "")), re.I)
+    }
+    styles = root.find(f"{_SHEET}cellXfs")
+    formats = [int(x.get("numFmtId", 0)) for x in styles] if styles is not None else []
+    return {i for i, f in enumerate(formats) if f in _DATE_FORMATS or f in custom}
+
+
+def _serial(value: float) -> str:
+    moment = _EPOCH + datetime.timedelta(seconds=round(value * 86400))
+    return moment.strftime("%H:%M:%S") if value < 1 else moment.strftime("%Y-%m-%d %H:%M:%S")
+
+
+def sheet_rows(content: bytes) -> Iterator[tuple[int, list[str | None]]]:
+    """``(row number from 0, cells)`` of the first sheet; dates come out as ISO text."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        shared = []
+        if "xl/sharedStrings.xml" in book.namelist():
+            shared = [_text(si) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
+        dates = _date_styles(book)
+        first = min((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: (len(n), n))
+        for _, row in ElementTree.iterparse(book.open(first)):
+            if row.tag != f"{_SHEET}row":
+                continue
+            cells: dict[int, str | None] = {}
+            for c in row:
+                kind, value = c.get("t", "n"), c.find(f"{_SHEET}v")
+                if kind == "inlineStr":
+                    text = _text(c)
+                elif value is None or value.text is None:
+                    text = None
+                elif kind == "s":
+                    text = shared[int(value.text)]
+                elif kind == "n" and int(c.get("s", 0)) in dates:
+                    text = _serial(float(value.text))
+                else:
+                    text = value.text
+                cells[_column(c.get("r"))] = text
+            width = max(cells, default=-1) + 1
+            yield int(row.get("r")) - 1, [cells.get(i) for i in range(width)]
+            row.clear()
+
+
+def document_text(content: bytes) -> str:
+    """Paragraph texts of a .docx body joined by line breaks."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        body = ElementTree.fromstring(book.read("word/document.xml")).find(f"{_WORD}body")
+        return "\n".join("".join(t.text or "" for t in p.iter(f"{_WORD}t")) for p in body.findall(f"{_WORD}p"))
