@@ -8,11 +8,12 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Similarity = Callable[[Column, Column], Column]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratcliff(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in batches:
         known: dict[tuple[str, str], float] = {}

@@ -79,7 +79,8 @@ def key_findings(summary: DataFrame) -> DataFrame:
     share = F.try_divide(F.col("n").cast("double"), F.col("total").cast("double")) * F.lit(100.0)
     injuries = (
         _ranked(summary, "injury_type", 4)
-        .join(head.select("total"))
+        .withColumn("_one", F.lit(1))
+        .join(head.select("total", F.lit(1).alias("_one")), "_one")
         .select((F.col("rank") + 1).alias("place"), F.lit("injury_share").alias("finding"), "key", "n",
                 F.coalesce(round_half_even(share, 1), F.lit(0.0)).alias("pct"))
     )
