@@ -1 +1,154 @@
+"""Registered queries: report facts, cases, contexts and section records."""
 
+from __future__ import annotations
+
+import datetime
+
+from pyspark.sql import functions as F
+
+from sitewarden.operators import report as rp
+from sitewarden.operators import retrieval, summary
+from sitewarden.operators.filters import IncidentFilters, filter_incidents
+from sitewarden.plans import roles
+from sitewarden.plans.aggregates import SUMMARY_SQL
+from sitewarden.plans.registry import query
+from sitewarden.plans.searching import _THRESHOLD
+
+_TODAY = datetime.date(2001, 8, 1)
+
+
+def _summary(t):
+    return summary.summary(roles.incidents(t))
+
+
+_RANKED = "SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, key) AS rank FROM summary"
+
+
+@query(
+    "narrative_facts",
+    roles.sql(
+        """SELECT dimension AS fact, 1 AS rank, key, n FROM summary WHERE dimension LIKE 'total_%'
+UNION ALL SELECT concat('top_', dimension), rank, key, n FROM ranked WHERE dimension IN ('region', 'company') AND rank <= 3
+UNION ALL SELECT trend, e.rank, e.key, e.n FROM (SELECT CASE WHEN last_n > first_n * 1.2 THEN 'growth' WHEN last_n < first_n * 0.8 THEN 'decline' END AS trend,
+ unnest([{'rank': 1, 'key': first_m, 'n': first_n}, {'rank': 2, 'key': last_m, 'n': last_n}]) AS e FROM (
+ SELECT arg_min(n, key) AS first_n, min(key) AS first_m, arg_max(n, key) AS last_n, max(key) AS last_m, count(*) AS months FROM summary WHERE dimension = 'month') m WHERE months >= 2) x WHERE trend IS NOT NULL""",
+        "incidents",
+        summary=SUMMARY_SQL,
+        ranked=_RANKED,
+    ),
+)
+def narrative_facts(t):
+    return rp.narrative_facts(_summary(t)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(
+    "key_findings",
+    roles.sql(
+        """SELECT 1 AS place, substr(dimension, 7) AS finding, '' AS key, n, -1.0::DOUBLE AS pct FROM summary WHERE dimension LIKE 'total_%'
+UNION ALL SELECT rank + 1, 'injury_share', key, n, round(n * 100.0 / (SELECT n FROM summary WHERE dimension = 'total_incidents'), 1)::DOUBLE FROM ranked WHERE dimension = 'injury_type' AND rank <= 4
+UNION ALL SELECT 6, 'top_region', key, n, -1.0::DOUBLE FROM ranked WHERE dimension = 'region' AND rank = 1""",
+        "incidents",
+        summary=SUMMARY_SQL,
+        ranked=_RANKED,
+    ),
+)
+def key_findings(t):
+    return rp.key_findings(_summary(t)).withColumns({"place": F.col("place").cast("long"), "pct": F.coalesce("pct", F.lit(-1.0))})
+
+
+@query(
+    "illustrative",
+    roles.sql(
+        """SELECT id, CAST(CASE WHEN injury_type = 'Смертельный исход' THEN 10 WHEN injury_type LIKE '%тяжел%' THEN 5 ELSE 0 END
+ + CASE WHEN is_recurrent THEN 3 ELSE 0 END + CASE WHEN equipment <> '' THEN 2 ELSE 0 END + CASE WHEN incident_date >= DATE '2001-05-03' THEN 1 ELSE 0 END AS BIGINT) AS case_score,
+ CAST(incident_date AS VARCHAR) AS incident_date, company, substr(description, 1, 500) AS description, substr(coalesce(preliminary_causes, ''), 1, 300) AS preliminary_causes
+FROM incidents ORDER BY case_score DESC, incidents.incident_date DESC, id LIMIT 5""",
+        "incidents",
+    ),
+)
+def illustrative(t):
+    cases = rp.illustrative_cases(roles.incidents(t), _TODAY)
+    return cases.select("id", F.col("case_score").cast("long").alias("case_score"), "incident_date", "company", "description", "preliminary_causes")
+
+
+def _contexts(t, limits=None):
+    hits = retrieval.vector_search(roles.chunks(t), roles.queries(t), 5, _THRESHOLD, roles.allowed(t))
+    none = hits.where(F.lit(False)).withColumnRenamed("query_id", "query_no")
+    merged = retrieval.merge_hits(none, hits.withColumnRenamed("query_id", "query_no"))
+    norms = merged.select("place", F.col("row_id").alias("chunk"), F.round("score", 3).alias("similarity"))
+    return rp.report_context(_summary(t), roles.incidents(t), roles.tagged_acts(t), norms, _TODAY, limits)
+
+
+@query("report_context")
+def report_context(t):
+    return _contexts(t)
+
+
+_RECENT = "SELECT * FROM incidents ORDER BY incident_date DESC, id LIMIT 50"
+
+
+@query(
+    "report_context_facts",
+    roles.sql(
+        """SELECT (SELECT string_agg(concat(company, ':', CAST(n AS VARCHAR)), '|' ORDER BY n DESC, company) FROM (SELECT company, count(*) AS n FROM recent WHERE is_recurrent GROUP BY 1) r) AS recurrence,
+(SELECT count(*) FROM recent) AS total,
+(SELECT round(count(*) FILTER (WHERE safety_training_completed = false) * 100.0 / count(*), 1)::DOUBLE FROM recent) AS without_training_pct,
+(SELECT string_agg(concat(tag, ':', CAST(n AS VARCHAR)), '|' ORDER BY n DESC, tag) FROM (SELECT p_brand AS tag, count(*) AS n FROM act_lines WHERE act_id % 2 = 0 AND act_id IN (SELECT id FROM recent) GROUP BY 1 ORDER BY n DESC, tag LIMIT 15) x) AS violations,
+(SELECT string_agg(concat(equipment, ':', CAST(n AS VARCHAR)), '|' ORDER BY n DESC, equipment) FROM (SELECT equipment, count(*) AS n FROM recent WHERE equipment <> '' GROUP BY 1 ORDER BY n DESC, equipment LIMIT 5) e) AS equipment""",
+        "incidents",
+        "act_lines",
+        recent=_RECENT,
+    ),
+)
+def report_context_facts(t):
+    """The causes context read back: counts that must agree with the newest 50 incidents and their acts."""
+    shape = """struct<recurrence_data: array<struct<company: string, count: bigint>>, top_equipment: array<struct<equipment: string, count: bigint>>,
+    training_stats: struct<total: bigint, without_training_pct: double>, cause_patterns: struct<violation_types: array<struct<tag: string, count: bigint>>>>"""
+    wide = {"causes": 10**7, "risks": 10**7, "recommendations": 10**7}
+    causes = _contexts(t, wide).where("section = 'causes'").select(F.from_json("context", shape).alias("c"))
+
+    def joined(path: str, key: str):
+        pairs = F.transform(path, lambda e: F.concat(e[key], F.lit(":"), e["count"].cast("string")))
+        return F.array_join(pairs, "|")
+
+    return causes.select(
+        joined("c.recurrence_data", "company").alias("recurrence"),
+        F.col("c.training_stats.total").alias("total"),
+        F.col("c.training_stats.without_training_pct").alias("without_training_pct"),
+        joined("c.cause_patterns.violation_types", "tag").alias("violations"),
+        joined("c.top_equipment", "equipment").alias("equipment"),
+    )
+
+
+@query(
+    "report_stub",
+    roles.sql(
+        """SELECT count(*) AS total_incidents, count(DISTINCT victim_name) AS total_victims, count(*) FILTER (WHERE injury_type = 'Смертельный исход') AS total_fatalities,
+ 'не определён' AS overall_risk_level, CASE WHEN count(*) = 0 THEN 'Нет инцидентов, соответствующих заданным фильтрам.' ELSE 'AI-анализ не был выполнен. Отображена только сводная статистика.' END AS confidence_note
+FROM incidents WHERE company = 'NOBODY'""",
+        "incidents",
+    ),
+)
+def report_stub(t):
+    none = filter_incidents(roles.incidents(t), IncidentFilters(company="NOBODY"))
+    return rp.stub_report(summary.summary(none))
+
+
+_DOC = """CASE WHEN event_id % 20 = 3 THEN 'oops' ELSE concat('{"cause_analysis": ', CASE WHEN event_id % 9 = 0 THEN 'null' ELSE concat('"', event_type, '"') END,
+', "extra": ', props, CASE WHEN event_id % 4 = 0 THEN '' ELSE concat(', "top_cause_categories": [{"category": "', event_type, '", "count": ', CASE WHEN event_id % 7 = 0 THEN '1.5' WHEN event_id % 7 = 1 THEN '"12"' ELSE CAST(user_id AS {text}) END,
+CASE WHEN event_id % 2 = 0 THEN '' ELSE ', "analysis": "why"' END, '}]') END, '}') END"""
+
+
+@query(
+    "report_json",
+    """SELECT event_id, valid, CASE WHEN valid THEN event_type END AS cause_analysis, CASE WHEN NOT valid OR event_id % 4 = 0 THEN NULL WHEN event_id % 7 = 1 THEN concat(event_type, ':12:', CASE WHEN event_id % 2 = 0 THEN '' ELSE 'why' END)
+ELSE concat(event_type, ':', CAST(user_id AS VARCHAR), ':', CASE WHEN event_id % 2 = 0 THEN '' ELSE 'why' END) END AS category
+FROM (SELECT *, event_id % 20 <> 3 AND event_id % 9 <> 0 AND (event_id % 4 = 0 OR event_id % 7 <> 0) AS valid FROM events) e""",
+)
+def report_json(t):
+    docs = t.events.selectExpr("event_id", f"{_DOC.replace('{text}', 'STRING')} AS doc")
+    first = F.get(F.col("record.top_cause_categories"), F.lit(0))
+    return rp.parse_section(docs, "doc", "causes").select(
+        "event_id", "valid", F.col("record.cause_analysis").alias("cause_analysis"),
+        F.concat(first["category"], F.lit(":"), first["count"].cast("string"), F.lit(":"), first["analysis"]).alias("category"),
+    )

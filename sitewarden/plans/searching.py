@@ -1 +1,231 @@
+"""Registered queries: vector and keyword search, merging, metadata."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from sitewarden.operators import retrieval as r
+from sitewarden.operators import tags
+from sitewarden.plans import roles
+from sitewarden.plans.registry import query
+
+_COSINE = """SELECT q.query_id, c.row_id, round(list_dot_product(c.embedding, q.embedding)
+/ (sqrt(list_dot_product(c.embedding, c.embedding)) * sqrt(list_dot_product(q.embedding, q.embedding))), 12) AS score
+FROM {chunks} c, queries q"""
+_TOP = """SELECT query_id, row_id, round(score, 6) AS score, rank FROM (
+SELECT query_id, row_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM pairs {where}) t WHERE rank <= {k}"""
+_THRESHOLD = 0.15
+
+
+def _shown(hits):
+    return hits.select("query_id", "row_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    "vector_search",
+    roles.sql(
+        _TOP.format(where=f"WHERE score >= {_THRESHOLD}::DOUBLE", k=5),
+        "chunks",
+        "queries",
+        "allowed",
+        pairs=_COSINE.format(chunks="(SELECT * FROM chunks WHERE doc_id IN (SELECT doc_id FROM allowed))"),
+    ),
+)
+def vector_search(t):
+    return _shown(r.vector_search(roles.chunks(t), roles.queries(t), 5, _THRESHOLD, roles.allowed(t)))
+
+
+@query("vector_search_all", roles.sql(_TOP.format(where="", k=10), "chunks", "queries", pairs=_COSINE.format(chunks="chunks")))
+def vector_search_all(t):
+    return _shown(r.vector_search(roles.chunks(t), roles.queries(t), 10, None))
+
+
+@query(
+    "vector_section",
+    roles.sql(
+        _TOP.format(where="", k=10),
+        "chunks",
+        "queries",
+        pairs=_COSINE.format(chunks="(SELECT * FROM chunks WHERE doc_id = '3')"),
+    ),
+)
+def vector_section(t):
+    sections = roles.chunks(t).withColumnRenamed("doc_id", "section_type")
+    return _shown(r.vector_search_section(sections, roles.queries(t), "3"))
+
+
+# A grid of chunk and query blocks: every vector of the table is a query.
+@query(
+    "vector_search_grid",
+    roles.sql(
+        _TOP.format(where="", k=3),
+        "chunks",
+        queries="SELECT row_id AS query_id, embedding FROM chunks",
+        pairs=_COSINE.format(chunks="chunks"),
+    ),
+)
+def vector_search_grid(t):
+    own = roles.chunks(t).select(F.col("row_id").alias("query_id"), "embedding")
+    return _shown(r.vector_search(roles.chunks(t), own, 3, None, max_broadcast_values=1000))
+
+
+_TOKENS = r"""SELECT row_id, unnest(words) AS term, generate_subscripts(words, 1) AS pos
+FROM (SELECT row_id, regexp_extract_all(lower(chunk), '[\p{L}\p{N}]+') AS words FROM text_chunks) w"""
+_OR_TERMS = r"""SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(array_to_string(CASE WHEN len(long) > 0 THEN long ELSE raw[1:3] END, ' ')), '[\p{L}\p{N}]+')) AS term
+FROM (SELECT query_id, raw, list_filter(raw, lambda w: length(w) > 2) AS long FROM (
+SELECT query_id, list_filter(string_split_regex(query, '\s+'), lambda w: w <> '') AS raw FROM text_queries) s) l"""
+_AND_TERMS = r"SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}]+')) AS term FROM text_queries"
+
+
+@query(
+    "keyword_or",
+    roles.sql(
+        _TOP.format(where="", k=3),
+        "text_chunks",
+        "text_queries",
+        tokens=_TOKENS,
+        terms=_OR_TERMS,
+        counts="SELECT row_id, term, count(*) AS tf FROM tokens GROUP BY 1, 2",
+        pairs="SELECT query_id, row_id, round(sum(tf)::DOUBLE * 0.1::DOUBLE, 6) AS score FROM counts JOIN terms USING (term) GROUP BY 1, 2",
+    ),
+)
+def keyword_or(t):
+    return _shown(r.keyword_or(roles.text_chunks(t), roles.text_queries(t), 3))
+
+
+_KEYWORD_AND = dict(
+    tokens=_TOKENS,
+    terms=_AND_TERMS,
+    needed="SELECT query_id, count(*) AS n FROM terms GROUP BY 1",
+    full_rows="""SELECT query_id, row_id FROM (SELECT DISTINCT row_id, term FROM tokens) d JOIN terms USING (term)
+GROUP BY 1, 2 HAVING count(*) = (SELECT n FROM needed x WHERE x.query_id = terms.query_id)""",
+    hits="""SELECT f.query_id, f.row_id, k.term, k.pos, row_number() OVER (PARTITION BY f.query_id, f.row_id ORDER BY k.pos) AS seq
+FROM full_rows f JOIN tokens k USING (row_id) JOIN terms q ON q.query_id = f.query_id AND q.term = k.term""",
+    last_seen="""SELECT e.query_id, e.row_id, e.seq, e.pos, p.term, max(p.seq) AS p_seq, max(p.pos) AS p_pos
+FROM hits e JOIN hits p ON p.query_id = e.query_id AND p.row_id = e.row_id AND p.seq <= e.seq GROUP BY 1, 2, 3, 4, 5""",
+    windows="""SELECT query_id, row_id, seq, pos, min(p_seq) AS b_seq, min(p_pos) AS b_pos FROM last_seen GROUP BY 1, 2, 3, 4
+HAVING count(*) = (SELECT n FROM needed x WHERE x.query_id = last_seen.query_id)""",
+    minimal="SELECT query_id, row_id, b_seq, b_pos, min(seq) AS seq, min(pos) AS pos FROM windows GROUP BY 1, 2, 3, 4",
+    pairs="SELECT query_id, row_id, round(sum(0.1::DOUBLE / (1 + (pos - b_pos) - (seq - b_seq))), 6) AS score FROM minimal GROUP BY 1, 2",
+)
+
+
+@query("keyword_and", roles.sql(_TOP.format(where="", k=10), "text_chunks", "text_queries", **_KEYWORD_AND))
+def keyword_and(t):
+    return _shown(r.keyword_and(roles.text_chunks(t), roles.text_queries(t), 10))
+
+
+@query(
+    "whitelist",
+    roles.sql("SELECT doc_id FROM allowed", "allowed"),
+)
+def whitelist(t):
+    return r.whitelist(roles.allowed(t))
+
+
+@query(
+    "search_tags",
+    roles.sql(
+        """SELECT trim(tag) AS tag, min(pos) AS pos FROM (SELECT 1000000 + n_nationkey AS pos, concat(' ', n_name, ' ') AS tag FROM nation
+UNION ALL SELECT l_orderkey * 10 + l_linenumber, concat(' ', p_brand) FROM lineitem JOIN part ON l_partkey = p_partkey
+UNION ALL SELECT 2000000 + p_partkey, CASE WHEN p_size % 3 = 0 THEN '  ' ELSE concat(p_type, ' ') END FROM part) x WHERE trim(tag) <> '' GROUP BY 1"""
+    ),
+)
+def search_tags(t):
+    spaced = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    named = t.nation.select((F.lit(1000000) + F.col("n_nationkey")).cast("long").alias("pos"), spaced("n_name").alias("tag"))
+    lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), spaced("p_brand").alias("tag")
+    )
+    blank = F.when(F.col("p_size") % 3 == 0, F.lit("  ")).otherwise(spaced("p_type"))
+    parts = t.part.select((F.lit(2000000) + F.col("p_partkey")).alias("pos"), blank.alias("tag"))
+    return r.search_tags(named.unionByName(lines).unionByName(parts))
+
+
+_MERGE = """SELECT row_number() OVER (ORDER BY source, query_no, rank, row_id) AS place, row_id, source, score FROM (
+SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY source, query_no, rank) AS k FROM both_lists) d WHERE k = 1
+ORDER BY source, query_no, rank, row_id LIMIT 20"""
+_EVENT_LISTS = dict(
+    ranked="SELECT user_id AS row_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events",
+)
+
+
+def _ranked_events(t):
+    order = Window.partitionBy("event_type").orderBy(F.col("value").desc(), "event_id")
+    return t.events.select(
+        F.col("user_id").alias("row_id"), "event_type", "value", F.row_number().over(order).cast("long").alias("rank")
+    )
+
+
+@query(
+    "merge_hits",
+    roles.sql(
+        _MERGE,
+        **_EVENT_LISTS,
+        both_lists="""SELECT CASE WHEN event_type IN ('click', 'error') THEN 0 ELSE 1 END AS source, CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'view' THEN 1 ELSE 2 END AS query_no,
+row_id, rank, value AS score FROM ranked WHERE rank <= 7""",
+    ),
+)
+def merge_hits(t):
+    lists = _ranked_events(t).where("rank <= 7").select(
+        F.when(F.col("event_type").isin("click", "view"), F.lit(1)).otherwise(F.lit(2)).alias("query_no"),
+        "event_type", "rank", "row_id", F.col("value").alias("score"),
+    )
+    keyword = F.col("event_type").isin("click", "error")
+    merged = r.merge_hits(lists.where(keyword), lists.where(~keyword))
+    return merged.withColumn("place", F.col("place").cast("long"))
+
+
+@query(
+    "rrf",
+    roles.sql(
+        """SELECT row_id AS key, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, arg_min(event_type, (event_type, rank)) AS payload
+FROM ranked GROUP BY 1 ORDER BY round(sum((1.0::DOUBLE / (60 + rank))::DECIMAL(28, 18))::DOUBLE, 15) DESC, min((event_type, rank)) LIMIT 10""",
+        **_EVENT_LISTS,
+    ),
+)
+def rrf(t):
+    lists = _ranked_events(t).select(
+        F.col("event_type").alias("list_no"), (F.col("rank") - 1).alias("rank"), F.col("row_id").alias("key"),
+        F.col("event_type").alias("payload"),
+    )
+    return r.rrf(lists).withColumn("score", F.round("score", 6))
+
+
+_META = "SELECT CAST(n_nationkey AS VARCHAR) AS id, CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE n_name END AS title, concat('/doc/', n_name) AS link, n_name AS act_types FROM nation WHERE n_regionkey <> 1"
+
+
+@query(
+    "with_metadata",
+    roles.sql(
+        "SELECT row_id, CASE WHEN title <> '' THEN title ELSE 'Без названия' END AS document, link, act_types FROM (SELECT row_id, doc_id FROM chunks) c LEFT JOIN meta m ON m.id = c.doc_id",
+        "chunks",
+        meta=_META,
+    ),
+)
+def with_metadata(t):
+    meta = t.nation.where("n_regionkey <> 1").selectExpr(
+        "CAST(n_nationkey AS STRING) AS id", "CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE n_name END AS title",
+        "concat('/doc/', n_name) AS link", "n_name AS act_types",
+    )
+    hits = roles.chunks(t).select("row_id", "doc_id", F.lit(0.5).alias("score"))
+    return r.format_hits(r.with_metadata(hits, meta)).select("row_id", "document", "link", "act_types")
+
+
+@query("report_norms")
+def report_norms(t):
+    """Report retrieval end to end: tags and references of the acts, both searches, merge, metadata, display."""
+    acts = roles.tagged_acts(t)
+    vector = r.vector_search(roles.chunks(t), roles.queries(t), 5, _THRESHOLD, roles.allowed(t))
+    panel = tags.tag_panel(acts, 15).where(F.col("field") == "violation_types")
+    asked = panel.select(F.col("rank").alias("query_id"), F.col("tag").alias("query"))
+    keyword = r.keyword_or(roles.text_chunks(t), asked, 3)
+    merged = r.merge_hits(keyword.withColumnRenamed("query_id", "query_no"), vector.withColumnRenamed("query_id", "query_no"))
+    titles = roles.text_chunks(t).select("row_id", "doc_id")
+    meta = t.documents.groupBy("source").agg(F.min("lang").alias("lang")).select(
+        F.col("source").alias("id"), F.concat(F.lit("Source "), F.col("source")).alias("title"),
+        F.col("source").alias("link"), F.col("lang").alias("act_types"),
+    )
+    shown = r.format_hits(r.with_metadata(merged.join(titles, "row_id", "left"), meta))
+    return shown.select("place", "row_id", "document", "link", "act_types", "similarity")

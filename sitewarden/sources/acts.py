@@ -188,9 +188,11 @@ def parse_act_json(df: DataFrame, column: str, fields: T.StructType = S.ACT_FIEL
 
     A document that is no JSON object gives an empty record.
     """
-    parsed = df.withColumn("_doc", F.try_parse_json(column))
-    members = {f.name: F.try_variant_get(F.col("_doc"), f"$.{f.name}", "variant") for f in fields.fields}
-    split = parsed.withColumns({f"_v_{n}": v for n, v in members.items()})
+    members = fields.fieldNames()
+    raw = T.StructType([T.StructField(n, T.VariantType()) for n in members])
+    is_object = F.col(column).rlike(r"^\s*\{")
+    parsed = df.withColumn("_doc", F.from_json(F.when(is_object, F.col(column)), raw))
+    split = parsed.withColumns({f"_v_{n}": F.col(f"_doc.{n}") for n in members})
     kinds = split.withColumns({f"_k_{n}": _kind(F.col(f"_v_{n}")) for n in members})
     values = {f.name: _field(F.col(f"_v_{f.name}"), F.col(f"_k_{f.name}"), f).cast(f.dataType) for f in fields.fields}
     act = kinds.withColumn("act", F.struct(*[v.alias(n) for n, v in values.items()]))

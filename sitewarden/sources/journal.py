@@ -214,12 +214,9 @@ def cell_value(c: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """Lenient: ISO first, then month before day, then day before month; anything else is null."""
-    c = strip(c)
-    iso = F.try_to_timestamp(F.regexp_extract(c, r"^(\d{4}-\d{1,2}-\d{1,2})([T ].*)?$", 1), F.lit("y-M-d"))
-    dotted = F.regexp_replace(F.regexp_extract(c, r"^(\d{1,2}[./-]\d{1,2}[./-]\d{4})( .*)?$", 1), "[/-]", ".")
-    return F.coalesce(
-        iso, F.try_to_timestamp(dotted, F.lit("M.d.y")), F.try_to_timestamp(dotted, F.lit("d.M.y"))
-    ).cast("date")
+    day = F.translate(F.regexp_extract(c, r"^\s*(\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[./-]\d{1,2}[./-]\d{4})([T ].*)?$", 1), "/-", "..")
+    formats = ("y.M.d", "M.d.y", "d.M.y")
+    return F.coalesce(*[F.try_to_timestamp(day, F.lit(f)) for f in formats]).cast("date")
 
 
 def parse_time(c: Column) -> Column:
@@ -237,43 +234,52 @@ def parse_number(c: Column) -> Column:
 
 
 def conform_enum(c: Column, domain: tuple[str, ...]) -> Column:
-    """The domain value equal to the trimmed text, else equal ignoring case and spacing, else null."""
-    text = strip(c)
-    exact = F.when(text.isin(*domain), text)
-    return F.coalesce(exact, lookup(_norm_name(text), {" ".join(v.split()).lower(): v for v in domain}))
+    """The domain value equal to the text ignoring case and spacing (an exact value is equal to itself), else null."""
+    return lookup(_norm_name(c), {" ".join(v.split()).lower(): v for v in domain})
 
 
-def enum_error(c: Column, domain: tuple[str, ...], field: str) -> Column:
+def _enum_error(raw: Column, conformed: Column, field: str) -> Column:
     """Message for a non-null text outside the domain, null otherwise."""
-    wrong = c.isNotNull() & conform_enum(c, domain).isNull()
-    return F.when(wrong, F.concat(F.lit(f"Некорректное значение для {field}: '"), strip(c), F.lit("'")))
+    message = F.concat(F.lit(f"Некорректное значение для {field}: '"), strip(raw), F.lit("'"))
+    return F.when(raw.isNotNull() & conformed.isNull(), message)
 
 
 def map_journal_rows(rows: DataFrame) -> DataFrame:
-    """Typed incident columns from the raw journal columns, plus ``error`` (first wrong domain value or null)."""
+    """Typed incident columns from the raw journal columns, plus ``error`` (first wrong domain value or null).
+
+    The steps build on columns rather than on nested expressions, so that each text is normalised once.
+    """
     rows = skip_blank(rows)
-    value = {f: cell_value(F.col(f)) for f in FIELDS}
+    values = rows.select(
+        *[c for c in rows.columns if c not in FIELDS], *[cell_value(F.col(f)).alias(f"raw_{f}") for f in FIELDS]
+    )
 
     def typed(field: str) -> Column:
+        raw = F.col(f"raw_{field}")
         if field in ENUMS:
-            return conform_enum(value[field], ENUMS[field])
+            return conform_enum(raw, ENUMS[field])
         if field in DATES:
-            return parse_date(value[field])
+            return parse_date(raw)
         if field in TIMES:
-            return parse_time(value[field])
+            return parse_time(raw)
         if field == "damage_amount_kzt":
-            return parse_number(value[field])
-        text = strip(value[field])
-        if field == "description":
-            return F.when(present(text), text).otherwise(F.lit(NO_DESCRIPTION))
-        return text
-
-    error = F.coalesce(*[enum_error(value[f], domain, f) for f, domain in ENUMS.items()])
-    mapped = rows.select(
-        *[c for c in rows.columns if c not in FIELDS], *[typed(f).alias(f) for f in FIELDS], error.alias("error")
-    )
+            return parse_number(raw)
+        return strip(raw)
+
+    # Inlining one struct keeps the typed values from being expanded again inside every later filter.
+    kept = [F.col(c) for c in values.columns]
+    mapped = values.select(F.inline(F.array(F.struct(*kept, *[typed(f).alias(f) for f in FIELDS]))))
+    error = F.coalesce(*[_enum_error(F.col(f"raw_{f}"), F.col(f), f) for f in ENUMS])
+    described = F.when(present(F.col("description")), F.col("description")).otherwise(F.lit(NO_DESCRIPTION))
     fatal = F.coalesce(F.col("injury_type") == S.INJURY_FATAL, F.lit(False))
-    return mapped.withColumns({"victim_count": F.lit(1).cast("short"), "fatality_count": fatal.cast("short")})
+    return mapped.withColumns(
+        {
+            "error": error,
+            "description": described,
+            "victim_count": F.lit(1).cast("short"),
+            "fatality_count": fatal.cast("short"),
+        }
+    ).drop(*[f"raw_{f}" for f in FIELDS])
 
 
 def split_valid(mapped: DataFrame) -> tuple[DataFrame, DataFrame]:
