@@ -6,25 +6,28 @@ Scoring every pair of a date window is quadratic in the busiest date, so the sea
 1. copies collapse: rows equal in everything the score looks at are one profile (partial aggregate, then shuffle);
 2. company, region and severity make up a *context*. Contexts meet per date, and each pair of contexts gets
    the least name score a link would still need; pairs that cannot reach it are gone before any name is read;
-3. an equal name is the best any context can offer, and it is found by an equi-join on the name. Similar names are
-   searched only in contexts that offer no equal name and could still beat the act's best equal one;
+3. an equal name is the best any context can offer, and it is found by an equi-join on date and name. Similar names
+   are searched only in contexts that could still beat the act's best equal-name score;
 4. that search meets on (date, context pair, salt). The salt splits a context that one date repeats often, a length
    bound runs before the name similarity, and pairs below the threshold never leave the task.
 
-No step drops a pair that could reach the threshold.
+No step drops a pair that could reach the threshold. Profiles, text similarities and equal-name results are staged in the
+shared folder, because several later steps read them.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitewarden.functions.frames import computed_once
 from sitewarden.functions.similarity import SIMILARITIES
 from sitewarden.functions.text import norm_text
 from sitewarden.operators.upsert import apply_links
 from sitewarden.schemas import INJURY_FATAL, LINK_AUTO, LINK_UNLINKED
+from sitewarden.session import staged
 
 # Fixed values of the score.
 MATCH_THRESHOLD = 0.80
@@ -185,17 +188,22 @@ def best_match(
     text = lambda c: norm_text(F.col(c))
 
     # 1. profiles ---------------------------------------------------------------------------------------------
-    act_profile = ("incident_date_from_act", "a_name", "a_company", "a_region", "a_class")
-    act_rows = acts.where(F.col("incident_date_from_act").isNotNull()).select(
-        F.col("id").alias("act_id"),
-        "incident_date_from_act",
-        text("victim_name_from_act").alias("a_name"),
-        text("company_name_from_act").alias("a_company"),
-        text("region_from_act").alias("a_region"),
-        F.coalesce(severity_class(F.col("injury_severity")), F.lit("")).alias("a_class"),
-    ).where(F.col("a_name") != "")
-    inc_profile = ("day", "i_name", "i_company", "i_dzo", "i_region", "i_class")
-    inc_profiles = (
+    act_context = ("a_date", "a_company", "a_region", "a_class")
+    inc_context = ("day", "i_company", "i_dzo", "i_region", "i_class")
+    act_rows = (
+        acts.where(F.col("incident_date_from_act").isNotNull())
+        .select(
+            F.col("id").alias("act_id"),
+            F.col("incident_date_from_act").alias("a_date"),
+            text("victim_name_from_act").alias("a_name"),
+            text("company_name_from_act").alias("a_company"),
+            text("region_from_act").alias("a_region"),
+            F.coalesce(severity_class(F.col("injury_severity")), F.lit("")).alias("a_class"),
+        )
+        .where(F.col("a_name") != "")
+    )
+    act_profiles = staged(act_rows.groupBy(*act_context, "a_name").agg(F.min("act_id").alias("profile")))
+    inc_profiles = staged(
         incidents.where(F.col("incident_date").isNotNull())
         .select(
             "id",
@@ -207,93 +215,97 @@ def best_match(
             F.coalesce(severity_class(F.col("injury_type")), F.lit("")).alias("i_class"),
         )
         .where(F.col("i_name") != "")
-        .groupBy(*inc_profile)
+        .groupBy(*inc_context, "i_name")
         .agg(F.min("id").alias("incident_id"))
     )
-    act_profiles = act_rows.select(*act_profile).distinct()
-    spread = _on_dates(act_profiles, days).withColumn("gap", F.abs(F.datediff("incident_date_from_act", "day")))
 
-    # 2. contexts ---------------------------------------------------------------------------------------------
-    act_context = ("day", "gap", "a_company", "a_region", "a_class")
-    inc_context = ("day", "i_company", "i_dzo", "i_region", "i_class")
-    act_contexts = spread.select(*act_context).distinct()
-    inc_contexts = inc_profiles.groupBy(*inc_context).agg(F.count(F.lit(1)).alias("size"))
-    scored = (
-        act_contexts.join(inc_contexts, "day")
-        .withColumns(
-            {
-                "s_date": F.lit(1.0) - F.col("gap") / F.lit(4.0),
-                "s_injury": _score_classes(F.nullif(F.col("a_class"), F.lit("")), F.nullif(F.col("i_class"), F.lit(""))),
-                "s_region": _contained_or_ratio(F.col("a_region"), F.col("i_region"), similarity),
-                "s_company": F.greatest(
-                    _contained_or_ratio(F.col("a_company"), F.col("i_company"), similarity),
-                    _contained_or_ratio(F.col("a_company"), F.col("i_dzo"), similarity),
-                ),
-            }
-        )
-        .withColumn(
-            "name_needed",
-            (
-                F.lit(threshold - _SLACK)
-                - match_score(F.col("s_date"), F.lit(0.0), F.col("s_company"), F.col("s_region"), F.col("s_injury"), w)
-            )
-            / F.lit(w.name),
-        )
-        .where(F.col("name_needed") <= 1.0)
-        .withColumn(
-            "ceiling",
-            match_score(F.col("s_date"), F.lit(1.0), F.col("s_company"), F.col("s_region"), F.col("s_injury"), w),
+    def spread(df: DataFrame) -> DataFrame:
+        days_around = F.sequence(F.date_sub("a_date", days), F.date_add("a_date", days))
+        return df.withColumn("day", F.explode(days_around))
+
+    def classes_and_date(df: DataFrame) -> DataFrame:
+        empty = F.lit("")
+        injury = _score_classes(F.nullif(F.col("a_class"), empty), F.nullif(F.col("i_class"), empty))
+        return df.withColumns({"s_date": score_date(F.col("a_date"), F.col("day")), "s_injury": injury})
+
+    def text_pairs(act_text: str, incident_texts: DataFrame) -> DataFrame:
+        """Similarity of every two texts that meet on some day, computed once per distinct pair."""
+        near = spread(act_profiles.select("a_date", act_text).distinct()).select("day", act_text).distinct()
+        met = near.join(incident_texts.toDF("day", "i_text").distinct(), "day").select(act_text, "i_text").distinct()
+        return staged(met.withColumn("s_text", _contained_or_ratio(F.col(act_text), F.col("i_text"), similarity)))
+
+    days_texts = lambda c: inc_profiles.select("day", c)
+    region_pairs = text_pairs("a_region", days_texts("i_region")).toDF("a_region", "i_region", "s_region")
+    company_pairs = text_pairs("a_company", days_texts("i_company").union(days_texts("i_dzo")))
+
+    def with_context_scores(df: DataFrame) -> DataFrame:
+        """Adds the scores of everything but the name; the text scores are looked up, not computed per row."""
+        return (
+            classes_and_date(df)
+            .join(region_pairs, ["a_region", "i_region"])
+            .join(company_pairs.toDF("a_company", "i_company", "s_own"), ["a_company", "i_company"])
+            .join(company_pairs.toDF("a_company", "i_dzo", "s_dzo"), ["a_company", "i_dzo"])
+            .withColumn("s_company", F.greatest("s_own", "s_dzo"))
         )
-    )
-    combos = spread.join(scored, list(act_context))
 
-    # 3. equal names ------------------------------------------------------------------------------------------
-    equal = combos.join(
-        inc_profiles.withColumnRenamed("i_name", "a_name"), ["day", "a_name", *inc_context[1:]], "left"
-    ).withColumn(
-        "best_equal",
-        F.max(F.when(F.col("incident_id").isNotNull(), F.col("ceiling"))).over(Window.partitionBy(*act_profile)),
+    def total(name: Column) -> Column:
+        return match_score(F.col("s_date"), name, F.col("s_company"), F.col("s_region"), F.col("s_injury"), w)
+
+    def best_of(df: DataFrame) -> DataFrame:
+        """Highest score, then lowest incident, per profile."""
+        return df.groupBy("profile").agg(F.min(F.struct((-F.col("score")).alias("minus"), "incident_id")).alias("hit"))
+
+    # 2. equal names ------------------------------------------------------------------------------------------
+    same_name = spread(act_profiles).join(inc_profiles.withColumnRenamed("i_name", "a_name"), ["day", "a_name"])
+    same_scored = with_context_scores(same_name).withColumn("score", total(F.lit(1.0)))
+    equal = staged(best_of(same_scored.where(F.col("score") >= threshold)))
+
+    # 3. contexts: which pairs of them could still give an act something better -------------------------------------
+    open_profiles = act_profiles.join(equal, "profile", "left").withColumn(
+        "beaten", F.coalesce(-F.col("hit.minus"), F.lit(0.0))
     )
-    found = equal.where(F.col("incident_id").isNotNull() & (F.col("ceiling") >= threshold)).select(
-        *act_profile, "incident_id", F.col("ceiling").alias("score")
+    act_contexts = open_profiles.groupBy(*act_context).agg(
+        F.min("profile").alias("act_context"), F.min("beaten").alias("least_beaten")
+    )
+    inc_contexts = inc_profiles.groupBy(*inc_context).agg(
+        F.min("incident_id").alias("inc_context"),
+        F.ceil(F.count(F.lit(1)) / F.lit(_ROWS_PER_SALT)).cast("int").alias("salts"),
+    )
+    scored = (
+        with_context_scores(spread(act_contexts).join(inc_contexts, "day"))
+        .withColumn("ceiling", total(F.lit(1.0)))
+        .where((F.col("ceiling") >= threshold - _SLACK) & (F.col("ceiling") > F.col("least_beaten")))
+        .withColumn("name_needed", (F.lit(threshold - _SLACK) - total(F.lit(0.0))) / F.lit(w.name))
+        .select("act_context", "inc_context", "salts", "s_date", "s_company", "s_region", "s_injury", "ceiling", "name_needed")
     )
 
     # 4. similar names ----------------------------------------------------------------------------------------
-    salts = F.ceil(F.col("size") / F.lit(_ROWS_PER_SALT)).cast("int")
-    open_combos = (
-        equal.where(
-            F.col("incident_id").isNull() & (F.col("best_equal").isNull() | (F.col("ceiling") > F.col("best_equal")))
-        )
-        .drop("incident_id")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        .drop("size")
+    asking = (
+        open_profiles.join(act_contexts, list(act_context))
+        .select("profile", "a_name", "beaten", "act_context")
+        .join(scored, "act_context")
+        .where(F.col("ceiling") > F.col("beaten"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     )
-    salted = inc_profiles.join(inc_contexts, list(inc_context)).withColumn(
-        "salt", F.pmod(F.xxhash64("incident_id"), salts.cast("long")).cast("int")
+    offered = inc_profiles.join(inc_contexts, list(inc_context)).select(
+        "inc_context", "incident_id", "i_name", F.pmod(F.xxhash64("incident_id"), F.col("salts")).cast("int").alias("salt")
     )
     ratio, bound = SIMILARITIES[similarity]
-    similar = (
-        open_combos.join(salted.drop("size"), [*inc_context, "salt"])
-        .where(bound(F.col("a_name"), F.col("i_name")) >= F.col("name_needed"))
-        .withColumn("s_name", ratio(F.col("a_name"), F.col("i_name")))
-        .withColumn(
-            "score",
-            match_score(
-                F.col("s_date"), F.col("s_name"), F.col("s_company"), F.col("s_region"), F.col("s_injury"), w
-            ),
+    near = asking.join(offered, ["inc_context", "salt"]).where(
+        (F.col("a_name") != F.col("i_name")) & (bound(F.col("a_name"), F.col("i_name")) >= F.col("name_needed"))
+    )
+    named = computed_once(near, {"s_name": ratio(F.col("a_name"), F.col("i_name"))})
+    similar = best_of(
+        named.withColumn("score", total(F.col("s_name"))).where(
+            (F.col("score") >= threshold) & (F.col("score") >= F.col("beaten"))
         )
-        .where(F.col("score") >= threshold)
-        .select(*act_profile, "incident_id", "score")
     )
 
-    # best per profile, then back to the acts -------------------------------------------------------------------
-    best = (
-        found.unionByName(similar)
-        .groupBy(*act_profile)
-        .agg(F.min(F.struct((-F.col("score")).alias("rank"), "incident_id")).alias("hit"))
-    )
-    return act_rows.join(best, list(act_profile)).select(
-        "act_id", F.col("hit.incident_id").alias("incident_id"), (-F.col("hit.rank")).alias("score")
+    # the better of both per profile, then back to the acts -----------------------------------------------------------
+    best = equal.unionByName(similar).groupBy("profile").agg(F.min("hit").alias("hit"))
+    members = act_rows.join(act_profiles, [*act_context, "a_name"]).select("act_id", "profile")
+    return members.join(best, "profile").select(
+        "act_id", F.col("hit.incident_id").alias("incident_id"), (-F.col("hit.minus")).alias("score")
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from sitewarden.functions.text import present, round_half_even
 from sitewarden.operators import stats, tags
 from sitewarden.operators.lookups import page
+from sitewarden.session import staged
 from sitewarden.sources.acts import _as_int, _as_strings, _kind, _text
 
 # --- Fixed values ------------------------------------------------------------------------------------------------------
@@ -155,9 +156,11 @@ def report_context(
     ``norms`` has ``place`` and display columns.
     """
     limits = limits or SECTION_LIMITS
-    recent = page(incidents, "incident_date", REPORT_INCIDENTS)
-    digest = stats.act_digest(acts, recent, REPORT_ACTS)
-    panel = tags.tag_panel(acts, REPORT_TAGS, recent)
+    # A page, a digest and the summary are a few hundred rows that a dozen parts read; they are worked out once.
+    summary = staged(summary)
+    recent = staged(page(incidents, "incident_date", REPORT_INCIDENTS))
+    digest = staged(stats.act_digest(acts, recent, REPORT_ACTS))
+    panel = staged(tags.tag_panel(acts, REPORT_TAGS, recent))
     digest_columns = list(stats.DIGEST_COLUMNS)
     cases = illustrative_cases(recent, today)
     case_columns = [c for c in cases.columns if c not in ("id", "case_score")]
@@ -211,6 +214,7 @@ def report_context(
             (reduced & (F.length("less") > limit)).alias("cut"),
         )
 
+    one = staged(one)
     return reduce(DataFrame.unionByName, [section(name) for name in members])
 
 

@@ -146,7 +146,7 @@ ELSE concat(event_type, ':', CAST(user_id AS VARCHAR), ':', CASE WHEN event_id %
 FROM (SELECT *, event_id % 20 <> 3 AND event_id % 9 <> 0 AND (event_id % 4 = 0 OR event_id % 7 <> 0) AS valid FROM events) e""",
 )
 def report_json(t):
-    docs = t.events.selectExpr("event_id", f"{_DOC.replace('{text}', 'STRING')} AS doc")
+    docs = t.spread("events").selectExpr("event_id", f"{_DOC.replace('{text}', 'STRING')} AS doc")
     first = F.get(F.col("record.top_cause_categories"), F.lit(0))
     return rp.parse_section(docs, "doc", "causes").select(
         "event_id", "valid", F.col("record.cause_analysis").alias("cause_analysis"),

@@ -24,9 +24,15 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for work that is heavy per row: one stored in fewer files than cores is dealt out over them."""
+        df, cores = getattr(self, name), self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _located_orders(t: Tables) -> DataFrame:
     return (
-        t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+        t.spread("orders").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .withColumn("k", F.col("o_orderkey"))
         .withColumn("d", F.col("o_orderdate").cast("date"))
@@ -158,7 +164,7 @@ def allowed(t: Tables) -> DataFrame:
 
 
 def text_chunks(t: Tables) -> DataFrame:
-    return t.documents.select(
+    return t.spread("documents").select(
         F.col("doc_id").alias("row_id"), F.col("source").alias("doc_id"), "lang", F.col("text").alias("chunk")
     )
 

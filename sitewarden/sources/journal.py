@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitewarden import schemas as S
+from sitewarden.functions.frames import computed_once
 from sitewarden.functions.text import collapse, lookup, present, strip
 from sitewarden.operators.upsert import stable_id
 from sitewarden.sources.xlsx import sheet_rows
@@ -266,9 +267,7 @@ def map_journal_rows(rows: DataFrame) -> DataFrame:
             return parse_number(raw)
         return strip(raw)
 
-    # Inlining one struct keeps the typed values from being expanded again inside every later filter.
-    kept = [F.col(c) for c in values.columns]
-    mapped = values.select(F.inline(F.array(F.struct(*kept, *[typed(f).alias(f) for f in FIELDS]))))
+    mapped = computed_once(values, {f: typed(f) for f in FIELDS})
     error = F.coalesce(*[_enum_error(F.col(f"raw_{f}"), F.col(f), f) for f in ENUMS])
     described = F.when(present(F.col("description")), F.col("description")).otherwise(F.lit(NO_DESCRIPTION))
     fatal = F.coalesce(F.col("injury_type") == S.INJURY_FATAL, F.lit(False))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitewarden import schemas as S
 from sitewarden.operators.upsert import upsert
-from sitewarden.session import ensure_checkpoint_dir
+from sitewarden.session import staged
 
 KAZAKH = "kaz"
 
@@ -33,17 +31,16 @@ def merge_import(spark: SparkSession, path: str, classified: DataFrame, now: Col
     partitions are written to a staging table in the shared folder first: the store is never overwritten while it is
     read, and a lost executor reads the staged rows again instead of repeating the import.
     """
-    years = classified.select(F.year("incident_date").alias("year")).distinct()
-    stored = spark.read.parquet(path)
-    touched = stored.join(years, "year", "left_semi").select(*S.INCIDENT.fieldNames())
-    filled = classified.select(
-        *[_filled(classified, f) for f in S.INCIDENT.fields if f.name != "updated_at"], "action", "file_seq", "row_no"
+    filled = staged(
+        classified.select(
+            *[_filled(classified, f) for f in S.INCIDENT.fields if f.name != "updated_at"], "action", "file_seq", "row_no"
+        )
     )
-    result = upsert(touched, filled, now, preserve_missing, missing)
-    staging = f"{ensure_checkpoint_dir(spark)}/staging-{uuid.uuid4().hex}"
-    result.withColumn("year", F.year("incident_date")).write.partitionBy("year").parquet(staging)
+    years = filled.select(F.year("incident_date").alias("year")).distinct()
+    touched = spark.read.parquet(path).join(years, "year", "left_semi").select(*S.INCIDENT.fieldNames())
+    result = staged(upsert(touched, filled, now, preserve_missing, missing))
     (
-        spark.read.parquet(staging)
+        result.withColumn("year", F.year("incident_date"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("year")
