@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,17 @@ def append(df: DataFrame, path: str, schema: T.StructType, now: Column, defaults
         rows.write.mode("append").parquet(path)
 
 
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The incident table at ``path`` with its ``year`` partition column; empty where nothing was written yet."""
+    schema = T.StructType([*S.INCIDENT.fields, T.StructField("year", T.IntegerType())])
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def merge_import(spark: SparkSession, path: str, classified: DataFrame, now: Column, preserve_missing: bool = False,
                  missing: tuple[str, ...] = ()) -> None:
     """Apply classified journal rows to the incident store at ``path``.
@@ -37,7 +49,7 @@ def merge_import(spark: SparkSession, path: str, classified: DataFrame, now: Col
         )
     )
     years = filled.select(F.year("incident_date").alias("year")).distinct()
-    touched = spark.read.parquet(path).join(years, "year", "left_semi").select(*S.INCIDENT.fieldNames())
+    touched = read_store(spark, path).join(years, "year", "left_semi").select(*S.INCIDENT.fieldNames())
     result = staged(upsert(touched, filled, now, preserve_missing, missing))
     (
         result.withColumn("year", F.year("incident_date"))
