@@ -18,7 +18,9 @@ def matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 def unit_rows(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows scaled to length one, and which rows have a length at all."""
-    norms = np.sqrt(np.einsum("ij,ij->i", m, m)) if m.size else np.zeros(len(m))
+    if not m.size:
+        return m, np.zeros(len(m), dtype=bool)
+    norms = np.sqrt(np.einsum("ij,ij->i", m, m))
     ok = norms > 0
     scaled = np.zeros_like(m)
     scaled[ok] = m[ok] / norms[ok, None]
