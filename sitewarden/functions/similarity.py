@@ -16,14 +16,15 @@ Similarity = Callable[[Column, Column], Column]
 @F.pandas_udf(T.DoubleType())
 def _ratcliff(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in batches:
-        known: dict[tuple[str, str], float] = {}
-        scores = []
-        for pair in zip(left, right):
-            if pair not in known:
-                missing = pair[0] is None or pair[1] is None
-                known[pair] = float("nan") if missing else SequenceMatcher(None, *pair).ratio()
-            scores.append(known[pair])
-        yield pd.Series(scores, dtype="float64")
+        # A matcher indexes its second text, so pairs with the same second text are scored one after another.
+        scores: dict[tuple[str, str], float] = {}
+        matcher = SequenceMatcher(None)
+        for pair in sorted({p for p in zip(left, right) if None not in p}, key=lambda p: p[1]):
+            if matcher.b != pair[1]:
+                matcher.set_seq2(pair[1])
+            matcher.set_seq1(pair[0])
+            scores[pair] = matcher.ratio()
+        yield pd.Series([scores.get(p, float("nan")) for p in zip(left, right)], dtype="float64")
 
 
 def ratcliff(a: Column, b: Column) -> Column:

@@ -184,8 +184,8 @@ def report_context(
     ]
     if norms is not None:
         parts.append(_packed(norms, "relevant_legal_norms", ["place"], [c for c in norms.columns if c != "place"]))
-    # Every part is a single row, so joining them on a constant moves one row each.
-    one = reduce(lambda a, b: a.join(b.withColumn("_one", F.lit(1)), "_one"), parts[1:], parts[0].withColumn("_one", F.lit(1)))
+    # Every part is one value, so the context is one row of scalar subqueries.
+    one = summary.sparkSession.range(1).select(*[p.scalar().alias(p.columns[0]) for p in parts])
     if norms is None:
         one = one.withColumn("relevant_legal_norms", F.array().cast("array<string>"))
     one = one.where(F.coalesce(F.col("summary_brief")["total_incidents"], F.lit(0)) > 0)

@@ -44,7 +44,7 @@ def _cells(engine: str) -> dict[str, str]:
 
 def _numbered(t):
     for_lists = {f"{n}_list": F.array(*[F.lit(v) for v in values]) for n, values in _DOMAINS.items()}
-    return roles._located_orders(t).withColumns(for_lists)
+    return roles._located_orders(t, spread=True).withColumns(for_lists)
 
 
 def _raw_rows(t):
@@ -193,7 +193,7 @@ _ACT_JSON = """concat('{"act_type": "', CASE k % 4 WHEN 0 THEN ' Служебн
 
 
 def _parsed_acts(t):
-    docs = roles._located_orders(t).selectExpr(
+    docs = roles._located_orders(t, spread=True).selectExpr(
         "k AS file_id",
         "CASE WHEN k % 10 = 0 THEN k + 500 WHEN k % 10 = 1 THEN k ELSE NULL END AS incident_id",
         f"CASE WHEN k % 50 = 7 THEN 'no json' ELSE {_ACT_JSON.replace('{text}', 'STRING')} END AS doc",

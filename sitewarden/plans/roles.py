@@ -30,9 +30,10 @@ class Tables:
         return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
-def _located_orders(t: Tables) -> DataFrame:
+def _located_orders(t: Tables, spread: bool = False) -> DataFrame:
+    orders = t.spread("orders") if spread else t.orders
     return (
-        t.spread("orders").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+        orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .withColumn("k", F.col("o_orderkey"))
         .withColumn("d", F.col("o_orderdate").cast("date"))
