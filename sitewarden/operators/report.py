@@ -42,6 +42,7 @@ def narrative_facts(summary: DataFrame) -> DataFrame:
 
     The trend is a growth above 1.2 times the first month, a decline below 0.8 times, and needs two months.
     """
+    summary = staged(summary)
     totals = summary.where(F.col("dimension").startswith("total_")).select(
         F.col("dimension").alias("fact"), F.lit(1).alias("rank"), "key", "n"
     )
@@ -69,6 +70,7 @@ def narrative_facts(summary: DataFrame) -> DataFrame:
 
 def key_findings(summary: DataFrame) -> DataFrame:
     """Totals line, up to four injury shares in percent (one decimal), the leading region: ``place, finding, key, n, pct``."""
+    summary = staged(summary)
     of = lambda name: F.max(F.when(F.col("dimension") == name, F.col("n")))
     head = summary.agg(of("total_incidents").alias("total"), of("total_victims").alias("victims"), of("total_fatalities").alias("dead"))
     none = F.lit(None).cast("double").alias("pct")
@@ -77,11 +79,10 @@ def key_findings(summary: DataFrame) -> DataFrame:
         for place, name, c in ((1, "incidents", "total"), (1, "victims", "victims"), (1, "fatalities", "dead"))
     ]
     first = head.select(F.explode(F.array(*lines)).alias("l")).select("l.*")
-    share = F.try_divide(F.col("n").cast("double"), F.col("total").cast("double")) * F.lit(100.0)
+    total = head.select(F.col("total").cast("double")).scalar()
+    share = F.try_divide(F.col("n").cast("double"), total) * F.lit(100.0)
     injuries = (
         _ranked(summary, "injury_type", 4)
-        .withColumn("_one", F.lit(1))
-        .join(head.select("total", F.lit(1).alias("_one")), "_one")
         .select((F.col("rank") + 1).alias("place"), F.lit("injury_share").alias("finding"), "key", "n",
                 F.coalesce(round_half_even(share, 1), F.lit(0.0)).alias("pct"))
     )

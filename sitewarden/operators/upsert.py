@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewarden.functions.text import norm_key
+from sitewarden.session import staged
 
 KEY = ("incident_date", "company", "classification", "region", "victim_key", "location_key")
 STORED_KEY_COLUMNS = (
@@ -100,12 +101,14 @@ def classify_upsert(incoming: DataFrame, existing: DataFrame, within_file: str =
     known = F.col("stored").isNotNull()
     opens = F.col("r.file_seq") == -F.col("first.rank")
     plain = [F.col(f"r.{c}") for c in incoming.columns if c not in ("id", "created_at")]
-    return joined.select(
+    classified = joined.select(
         *plain,
         F.when(known | ~opens, F.lit(UPDATE)).otherwise(F.lit(CREATE)).alias("action"),
         F.when(known, F.col("stored.id")).when(opens, F.col("r.id")).otherwise(F.col("first.id")).alias("id"),
         F.col("stored.created_at").alias("created_at"),
     )
+    # The report, the merge and the adoption of acts all read the outcome.
+    return staged(classified)
 
 
 def upsert(
