@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sitewarden.plans.roles import Tables
+from sitewarden.session import ship_package
 
 Plan = Callable[[Tables], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -33,4 +34,5 @@ def load_all() -> None:
 
 
 def run(name: str, spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
     return PLANS[name](Tables(spark, folder))
