@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewarden.llm import exact_dedup, secret_scan
+from sitewarden.llm import byte_bpe, exact_dedup, packing, secret_scan, simhash_dedup, warc
 from sitewarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +50,32 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
         F.size(F.filter(base, lambda s: s["live"])).cast("long").alias("n_live"),
         F.size(F.filter(base, lambda s: ~s["live"])).cast("long").alias("n_example"),
     )
+
+
+@query("op1_pack")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op6_simhash")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash_dedup.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", simhash_dedup.fingerprint_hex().alias("fingerprint"), "component_id")
+
+
+@query("op8_byte_bpe")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = byte_bpe.encode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    return byte_bpe.decode(ids, path).select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op9_warc")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    read = warc.archive_round_trip(table(spark, folder, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
