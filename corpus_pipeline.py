@@ -1,24 +1,51 @@
-"""The training-data pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The training-data pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+All stages but the last return the columns of ``documents``; the last places every piece of every text in a sequence.
+Texts that are null, empty or without a letter go with the first stage; empty tables pass through every stage.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewarden.llm import exact_dedup, secret_scan
-from sitewarden.llm.common import staged, table
+from sitewarden.llm import exact_dedup, language_id, packing, secret_scan, simhash_dedup
+from sitewarden.llm.common import ship_package, staged, table
+
+
+def recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the corpus itself teaches; texts without letters and unlike any language go."""
+    ship_package(spark)
+    return language_id.keep_recognised(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id stays."""
+    ship_package(spark)
     return exact_dedup.drop_exact_copies(docs, keep="largest")
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    ship_package(spark)
+    return simhash_dedup.drop_near_duplicates(docs)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; credentials that look live are masked."""
+    ship_package(spark)
     return secret_scan.mask_secrets(docs)
 
 
-STAGES = [("exact_dedup", exact), ("secret_scan", secrets)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    ship_package(spark)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language_id", recognised), ("exact_dedup", exact), ("simhash", near), ("secret_scan", secrets), ("pack", pack)]
 
-#: The language stage learns its model, which SQL cannot express.
+#: Learned languages, XXH64 fingerprints and a tokenizer's ids are beyond SQL.
 ORACLE_SQL = None
 
 

@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewarden.llm import byte_bpe, exact_dedup, packing, secret_scan, simhash_dedup, warc
+from sitewarden.llm import (
+    byte_bpe,
+    cross_polytope,
+    exact_dedup,
+    language_id,
+    packing,
+    secret_scan,
+    simhash_dedup,
+    suffix_dedup,
+    toxicity,
+    warc,
+)
 from sitewarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +90,35 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     read = warc.archive_round_trip(table(spark, folder, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """The chain first predicts poor quality, then toxicity from the words and that."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    categories = ["low_quality", "toxic"]
+    marks = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    scored = toxicity.predict(docs, toxicity.fit(docs, marks, categories), categories)
+    return scored.withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
+@query("op4_cross_polytope")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return cross_polytope.search(vectors.where(F.col("vec_id") % 20 == 0), vectors, k=20).withColumnRenamed("id", "vec_id")
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = language_id.held_out()
+    model = language_id.fit(docs.where(~out & F.col("doc_id").isNotNull()))
+    return language_id.predict(docs, model).withColumn("held_out", out).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op10_suffix_dedup")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
