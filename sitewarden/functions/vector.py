@@ -1,19 +1,15 @@
-"""Exact cosine top-k inside a task: matrix products on Arrow batches."""
+"""Exact cosine top-k inside a task: blocked matrix products."""
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 
 
-def matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """A list column as a 2-d float64 array; all vectors must have one length."""
-    if isinstance(vectors, pa.ChunkedArray):
-        vectors = vectors.combine_chunks()
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if len(vectors) and (flat.size % len(vectors) or len(set(np.diff(vectors.offsets.to_numpy()))) != 1):
+def stacked(vectors) -> np.ndarray:
+    """A series of vectors as a 2-d float64 array; all must have one length."""
+    if len({len(v) for v in vectors}) > 1:
         raise ValueError("vectors differ in length")
-    return flat.reshape(len(vectors), -1) if len(vectors) else np.empty((0, 0))
+    return np.stack(list(vectors)).astype(np.float64)
 
 
 def unit_rows(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -27,41 +23,40 @@ def unit_rows(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return scaled, ok
 
 
-class TopK:
-    """The k best rows per query seen so far, by score, then id."""
+#: Numbers of one score matrix.
+BLOCK_VALUES = 4_000_000
 
-    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, threshold: float | None):
-        self.ids, (self.unit, self.usable) = query_ids, unit_rows(queries)
-        self.k, self.threshold = k, threshold
-        self.best: list[tuple[np.ndarray, np.ndarray]] = [
-            (np.empty(0), np.empty(0, dtype=object)) for _ in query_ids
-        ]
 
-    def add(self, row_ids: np.ndarray, rows: np.ndarray) -> None:
-        if not len(row_ids) or not len(self.ids):
-            return
-        unit, ok = unit_rows(rows)
-        unit, row_ids = unit[ok], row_ids[ok]
-        # Rounding removes the last-bit noise of the product, so that copies tie and the id decides.
-        scores = np.round(unit @ self.unit.T, 12)
-        for q in np.flatnonzero(self.usable):
-            column = scores[:, q]
-            kept = np.arange(len(column)) if self.threshold is None else np.flatnonzero(column >= self.threshold)
-            if len(kept) > self.k:
-                # Everything at or above the k-th best score, ties included.
-                cut = np.partition(column[kept], len(kept) - self.k)[len(kept) - self.k]
-                kept = kept[column[kept] >= cut]
-            old_scores, old_ids = self.best[q]
-            merged = np.concatenate([old_scores, column[kept]])
-            ids = np.concatenate([old_ids, row_ids[kept].astype(object)])
-            order = sorted(range(len(ids)), key=lambda i: (-merged[i], ids[i]))[: self.k]
-            self.best[q] = (merged[order], ids[order])
+def block_rows(queries: int, values: int = BLOCK_VALUES) -> int:
+    """Rows that are scored against all queries of a task at once."""
+    return max(1, values // max(1, queries))
+
 
-    def rows(self) -> tuple[list, list, list]:
-        """Query ids, row ids and scores of everything kept."""
-        queries, ids, scores = [], [], []
-        for q, (s, i) in zip(self.ids, self.best):
-            queries += [q] * len(i)
-            ids += list(i)
-            scores += [float(x) for x in s]
-        return queries, ids, scores
+def top_k(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray, rows: np.ndarray, k: int, threshold: float | None,
+          values: int = BLOCK_VALUES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows per query by cosine, then id: query ids, row ids, scores.
+
+    Rows are taken in blocks, so that no score matrix has more than ``values`` numbers; each block leaves what reaches the
+    k-th best, ties included.
+    """
+    (asked, use_q), (offered, use_r) = unit_rows(queries), unit_rows(rows)
+    query_ids, asked, row_ids, offered = query_ids[use_q], asked[use_q], row_ids[use_r], offered[use_r]
+    by_id = np.argsort(row_ids, kind="stable")  # positions follow the ids from here on
+    row_ids, offered = row_ids[by_id], offered[by_id]
+    kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    step = block_rows(len(query_ids), values)
+    for at in range(0, len(row_ids) if len(query_ids) else 0, step):
+        # Rounding removes the last-bit noise of the product, so that copies tie and the id decides.
+        scores = np.round(asked @ offered[at : at + step].T, 12)
+        near = np.ones(scores.shape, bool) if threshold is None else scores >= threshold
+        if scores.shape[1] > k:
+            place = scores.shape[1] - k
+            near &= scores >= np.partition(scores, place, axis=1)[:, place : place + 1]
+        q, r = np.nonzero(near)
+        q, r, s = np.concatenate([kept[0], q]), np.concatenate([kept[1], r + at]), np.concatenate([kept[2], scores[q, r]])
+        order = np.lexsort((r, -s, q))
+        q = q[order]
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]][: len(q)])
+        best = order[np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < k]
+        kept = tuple(np.concatenate([kept[i], new])[best] for i, new in enumerate((np.nonzero(near)[0], np.nonzero(near)[1] + at, scores[near])))
+    return query_ids[kept[0]], row_ids[kept[1]], kept[2]

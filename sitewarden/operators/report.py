@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from sitewarden.functions.text import present, round_half_even
 from sitewarden.operators import stats, tags
-from sitewarden.operators.lookups import page
 from sitewarden.session import staged
 from sitewarden.sources.acts import _as_int, _as_strings, _kind, _text
 
@@ -19,9 +18,8 @@ from sitewarden.sources.acts import _as_int, _as_strings, _kind, _text
 
 GROWTH, DECLINE = 1.2, 0.8
 RECENT_DAYS = 90
-REPORT_INCIDENTS, REPORT_ACTS, REPORT_ACTS_SENT, REPORT_TAGS = 50, 30, 20, 15
-SECTION_LIMITS = {"causes": 20_000, "risks": 15_000, "recommendations": 18_000}
-TRIMMED = {"act_summaries": 5, "relevant_legal_norms": 10, "illustrative_cases": 3}
+CASE_POINTS = {"fatal": 10, "severe": 5, "recurrent": 3, "equipment": 2, "recent": 1}
+CASE_WORDS = {"fatal": ("смертельн", "fatal"), "severe": ("тяжел", "severe")}
 UNKNOWN_LEVEL = "не определён"
 NO_INCIDENTS_NOTE = "Нет инцидентов, соответствующих заданным фильтрам."
 NO_ANALYSIS_NOTE = "AI-анализ не был выполнен. Отображена только сводная статистика."
@@ -93,16 +91,15 @@ def key_findings(summary: DataFrame) -> DataFrame:
 def illustrative_cases(incidents: DataFrame, today: datetime.date, n: int = 5) -> DataFrame:
     """The ``n`` most telling incidents: fatal 10 or severe 5, recurrent 3, equipment 2, within 90 days 1."""
     injury = F.lower(F.coalesce("injury_type", F.lit("")))
-    fatal = injury.contains("смертельн") | injury.contains("fatal")
-    severe = injury.contains("тяжел") | injury.contains("severe")
-    yes = lambda c, points: F.when(c, F.lit(points)).otherwise(F.lit(0))
+    fatal, severe = (reduce(lambda a, b: a | b, [injury.contains(w) for w in CASE_WORDS[k]]) for k in ("fatal", "severe"))
+    yes = lambda c, kind: F.when(c, F.lit(CASE_POINTS[kind])).otherwise(F.lit(0))
     score = (
-        F.when(fatal, F.lit(10)).when(severe, F.lit(5)).otherwise(F.lit(0))
-        + yes(F.col("is_recurrent"), 3)
-        + yes(present(F.col("equipment")), 2)
-        + yes(F.col("incident_date") >= F.lit(today - datetime.timedelta(days=RECENT_DAYS)), 1)
+        F.when(fatal, F.lit(CASE_POINTS["fatal"])).when(severe, F.lit(CASE_POINTS["severe"])).otherwise(F.lit(0))
+        + yes(F.col("is_recurrent"), "recurrent")
+        + yes(present(F.col("equipment")), "equipment")
+        + yes(F.col("incident_date") >= F.lit(today - datetime.timedelta(days=RECENT_DAYS)), "recent")
     )
-    cut = lambda c, size: F.substring(F.coalesce(F.col(c), F.lit("")), 1, size).alias(c)
+    whole = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     return (
         incidents.withColumn("case_score", score)
         .orderBy(F.col("case_score").desc(), F.col("incident_date").desc(), F.col("id"))
@@ -115,9 +112,9 @@ def illustrative_cases(incidents: DataFrame, today: datetime.date, n: int = 5) -
             "region",
             "classification",
             "injury_type",
-            cut("description", 500),
-            cut("preliminary_causes", 300),
-            cut("root_causes", 300),
+            whole("description"),
+            whole("preliminary_causes"),
+            whole("root_causes"),
             "victim_position",
             "equipment",
             "is_recurrent",
@@ -130,16 +127,11 @@ def illustrative_cases(incidents: DataFrame, today: datetime.date, n: int = 5) -
 # --- contexts ------------------------------------------------------------------------------------------------------------
 
 
-def _packed(df: DataFrame, name: str, order: list[str], columns: list[str]) -> DataFrame:
-    """A list of at most a page of rows as one row; the input is limited by its operator."""
-    item = F.struct(*[F.col(c) for c in columns])
-    keyed = df.agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], item.alias("_item")))).alias("l"))
-    return keyed.select(F.transform("l", lambda e: e["_item"]).alias(name))
-
-
-def _counted(df: DataFrame, name: str, key: str) -> DataFrame:
-    ranked = df.withColumn("_rank", -F.col("n"))
-    return _packed(ranked.withColumnRenamed("n", "count"), name, ["_rank", key], [key, "count"])
+def _packed(df: DataFrame, name: str, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows as one list in one row; the limit applies in every task before rows meet."""
+    key = F.struct(*[o.alias(f"_{i}") for i, o in enumerate(order)])
+    top = df.orderBy(*order).limit(n).select(F.struct(*df.columns).alias("_item"), key.alias("_key"))
+    return top.agg(F.array_sort(F.collect_list(F.struct("_key", "_item"))).alias("l")).select(F.transform("l", lambda e: e["_item"]).alias(name))
 
 
 def report_context(
@@ -148,49 +140,56 @@ def report_context(
     acts: DataFrame,
     norms: DataFrame | None,
     today: datetime.date,
-    limits: dict[str, int] | None = None,
+    *,
+    listed: int,
+    acts_listed: int,
+    cases_listed: int = 5,
 ) -> DataFrame:
-    """Section contexts as JSON: ``section, context, reduced, cut``; no rows when the summary counts no incident.
+    """Section contexts as JSON: ``section, context``; no rows when the summary counts no incident.
 
-    Built over the newest 50 incidents, at most 30 of their acts (20 sent) and 15 tags each. A context above its
-    limit is reduced to 5 acts, 10 norms and 3 cases; if that is not enough, its text is cut at the limit.
-    ``norms`` has ``place`` and display columns.
+    Every figure covers all ``incidents`` and all acts of them. Lists show the ``listed`` most frequent entries (of a
+    breakdown, of each dimension), ``acts_listed`` acts and ``cases_listed`` cases, whole texts included; trimming to
+    what a consumer can take is left to it. ``norms`` has ``place`` and display columns.
     """
-    limits = limits or SECTION_LIMITS
-    # A page, a digest and the summary are a few hundred rows that a dozen parts read; they are worked out once.
+    # The summary and the acts of the incidents are read by several parts; they are worked out once.
     summary = staged(summary)
-    recent = staged(page(incidents, "incident_date", REPORT_INCIDENTS))
-    digest = staged(stats.act_digest(acts, recent, REPORT_ACTS))
-    panel = staged(tags.tag_panel(acts, REPORT_TAGS, recent))
-    digest_columns = list(stats.DIGEST_COLUMNS)
-    cases = illustrative_cases(recent, today)
-    case_columns = [c for c in cases.columns if c not in ("id", "case_score")]
-    ranked_cases = cases.withColumn("_rank", -F.col("case_score")).withColumn("_age", F.datediff(F.lit(today), F.to_date("incident_date")))
+    linked = staged(acts.join(incidents.select(F.col("id").alias("incident_id")), "incident_id", "left_semi"))
+    panel = tags.tag_panel(linked, listed).withColumnRenamed("n", "count")
+    cases = illustrative_cases(incidents, today, cases_listed)
+    age = F.datediff(F.lit(today), F.to_date("incident_date"))
+    down = lambda c: -F.col(c)
+
+    def counted(df: DataFrame, name: str, key: str) -> DataFrame:
+        return _packed(df.withColumnRenamed("n", "count").select(key, "count"), name, [down("count"), F.col(key)], listed)
+
+    def of_field(name: str) -> DataFrame:
+        return _packed(panel.where(F.col("field") == name).select("tag", "count"), name, [down("count"), F.col("tag")], listed)
 
+    per_dimension = Window.partitionBy("dimension").orderBy(F.col("n").desc(), F.col("key"))
+    shown = summary.withColumn("_rank", F.row_number().over(per_dimension)).where(F.col("_rank") <= listed).select("dimension", "key", "n")
     parts = [
-        _packed(digest, "all_acts", ["id"], digest_columns),
-        _packed(panel.where(F.col("field") == "cause_categories").withColumnRenamed("n", "count"), "cause_categories", ["rank"], ["tag", "count"]),
-        _packed(panel.where(F.col("field") == "violation_types").withColumnRenamed("n", "count"), "violation_types", ["rank"], ["tag", "count"]),
-        _packed(ranked_cases, "illustrative_cases", ["_rank", "_age", "id"], case_columns),
-        _counted(stats.recurrence(recent), "recurrence_data", "company"),
-        stats.training_stats(recent).select(F.struct("total", "without_training_pct").alias("training_stats")),
-        _counted(stats.top_equipment(recent), "top_equipment", "equipment"),
-        _packed(stats.legal_violations(digest), "legal_violations", ["violation"], ["violation"]),
-        _packed(stats.by_position_lists(digest).withColumn("_rank", -F.col("n")).withColumnRenamed("n", "count"),
-                "responsible_persons_summary", ["_rank", "position"], ["position", "count", "violations"]),
-        _packed(summary, "summary", ["dimension", "key"], ["dimension", "key", "n"]),
+        _packed(stats.act_digest(linked, incidents, acts_listed), "act_summaries", [F.col("id")], acts_listed),
+        of_field("cause_categories"),
+        of_field("violation_types"),
+        _packed(cases, "illustrative_cases", [down("case_score"), age, F.col("id")], cases_listed),
+        counted(stats.recurrence(incidents), "recurrence_data", "company"),
+        stats.training_stats(incidents).select(F.struct("total", "without_training_pct").alias("training_stats")),
+        counted(stats.top_equipment(incidents, listed), "top_equipment", "equipment"),
+        _packed(stats.legal_violations(linked), "legal_violations", [F.col("violation")], listed),
+        _packed(stats.by_position(linked).withColumnRenamed("n", "count"), "responsible_persons_summary", [down("count"), F.col("position")], listed),
         summary.where(F.col("dimension").startswith("total_")).agg(
             F.map_from_entries(F.array_sort(F.collect_list(F.struct("dimension", "n")))).alias("summary_brief")
         ),
+        # At most ``listed`` rows of a fixed number of dimensions.
+        shown.agg(F.array_sort(F.collect_list(F.struct("dimension", "key", "n"))).alias("summary")),
     ]
     if norms is not None:
-        parts.append(_packed(norms, "relevant_legal_norms", ["place"], [c for c in norms.columns if c != "place"]))
+        parts.append(_packed(norms, "relevant_legal_norms", [F.col("place")], listed))
     # Every part is one value, so the context is one row of scalar subqueries.
     one = summary.sparkSession.range(1).select(*[p.scalar().alias(p.columns[0]) for p in parts])
     if norms is None:
         one = one.withColumn("relevant_legal_norms", F.array().cast("array<string>"))
     one = one.where(F.coalesce(F.col("summary_brief")["total_incidents"], F.lit(0)) > 0)
-    one = one.withColumn("act_summaries", F.slice("all_acts", 1, REPORT_ACTS_SENT))
     one = one.withColumn("legal_violations", F.transform("legal_violations", lambda v: v["violation"]))
     patterns = F.struct("cause_categories", "violation_types").alias("cause_patterns")
     members = {
@@ -198,25 +197,11 @@ def report_context(
         "risks": ["summary", patterns, "legal_violations", "relevant_legal_norms", "recurrence_data"],
         "recommendations": ["summary_brief", "relevant_legal_norms", "legal_violations", "responsible_persons_summary"],
     }
-
-    def section(name: str) -> DataFrame:
-        def smaller(member):
-            return F.slice(member, 1, TRIMMED[member]).alias(member) if member in TRIMMED else member
-
-        full = F.to_json(F.struct(*members[name]), {"ignoreNullFields": "false"})
-        less = F.to_json(F.struct(*[smaller(m) if isinstance(m, str) else m for m in members[name]]), {"ignoreNullFields": "false"})
-        limit = limits[name]
-        sized = one.select(F.lit(name).alias("section"), full.alias("full"), less.alias("less"))
-        reduced = F.length("full") > limit
-        return sized.select(
-            "section",
-            F.substring(F.when(reduced, F.col("less")).otherwise(F.col("full")), 1, limit).alias("context"),
-            reduced.alias("reduced"),
-            (reduced & (F.length("less") > limit)).alias("cut"),
-        )
-
-    one = staged(one)
-    return reduce(DataFrame.unionByName, [section(name) for name in members])
+    contexts = [
+        F.struct(F.lit(name).alias("section"), F.to_json(F.struct(*m), {"ignoreNullFields": "false"}).alias("context"))
+        for name, m in members.items()
+    ]
+    return one.select(F.explode(F.array(*contexts)).alias("c")).select("c.*")
 
 
 def stub_report(summary: DataFrame) -> DataFrame:

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitewarden.functions.text import WHITESPACE, present, round_half_even, strip, words
-from sitewarden.functions.vector import TopK, matrix
+from sitewarden.functions.vector import stacked, top_k
 
 # Fixed values of the search.
 VECTOR_K, VECTOR_THRESHOLD = 5, 0.4
@@ -22,8 +20,7 @@ RRF_K = 60
 UNTITLED = "Без названия"
 POSITION_WEIGHT = 0.1  # weight of an unlabelled word position in cover-density ranking
 
-MAX_BROADCAST_VALUES = 4_000_000  # query vectors held by every task: at most 32 MB
-_CHUNKS_PER_CELL, _QUERIES_PER_CELL = 20_000, 512
+_CHUNKS_PER_BLOCK, _QUERIES_PER_BLOCK = 20_000, 512
 
 
 # --- whitelist and routing ---------------------------------------------------------------------------------------
@@ -62,78 +59,37 @@ def vector_search(
     k: int = VECTOR_K,
     threshold: float | None = VECTOR_THRESHOLD,
     allow: DataFrame | None = None,
-    max_broadcast_values: int = MAX_BROADCAST_VALUES,
 ) -> DataFrame:
     """Exact cosine search of many queries at once: ``query_id, row_id, score, rank``.
 
     ``chunks`` has ``row_id, embedding`` (and ``doc_id`` with a whitelist), ``queries`` has ``query_id, embedding``.
-    Null and zero vectors never match. Every partition keeps its k best rows per query, so the shuffle carries
-    k rows per partition and query. Queries within ``max_broadcast_values`` go to every task; a larger set is
-    searched cell by cell over a grid of chunk and query blocks, both of limited size.
+    Null and zero vectors never match. One plan for any number of either: blocks of chunks meet blocks of queries, each of
+    limited size, and a block pair leaves its k best per query; the ranking keeps k again before and after its shuffle.
+    The numbers of blocks are scalar subqueries, so building the plan runs nothing.
     """
     base = restrict(chunks, allow).where(F.col("embedding").isNotNull()).select("row_id", "embedding")
     asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
-    schema = _hit_schema(chunks, queries)
 
-    width = asked.select(F.size("embedding").alias("n")).limit(1).collect()
-    fits = max_broadcast_values // max(width[0]["n"], 1) if width else 0
-    probe = asked.limit(fits + 1).collect() if width else []
-    if len(probe) <= fits or not width:
-        ids = np.array([r["query_id"] for r in probe], dtype=object)
-        vectors = np.array([r["embedding"] for r in probe], dtype=np.float64)
-        return top_per_query(_search_broadcast(base, ids, vectors, k, threshold, schema), k)
-    return top_per_query(_search_grid(base, asked, k, threshold, schema), k)
+    def number(df: DataFrame, size: int) -> Column:
+        return df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size)).cast("int").alias("n")).scalar()
 
+    chunk_blocks, query_blocks = number(base, _CHUNKS_PER_BLOCK), number(asked, _QUERIES_PER_BLOCK)
 
-def _search_broadcast(base, ids, vectors, k, threshold, schema) -> DataFrame:
-    shared = base.sparkSession.sparkContext.broadcast((ids, vectors))
-    arrow = pa.schema(
-        [
-            ("query_id", _arrow(schema["query_id"].dataType)),
-            ("row_id", _arrow(schema["row_id"].dataType)),
-            ("score", pa.float64()),
-        ]
-    )
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = TopK(*shared.value, k, threshold)
-        for batch in batches:
-            if batch.num_rows:
-                rows = batch.column("row_id").to_numpy(zero_copy_only=False)
-                best.add(rows, matrix(batch.column("embedding")))
-        q, i, s = best.rows()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(q, arrow.field(0).type), pa.array(i, arrow.field(1).type), pa.array(s, pa.float64())], schema=arrow
-        )
-
-    return base.mapInArrow(search, schema)
-
+    def block(df: DataFrame, id_column: str, own: str, n_own: Column, other: str, n_other: Column) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(id_column), n_own).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), n_other - 1)))
 
-def _arrow(kind: T.DataType) -> pa.DataType:
-    return {"string": pa.string(), "integer": pa.int32(), "short": pa.int16()}.get(kind.typeName(), pa.int64())
-
-
-def _search_grid(base, asked, k, threshold, schema) -> DataFrame:
-    """Each chunk block meets each query block in one task of limited size; nothing but the k best leaves it."""
-    chunk_blocks = max(1, -(-base.count() // _CHUNKS_PER_CELL))
-    query_blocks = max(1, -(-asked.count() // _QUERIES_PER_CELL))
-
-    def blocks(id_column: str, own: str, n_own: int, other: str, n_other: int, df: DataFrame) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(id_column), F.lit(n_own)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
-        )
-
-    left = blocks("row_id", "cb", chunk_blocks, "qb", query_blocks, base)
-    right = blocks("query_id", "qb", query_blocks, "cb", chunk_blocks, asked)
+    left = block(base, "row_id", "cb", chunk_blocks, "qb", query_blocks)
+    right = block(asked, "query_id", "qb", query_blocks, "cb", chunk_blocks)
 
     def search(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or wanted.empty:
             return pd.DataFrame({"query_id": [], "row_id": [], "score": []})
-        best = TopK(wanted["query_id"].to_numpy(object), np.stack(wanted["embedding"]).astype(np.float64), k, threshold)
-        best.add(rows["row_id"].to_numpy(object), np.stack(rows["embedding"]).astype(np.float64))
-        return pd.DataFrame(dict(zip(("query_id", "row_id", "score"), best.rows())))
+        found = top_k(wanted["query_id"].to_numpy(), stacked(wanted["embedding"]), rows["row_id"].to_numpy(), stacked(rows["embedding"]), k, threshold)
+        return pd.DataFrame(dict(zip(("query_id", "row_id", "score"), found)))
 
-    return left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(search, schema)
+    met = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(search, _hit_schema(chunks, queries))
+    return top_per_query(met, k)
 
 
 def vector_search_section(chunks: DataFrame, queries: DataFrame, section: str | None = None, k: int = 10) -> DataFrame:
@@ -150,11 +106,14 @@ def _stopped(terms: Column, stop_words: Sequence[str]) -> Column:
     return F.array_except(terms, F.array(*[F.lit(w) for w in stop_words])) if stop_words else F.array_distinct(terms)
 
 
-def or_terms(query: Column, stop_words: Sequence[str] = ()) -> Column:
-    """Words of the raw query longer than two characters (if none, the first three), as distinct terms."""
+def or_terms(query: Column, stop_words: Sequence[str] = (), short_words: int | None = None) -> Column:
+    """Words of the raw query longer than two characters, as distinct terms.
+
+    A query of shorter words only keeps all of them, or the first ``short_words``.
+    """
     raw = F.filter(F.split(query, WHITESPACE), lambda w: w != "")
     long = F.filter(raw, lambda w: F.length(w) > 2)
-    chosen = F.when(F.size(long) > 0, long).otherwise(F.slice(raw, 1, 3))
+    chosen = F.when(F.size(long) > 0, long).otherwise(raw if short_words is None else F.slice(raw, 1, short_words))
     return _stopped(words(F.array_join(chosen, " ")), stop_words)
 
 
@@ -168,8 +127,8 @@ def keyword_or(
     """Chunks with any term of a query, best first: ``query_id, row_id, score, rank``.
 
     With alternatives every occurrence is its own minimal cover, so the cover density is the weight of a position
-    times the number of occurrences. Occurrences are counted per chunk and term on the map side before the terms
-    meet the queries.
+    times the number of occurrences. Words that no query asks for go first (a semi-join that adaptive execution broadcasts
+    while the terms are few); the rest is counted per chunk and term on the map side before it meets the queries.
     """
     terms = queries.select("query_id", F.explode(or_terms(F.col("query"), stop_words)).alias("term"))
     counts = (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitewarden.functions.text import present
 from sitewarden.schemas import INJURY_FATAL
+from sitewarden.session import staged
 
 SUMMARY_DIMENSIONS = ("classification", "injury_type", "region", "company", "month")
 
@@ -46,16 +47,24 @@ def by_month(incidents: DataFrame) -> DataFrame:
 
 
 def _cells(incidents: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
-    """Counts per combination of the (low-cardinality) dimensions: one shuffle of a few thousand rows."""
+    """Counts per victim and combination of the dimensions, the one aggregate that every figure comes from.
+
+    Partial aggregation collapses a dominant or null name; the result is written once and read by both branches.
+    """
     with_month = incidents.withColumn("month", month_of(F.col("incident_date")))
-    return with_month.groupBy(*dimensions).agg(F.count(F.lit(1)).alias("n"))
+    return staged(
+        with_month.groupBy(*dimensions, "victim_name").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("injury_type") == INJURY_FATAL).alias("fatal")
+        )
+    )
 
 
 def _breakdowns(cells: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
-    """Every dimension on its own, from the pre-aggregated cells by one grouping-sets pass."""
+    """Every dimension on its own, by one grouping-sets pass over the counts per combination of dimensions."""
     top = len(dimensions) - 1
     every = (1 << len(dimensions)) - 1
-    grouped = cells.groupingSets([[F.col(d)] for d in dimensions], *[F.col(d) for d in dimensions]).agg(
+    small = cells.groupBy(*dimensions).agg(F.sum("n").alias("n"))
+    grouped = small.groupingSets([[F.col(d)] for d in dimensions], *[F.col(d) for d in dimensions]).agg(
         F.sum("n").cast("long").alias("n"), F.grouping_id().cast("int").alias("level")
     )
     # In grouping_id a column's bit is 0 when it is grouped by; the first column has the highest bit.
@@ -67,15 +76,9 @@ def _breakdowns(cells: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
     return grouped.select(name.alias("dimension"), key.alias("key"), "n")
 
 
-def _head_counts(incidents: DataFrame) -> DataFrame:
-    """Rows, distinct victims and fatal rows, also for an empty table.
-
-    Grouping by name first keeps the distinct count partial on the map side and gives the other two counts from
-    the same pass; the expansion a grouping-sets distinct would need (rows x sets) never happens.
-    """
-    by_victim = incidents.groupBy("victim_name").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("injury_type") == INJURY_FATAL).alias("fatal")
-    )
+def _head_counts(cells: DataFrame) -> DataFrame:
+    """Rows, distinct victims and fatal rows, also for an empty table."""
+    by_victim = cells.groupBy("victim_name").agg(F.sum("n").alias("n"), F.sum("fatal").alias("fatal"))
     zero = F.lit(0)
     one = by_victim.agg(
         F.coalesce(F.sum("n"), zero).alias("total_incidents"),
@@ -91,8 +94,8 @@ def _head_counts(incidents: DataFrame) -> DataFrame:
 
 def summary(incidents: DataFrame) -> DataFrame:
     """Totals and five breakdowns; null and empty keys are dropped from the breakdowns."""
-    breakdowns = _breakdowns(_cells(incidents, SUMMARY_DIMENSIONS), SUMMARY_DIMENSIONS)
-    return breakdowns.where(present(F.col("key"))).unionByName(_head_counts(incidents))
+    cells = _cells(incidents, SUMMARY_DIMENSIONS)
+    return _breakdowns(cells, SUMMARY_DIMENSIONS).where(present(F.col("key"))).unionByName(_head_counts(cells))
 
 
 def statistics(
@@ -109,10 +112,11 @@ def statistics(
     if date_to:
         incidents = incidents.where(F.col("incident_date") <= F.lit(date_to))
     dimensions = ("classification", "injury_type")
-    rows = _breakdowns(_cells(incidents, dimensions), dimensions)
+    cells = _cells(incidents, dimensions)
+    rows = _breakdowns(cells, dimensions)
     key = F.when(F.col("dimension") == "classification", F.coalesce("key", F.lit("None"))).otherwise(F.col("key"))
     rows = rows.withColumn("key", key).where((F.col("dimension") != "injury_type") | present(F.col("key")))
-    return rows.unionByName(_head_counts(incidents))
+    return rows.unionByName(_head_counts(cells))
 
 
 def heatmap(incidents: DataFrame) -> DataFrame:

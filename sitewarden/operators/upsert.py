@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewarden.functions.text import norm_key
@@ -179,8 +179,8 @@ def import_report(
     """One row per file plus a total row (``file`` null).
 
     ``classified`` has ``file, action``; ``errors`` has ``file, row_no, message``; ``adoptions`` has ``file``;
-    ``rejected`` has ``file, reason`` for files that could not be read. Only five messages per file are ever
-    brought together.
+    ``rejected`` has ``file, reason`` for files that could not be read. Errors are counted; their messages are the
+    rows of ``errors``.
     """
     counts = classified.groupBy("file").agg(
         F.count(F.lit(1)).alias("processed"),
@@ -188,14 +188,7 @@ def import_report(
         F.count_if(F.col("action") == UPDATE).alias("updated"),
     )
     error_counts = errors.groupBy("file").agg(F.count(F.lit(1)).alias("n_errors"))
-    order = Window.partitionBy("file").orderBy("row_no", "message")
-    first_errors = (
-        errors.withColumn("k", F.row_number().over(order))
-        .where(F.col("k") <= 5)
-        .groupBy("file")
-        .agg(F.concat_ws("; ", F.transform(F.array_sort(F.collect_list(F.struct("k", "message"))), lambda e: e["message"])).alias("warning"))
-    )
-    report = counts.join(error_counts, "file", "full").join(first_errors, "file", "left")
+    report = counts.join(error_counts, "file", "full")
     if adoptions is not None:
         report = report.join(adoptions.groupBy("file").agg(F.count(F.lit(1)).alias("adopted_acts")), "file", "left")
     else:
@@ -206,13 +199,13 @@ def import_report(
         report = report.withColumn("error", F.lit(None).cast("string"))
     numbers = ("processed", "created", "updated", "adopted_acts", "n_errors")
     per_file = report.select(
-        "file", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in numbers], "warning", "error"
+        "file", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in numbers], "error"
     )
     total = per_file.agg(
         *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in numbers],
         F.count(F.lit(1)).alias("files"),
         F.count("error").alias("failed_files"),
-    ).select(F.lit(None).cast("string").alias("file"), *numbers, F.lit(None).cast("string").alias("warning"), F.lit(None).cast("string").alias("error"), "files", "failed_files")
+    ).select(F.lit(None).cast("string").alias("file"), *numbers, F.lit(None).cast("string").alias("error"), "files", "failed_files")
     return per_file.select(
         "*", F.lit(1).cast("long").alias("files"), F.col("error").isNotNull().cast("long").alias("failed_files")
     ).unionByName(total)

@@ -44,7 +44,7 @@ def _cells(engine: str) -> dict[str, str]:
 
 def _numbered(t):
     for_lists = {f"{n}_list": F.array(*[F.lit(v) for v in values]) for n, values in _DOMAINS.items()}
-    return roles._located_orders(t, spread=True).withColumns(for_lists)
+    return roles._located_orders(t).withColumns(for_lists)
 
 
 def _raw_rows(t):
@@ -173,10 +173,10 @@ def manifest(t):
 
 @query(
     "text_prep",
-    "SELECT doc_id, length(text) > 1000 AS truncated, md5(substr(text, 1, 1000)) AS digest FROM documents WHERE trim(text, E' \\n\\t\\r') <> ''",
+    "SELECT doc_id, false AS truncated, md5(text) AS digest FROM documents WHERE trim(text, E' \\n\\t\\r') <> ''",
 )
 def text_prep(t):
-    ready = a.prepare_text(t.documents, "text", 1000)
+    ready = a.prepare_text(t.documents, "text")
     return ready.select("doc_id", "truncated", F.md5("prepared").alias("digest"))
 
 
@@ -193,7 +193,7 @@ _ACT_JSON = """concat('{"act_type": "', CASE k % 4 WHEN 0 THEN ' Служебн
 
 
 def _parsed_acts(t):
-    docs = roles._located_orders(t, spread=True).selectExpr(
+    docs = roles._located_orders(t).selectExpr(
         "k AS file_id",
         "CASE WHEN k % 10 = 0 THEN k + 500 WHEN k % 10 = 1 THEN k ELSE NULL END AS incident_id",
         f"CASE WHEN k % 50 = 7 THEN 'no json' ELSE {_ACT_JSON.replace('{text}', 'STRING')} END AS doc",
@@ -366,11 +366,11 @@ def upsert_apply(t):
 @query(
     "import_report",
     roles.sql(
-        """SELECT coalesce(file, 'all files') AS file, processed, created, updated, n_errors, warning FROM (
-SELECT c.file, processed, created, updated, n_errors, warning FROM (
+        """SELECT coalesce(file, 'all files') AS file, processed, created, updated, n_errors FROM (
+SELECT c.file, processed, created, updated, n_errors FROM (
 SELECT concat('file', CAST(file_seq AS VARCHAR)) AS file, count(*) AS processed, count(*) FILTER (WHERE action = 'create') AS created, count(*) FILTER (WHERE action = 'update') AS updated FROM classified GROUP BY 1) c
-JOIN (SELECT file, count(*) AS n_errors, string_agg(message, '; ' ORDER BY k) FILTER (WHERE k <= 5) AS warning FROM numbered GROUP BY 1) e ON e.file = c.file
-UNION ALL SELECT NULL, (SELECT count(*) FROM classified), (SELECT count(*) FROM classified WHERE action = 'create'), (SELECT count(*) FROM classified WHERE action = 'update'), (SELECT count(*) FROM numbered), NULL) r""",
+JOIN (SELECT file, count(*) AS n_errors FROM numbered GROUP BY 1) e ON e.file = c.file
+UNION ALL SELECT NULL, (SELECT count(*) FROM classified), (SELECT count(*) FROM classified WHERE action = 'create'), (SELECT count(*) FROM classified WHERE action = 'update'), (SELECT count(*) FROM numbered)) r""",
         "incidents",
         **_UPSERT,
         numbered="SELECT *, row_number() OVER (PARTITION BY file ORDER BY row_no) AS k FROM (SELECT concat('file', CAST(l_linestatus = 'F' AS INT)::VARCHAR) AS file, l_orderkey * 10 + l_linenumber AS row_no, max(concat('Row ', CAST(l_orderkey * 10 + l_linenumber AS VARCHAR))) AS message FROM lineitem GROUP BY 1, 2) x",
@@ -383,7 +383,7 @@ def import_report(t):
     ).distinct()
     errors = errors.withColumn("message", F.concat(F.lit("Row "), F.col("row_no").cast("string")))
     report = u.import_report(u.classify_upsert(_incoming(t), _stored(t)), errors)
-    return report.select(F.coalesce("file", F.lit("all files")).alias("file"), "processed", "created", "updated", "n_errors", "warning")
+    return report.select(F.coalesce("file", F.lit("all files")).alias("file"), "processed", "created", "updated", "n_errors")
 
 
 @query(

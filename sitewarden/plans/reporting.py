@@ -61,7 +61,7 @@ def key_findings(t):
     roles.sql(
         """SELECT id, CAST(CASE WHEN injury_type = 'Смертельный исход' THEN 10 WHEN injury_type LIKE '%тяжел%' THEN 5 ELSE 0 END
  + CASE WHEN is_recurrent THEN 3 ELSE 0 END + CASE WHEN equipment <> '' THEN 2 ELSE 0 END + CASE WHEN incident_date >= DATE '2001-05-03' THEN 1 ELSE 0 END AS BIGINT) AS case_score,
- CAST(incident_date AS VARCHAR) AS incident_date, company, substr(description, 1, 500) AS description, substr(coalesce(preliminary_causes, ''), 1, 300) AS preliminary_causes
+ CAST(incident_date AS VARCHAR) AS incident_date, company, description, coalesce(preliminary_causes, '') AS preliminary_causes
 FROM incidents ORDER BY case_score DESC, incidents.incident_date DESC, id LIMIT 5""",
         "incidents",
     ),
@@ -71,52 +71,95 @@ def illustrative(t):
     return cases.select("id", F.col("case_score").cast("long").alias("case_score"), "incident_date", "company", "description", "preliminary_causes")
 
 
-def _contexts(t, limits=None):
+def _contexts(t):
     hits = retrieval.vector_search(roles.chunks(t), roles.queries(t), 5, _THRESHOLD, roles.allowed(t))
     none = hits.where(F.lit(False)).withColumnRenamed("query_id", "query_no")
     merged = retrieval.merge_hits(none, hits.withColumnRenamed("query_id", "query_no"))
     norms = merged.select("place", F.col("row_id").alias("chunk"), F.round("score", 3).alias("similarity"))
-    return rp.report_context(_summary(t), roles.incidents(t), roles.tagged_acts(t), norms, _TODAY, limits)
+    return rp.report_context(_summary(t), roles.incidents(t), roles.tagged_acts(t), norms, _TODAY, listed=20, acts_listed=30)
+
+
+def _joined(path: str, *names: str):
+    """Members of the list items as text, comma between members and bar between items."""
+    return F.array_join(F.transform(path, lambda e: F.concat_ws(",", *[e[n].cast("string") for n in names])), "|")
+
+
+_SHAPES = {
+    "causes": """struct<recurrence_data: array<struct<company: string, count: bigint>>, top_equipment: array<struct<equipment: string, count: bigint>>,
+    training_stats: struct<total: bigint, without_training_pct: double>, illustrative_cases: array<struct<id: bigint>>, act_summaries: array<struct<id: bigint, ai_summary: string>>,
+    cause_patterns: struct<violation_types: array<struct<tag: string, count: bigint>>, cause_categories: array<struct<tag: string, count: bigint>>>>""",
+    "risks": """struct<summary: array<struct<dimension: string, key: string, n: bigint>>, legal_violations: array<string>,
+    relevant_legal_norms: array<struct<place: bigint, chunk: bigint>>, recurrence_data: array<struct<company: string, count: bigint>>>""",
+    "recommendations": """struct<summary_brief: map<string, bigint>, legal_violations: array<string>,
+    responsible_persons_summary: array<struct<position: string, count: bigint, n_violations: bigint>>>""",
+}
+_PARTS = dict(
+    linked_lines="SELECT * FROM act_lines WHERE act_id % 2 = 0 AND act_id IN (SELECT id FROM incidents)",
+    recurrence="SELECT string_agg(concat_ws(',', company, n), '|' ORDER BY n DESC, company) AS v FROM (SELECT company, count(*) AS n FROM incidents WHERE is_recurrent GROUP BY 1 ORDER BY n DESC, company LIMIT 20) r",
+    equipment="SELECT string_agg(concat_ws(',', equipment, n), '|' ORDER BY n DESC, equipment) AS v FROM (SELECT equipment, count(*) AS n FROM incidents WHERE equipment <> '' GROUP BY 1 ORDER BY n DESC, equipment LIMIT 20) e",
+    violation_tags="SELECT string_agg(concat_ws(',', tag, n), '|' ORDER BY n DESC, tag) AS v FROM (SELECT p_brand AS tag, count(*) AS n FROM linked_lines GROUP BY 1 ORDER BY n DESC, tag LIMIT 20) x",
+    cause_tags="SELECT string_agg(concat_ws(',', tag, n), '|' ORDER BY n DESC, tag) AS v FROM (SELECT p_type AS tag, count(*) AS n FROM linked_lines GROUP BY 1 ORDER BY n DESC, tag LIMIT 20) x",
+    training="SELECT count(*) AS total, round(count(*) FILTER (WHERE safety_training_completed = false) * 100.0 / count(*), 1)::DOUBLE AS pct FROM incidents",
+    cases="""SELECT string_agg(id, '|' ORDER BY score DESC, incident_date DESC, id) AS v FROM (SELECT id, incident_date, CASE WHEN injury_type = 'Смертельный исход' THEN 10 WHEN injury_type LIKE '%тяжел%' THEN 5 ELSE 0 END
+ + CASE WHEN is_recurrent THEN 3 ELSE 0 END + CASE WHEN equipment <> '' THEN 2 ELSE 0 END + CASE WHEN incident_date >= DATE '2001-05-03' THEN 1 ELSE 0 END AS score FROM incidents ORDER BY score DESC, incident_date DESC, id LIMIT 5) c""",
+    digest="SELECT string_agg(concat_ws(',', id, ai_summary), '|' ORDER BY id) AS v FROM (SELECT id, ai_summary FROM acts WHERE ai_summary <> '' AND incident_id IN (SELECT id FROM incidents) ORDER BY id LIMIT 30) d",
+    laws="SELECT string_agg(v, '|' ORDER BY v) AS v FROM (SELECT DISTINCT trim(reference) AS v FROM linked_lines ORDER BY 1 LIMIT 20) l",
+    positions="""SELECT string_agg(concat_ws(',', position, n, k), '|' ORDER BY n DESC, position) AS v FROM (SELECT CASE WHEN position = '' THEN 'не указано' ELSE position END AS position, count(*) AS n, count(DISTINCT CASE WHEN violation <> '' THEN violation END) AS k
+ FROM linked_lines GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20) p""",
+    summary=SUMMARY_SQL,
+    listed="SELECT string_agg(concat_ws(',', dimension, key, n), '|' ORDER BY dimension, key) AS v FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, key) AS k FROM summary) s WHERE k <= 20",
+    brief="SELECT string_agg(concat_ws(',', dimension, n), '|' ORDER BY dimension) AS v FROM summary WHERE dimension LIKE 'total_%'",
+    norm_pairs="""SELECT q.query_id, c.row_id, round(list_dot_product(c.embedding, q.embedding) / (sqrt(list_dot_product(c.embedding, c.embedding)) * sqrt(list_dot_product(q.embedding, q.embedding))), 12) AS score
+FROM (SELECT * FROM chunks WHERE doc_id IN (SELECT doc_id FROM allowed)) c, queries q""",
+    norm_hits=f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM norm_pairs WHERE score >= {_THRESHOLD}::DOUBLE) h WHERE rank <= 5",
+    norm_list="""SELECT string_agg(row_id, '|' ORDER BY place) AS v FROM (SELECT row_id, row_number() OVER (ORDER BY query_id, rank, row_id) AS place FROM (
+SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY query_id, rank) AS k FROM norm_hits) d WHERE k = 1) n WHERE place <= 20""",
+)
 
 
-@query("report_context")
+@query(
+    "report_context",
+    roles.sql(
+        """SELECT 'causes' AS section, concat_ws('#', (SELECT v FROM recurrence), (SELECT v FROM equipment), (SELECT v FROM violation_tags), (SELECT v FROM cause_tags), (SELECT v FROM cases), (SELECT v FROM digest)) AS content
+UNION ALL SELECT 'risks', concat_ws('#', (SELECT v FROM listed), (SELECT v FROM laws), (SELECT v FROM recurrence), (SELECT v FROM norm_list))
+UNION ALL SELECT 'recommendations', concat_ws('#', (SELECT v FROM brief), (SELECT v FROM laws), (SELECT v FROM positions))""",
+        "incidents", "acts", "act_lines", "chunks", "queries", "allowed", **_PARTS,
+    ),
+)
 def report_context(t):
-    return _contexts(t)
-
-
-_RECENT = "SELECT * FROM incidents ORDER BY incident_date DESC, id LIMIT 50"
+    """All three contexts read back from their JSON, member by member."""
+    c = lambda section: F.from_json(F.when(F.col("section") == section, F.col("context")), _SHAPES[section]).alias(section)
+    read = _contexts(t).select("section", *[c(s) for s in _SHAPES])
+    causes = F.concat_ws(
+        "#", _joined("causes.recurrence_data", "company", "count"), _joined("causes.top_equipment", "equipment", "count"),
+        _joined("causes.cause_patterns.violation_types", "tag", "count"), _joined("causes.cause_patterns.cause_categories", "tag", "count"),
+        _joined("causes.illustrative_cases", "id"), _joined("causes.act_summaries", "id", "ai_summary"),
+    )
+    risks = F.concat_ws("#", _joined("risks.summary", "dimension", "key", "n"), F.array_join("risks.legal_violations", "|"),
+                        _joined("risks.recurrence_data", "company", "count"), _joined("risks.relevant_legal_norms", "chunk"))
+    brief = F.array_join(F.transform(F.map_entries("recommendations.summary_brief"), lambda e: F.concat_ws(",", e["key"], e["value"].cast("string"))), "|")
+    advice = F.concat_ws("#", brief, F.array_join("recommendations.legal_violations", "|"),
+                         _joined("recommendations.responsible_persons_summary", "position", "count", "n_violations"))
+    content = F.when(F.col("section") == "causes", causes).when(F.col("section") == "risks", risks).otherwise(advice)
+    return read.select("section", content.alias("content"))
 
 
 @query(
     "report_context_facts",
     roles.sql(
-        """SELECT (SELECT string_agg(concat(company, ':', CAST(n AS VARCHAR)), '|' ORDER BY n DESC, company) FROM (SELECT company, count(*) AS n FROM recent WHERE is_recurrent GROUP BY 1) r) AS recurrence,
-(SELECT count(*) FROM recent) AS total,
-(SELECT round(count(*) FILTER (WHERE safety_training_completed = false) * 100.0 / count(*), 1)::DOUBLE FROM recent) AS without_training_pct,
-(SELECT string_agg(concat(tag, ':', CAST(n AS VARCHAR)), '|' ORDER BY n DESC, tag) FROM (SELECT p_brand AS tag, count(*) AS n FROM act_lines WHERE act_id % 2 = 0 AND act_id IN (SELECT id FROM recent) GROUP BY 1 ORDER BY n DESC, tag LIMIT 15) x) AS violations,
-(SELECT string_agg(concat(equipment, ':', CAST(n AS VARCHAR)), '|' ORDER BY n DESC, equipment) FROM (SELECT equipment, count(*) AS n FROM recent WHERE equipment <> '' GROUP BY 1 ORDER BY n DESC, equipment LIMIT 5) e) AS equipment""",
-        "incidents",
-        "act_lines",
-        recent=_RECENT,
+        "SELECT (SELECT v FROM recurrence) AS recurrence, (SELECT total FROM training) AS total, (SELECT pct FROM training) AS without_training_pct, (SELECT v FROM violation_tags) AS violations, (SELECT v FROM equipment) AS equipment",
+        "incidents", "act_lines", **{k: _PARTS[k] for k in ("linked_lines", "recurrence", "equipment", "violation_tags", "training")},
     ),
 )
 def report_context_facts(t):
-    """The causes context read back: counts that must agree with the newest 50 incidents and their acts."""
-    shape = """struct<recurrence_data: array<struct<company: string, count: bigint>>, top_equipment: array<struct<equipment: string, count: bigint>>,
-    training_stats: struct<total: bigint, without_training_pct: double>, cause_patterns: struct<violation_types: array<struct<tag: string, count: bigint>>>>"""
-    wide = {"causes": 10**7, "risks": 10**7, "recommendations": 10**7}
-    causes = _contexts(t, wide).where("section = 'causes'").select(F.from_json("context", shape).alias("c"))
-
-    def joined(path: str, key: str):
-        pairs = F.transform(path, lambda e: F.concat(e[key], F.lit(":"), e["count"].cast("string")))
-        return F.array_join(pairs, "|")
-
+    """The causes context read back: counts over all incidents and their acts."""
+    causes = _contexts(t).where("section = 'causes'").select(F.from_json("context", _SHAPES["causes"]).alias("c"))
     return causes.select(
-        joined("c.recurrence_data", "company").alias("recurrence"),
+        _joined("c.recurrence_data", "company", "count").alias("recurrence"),
         F.col("c.training_stats.total").alias("total"),
         F.col("c.training_stats.without_training_pct").alias("without_training_pct"),
-        joined("c.cause_patterns.violation_types", "tag").alias("violations"),
-        joined("c.top_equipment", "equipment").alias("equipment"),
+        _joined("c.cause_patterns.violation_types", "tag", "count").alias("violations"),
+        _joined("c.top_equipment", "equipment", "count").alias("equipment"),
     )
 
 
@@ -146,7 +189,7 @@ ELSE concat(event_type, ':', CAST(user_id AS VARCHAR), ':', CASE WHEN event_id %
 FROM (SELECT *, event_id % 20 <> 3 AND event_id % 9 <> 0 AND (event_id % 4 = 0 OR event_id % 7 <> 0) AS valid FROM events) e""",
 )
 def report_json(t):
-    docs = t.spread("events").selectExpr("event_id", f"{_DOC.replace('{text}', 'STRING')} AS doc")
+    docs = t.events.selectExpr("event_id", f"{_DOC.replace('{text}', 'STRING')} AS doc")
     first = F.get(F.col("record.top_cause_categories"), F.lit(0))
     return rp.parse_section(docs, "doc", "causes").select(
         "event_id", "valid", F.col("record.cause_analysis").alias("cause_analysis"),

@@ -24,16 +24,9 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-    def spread(self, name: str) -> DataFrame:
-        """A table for work that is heavy per row: one stored in fewer files than cores is dealt out over them."""
-        df, cores = getattr(self, name), self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
-def _located_orders(t: Tables, spread: bool = False) -> DataFrame:
-    orders = t.spread("orders") if spread else t.orders
+def _located_orders(t: Tables) -> DataFrame:
     return (
-        orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+        t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .withColumn("k", F.col("o_orderkey"))
         .withColumn("d", F.col("o_orderdate").cast("date"))
@@ -165,11 +158,24 @@ def allowed(t: Tables) -> DataFrame:
 
 
 def text_chunks(t: Tables) -> DataFrame:
-    return t.spread("documents").select(
+    return t.documents.select(
         F.col("doc_id").alias("row_id"), F.col("source").alias("doc_id"), "lang", F.col("text").alias("chunk")
     )
 
 
+def norm_chunks(t: Tables) -> DataFrame:
+    """Chunks with text and vector under one id: documents with the embedding of the same number."""
+    vectors = t.embeddings.select(F.col("vec_id").alias("row_id"), "embedding")
+    return text_chunks(t).join(vectors, "row_id")
+
+
+def norm_allowed(t: Tables) -> DataFrame:
+    """Sources with at least the average number of such chunks."""
+    per = norm_chunks(t).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    mean = per.agg((F.sum("n") / F.count(F.lit(1))).alias("m"))
+    return per.where(F.col("n") >= mean.scalar()).select("doc_id")
+
+
 def text_queries(t: Tables) -> DataFrame:
     return t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -237,6 +243,9 @@ WHERE n >= (SELECT sum(n) / count(*) FROM (SELECT count(*) AS n FROM embeddings
 UNION ALL SELECT concat('N', CAST(n_nationkey AS VARCHAR)), concat('R', CAST(n_regionkey AS VARCHAR), '.N', CAST(n_nationkey AS VARCHAR)), 1 FROM nation
 UNION ALL SELECT concat('C', CAST(c_custkey AS VARCHAR)), concat('R', CAST(n_regionkey AS VARCHAR), '.N', CAST(n_nationkey AS VARCHAR), '.C', CAST(c_custkey AS VARCHAR)), 2 FROM customer JOIN nation ON c_nationkey = n_nationkey""",
 }
+NORM_CHUNKS_SQL = "SELECT d.doc_id AS row_id, d.source AS doc_id, d.lang, d.text AS chunk, CAST(e.embedding AS DOUBLE[]) AS embedding FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id"
+NORM_ALLOWED_SQL = """SELECT doc_id FROM (SELECT doc_id, count(*) AS n FROM norm_chunks GROUP BY 1) p
+WHERE n >= (SELECT sum(n) / count(*) FROM (SELECT count(*) AS n FROM norm_chunks GROUP BY doc_id) q)"""
 _NEEDS = {"incidents": ("located",), "acts": ("located",)}
 
 

@@ -9,6 +9,7 @@ from sitewarden.operators import retrieval as r
 from sitewarden.operators import tags
 from sitewarden.plans import roles
 from sitewarden.plans.registry import query
+from sitewarden.sources import tables
 
 _COSINE = """SELECT q.query_id, c.row_id, round(list_dot_product(c.embedding, q.embedding)
 / (sqrt(list_dot_product(c.embedding, c.embedding)) * sqrt(list_dot_product(q.embedding, q.embedding))), 12) AS score
@@ -55,7 +56,7 @@ def vector_section(t):
     return _shown(r.vector_search_section(sections, roles.queries(t), "3"))
 
 
-# A grid of chunk and query blocks: every vector of the table is a query.
+# Every vector of the table is a query.
 @query(
     "vector_search_grid",
     roles.sql(
@@ -67,12 +68,12 @@ def vector_section(t):
 )
 def vector_search_grid(t):
     own = roles.chunks(t).select(F.col("row_id").alias("query_id"), "embedding")
-    return _shown(r.vector_search(roles.chunks(t), own, 3, None, max_broadcast_values=1000))
+    return _shown(r.vector_search(roles.chunks(t), own, 3, None))
 
 
 _TOKENS = r"""SELECT row_id, unnest(words) AS term, generate_subscripts(words, 1) AS pos
 FROM (SELECT row_id, regexp_extract_all(lower(chunk), '[\p{L}\p{N}]+') AS words FROM text_chunks) w"""
-_OR_TERMS = r"""SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(array_to_string(CASE WHEN len(long) > 0 THEN long ELSE raw[1:3] END, ' ')), '[\p{L}\p{N}]+')) AS term
+_OR_TERMS = r"""SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(array_to_string(CASE WHEN len(long) > 0 THEN long ELSE raw END, ' ')), '[\p{L}\p{N}]+')) AS term
 FROM (SELECT query_id, raw, list_filter(raw, lambda w: length(w) > 2) AS long FROM (
 SELECT query_id, list_filter(string_split_regex(query, '\s+'), lambda w: w <> '') AS raw FROM text_queries) s) l"""
 _AND_TERMS = r"SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}]+')) AS term FROM text_queries"
@@ -164,11 +165,11 @@ def _ranked_events(t):
         _MERGE,
         **_EVENT_LISTS,
         both_lists="""SELECT CASE WHEN event_type IN ('click', 'error') THEN 0 ELSE 1 END AS source, CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'view' THEN 1 ELSE 2 END AS query_no,
-row_id, rank, value AS score FROM ranked WHERE rank <= 7""",
+row_id, rank, value AS score FROM ranked""",
     ),
 )
 def merge_hits(t):
-    lists = _ranked_events(t).where("rank <= 7").select(
+    lists = _ranked_events(t).select(
         F.when(F.col("event_type").isin("click", "view"), F.lit(1)).otherwise(F.lit(2)).alias("query_no"),
         "event_type", "rank", "row_id", F.col("value").alias("score"),
     )
@@ -213,19 +214,67 @@ def with_metadata(t):
     return r.format_hits(r.with_metadata(hits, meta)).select("row_id", "document", "link", "act_types")
 
 
-@query("report_norms")
+_NORM_META = "SELECT source AS id, concat('Source ', source) AS title, source AS link, min(lang) AS act_types FROM documents GROUP BY source"
+
+
+@query(
+    "report_norms",
+    roles.sql(
+        """SELECT m.place, m.row_id, t.title AS document, t.link, t.act_types, round_even(m.score, 3) AS similarity
+FROM merged m JOIN norm_chunks c USING (row_id) LEFT JOIN meta t ON t.id = c.doc_id""",
+        "act_lines",
+        "queries",
+        norm_chunks=roles.NORM_CHUNKS_SQL,
+        norm_allowed=roles.NORM_ALLOWED_SQL,
+        open_chunks="SELECT * FROM norm_chunks WHERE doc_id IN (SELECT doc_id FROM norm_allowed)",
+        vector_pairs=_COSINE.format(chunks="open_chunks"),
+        vector_hits=f"""SELECT * FROM (SELECT query_id, row_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank
+FROM vector_pairs WHERE score >= {_THRESHOLD}::DOUBLE) v WHERE rank <= 5""",
+        panel="SELECT tag, row_number() OVER (ORDER BY n DESC, tag) AS query_id FROM (SELECT p_brand AS tag, count(*) AS n FROM act_lines GROUP BY 1) b QUALIFY query_id <= 15",
+        asked=r"""SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(array_to_string(CASE WHEN len(long) > 0 THEN long ELSE raw END, ' ')), '[\p{L}\p{N}]+')) AS term
+FROM (SELECT query_id, raw, list_filter(raw, lambda w: length(w) > 2) AS long FROM (SELECT query_id, list_filter(string_split_regex(tag, '\s+'), lambda w: w <> '') AS raw FROM panel) s) l""",
+        tokens=r"SELECT row_id, unnest(regexp_extract_all(lower(chunk), '[\p{L}\p{N}]+')) AS term FROM open_chunks",
+        word_pairs="SELECT query_id, row_id, round(count(*)::DOUBLE * 0.1::DOUBLE, 6) AS score FROM tokens JOIN asked USING (term) GROUP BY 1, 2",
+        word_hits="SELECT * FROM (SELECT query_id, row_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM word_pairs) w WHERE rank <= 3",
+        both_lists="SELECT 0 AS source, query_id AS query_no, rank, row_id, score FROM word_hits UNION ALL SELECT 1, query_id, rank, row_id, score FROM vector_hits",
+        merged=f"SELECT * FROM ({_MERGE}) g",
+        meta=_NORM_META,
+    ),
+)
 def report_norms(t):
-    """Report retrieval end to end: tags and references of the acts, both searches, merge, metadata, display."""
-    acts = roles.tagged_acts(t)
-    vector = r.vector_search(roles.chunks(t), roles.queries(t), 5, _THRESHOLD, roles.allowed(t))
-    panel = tags.tag_panel(acts, 15).where(F.col("field") == "violation_types")
-    asked = panel.select(F.col("rank").alias("query_id"), F.col("tag").alias("query"))
-    keyword = r.keyword_or(roles.text_chunks(t), asked, 3)
+    """Report retrieval end to end over one table of chunks: both searches within the whitelist, merge, metadata, display."""
+    chunks, allow = roles.norm_chunks(t), roles.norm_allowed(t)
+    vector = r.vector_search(chunks, roles.queries(t), 5, _THRESHOLD, allow)
+    panel = tags.tag_panel(roles.tagged_acts(t), 15).where(F.col("field") == "violation_types")
+    keyword = r.keyword_or(chunks, panel.select(F.col("rank").alias("query_id"), F.col("tag").alias("query")), 3, allow)
     merged = r.merge_hits(keyword.withColumnRenamed("query_id", "query_no"), vector.withColumnRenamed("query_id", "query_no"))
-    titles = roles.text_chunks(t).select("row_id", "doc_id")
-    meta = t.documents.groupBy("source").agg(F.min("lang").alias("lang")).select(
-        F.col("source").alias("id"), F.concat(F.lit("Source "), F.col("source")).alias("title"),
-        F.col("source").alias("link"), F.col("lang").alias("act_types"),
+    meta = t.documents.groupBy("source").agg(F.min("lang").alias("act_types")).select(
+        F.col("source").alias("id"), F.concat(F.lit("Source "), F.col("source")).alias("title"), F.col("source").alias("link"), "act_types",
     )
-    shown = r.format_hits(r.with_metadata(merged.join(titles, "row_id", "left"), meta))
-    return shown.select("place", "row_id", "document", "link", "act_types", "similarity")
+    shown = r.format_hits(r.with_metadata(merged.join(chunks.select("row_id", "doc_id"), "row_id"), meta))
+    return shown.select(F.col("place").cast("long").alias("place"), "row_id", "document", "link", "act_types", "similarity")
+
+
+@query(
+    "keyword_or_allowed",
+    roles.sql(
+        _TOP.format(where="", k=3),
+        "text_queries",
+        norm_chunks=roles.NORM_CHUNKS_SQL,
+        norm_allowed=roles.NORM_ALLOWED_SQL,
+        text_chunks="SELECT * FROM norm_chunks WHERE doc_id IN (SELECT doc_id FROM norm_allowed)",
+        tokens=_TOKENS,
+        terms=_OR_TERMS,
+        pairs="SELECT query_id, row_id, round(count(*)::DOUBLE * 0.1::DOUBLE, 6) AS score FROM tokens JOIN terms USING (term) WHERE term NOT IN ('the', 'of', 'and') GROUP BY 1, 2",
+    ),
+)
+def keyword_or_allowed(t):
+    """Within the whitelist and without stop words."""
+    return _shown(r.keyword_or(roles.norm_chunks(t), roles.text_queries(t), 3, roles.norm_allowed(t), ["the", "of", "and"]))
+
+
+@query("laws_by_language", "SELECT doc_id AS row_id, lang FROM documents WHERE lang = 'fr'")
+def laws_by_language(t):
+    """The language rule of the search: one table serves each language; French stands for Kazakh here."""
+    by_rule = roles.text_chunks(t).withColumn("lang", F.when(F.col("lang") == "fr", F.lit("kz")).otherwise(F.lit("ru")))
+    return tables.laws(by_rule, tables.KAZAKH).select("row_id", F.lit("fr").alias("lang"))

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitewarden import schemas as S
 from sitewarden.functions.text import lookup, present, strip
-from sitewarden.sources.xlsx import document_text
 
 # --- Fixed values ----------------------------------------------------------------------------------------------------
 
-MAX_TEXT = 100_000
 ACT_TYPE_ALIASES = {
     "внутреннее расследование": "Внутреннее расследование",
     "служебное расследование": "Внутреннее расследование",
@@ -39,29 +34,11 @@ MILLISECONDS_FROM = 20_000_000_000
 # --- text --------------------------------------------------------------------------------------------------------------
 
 
-def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    """Paragraph text of word-processor files: ``file, text`` (null when unreadable)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select("path", "content")
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def text(content: bytes) -> str | None:
-            try:
-                return document_text(content)
-            except Exception:
-                return None
-
-        for batch in batches:
-            yield pd.DataFrame({"file": batch["path"], "text": [text(c) for c in batch["content"]]})
-
-    return files.mapInPandas(decode, "file string, text string")
-
-
-def prepare_text(df: DataFrame, column: str = "text", limit: int = MAX_TEXT) -> DataFrame:
-    """Blank texts are skipped; longer ones are cut to the extraction limit, with a flag."""
+def prepare_text(df: DataFrame, column: str = "text", limit: int | None = None) -> DataFrame:
+    """Blank texts are skipped; the others stay whole unless a ``limit`` is given, and a flag says which were longer."""
     text = F.col(column)
-    return df.where(present(strip(text))).withColumns(
-        {"truncated": F.length(text) > limit, "prepared": F.substring(text, 1, limit)}
-    )
+    longer, kept = (F.lit(False), text) if limit is None else (F.length(text) > limit, F.substring(text, 1, limit))
+    return df.where(present(strip(text))).withColumns({"truncated": longer, "prepared": kept})
 
 
 # --- JSON fields ---------------------------------------------------------------------------------------------------------
@@ -220,9 +197,12 @@ def accept_acts(parsed: DataFrame, incidents: DataFrame) -> tuple[DataFrame, Dat
     """
     company = strip(F.coalesce(F.nullif("act.company_name_from_act", F.lit("")), F.col("act.company_name"), F.lit("")))
     known = incidents.select(F.col("id").alias("incident_id"), F.lit(True).alias("known"))
+    # Most acts name no incident; they stay out of the join, where they would all have one key.
+    explicit = parsed.where(F.col("incident_id").isNotNull()).join(known, "incident_id", "left").select(*parsed.columns, "known")
+    free = parsed.where(F.col("incident_id").isNull()).withColumn("known", F.lit(None).cast("boolean"))
     judged = (
-        parsed.withColumn("company_found", company)
-        .join(known, "incident_id", "left")
+        explicit.unionByName(free)
+        .withColumn("company_found", company)
         .withColumn(
             "reason",
             F.when(F.col("incident_id").isNotNull() & F.col("known").isNull(), F.lit("incident_not_found")).when(

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +12,6 @@ from sitewarden import schemas as S
 from sitewarden.functions.frames import computed_once
 from sitewarden.functions.text import collapse, lookup, present, strip
 from sitewarden.operators.upsert import stable_id
-from sitewarden.sources.xlsx import sheet_rows
 
 RAW = T.StructType(
     [T.StructField("row_no", T.IntegerType()), T.StructField("cells", T.ArrayType(T.StringType()))]
@@ -56,7 +54,7 @@ PREFIX_HEADERS = {
     "damage_amount_kzt": "Сумма ущерба",
 }
 REQUIRED = ("incident_date", "company", "classification", "region", "location", "investigation_status")
-HEADER_SCAN, HEADER_MIN_HITS = 15, 4
+HEADER_MIN_HITS = 4
 NO_DESCRIPTION = "Нет описания"
 # Cell texts a spreadsheet reader takes for a missing value.
 MISSING_CELLS = (
@@ -91,35 +89,35 @@ NOT_IN_JOURNAL = (
 # --- scan ------------------------------------------------------------------------------------------------------------
 
 
-def read_journal(spark: SparkSession, path: str, fmt: str = "xlsx", delimiter: str = ",") -> DataFrame:
-    """Untyped rows of every journal under ``path``: ``file, row_no, cells``; one task handles a file as a whole."""
+def read_journal(spark: SparkSession, path: str, fmt: str = "parquet", delimiter: str = ",") -> DataFrame:
+    """Untyped rows of every journal under ``path``: ``file, row_no, cells``.
+
+    JSON lines and Parquet hold ``row_no`` and ``cells``. CSV files are read line by line, however large and however
+    wide: a line is numbered within its block of the file, and the lines of earlier blocks are added.
+    """
     if fmt in ("json", "parquet"):
         rows = spark.read.schema(RAW).format(fmt).load(path)
         return rows.select(F.col("_metadata.file_path").alias("file"), "row_no", "cells")
-    if fmt == "csv":
-        text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-        lines = text.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("row_no", "line"))
-        width = 64
-        wide = ", ".join(f"c{i} string" for i in range(width))
-        parsed = F.from_csv("line", F.lit(wide), {"sep": delimiter, "mode": "PERMISSIVE"})
-        cells = lines.where(F.col("line") != "").select("file", "row_no", parsed.alias("r"))
-        return cells.select("file", "row_no", F.array(*[F.col(f"r.c{i}") for i in range(width)]).alias("cells"))
-    if fmt != "xlsx":
+    if fmt != "csv":
         raise ValueError(f"unsupported journal format {fmt!r}")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xls*").load(path).select("path", "content")
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.regexp_replace("value", "\r$", "").alias("line"), F.monotonically_increasing_id().alias("at"),
+    )
+    in_block = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
+    numbered = lines.withColumn("n", in_block)
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("lines")).select("file", "block", before.alias("before"))
+    placed = numbered.where(F.col("line") != "").join(blocks, ["file", "block"])
+    return placed.select("file", (F.col("before") + F.col("n") - 1).cast("int").alias("row_no"), _csv_cells(F.col("line"), delimiter).alias("cells"))
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, content in zip(batch["path"], batch["content"]):
-                try:
-                    rows = list(sheet_rows(content))
-                except Exception:  # unreadable: no rows, so header detection rejects the file
-                    rows = [(0, [])]
-                yield pd.DataFrame(
-                    {"file": file, "row_no": [n for n, _ in rows], "cells": [c for _, c in rows]}
-                )
 
-    return files.mapInPandas(decode, T.StructType([T.StructField("file", T.StringType()), *RAW.fields]))
+def _csv_cells(line: Column, delimiter: str) -> Column:
+    """As many cells as the line has; quotes may hold delimiters, doubled quotes are one, an empty cell is null."""
+    d = re.escape(delimiter)
+    found = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(f'{d}("(?:[^"]|"")*"|[^{d}]*)'), F.lit(1))
+    inner = lambda c: F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(found, lambda c: F.when(c.startswith('"') & c.endswith('"') & (F.length(c) > 1), inner(c)).when(c != "", c))
 
 
 # --- header ------------------------------------------------------------------------------------------------------------
@@ -130,15 +128,16 @@ def _norm_name(c: Column) -> Column:
 
 
 def detect_header(
-    rows: DataFrame, required: tuple[str, ...] = REQUIRED, scan: int = HEADER_SCAN, min_hits: int = HEADER_MIN_HITS
+    rows: DataFrame, required: tuple[str, ...] = REQUIRED, scan: int | None = None, min_hits: int = HEADER_MIN_HITS
 ) -> DataFrame:
-    """Per file the row among the first ``scan`` that holds most required names (first best), and its hits.
+    """Per file the row (among the first ``scan``, if given) that holds most required names, the first such, and its hits.
 
     ``accepted`` is false below ``min_hits``. Every file gets a row.
     """
     names = F.transform(F.col("cells"), lambda c: _norm_name(F.coalesce(c, F.lit(""))))
     wanted = F.array(*[_norm_name(F.lit(HEADERS[f])) for f in required])
-    scored = rows.where(F.col("row_no") < scan).select(
+    looked_at = rows if scan is None else rows.where(F.col("row_no") < scan)
+    scored = looked_at.select(
         "file", "row_no", "cells", F.size(F.array_intersect(names, wanted)).alias("hits")
     )
     best = scored.groupBy("file").agg(

@@ -152,20 +152,16 @@ def test_trend_findings_and_stub(spark):
     assert report.stub_report(s.where("false")).first()["confidence_note"] == report.NO_INCIDENTS_NOTE
 
 
-def test_context_is_reduced_then_cut(spark):
-    df = incidents(spark, *[{"incident_date": D(2024, 1, 1), "description": "д" * 900, "company": "c", "is_recurrent": True} for _ in range(8)])
+def test_context_is_whole_json(spark):
+    df = incidents(spark, *[{"id": str(i), "incident_date": D(2024, 1, 1), "description": "д" * 900, "company": "c", "is_recurrent": True} for i in range(80)])
     acts = spark.createDataFrame([], S.ACT)
-    build = lambda limit: {r["section"]: r for r in report.report_context(summary.summary(df), df, acts, None, D(2024, 2, 1), dict.fromkeys(report.SECTION_LIMITS, limit)).collect()}
-    whole = build(10**6)["causes"]
-    context = json.loads(whole["context"])
-    assert len(context["illustrative_cases"]) == 5 and {len(c["description"]) for c in context["illustrative_cases"]} == {500}
-    assert context["recurrence_data"] == [{"company": "c", "count": 8}] and not whole["reduced"]
-    less = build(len(whole["context"]) - 1)["causes"]
-    assert less["reduced"] and not less["cut"] and len(json.loads(less["context"])["illustrative_cases"]) == 3
-    short = build(100)["causes"]
-    assert short["cut"] and len(short["context"]) == 100
-    none = df.where("false")
-    assert report.report_context(summary.summary(none), none, acts, None, D(2024, 2, 1)).count() == 0
+    build = lambda f, **n: {r["section"]: json.loads(r["context"]) for r in report.report_context(summary.summary(f), f, acts, None, D(2024, 2, 1), **n).collect()}
+    context = build(df, listed=20, acts_listed=30)
+    assert set(context) == {"causes", "risks", "recommendations"}
+    assert len(context["causes"]["illustrative_cases"]) == 5 and {len(c["description"]) for c in context["causes"]["illustrative_cases"]} == {900}
+    assert context["causes"]["recurrence_data"] == [{"company": "c", "count": 80}] and context["causes"]["training_stats"]["total"] == 80
+    assert len(build(df, listed=20, acts_listed=30, cases_listed=70)["causes"]["illustrative_cases"]) == 70
+    assert build(df.where("false"), listed=20, acts_listed=30) == {}
 
 
 @pytest.mark.parametrize(

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sitewarden.functions import vector
 from sitewarden.operators import retrieval as r
 
 
@@ -18,9 +19,10 @@ def _rows(df):
     return sorted((x["query_id"], x["rank"], x["row_id"], round(x["score"], 6)) for x in df.collect())
 
 
-def test_search_equals_brute_force_on_both_paths(spark, monkeypatch):
-    monkeypatch.setattr(r, "_CHUNKS_PER_CELL", 50)
-    monkeypatch.setattr(r, "_QUERIES_PER_CELL", 4)
+@pytest.mark.parametrize("chunk_block, query_block", [(20_000, 512), (50, 4)])
+def test_search_equals_brute_force(spark, monkeypatch, chunk_block, query_block):
+    monkeypatch.setattr(r, "_CHUNKS_PER_BLOCK", chunk_block)
+    monkeypatch.setattr(r, "_QUERIES_PER_BLOCK", query_block)
     chunks, queries = _vectors(spark, 200, 1, "row_id").repartition(5), _vectors(spark, 10, 1, "query_id").drop("doc_id")
     by = lambda df, c: {x[c]: np.array(x["embedding"], dtype=np.float64) for x in df.collect() if x["embedding"] and any(x["embedding"])}
     expected = []
@@ -28,7 +30,19 @@ def test_search_equals_brute_force_on_both_paths(spark, monkeypatch):
         scored = [(-round(float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)), 12), i) for i, w in by(chunks, "row_id").items()]
         expected += [(q, k + 1, i, round(-s, 6)) for k, (s, i) in enumerate(sorted(x for x in scored if -x[0] >= 0.2)[:4])]
     assert _rows(r.vector_search(chunks, queries, 4, 0.2)) == sorted(expected)
-    assert _rows(r.vector_search(chunks, queries, 4, 0.2, max_broadcast_values=16)) == sorted(expected)
+
+
+def test_score_matrices_are_bounded(monkeypatch):
+    rng = np.random.default_rng(2)
+    q, x = rng.normal(size=(7, 5)), rng.normal(size=(301, 5))
+    x[50:60] = x[3]
+    whole = vector.top_k(np.arange(7), q, np.arange(301), x, 6, None)
+    sizes, real = [], np.round
+    monkeypatch.setattr(vector.np, "round", lambda m, n: sizes.append(m.size) or real(m, n))
+    parts = vector.top_k(np.arange(7), q, np.arange(301), x, 6, None, values=100)
+    assert max(sizes) <= 100 and len(sizes) > 10
+    assert all((a == b).all() for a, b in zip(whole, parts))
+    assert vector.block_rows(512) * 512 <= vector.BLOCK_VALUES
 
 
 def test_whitelist_blank_ids_and_empty_inputs(spark):
@@ -57,7 +71,7 @@ def _asked(spark, *texts):
 def test_or_search_counts_occurrences_of_longer_words(spark):
     texts = _texts(spark, "Статья 12. Кодекс, кодекс!", "о статья", "ничего", "аб вг де жз")
     hits = r.keyword_or(texts, _asked(spark, "статья о кодекс", "аб вг де жз", "  "), k=5)
-    assert _rows(hits) == [(0, 1, 0, 0.3), (0, 2, 1, 0.1), (1, 1, 3, 0.3)]
+    assert _rows(hits) == [(0, 1, 0, 0.3), (0, 2, 1, 0.1), (1, 1, 3, 0.4)]
     assert _rows(r.keyword_or(texts, _asked(spark, "статья кодекс"), 5, None, ["статья"])) == [(0, 1, 0, 0.2)]
 
 
