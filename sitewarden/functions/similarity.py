@@ -51,7 +51,24 @@ def levenshtein_bound(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.abs(F.length(a) - F.length(b)) / longer
 
 
-SIMILARITIES: dict[str, tuple[Similarity, Similarity]] = {
-    "ratcliff": (ratcliff, ratcliff_bound),
-    "levenshtein": (levenshtein_ratio, levenshtein_bound),
+def bag(text: Column) -> Column:
+    """The characters of a text, each with its number among its like: sets of these intersect as bags of characters do."""
+    letters = F.array_sort(F.split(text, ""))
+    return F.transform(letters, lambda c, i: F.concat(c, (i + 1 - F.array_position(letters, c)).cast("string")))
+
+
+def ratcliff_bag_bound(common: Column, a: Column, b: Column) -> Column:
+    """Matching blocks hold no more characters than the two bags share."""
+    return F.lit(2.0) * common / F.greatest(F.length(a) + F.length(b), F.lit(1))
+
+
+def levenshtein_bag_bound(common: Column, a: Column, b: Column) -> Column:
+    """Every character of the longer text that the bags do not share costs an edit."""
+    return common.cast("double") / F.greatest(F.length(a), F.length(b), F.lit(1))
+
+
+#: Ratio, bound from the lengths, bound from the number of shared characters.
+SIMILARITIES: dict[str, tuple[Similarity, Similarity, Callable[[Column, Column, Column], Column]]] = {
+    "ratcliff": (ratcliff, ratcliff_bound, ratcliff_bag_bound),
+    "levenshtein": (levenshtein_ratio, levenshtein_bound, levenshtein_bag_bound),
 }

@@ -8,8 +8,9 @@ Scoring every pair of a date window is quadratic in the busiest date, so the sea
    the least name score a link would still need; pairs that cannot reach it are gone before any name is read;
 3. an equal name is the best any context can offer, and it is found by an equi-join on date and name. Similar names
    are searched only in contexts that could still beat the act's best equal-name score;
-4. that search meets on (date, context pair, salt). The salt splits a context that one date repeats often, a length
-   bound runs before the name similarity, and pairs below the threshold never leave the task.
+4. that search meets on (date, context pair, salt). The salt splits a context that one date repeats often; bounds from the
+   names' lengths and shared characters drop pairs that can neither reach the threshold nor what the act has already,
+   before any name is compared.
 
 No step drops a pair that could reach the threshold. Profiles, text similarities and equal-name results are staged in the
 shared folder, because several later steps read them.
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewarden.functions.frames import computed_once
-from sitewarden.functions.similarity import SIMILARITIES
+from sitewarden.functions.similarity import SIMILARITIES, bag
 from sitewarden.functions.text import norm_text
 from sitewarden.operators.upsert import apply_links
 from sitewarden.schemas import INJURY_FATAL, LINK_AUTO, LINK_UNLINKED
@@ -202,7 +203,9 @@ def best_match(
         )
         .where(F.col("a_name") != "")
     )
-    act_profiles = staged(act_rows.groupBy(*act_context, "a_name").agg(F.min("act_id").alias("profile")))
+    act_profiles = staged(
+        act_rows.groupBy(*act_context, "a_name").agg(F.min("act_id").alias("profile")).withColumn("a_bag", bag(F.col("a_name")))
+    )
     inc_profiles = staged(
         incidents.where(F.col("incident_date").isNotNull())
         .select(
@@ -217,6 +220,7 @@ def best_match(
         .where(F.col("i_name") != "")
         .groupBy(*inc_context, "i_name")
         .agg(F.min("id").alias("incident_id"))
+        .withColumn("i_bag", bag(F.col("i_name")))
     )
 
     def spread(df: DataFrame) -> DataFrame:
@@ -256,7 +260,8 @@ def best_match(
         return df.groupBy("profile").agg(F.min(F.struct((-F.col("score")).alias("minus"), "incident_id")).alias("hit"))
 
     # 2. equal names ------------------------------------------------------------------------------------------
-    same_name = spread(act_profiles).join(inc_profiles.withColumnRenamed("i_name", "a_name"), ["day", "a_name"])
+    named_alike = inc_profiles.drop("i_bag").withColumnRenamed("i_name", "a_name")
+    same_name = spread(act_profiles.drop("a_bag")).join(named_alike, ["day", "a_name"])
     same_scored = with_context_scores(same_name).withColumn("score", total(F.lit(1.0)))
     equal = staged(best_of(same_scored.where(F.col("score") >= threshold)))
 
@@ -275,25 +280,26 @@ def best_match(
         with_context_scores(spread(act_contexts).join(inc_contexts, "day"))
         .withColumn("ceiling", total(F.lit(1.0)))
         .where((F.col("ceiling") >= threshold - _SLACK) & (F.col("ceiling") > F.col("least_beaten")))
-        .withColumn("name_needed", (F.lit(threshold - _SLACK) - total(F.lit(0.0))) / F.lit(w.name))
-        .select("act_context", "inc_context", "salts", "s_date", "s_company", "s_region", "s_injury", "ceiling", "name_needed")
+        .select("act_context", "inc_context", "salts", "s_date", "s_company", "s_region", "s_injury", "ceiling")
     )
 
     # 4. similar names ----------------------------------------------------------------------------------------
     asking = (
         open_profiles.join(act_contexts, list(act_context))
-        .select("profile", "a_name", "beaten", "act_context")
+        .select("profile", "a_name", "a_bag", "beaten", "act_context")
         .join(scored, "act_context")
         .where(F.col("ceiling") > F.col("beaten"))
+        # A name must lift the score over the threshold and to what the act has already.
+        .withColumn("name_needed", (F.greatest(F.lit(threshold), F.col("beaten")) - F.lit(_SLACK) - total(F.lit(0.0))) / F.lit(w.name))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     )
     offered = inc_profiles.join(inc_contexts, list(inc_context)).select(
-        "inc_context", "incident_id", "i_name", F.pmod(F.xxhash64("incident_id"), F.col("salts")).cast("int").alias("salt")
-    )
-    ratio, bound = SIMILARITIES[similarity]
-    near = asking.join(offered, ["inc_context", "salt"]).where(
-        (F.col("a_name") != F.col("i_name")) & (bound(F.col("a_name"), F.col("i_name")) >= F.col("name_needed"))
+        "inc_context", "incident_id", "i_name", "i_bag", F.pmod(F.xxhash64("incident_id"), F.col("salts")).cast("int").alias("salt")
     )
+    ratio, bound, bag_bound = SIMILARITIES[similarity]
+    names = F.col("a_name"), F.col("i_name")
+    near = asking.join(offered, ["inc_context", "salt"]).where((names[0] != names[1]) & (bound(*names) >= F.col("name_needed")))
+    near = near.where(bag_bound(F.size(F.array_intersect("a_bag", "i_bag")), *names) >= F.col("name_needed")).drop("a_bag", "i_bag")
     named = computed_once(near, {"s_name": ratio(F.col("a_name"), F.col("i_name"))})
     similar = best_of(
         named.withColumn("score", total(F.col("s_name"))).where(

@@ -59,6 +59,15 @@ def by_level(types: DataFrame) -> DataFrame:
     return types.orderBy("hierarchy_level", "id")
 
 
+def type_by_code(types: DataFrame, code: str) -> DataFrame:
+    return types.where(F.col("code") == code)
+
+
+def acts_of_type(acts: DataFrame, act_type: str) -> DataFrame:
+    """Acts of one type in the order of their ids."""
+    return acts.where(F.col("act_type") == act_type).orderBy("id")
+
+
 def version_chunks(chunks: DataFrame, versions: DataFrame) -> DataFrame:
     """Chunks of the given versions in chunk order."""
     return chunks.join(versions.select("version_id"), "version_id", "left_semi").orderBy("version_id", "chunk_index")

@@ -345,6 +345,19 @@ def upsert_classify(t):
     return u.classify_upsert(_incoming(t), _stored(t)).select("row_no", "action", "id")
 
 
+@query(
+    "upsert_last",
+    roles.sql(
+        "SELECT row_no, action, final_id AS id FROM classified",
+        "incidents",
+        **(_UPSERT | {"keyed_in": f"SELECT * FROM ({_UPSERT['keyed_in']}) z QUALIFY row_no = max(row_no) OVER (PARTITION BY key, file_seq)"}),
+    ),
+)
+def upsert_last(t):
+    """Of rows with one key in one file only the last counts."""
+    return u.classify_upsert(_incoming(t), _stored(t), "last").select("row_no", "action", "id")
+
+
 @query(
     "upsert_apply",
     roles.sql(
@@ -386,6 +399,28 @@ def import_report(t):
     return report.select(F.coalesce("file", F.lit("all files")).alias("file"), "processed", "created", "updated", "n_errors")
 
 
+@query(
+    "import_full",
+    roles.sql(
+        """SELECT * FROM per_file UNION ALL SELECT 'all files', sum(processed)::BIGINT, sum(created)::BIGINT, sum(updated)::BIGINT, sum(adopted_acts)::BIGINT, sum(n_errors)::BIGINT, NULL, count(*), count(error) FROM per_file""",
+        "incidents",
+        **_UPSERT,
+        per_file="""SELECT c.file, processed, created, updated, coalesce(adopted_acts, 0) AS adopted_acts, coalesce(n_errors, 0) AS n_errors, NULL AS error, CAST(1 AS BIGINT) AS files, CAST(0 AS BIGINT) AS failed_files FROM (
+SELECT concat('file', CAST(file_seq AS VARCHAR)) AS file, count(*) AS processed, count(*) FILTER (WHERE action = 'create') AS created, count(*) FILTER (WHERE action = 'update') AS updated FROM classified GROUP BY 1) c
+LEFT JOIN (SELECT concat('file', CAST(p_partkey % 2 AS VARCHAR)) AS file, count(*) AS adopted_acts FROM part GROUP BY 1) d ON d.file = c.file
+LEFT JOIN (SELECT 'file0' AS file, count(*) AS n_errors FROM supplier) e ON e.file = c.file
+UNION ALL SELECT concat('bad', CAST(r_regionkey AS VARCHAR)), 0, 0, 0, 0, 0, r_name, 1, 1 FROM region""",
+    ),
+)
+def import_full(t):
+    """The report of a whole import: adopted acts and files that could not be read beside the counts."""
+    errors = t.supplier.select(F.lit("file0").alias("file"), F.col("s_suppkey").alias("row_no"), F.lit("wrong").alias("message"))
+    adopted = t.part.select(F.concat(F.lit("file"), (F.col("p_partkey") % 2).cast("string")).alias("file"))
+    rejected = t.region.select(F.concat(F.lit("bad"), F.col("r_regionkey").cast("string")).alias("file"), F.col("r_name").alias("reason"))
+    report = u.import_report(u.classify_upsert(_incoming(t), _stored(t)), errors, adopted, rejected)
+    return report.withColumn("file", F.coalesce("file", F.lit("all files")))
+
+
 @query(
     "update_by_id",
     roles.sql(

@@ -150,6 +150,29 @@ def adopt(t):
     return linked.select("id", "incident_id", "link_status")
 
 
+def _relinked(open_acts: str) -> str:
+    return roles.sql(
+        f"""SELECT a.id, coalesce(l.incident_id, a.incident_id) AS incident_id,
+CASE WHEN l.act_id IS NULL THEN a.link_status ELSE '{LINK_AUTO}' END AS link_status FROM acts a LEFT JOIN links l ON l.act_id = a.id""",
+        "incidents",
+        "acts",
+        open_acts=open_acts,
+        **_match_views("open_acts"),
+    )
+
+
+@query("adopt_explicit", _relinked(f"SELECT * FROM acts WHERE link_status = '{LINK_UNLINKED}'"))
+def adopt_explicit(t):
+    """Adoption that also moves acts uploaded with an explicit incident."""
+    linked, _ = m.adopt(roles.acts(t), roles.incidents(t), relink_explicit=True, similarity=_LEV)
+    return linked.select("id", "incident_id", "link_status")
+
+
+@query("link_on_upload", _relinked("SELECT * FROM acts WHERE incident_id IS NULL"))
+def link_on_upload(t):
+    return m.link_on_upload(roles.acts(t), roles.incidents(t), similarity=_LEV).select("id", "incident_id", "link_status")
+
+
 @query(
     "apply_links",
     roles.sql(

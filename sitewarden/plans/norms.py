@@ -6,6 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from sitewarden import schemas as S
 from sitewarden.operators import temporal as n
 from sitewarden.plans import roles
 from sitewarden.plans.registry import query
@@ -185,3 +186,25 @@ def drop_children(t):
 @query("version_chunks", roles.sql("SELECT row_id, version_id, chunk_index FROM norm_chunks WHERE version_id IN (SELECT version_id FROM norm_versions WHERE status = 'active' AND effective_to IS NULL)", "norm_versions", norm_chunks=_ROLES["norm_chunks"]))
 def version_chunks(t):
     return n.version_chunks(_law(t)[3], n.current_version(roles.norm_versions(t))).select("row_id", "version_id", "chunk_index")
+
+
+@query("norms_of_act", roles.sql("SELECT id, npa_id FROM rules WHERE npa_id IN (SELECT id FROM acts_of_law)", rules=_ROLES["rules"], acts_of_law=_ROLES["acts_of_law"]))
+def norms_of_act(t):
+    _, rules, acts, _ = _law(t)
+    return n.norms_of_act(rules.withColumn("path", F.col("number")), acts).select("id", "npa_id")
+
+
+@query("types_by_level", roles.sql("SELECT type_id, length(type_id) AS hierarchy_level FROM types", types=_ROLES["types"]))
+def types_by_level(t):
+    types = _law(t)[0].withColumns({"hierarchy_level": F.length("type_id").cast("long"), "id": F.col("type_id")})
+    return n.by_level(types).select("type_id", "hierarchy_level")
+
+
+@query("type_by_code", roles.sql("SELECT type_id, code FROM types WHERE code = 'paragraph'", types=_ROLES["types"]))
+def type_by_code(t):
+    return n.type_by_code(_law(t)[0], "paragraph").select("type_id", "code")
+
+
+@query("acts_by_type", roles.sql(f"SELECT id, act_type FROM acts WHERE act_type = '{S.ACT_TYPES[0]}'", "acts"))
+def acts_by_type(t):
+    return n.acts_of_type(roles.acts(t), S.ACT_TYPES[0]).select("id", "act_type")

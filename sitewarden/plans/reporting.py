@@ -195,3 +195,37 @@ def report_json(t):
         "event_id", "valid", F.col("record.cause_analysis").alias("cause_analysis"),
         F.concat(first["category"], F.lit(":"), first["count"].cast("string"), F.lit(":"), first["analysis"]).alias("category"),
     )
+
+
+_RISKS = """concat('{{"risk_assessment": [{{"risk_type": "', event_type, '", "severity": ', CASE WHEN event_id % 6 = 0 THEN 'null' ELSE '"high"' END, ', "description": "d", "affected_entities": ["', CAST(user_id AS {text}), '"]}}]',
+CASE WHEN event_id % 5 = 0 THEN ', "overall_risk_level": "высокий"' ELSE '' END, '}}')"""
+_ADVICE = """concat('{{"recommendations": [{{"priority": "p", "recommendation": "', event_type, '", "rationale": "r"', CASE WHEN event_id % 3 = 0 THEN ', "target_entities": ["x", "y"]' ELSE '' END, '}}], "immediate_actions": ',
+CASE WHEN event_id % 4 = 0 THEN '"none"' ELSE '["a", "b"]' END, '}}')"""
+
+
+@query(
+    "report_json_risks",
+    """SELECT event_id, valid, CASE WHEN NOT valid THEN NULL WHEN event_id % 5 = 0 THEN 'высокий' ELSE 'не определён' END AS level,
+CASE WHEN valid THEN concat(event_type, ':', CAST(user_id AS VARCHAR)) END AS risk FROM (SELECT *, event_id % 6 <> 0 AS valid FROM events) e""",
+)
+def report_json_risks(t):
+    docs = t.events.selectExpr("event_id", f"{_RISKS.format(text='STRING')} AS doc")
+    first = F.get(F.col("record.risk_assessment"), F.lit(0))
+    return rp.parse_section(docs, "doc", "risks").select(
+        "event_id", "valid", F.col("record.overall_risk_level").alias("level"),
+        F.concat(first["risk_type"], F.lit(":"), F.get(first["affected_entities"], F.lit(0))).alias("risk"),
+    )
+
+
+@query(
+    "report_json_recommendations",
+    """SELECT event_id, valid, CASE WHEN valid THEN 'a|b' END AS actions, CASE WHEN valid THEN concat(event_type, ':', CASE WHEN event_id % 3 = 0 THEN 'x|y' ELSE '' END) END AS advice
+FROM (SELECT *, event_id % 4 <> 0 AS valid FROM events) e""",
+)
+def report_json_recommendations(t):
+    docs = t.events.selectExpr("event_id", f"{_ADVICE.format(text='STRING')} AS doc")
+    first = F.get(F.col("record.recommendations"), F.lit(0))
+    return rp.parse_section(docs, "doc", "recommendations").select(
+        "event_id", "valid", F.array_join("record.immediate_actions", "|").alias("actions"),
+        F.concat(first["recommendation"], F.lit(":"), F.array_join(first["target_entities"], "|")).alias("advice"),
+    )

@@ -51,12 +51,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return f"{ensure_checkpoint_dir(spark)}/sitewarden-{spark.sparkContext.applicationId}"
+
+
+def clean_staged(spark: SparkSession) -> None:
+    """Remove what this application has staged; call it when no result that reads it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
     For results several branches of a plan need: the work is done once, later joins are planned from true sizes, and
-    a lost executor costs a read, not a recomputation.
+    a lost executor costs a read, not a recomputation. ``clean_staged`` removes the copies.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

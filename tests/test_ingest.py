@@ -238,12 +238,23 @@ def test_append_fills_defaults(spark, tmp_path):
 def test_arrivals_are_imported_once(spark, tmp_path):
     from sitewarden.streaming.arrivals import stream_journals
 
-    arrivals, store, state = (str(tmp_path / n) for n in ("in", "store", "state"))
+    arrivals, store, state, reports = (str(tmp_path / n) for n in ("in", "store", "state", "reports"))
     sheet = lambda *rows: spark.createDataFrame(list(enumerate([HEADER, *rows])), "row_no int, cells array<string>").coalesce(1)
-    sheet(GOOD, changed(victim_name="Ким")).write.mode("append").parquet(arrivals)
-    stream_journals(spark, arrivals, store, state).awaitTermination()
+    act = ("1", None, S.LINK_UNLINKED, datetime.date(2024, 1, 15), "Ким", S.COMPANIES[0], "Алматы", S.INJURY_FATAL)
+    acts = spark.createDataFrame([act], "id string, incident_id string, link_status string, incident_date_from_act date, victim_name_from_act string, company_name_from_act string, region_from_act string, injury_severity string")
+    sheet(GOOD, changed(victim_name="Ким"), changed(company="Нет такой")).write.mode("append").parquet(arrivals)
+    spark.createDataFrame([(0, ["x", "y"])], "row_no int, cells array<string>").write.mode("append").parquet(arrivals)
+    stream_journals(spark, arrivals, store, state, reports, acts=acts).awaitTermination()
     assert tables.read_store(spark, store).count() == 2
     sheet(changed(damage_amount_kzt="7"), changed(victim_name="Ли")).write.mode("append").parquet(arrivals)
-    stream_journals(spark, arrivals, store, state).awaitTermination()
+    stream_journals(spark, arrivals, store, state, reports, acts=acts).awaitTermination()
     rows = tables.read_store(spark, store).collect()
     assert len(rows) == 3 and {r["victim_name"]: r["damage_amount_kzt"] for r in rows}["Иванов"] == 7.0
+    read = lambda n: spark.read.parquet(f"{reports}/{n}").collect()
+    assert [r["message"] for r in read("errors")] == ["Row 4: Некорректное значение для company: 'Нет такой'"]
+    assert len(read("rejected")) == 1
+    by_name = {r["victim_name"]: r["id"] for r in rows}
+    assert [(r["act_id"], r["incident_id"], r["batch"]) for r in read("links")] == [("1", by_name["Ким"], 0)]
+    totals = {r["batch"]: r for r in read("report") if r["file"] is None}
+    assert (totals[0]["created"], totals[0]["n_errors"], totals[0]["failed_files"], totals[0]["adopted_acts"]) == (2, 1, 1, 1)
+    assert (totals[1]["created"], totals[1]["updated"]) == (1, 1)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitewarden import schemas as S
+from sitewarden.functions import similarity as sim
 from sitewarden.operators import matching as m
 
 DAY = datetime.date(2026, 1, 15)
@@ -101,6 +102,17 @@ def test_ties_go_to_the_lower_id_and_two_acts_may_share_one(spark):
     assert sorted((r["act_id"], r["incident_id"]) for r in m.best_match(acts, incidents).collect()) == [(1, 8), (2, 8)]
 
 
+def test_bag_bounds_hold(spark):
+    rng = random.Random(3)
+    pairs = [("".join(rng.choices("абвг ", k=rng.randint(0, 12))), "".join(rng.choices("абвг ", k=rng.randint(0, 12)))) for _ in range(300)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    common = F.size(F.array_intersect(sim.bag(F.col("a")), sim.bag(F.col("b"))))
+    cols = [bound(common, F.col("a"), F.col("b")) - ratio(F.col("a"), F.col("b")) for ratio, _, bound in sim.SIMILARITIES.values()]
+    rows = df.where("a <> '' and b <> ''").select(common, *cols, "a", "b").collect()
+    for n, first, second, a, b in rows:
+        assert n == sum(min(a.count(c), b.count(c)) for c in set(a)) and first > -1e-12 and second > -1e-12
+
+
 def _brute(acts, incidents):
     def norm(s):
         return " ".join("".join(ch for ch in (s or "").lower() if ch not in "«»\"'").split())
