@@ -13,8 +13,15 @@ from sitewarden.session import ensure_checkpoint_dir, ship_package, staged
 __all__ = ["ascii_lower", "ship_package", "staged", "staged_folder", "table", "whole_text"]
 
 
+#: Rows that a Python worker gets at once, where the session does not say: texts may be very long.
+BATCH_ROWS = "2000"
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ship_package(spark)
+    if spark.conf.get(_ROWS) == "10000":  # Spark's own default
+        spark.conf.set(_ROWS, BATCH_ROWS)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

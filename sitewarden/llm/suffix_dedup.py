@@ -34,7 +34,7 @@ from sitewarden.llm.common import staged, whole_text
 
 LENGTH, ANCHOR = 100, 24
 #: Contexts of one anchor beyond which they are compared by hash; bytes of contexts in one shard.
-HOT_CONTEXTS, SHARD_BYTES = 500, 4 << 20
+HOT_CONTEXTS, SHARD_BYTES = 500, 1 << 20
 _CHUNK = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -148,18 +148,26 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for i in range(7):
         key = (key << 9) | padded[i : i + n]
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]][:n]
+    slots = np.arange(n)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, slots, 0))  # a suffix ranks where its equals begin
     step = 7
-    while True:
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.r_[False, ordered[1:] != ordered[:-1]]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if n == 0 or rank[order[-1]] == n - 1:
-            return order
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
+    slots = slots[~(new & np.r_[new[1:], True][:n])]
+    while len(slots):  # only suffixes that still tie are sorted again, within their places
+        tied = order[slots]
+        after = tied + step
+        key = rank[tied] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        tied, key = tied[by], key[by]
+        order[slots] = tied
+        new = np.r_[True, key[1:] != key[:-1]]
+        rank[tied] = slots[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        slots = slots[~(new & np.r_[new[1:], True])]
         step *= 2
+    return order
 
 
 def equal_windows(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +180,7 @@ def equal_windows(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     text = np.r_[text.astype(np.int32) + 1, 0]  # an end that is unlike all values
     order = suffix_order(text)
     before = text[order - 1]  # the transform
-    source = np.argsort(before, kind="stable")  # row of the suffix that each row extends
+    source = np.argsort(before.astype(np.uint16), kind="stable")  # row of the suffix that each row extends
     column = before[source]
     mark = np.r_[True, column[1:] != column[:-1]]
     rows, lost = np.arange(len(order)), np.empty(0, np.int64)
@@ -293,18 +301,19 @@ def repeats(docs: DataFrame, texts: DataFrame, length: int, k: int, hot: int) ->
     total = firsts.agg(F.sum(F.col("windows") + length - 1)).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
     wanted = firsts.groupBy("number").agg(F.collect_list(F.struct("anchor", "contexts", "first", "windows")).alias("runs"))
+    wanted = wanted.select("number", *[F.col(f"runs.{c}").alias(f"{c}_of") for c in ("anchor", "contexts", "first", "windows")])
     met = wanted.join(_packed(texts).select(F.col("number").alias("n"), "packed"), F.col("number") == F.col("n"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for number, found, packed in zip(batch["number"], batch["runs"], batch["packed"]):
+            for number, packed, *found in zip(*(batch[c] for c in ("number", "packed", "anchor_of", "contexts_of", "first_of", "windows_of"))):
                 raw = unzip.decompress(packed)
-                out += [(r["anchor"], r["contexts"], number, r["first"], raw[r["first"] : r["first"] + r["windows"] + length - 1]) for r in found]
+                out += [(a, c, number, f, raw[f : f + w + length - 1]) for a, c, f, w in zip(*found)]
             yield pd.DataFrame(out, columns=["anchor", "contexts", "number", "first", "bytes"])
 
-    contexts = staged(met.select("number", "runs", "packed").mapInPandas(cut, "anchor long, contexts long, number long, first long, bytes binary"))
+    contexts = staged(met.drop("n").mapInPandas(cut, "anchor long, contexts long, number long, first long, bytes binary"))
     few = contexts.where(F.col("contexts") <= hot).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
     ranges = "number long, from long, to long"
 
@@ -348,15 +357,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     texts = numbered(docs, id_col, text_col)
     found = repeats(docs, texts, length, k, hot)
-    per_text = found.groupBy("number").agg(F.collect_list(F.struct("from", "to")).alias("ranges")).withColumnRenamed("number", "n")
+    per_text = found.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("ranges"))
+    per_text = per_text.select(F.col("number").alias("n"), F.col("ranges.from").alias("begins"), F.col("ranges.to").alias("ends"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for key, packed, ranges in zip(batch["id"].astype("Int64"), batch["packed"], batch["ranges"]):
+            for key, packed, begins, ends in zip(batch["id"].astype("Int64"), batch["packed"], batch["begins"], batch["ends"]):
                 raw, spans = unzip.decompress(packed), []
-                for a, b in sorted((r["from"], r["to"]) for r in (ranges if ranges is not None else [])):
+                for a, b in zip(begins.tolist(), ends.tolist()) if begins is not None else ():
                     if spans and a <= spans[-1]["to"]:
                         spans[-1]["to"] = max(b, spans[-1]["to"])
                     else:
@@ -366,5 +376,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out.append((key, len(raw), spans, kept))
             yield pd.DataFrame(out, columns=["id", "n_bytes", "spans", "kept"]).astype({"id": "Int64"})
 
-    met = _packed(texts).join(per_text, F.col("number") == F.col("n"), "left").select("id", "packed", "ranges")
+    met = _packed(texts).join(per_text, F.col("number") == F.col("n"), "left").select("id", "packed", "begins", "ends")
     return met.mapInPandas(cut, "id long, n_bytes long, spans array<struct<from:long,to:long>>, kept binary").withColumnRenamed("id", id_col)
