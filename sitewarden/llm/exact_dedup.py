@@ -65,5 +65,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     groups = exact_groups(docs, id_col, text_col, keep).where("kept").select(
         F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(ascii_lower(whole_text(text_col)), 256)
-    return docs.join(groups, F.col(id_col).eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_semi")
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_own"), F.sha2(ascii_lower(whole_text(text_col)), 256).alias("_text")
+    )
+    return rows.join(groups, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_sha")), "left_semi").select("_row.*")

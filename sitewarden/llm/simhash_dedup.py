@@ -206,4 +206,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` whose id is the smallest of their component, with all their columns."""
     kept = near_duplicates(docs, id_col, text_col, radius).where(F.col(id_col).eqNullSafe(F.col("component_id")))
     keys = kept.select(F.col("key").alias("_key")).distinct()
-    return docs.join(keys, F.xxhash64(F.col(id_col), whole_text(text_col)) == F.col("_key"), "left_semi")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(F.col(id_col), whole_text(text_col)).alias("_own"))
+    return rows.join(keys, F.col("_own") == F.col("_key"), "left_semi").select("_row.*")

@@ -10,7 +10,7 @@ from sitewarden.llm.exact_dedup import drop_exact_copies, exact_groups, md5_128
 
 ROWS = [(1, "Abc", "x"), (2, "aBC", None), (3, None, "y"), (4, "", "y"), (5, "É", "z"), (6, "é", "z"), (None, "abc", "q"), (7, "w " * 60000, ""),
         (8, "W " * 60000, ""), (7, "w " * 60000, ""), (None, "alone", None), (9, "ünique", None)]
-SCHEMA = "doc_id long, text string, _hash string"
+SCHEMA = "doc_id long, text string, _sha string"
 
 
 def low(t):
@@ -38,7 +38,7 @@ def test_groups(spark, keep, pick, hashed):
 
 def test_drop(spark):
     kept = drop_exact_copies(spark.createDataFrame(ROWS, SCHEMA), keep="largest")
-    assert kept.columns == ["doc_id", "text", "_hash"]
+    assert kept.columns == ["doc_id", "text", "_sha"]
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "4", "5", "6", "8", "9", "None"]
 
 

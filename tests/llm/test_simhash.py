@@ -112,5 +112,5 @@ def test_empty(spark):
 
 def test_drop_keeps_one_of_each(spark):
     rows = [(3, "the same words here in a row " * 5), (1, "THE same words here in a row " * 5), (2, "other things entirely are said now")]
-    kept = S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
+    kept = S.drop_near_duplicates(spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, _key int"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2] and kept.columns == ["doc_id", "text", "_key"]
