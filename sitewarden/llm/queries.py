@@ -77,8 +77,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_byte_bpe")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = byte_bpe.encode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
-    return byte_bpe.decode(ids, path).select(
+    coded = byte_bpe.encode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN, decoded=True)
+    return coded.select(
         F.col("id").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

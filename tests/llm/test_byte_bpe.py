@@ -30,8 +30,16 @@ def test_texts(library):
     marks = "abcdehinort .,'\n\t é日0123456789ABC-"
     texts = ODD + ["".join(rng.choices(marks, k=rng.randint(1, 300))) for _ in range(300)]
     texts += ["".join(chr(c) for c in range(a, min(a + 97, 0x110000)) if not 0xD800 <= c < 0xE000) for a in range(1, 0x30000, 97)]
-    for t in texts:
-        assert np.frombuffer(encoder.encode(t), "<i4").tolist() == library.encode_ordinary(t), t
+    for t, ids in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(ids, "<i4").tolist() == library.encode_ordinary(t), t
+
+
+def test_pieces_at_once_have_the_same_tables(vocabulary):
+    rng = random.Random(4)
+    pieces = [bytes(rng.choices(b"abthe ing\xc3\xa9\x00", k=rng.randint(1, 40))) for _ in range(300)] + [b"", b"a" * 2000]
+    last, base = B.PieceEncoder(vocabulary).last_tokens(np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64), np.array([len(p) for p in pieces]))
+    for p, at in zip(pieces, base):
+        assert last[at:at + len(p) + 1].tolist() == B.PrefixEncoding(vocabulary, p).last
 
 
 def test_appends_and_edits(vocabulary, library):
@@ -63,3 +71,5 @@ def test_frames(spark, library):
     for r in rows[: len(texts)]:
         assert r.ids == library.encode_ordinary(texts[r.id] or "") and bytes(r.decoded) == (texts[r.id] or "").encode()
     assert B.decode(B.encode(docs.where("false"), PATH, P.PATTERN), PATH).collect() == []
+    once = B.encode(docs, PATH, P.PATTERN, decoded=True).collect()
+    assert sorted(map(str, once)) == sorted(map(str, rows))
