@@ -75,12 +75,19 @@ class LanguageModel:
 
 def fit_kernel(held: np.ndarray, labels: np.ndarray, landmarks: np.ndarray, languages: list[str], alphabet: list[int],
                ridge: float = RIDGE) -> LanguageModel:
-    """``held``: presence rows of the sample; ``landmarks``: positions of the landmark rows among them."""
-    norm = np.sqrt(np.maximum(1, held.sum(axis=1, dtype=np.int64))).astype(np.float64)
-    grams = np.flatnonzero(held[landmarks].any(axis=0))
-    rows = held[:, grams].astype(np.float32)
-    marks = (rows[landmarks] / norm[landmarks][:, None]).astype(np.float32)
-    kernel = (rows @ marks.T).astype(np.float64) / norm[:, None]
+    """``held``: presence rows of the sample, eight n-grams to a byte; ``landmarks``: positions of the landmark rows among them.
+
+    Only the n-grams of landmarks are unpacked, a few rows at a time, so the driver holds the packed rows and one matrix.
+    """
+    norm = np.sqrt(np.maximum(1, np.bitwise_count(held).sum(axis=1, dtype=np.int64))).astype(np.float64)
+    grams = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(held[landmarks], axis=0)))
+
+    def unpacked(rows: np.ndarray) -> np.ndarray:
+        return np.unpackbits(rows, axis=1)[:, grams].astype(np.float32)
+
+    marks = np.concatenate([unpacked(held[landmarks[k : k + _BATCH]]) for k in range(0, len(landmarks), _BATCH)])
+    marks /= norm[landmarks].astype(np.float32)[:, None]
+    kernel = np.concatenate([unpacked(held[k : k + _BATCH]) @ marks.T for k in range(0, len(held), _BATCH)]).astype(np.float64) / norm[:, None]
     values, vectors = np.linalg.eigh(kernel[landmarks])
     solid = values > 1e-8 * values.max()
     project = vectors[:, solid] / np.sqrt(values[solid])
@@ -88,7 +95,7 @@ def fit_kernel(held: np.ndarray, labels: np.ndarray, landmarks: np.ndarray, lang
     target = np.where(labels[:, None] == np.arange(len(languages)), 1.0, -1.0)
     gram = features.T @ features + ridge * len(features) * np.eye(features.shape[1])
     dual = project @ np.linalg.solve(gram, features.T @ target)
-    return LanguageModel(languages, alphabet, grams, (marks.T.astype(np.float64) @ dual).astype(np.float32))
+    return LanguageModel(languages, alphabet, grams, marks.T @ dual.astype(np.float32))
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE,
@@ -125,7 +132,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             yield pd.DataFrame({"l": batch["l"], "n": batch["n"], "bits": [np.packbits(presence.of(t)).tobytes() for t in batch["t"]]})
 
     found = sample.mapInPandas(held, "l string, n int, bits binary").orderBy("l", "n").collect()
-    bits = np.stack([np.unpackbits(np.frombuffer(r.bits, np.uint8), count=_TABLE) for r in found])
+    bits = np.frombuffer(b"".join(bytes(r.bits) for r in found), np.uint8).reshape(len(found), -1)
     labels = np.array([languages.index(r.l) for r in found])
     marks = np.flatnonzero([r.n <= landmarks for r in found])
     return fit_kernel(bits, labels, marks, languages, alphabet)

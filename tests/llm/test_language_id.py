@@ -22,7 +22,7 @@ def test_kernel_and_regression():
     presence = L.Presence(alphabet)
     held = np.stack([presence.of(t).copy() for t in texts])
     labels, marks = np.array([0, 1, 0, 1]), np.arange(4)
-    model = L.fit_kernel(held.astype(np.uint8), labels, marks, ["en", "fr"], alphabet, ridge=0.01)
+    model = L.fit_kernel(np.packbits(held, axis=1), labels, marks, ["en", "fr"], alphabet, ridge=0.01)
     k = np.array([[plain_kernel(a, b) for b in texts] for a in texts])
     dual = np.linalg.solve(k + 0.04 * np.eye(4), np.where(labels[:, None] == [0, 1], 1.0, -1.0))
     new = "the mat là"
