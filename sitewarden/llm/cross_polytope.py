@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 TABLES, PROBES, SEED = 8, 16, 7
 #: Rows of a bucket that one task holds, and numbers of a score matrix.
 BUCKET_ROWS, CELLS = 20_000, 2_000_000
-SHARD_ROWS = 200_000
+#: Filed rows of one task, and the least number of tasks; a task returns k rows per query, so more tasks mean more rows to merge.
+SHARD_ROWS, LEAST_SHARDS = 200_000, 12
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -124,7 +125,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "v
     if not n:
         return spark.createDataFrame([], schema)
     largest = None if low > high * (1 - 1e-6) else high
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * tables // SHARD_ROWS))
+    shards = max(LEAST_SHARDS, -(-n * tables // SHARD_ROWS))
 
     filed = _buckets(base, 1, tables, largest, query=False)
     # At most tables x 2 x padded dimension rows, whatever the number of vectors: safe to broadcast.
