@@ -25,6 +25,7 @@ HEX = "[0-9a-f]{24,}"  # maximal runs, so a shorter run can be left out by the p
 KINDS = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24))
 # Candidates without a keyword: runs of 20 or more token characters; those with both a letter and a digit count.
 OWNED = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+MIXED = "(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}+"
 
 MAX_OWNERS = 2
 
@@ -140,15 +141,20 @@ def mask(text: Column, spans: Column, by: str = "[SECRET]") -> Column:
 def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_owners: int = MAX_OWNERS) -> DataFrame:
     """``docs`` with live-looking secrets replaced by ``[SECRET]``; widely copied examples and all other text stay.
 
-    ``n_chars``, where there is one, follows the new text.
+    ``n_chars``, where there is one, follows the new text. Only texts that hold a candidate are shuffled to meet the verdicts.
     """
     scanned = scan_secrets(docs, id_col, text_col, max_owners=max_owners)
     live = scanned.select(
         F.col("key").alias("_key"), F.filter("all", lambda s: s["live"]).alias("_spans")
     ).where(F.size("_spans") > 0).dropDuplicates(["_key"])
-    key = F.xxhash64(F.col(id_col), whole_text(text_col))
-    joined = docs.withColumn("_k", key).join(live, F.col("_k") == F.col("_key"), "left")
-    new = F.when(F.col("_spans").isNotNull(), mask(F.col(text_col), F.col("_spans"))).otherwise(F.col(text_col))
-    out = joined.withColumn("_new", new)
-    lengths = {"n_chars": F.when(F.col("_spans").isNotNull(), F.char_length("_new").cast("long")).otherwise(F.col("n_chars"))}
-    return out.withColumns({text_col: F.col("_new")} | (lengths if "n_chars" in docs.columns else {})).select(*docs.columns)
+    some = F.lit(False)
+    for pattern in (ASSIGN, ACCESS, HEX, MIXED):
+        some = some | whole_text(text_col).rlike(pattern)
+    rows = docs.where(some).select(F.struct(*docs.columns).alias("_row"), F.xxhash64(F.col(id_col), whole_text(text_col)).alias("_own"))
+    hit, text = F.col("_spans").isNotNull(), F.col("_row")[text_col]
+    out = rows.join(live, F.col("_own") == F.col("_key"), "left").withColumn("_new", F.when(hit, mask(text, F.col("_spans"))).otherwise(text))
+    changed = {text_col: F.col("_new")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        changed["n_chars"] = F.when(hit, F.char_length("_new").cast(kind)).otherwise(F.col("_row")["n_chars"])
+    return docs.where(~some).unionByName(out.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns]))

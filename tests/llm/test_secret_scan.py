@@ -70,8 +70,8 @@ def test_empty_table(spark):
 
 def test_mask_keeps_rows_and_overlaps(spark):
     text = "é token=0123456789abcdef0123456789abcdef! ok"
-    docs = spark.createDataFrame([(1, text, "s", "en", 44), (1, text, "s", "en", 44), (None, None, None, None, None)],
-                                 "doc_id long, text string, source string, lang string, n_chars long")
+    docs = spark.createDataFrame([(1, text, "s", "en", 44, 5), (1, text, "s", "en", 44, 5), (None, None, None, None, None, None)],
+                                 "doc_id long, text string, source string, lang string, n_chars long, _key int")
     rows = sorted(secret_scan.mask_secrets(docs).collect(), key=str)
     assert [(r.text, r.n_chars) for r in rows if r.doc_id] == [("é [SECRET]! ok", 14)] * 2
-    assert len(rows) == 3
+    assert len(rows) == 3 and [r["_key"] for r in rows if r.doc_id] == [5, 5]
