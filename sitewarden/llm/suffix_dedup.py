@@ -34,7 +34,7 @@ from sitewarden.llm.common import staged, whole_text
 
 LENGTH, ANCHOR = 100, 24
 #: Contexts of one anchor beyond which they are compared by hash; bytes of contexts in one shard.
-HOT_CONTEXTS, SHARD_BYTES = 500, 1 << 20
+HOT_CONTEXTS, SHARD_BYTES = 20_000, 1 << 20
 _CHUNK = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
