@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sitewarden.llm.common import staged, whole_text
 
 #: Fitting: labelled rows, features (the most frequent of the sample, in at least so many of its texts), folds.
-ROWS, FEATURES, LEAST_TEXTS, FOLDS = 6_000, 60_000, 3, 3
+ROWS, FEATURES, LEAST_TEXTS, FOLDS = 4_000, 60_000, 3, 3
 #: A model uses the features whose frequency among its positive rows is so many standard deviations off the expected one.
 DEVIATIONS, PENALTY = 3.0, 0.3
 #: Occurrences of a feature that are told apart: one, two, three or more.
@@ -130,8 +130,8 @@ class Chain:
 def fit_chain(columns: Sequence[np.ndarray], labels: np.ndarray, categories: list[str], index: dict[int, int], folds: int = FOLDS) -> Chain:
     """``labels``: one 0/1 column per category, in the order of the chain."""
     n, features = len(columns), len(index)
-    row = np.repeat(np.arange(n), [len(c) for c in columns])
-    flat = np.concatenate(columns).astype(np.int64) if n else np.empty(0, np.int64)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in columns])
+    flat = np.concatenate(columns).astype(np.int32) if n else np.empty(0, np.int32)
     fold = np.arange(n) % folds
     earlier, models = np.zeros((n, 0)), []
     for k in range(labels.shape[1]):
@@ -180,14 +180,14 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
 
     def select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["features"] = [np.array([index[f] for f in x if f in index], np.int32) for x in batch["features"]]
+            batch["features"] = [np.array([index[f] for f in x if f in index], "<i4").tobytes() for x in batch["features"]]
             yield batch
 
-    found = sample.mapInPandas(select, f"_id {kind}, {kinds}, features array<int>").orderBy(F.xxhash64("_id"), "_id").collect()
+    found = sample.mapInPandas(select, f"_id {kind}, {kinds}, features binary").orderBy(F.xxhash64("_id"), "_id").collect()
     if not found:
         return None
     y = np.array([[r[c] > 0 for c in categories] for r in found])
-    return fit_chain([np.array(r.features, np.int64) for r in found], y, categories, index)
+    return fit_chain([np.frombuffer(r.features, "<i4") for r in found], y, categories, index)
 
 
 def predict(docs: DataFrame, chain: Chain | None, categories: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
