@@ -5,8 +5,11 @@ under the nearest signed axis. A query looks into the buckets of its nearest axe
 is scored exactly, and the best of all tables are ranked. Rows are filed once per table, so the index holds every row.
 
 Scale: buckets are dealt to tasks by a hash, and a bucket with many rows is split (its queries go to every part). A task
-returns the k best of each query it saw, never pairs. The largest inner product is reduced to the nearest unit vector by one
-added coordinate where the norms differ.
+returns the k best of each query it saw, never pairs.
+
+Rows are filed by direction, within ranges of their norm (powers of two), and every query looks into every range. In the ranges
+above the fullest one a row needs a smaller angle less, so there a query also visits each axis whose coordinate times the
+range's factor reaches the last axis it probes in the fullest range.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 TABLES, PROBES, SEED = 8, 16, 7
 #: Rows of a bucket that one task holds, and numbers of a score matrix.
 BUCKET_ROWS, CELLS = 20_000, 2_000_000
+#: Ranges of norms that are told apart, half of them below 1.
+BANDS = 4096
 #: Filed rows of one task, and the least number of tasks; a task returns k rows per query, so more tasks mean more rows to merge.
 SHARD_ROWS, LEAST_SHARDS = 200_000, 12
 
@@ -48,13 +53,10 @@ def axis_scores(x: np.ndarray, tables: int, seed: int = SEED) -> list[np.ndarray
     return out
 
 
-def unit(x: np.ndarray, largest: float | None) -> np.ndarray:
-    """Rows at length 1. With ``largest`` (the greatest norm of all rows) the missing length becomes one more coordinate."""
-    if largest is None:
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-    x = x / largest
-    rest = np.sqrt(np.clip(1 - (x * x).sum(axis=1, keepdims=True), 0, None))
-    return np.concatenate([x, rest], axis=1)
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1; divided by their largest component first, whose square may be beyond double precision."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def products(q: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -87,22 +89,50 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, dimension: int) ->
     return rows.where(F.col("id").isNotNull() & (F.size("vector") == dimension)).where(_usable("vector"))
 
 
-def _buckets(rows: DataFrame, count: int, tables: int, largest: float | None, query: bool) -> DataFrame:
-    """``id, vector, cell`` for the ``count`` nearest axes of every table."""
+def _band(vector: str) -> Column:
+    """The power of two nearest to the norm."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
+    most = BANDS // 2 - 1  # the log of an underflown norm is null
+    return F.greatest(F.lit(-most), F.least(F.lit(most), F.coalesce(F.round(F.log2(norm)), F.lit(-most)))).cast("int")
+
+
+def _filed(rows: DataFrame, tables: int) -> DataFrame:
+    """``id, vector, band, cell`` for the nearest axis of every table."""
 
     @F.pandas_udf("array<int>")
     def cells(vectors: pd.Series) -> pd.Series:
         if not len(vectors):
             return pd.Series([], dtype=object)
-        x = np.stack(vectors.to_list()).astype(np.float64)
-        x = np.concatenate([unit(x, None), np.zeros((len(x), 1))], axis=1) if query and largest is not None else unit(x, largest)
-        found = []
-        for t, scores in enumerate(axis_scores(x, tables)):
-            near = np.argsort(-scores, axis=1, kind="stable")[:, :count]
-            found.append(near + t * scores.shape[1])
-        return pd.Series(list(np.concatenate(found, axis=1).astype(np.int32)))
+        scores = axis_scores(unit(np.stack(vectors.to_list()).astype(np.float64)), tables)
+        return pd.Series(list(np.stack([s.argmax(axis=1) + t * s.shape[1] for t, s in enumerate(scores)], axis=1).astype(np.int32)))
+
+    return rows.select("id", "vector", _band("vector").alias("band"), F.explode(cells("vector")).alias("cell"))
+
 
-    return rows.select("id", "vector", F.explode(cells("vector")).alias("cell"))
+def _probed(rows: DataFrame, count: int, tables: int, above: int) -> DataFrame:
+    """``id, vector, cell, least``: the axes of every table that a query visits, each in the ranges from ``least`` on, counted from
+    the fullest range: the ``count`` nearest in all, others from where the factor makes up for their distance, ``above`` at most.
+    """
+
+    @F.pandas_udf("array<long>")
+    def cells(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        found: list[list[np.ndarray]] = [[] for _ in range(len(vectors))]
+        for t, scores in enumerate(axis_scores(unit(np.stack(vectors.to_list()).astype(np.float64)), tables)):
+            order = np.argsort(-scores, axis=1, kind="stable")
+            near = np.take_along_axis(scores, order, axis=1)
+            last = near[:, min(count, near.shape[1]) - 1]
+            for i in range(len(vectors)):
+                n = max(count, int((near[i] * 2.0 ** min(above, 1000) >= last[i]).sum())) if last[i] > 0 else count
+                least = np.full(len(order[i][:n]), -BANDS)
+                least[count:] = np.ceil(np.log2(last[i] / near[i][count:n]))
+                found[i].append((order[i][:n] + t * scores.shape[1]) * (4 * BANDS) + least + 2 * BANDS)
+        return pd.Series([np.concatenate(x).astype(np.int64) for x in found])
+
+    each = rows.select("id", "vector", F.explode(cells("vector")).alias("c"))
+    return each.select("id", "vector", F.floor(F.col("c") / (4 * BANDS)).cast("int").alias("cell"),
+                       (F.pmod("c", F.lit(4 * BANDS)) - 2 * BANDS).cast("int").alias("least"))
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -120,31 +150,32 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "v
         return spark.createDataFrame([], schema)
     base = usable(vectors, id_col, vector_col, lengths["d"])
     asked = usable(queries, id_col, vector_col, lengths["d"])
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
-    low, high, n = base.agg(F.min(norm), F.max(norm), F.count(F.lit(1))).first()
-    if not n:
+    bands = {r.band: r["count"] for r in base.groupBy(_band("vector").alias("band")).count().collect()}
+    if not bands:
         return spark.createDataFrame([], schema)
-    largest = None if low > high * (1 - 1e-6) else high
-    shards = max(LEAST_SHARDS, -(-n * tables // SHARD_ROWS))
-
-    filed = _buckets(base, 1, tables, largest, query=False)
-    # At most tables x 2 x padded dimension rows, whatever the number of vectors: safe to broadcast.
-    parts = filed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / bucket_rows).cast("int").alias("parts"))
-    shard = F.pmod(F.xxhash64("cell", "part"), F.lit(shards)).cast("int").alias("shard")
-    rows = filed.join(F.broadcast(parts), "cell").select(
-        "id", "vector", "cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")).select("*", shard)
-    probed = _buckets(asked, probes, tables, largest, query=True).join(F.broadcast(parts), "cell").select(
-        "id", "vector", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("*", shard)
+    fullest = max(bands, key=lambda b: (bands[b], b))
+    shards = max(LEAST_SHARDS, -(-sum(bands.values()) * tables // SHARD_ROWS))
+
+    filed = _filed(base, tables)
+    # At most tables x 2 x padded dimension rows for each range of norms, whatever the number of vectors: safe to broadcast.
+    parts = filed.groupBy("cell", "band").agg(F.ceil(F.count(F.lit(1)) / bucket_rows).cast("int").alias("parts"))
+    parts = parts.toDF("p_cell", "p_band", "parts")
+    shard = F.pmod(F.xxhash64("cell", "band", "part"), F.lit(shards)).cast("int").alias("shard")
+    rows = filed.join(F.broadcast(parts), (F.col("cell") == F.col("p_cell")) & (F.col("band") == F.col("p_band"))).select(
+        "id", "vector", "cell", "band", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")).select("*", shard)
+    meets = (F.col("cell") == F.col("p_cell")) & (F.col("p_band") - fullest >= F.col("least"))
+    probed = _probed(asked, probes, tables, max(bands) - fullest).join(F.broadcast(parts), meets).select(
+        "id", "vector", "cell", F.col("p_band").alias("band"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("*", shard)
 
     def rank(found: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(found) or not len(wanted):
             return out
-        here = {key: g.index.to_numpy() for key, g in found.groupby(["cell", "part"])}
+        here = {key: g.index.to_numpy() for key, g in found.groupby(["cell", "band", "part"])}
         ids, mat = found["id"].to_numpy(), np.stack(found["vector"].to_list()).astype(np.float64)
         q_ids, q_mat = wanted["id"].to_numpy(), np.stack(wanted["vector"].to_list()).astype(np.float64)
         best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for key, g in wanted.groupby(["cell", "part"]):
+        for key, g in wanted.groupby(["cell", "band", "part"]):
             at = here.get(key)
             if at is None:
                 continue

@@ -48,6 +48,23 @@ def test_recall(spark, scaled):
     assert [i for _, i in top] == [7] + list(range(101, 120))
 
 
+@pytest.mark.parametrize("norms", ["double", "tenfold", "hundredfold", "lognormal"])
+def test_recall_with_uneven_norms(spark, norms):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "lognormal":
+        x *= rng.lognormal(0, 0.5, (len(x), 1))
+    else:
+        x[7] *= {"double": 2, "tenfold": 10, "hundredfold": 100}[norms]
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x.astype(np.float32))], SCHEMA)
+    got = C.search(df.where("vec_id % 20 = 0"), df, k=20).collect()
+    scores = x[::20] @ x.T
+    scores[np.arange(100), np.arange(0, 2000, 20)] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :20]
+    assert len({(r.query_id, r.id) for r in got} & {(20 * q, int(i)) for q, row in enumerate(best) for i in row}) >= 0.9 * 2000
+
+
 def test_unusable_rows(spark):
     good = [(i, [1.0, float(i), 0.5]) for i in range(8)]
     bad = [(20, None), (40, []), (60, [0.0, 0.0, 0.0]), (80, [1.0, None, 2.0]), (100, [float("nan"), 1.0, 1.0]), (120, [float("inf"), 1.0, 1.0]),
