@@ -5,7 +5,8 @@ under the nearest signed axis. A query looks into the buckets of its nearest axe
 is scored exactly, and the best of all tables are ranked. Rows are filed once per table, so the index holds every row.
 
 Scale: buckets are dealt to tasks by a hash, and a bucket with many rows is split (its queries go to every part). A task
-returns the k best of each query it saw, never pairs.
+returns the k best of each query it saw, never pairs. Queries that met fewer than k rows then visit all buckets of the first
+table, which holds every row once, so they are exact.
 
 Rows are filed by direction, within ranges of their norm (powers of two), and every query looks into every range. In the ranges
 above the fullest one a row needs a smaller angle less, so there a query also visits each axis whose coordinate times the
@@ -14,11 +15,15 @@ range's factor reaches the last axis it probes in the fullest range.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitewarden.llm.common import staged
+
 TABLES, PROBES, SEED = 8, 16, 7
 #: Rows of a bucket that one task holds, and numbers of a score matrix.
 BUCKET_ROWS, CELLS = 20_000, 2_000_000
@@ -139,6 +144,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "v
            tables: int = TABLES, probes: int = PROBES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``query_id, rank, id, score``: the ``k`` best rows found for each query, by inner product, ties to the smaller id.
 
+    Each query gets ``k`` rows, or all there are if they are fewer.
+
     Vectors that are null, zero or hold a null or non-finite component take no part, on either side, nor do rows without
     id or with another length than most usable vectors have. A row with the query's id is its own and never its
     neighbour; rows that repeat an id count once, with their best score. Empty tables give no rows.
@@ -156,16 +163,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "v
     fullest = max(bands, key=lambda b: (bands[b], b))
     shards = max(LEAST_SHARDS, -(-sum(bands.values()) * tables // SHARD_ROWS))
 
-    filed = _filed(base, tables)
-    # At most tables x 2 x padded dimension rows for each range of norms, whatever the number of vectors: safe to broadcast.
-    parts = filed.groupBy("cell", "band").agg(F.ceil(F.count(F.lit(1)) / bucket_rows).cast("int").alias("parts"))
-    parts = parts.toDF("p_cell", "p_band", "parts")
     shard = F.pmod(F.xxhash64("cell", "band", "part"), F.lit(shards)).cast("int").alias("shard")
-    rows = filed.join(F.broadcast(parts), (F.col("cell") == F.col("p_cell")) & (F.col("band") == F.col("p_band"))).select(
-        "id", "vector", "cell", "band", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")).select("*", shard)
-    meets = (F.col("cell") == F.col("p_cell")) & (F.col("p_band") - fullest >= F.col("least"))
-    probed = _probed(asked, probes, tables, max(bands) - fullest).join(F.broadcast(parts), meets).select(
-        "id", "vector", "cell", F.col("p_band").alias("band"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("*", shard)
 
     def rank(found: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
@@ -201,7 +199,26 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "v
         keep = best_pairs(query, row, score, k)
         return pd.DataFrame({"query_id": query[keep], "id": row[keep], "score": score[keep]})
 
-    met = rows.groupBy("shard").cogroup(probed.groupBy("shard")).applyInPandas(rank, "query_id long, id long, score double")
-    once = met.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    def ranked(filed: DataFrame, visits: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        # At most tables x 2 x padded dimension rows for each range of norms, whatever the number of vectors: safe to broadcast.
+        parts = filed.groupBy("cell", "band").agg(F.ceil(F.count(F.lit(1)) / bucket_rows).cast("int").alias("parts"))
+        parts = parts.toDF("p_cell", "p_band", "parts")
+        here = (F.col("cell") == F.col("p_cell")) & (F.col("band") == F.col("p_band"))
+        rows = filed.join(F.broadcast(parts), here).select(
+            "id", "vector", "cell", "band", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")).select("*", shard)
+        probed = visits(F.broadcast(parts)).select(
+            "id", "vector", F.col("p_cell").alias("cell"), F.col("p_band").alias("band"),
+            F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("*", shard)
+        met = rows.groupBy("shard").cogroup(probed.groupBy("shard")).applyInPandas(rank, "query_id long, id long, score double")
+        once = met.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+    meets = (F.col("cell") == F.col("p_cell")) & (F.col("p_band") - fullest >= F.col("least"))
+    top = staged(ranked(_filed(base, tables), lambda parts: _probed(asked, probes, tables, max(bands) - fullest).join(parts, meets)))
+    full = top.where(F.col("rank") == k).select("query_id")
+    short = staged(asked.join(full, F.col("id") == F.col("query_id"), "left_anti"))
+    if short.isEmpty():
+        return top
+    rest = ranked(_filed(base, 1), lambda parts: short.crossJoin(parts))
+    return top.join(full, "query_id", "left_semi").select(top.columns).unionByName(rest)

@@ -65,6 +65,18 @@ def test_recall_with_uneven_norms(spark, norms):
     assert len({(r.query_id, r.id) for r in got} & {(20 * q, int(i)) for q, row in enumerate(best) for i in row}) >= 0.9 * 2000
 
 
+@pytest.mark.parametrize("count", [10, 15, 21])
+def test_few_rows_are_all_found(spark, count):
+    x = np.random.default_rng(count).normal(size=(count, 64)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)
+    got = C.search(df.where("vec_id % 20 = 0"), df).collect()
+    for q, best in brute(rows, rows[::20], 20).items():
+        mine = sorted((r["rank"], r.id, -r.score) for r in got if r.query_id == q)
+        assert [m[0] for m in mine] == list(range(1, min(20, count - 1) + 1))
+        assert [(s, i) for _, i, s in mine] == best
+
+
 def test_unusable_rows(spark):
     good = [(i, [1.0, float(i), 0.5]) for i in range(8)]
     bad = [(20, None), (40, []), (60, [0.0, 0.0, 0.0]), (80, [1.0, None, 2.0]), (100, [float("nan"), 1.0, 1.0]), (120, [float("inf"), 1.0, 1.0]),
