@@ -45,6 +45,27 @@ def test_held_out_labels(spark, monkeypatch):
     assert len(got) == docs.count()
 
 
+def test_bound_of_labelled_rows(spark, monkeypatch):
+    docs = spark.range(6500).selectExpr("id as doc_id", "concat('word', id % 7) as text")
+    labels = spark.range(6500).selectExpr("id as doc_id", "int(id % 7 = 0) as toxic")
+    seen = []
+    monkeypatch.setattr(T, "fit_chain", lambda columns, *rest: seen.append(len(columns)))
+    T.fit(docs, labels, ["toxic"])
+    T.fit(docs, labels, ["toxic"], rows=500)
+    assert seen == [6000, 500]
+
+
+def test_held_out_labels_of_a_bounded_sample(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    marks = labels.selectExpr("doc_id", "1 - quality as low_quality", "toxic").where("doc_id % 3 <> 0")
+    chain = T.fit(docs, marks, ["low_quality", "toxic"], rows=2000)
+    got = {r.doc_id: r for r in T.predict(docs, chain, ["low_quality", "toxic"]).collect()}
+    truth = [r for r in pq.read_table(f"{FOLDER}/labels.parquet").to_pylist() if r["doc_id"] % 3 == 0]
+    toxic = np.array([r["toxic"] for r in truth]) == 1
+    found = np.array([got[r["doc_id"]].p_toxic >= 0.5 for r in truth])
+    assert found[toxic].mean() > 0.85 and found[~toxic].mean() < 0.01
+
+
 def test_odd_rows(spark):
     rows = [(i, "you vile moron here" if i % 2 else "a fine kind day", 0.0) for i in range(40)] + [(50, None, 1.0), (51, "", 1.0), (None, "moron", 1.0), (3, "you vile moron here", 0.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, p_toxic double")
