@@ -1,11 +1,12 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame expressions only.
 
 Candidates are found row by row with regular expressions. The values' hashes are then counted over the whole corpus by
-distinct repository and owner: a value that many owners share is a widely copied example, a value of few owners
+distinct owner, repository and document: a value that many of either share is a widely copied example, a value of few
 looks live. Long mixed tokens without any keyword are reported only when that count finds them specific to an owner.
 
-Scale: one pass over the texts writes the spans of each row (the text itself is never shuffled); counts are pre-aggregated
-per (value, owner, repository) before the shuffle, so a value in a third of all rows sends a few rows per task.
+Scale: one pass over the texts writes the spans of each row (the text itself is never shuffled). Counts of
+distinct owners and repositories are pre-aggregated before the shuffle; documents are dealt by value and document, so a value in
+a third of all rows is counted by all tasks.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ KINDS = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24
 OWNED = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 MIXED = "(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}+"
 
-MAX_OWNERS = 2
+#: A value of more owners, places (owner and repository) or documents is a widely copied example.
+MAX_OWNERS, MAX_REPOSITORIES, MAX_DOCUMENTS = 2, 4, 20
 
 _SPAN = "struct<start:long,rank:int,end:long,kind:string,hash:binary>"
 _NONE = f"cast(array() as array<{_SPAN}>)"
@@ -58,7 +60,7 @@ def _spans(text: str, kind: str, rank: int, pattern: str, group: int, least: int
 def candidates(docs: DataFrame, id_col: str, text_col: str, owner: Column, repository: Column) -> DataFrame:
     """Per row: key, id, owner, repository, base spans, and token-like runs that touch no base span."""
     rows = docs.select(
-        F.col(id_col).alias("id"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"),
+        F.col(id_col).alias("id"), owner.cast("string").alias("owner"),
         F.coalesce(repository.cast("string"), F.lit("")).alias("repository"), whole_text(text_col).alias("text"),
     )
     found = rows.select(
@@ -80,30 +82,31 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner: Column, repos
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Per candidate hash: distinct owners, distinct repositories, occurrences."""
-    each = found.select("owner", "repository", F.explode(F.concat("base", "owned")).alias("s"))
-    per_place = each.groupBy(F.col("s.hash").alias("hash"), "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
-    per_owner = per_place.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("n").alias("n"))
-    return per_owner.groupBy("hash").agg(
-        F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("occurrences")
+    """Per candidate hash: distinct known owners, distinct places (owner and repository), distinct documents, occurrences."""
+    each = found.select("key", "owner", F.struct("owner", "repository").alias("place"), F.explode(F.concat("base", "owned")).alias("s"))
+    return each.groupBy(F.col("s.hash").alias("hash")).agg(
+        F.count_distinct("owner").alias("owners"), F.count_distinct("place").alias("repositories"),
+        F.count_distinct("key").alias("documents"), F.count(F.lit(1)).alias("occurrences"),
     )
 
 
 def scan_secrets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None,
-    repository: Column | None = None, max_owners: int = MAX_OWNERS,
+    repository: Column | None = None, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES,
+    max_documents: int = MAX_DOCUMENTS,
 ) -> DataFrame:
     """Per row of ``docs``: ``id``, ``key`` (of id and text), ``base`` spans, and ``all`` spans with each value's ``live`` mark.
 
     ``owner`` names who a row belongs to, ``repository`` the place below it (default: the columns ``source`` and, within it,
-    ``lang``); null is a place of its own. A value of at most ``max_owners`` distinct owners looks live; of more, it is a widely
-    copied example. ``all`` holds the base spans and the live-looking runs without keyword, by start, then kind.
+    ``lang``). A value of at most ``max_owners`` owners, ``max_repositories`` places and ``max_documents`` documents looks live; of
+    more of any, it is a widely copied example. A null owner is unknown: it counts as no owner, its places and documents count. ``all`` holds the base spans and the live-looking runs without keyword, by start, then kind.
     Null text is empty; rows that repeat id and text get the same spans; an empty table gives no rows.
     """
     owner = F.col("source") if owner is None else owner
     repository = F.col("lang") if repository is None else repository
     found = staged(candidates(docs, id_col, text_col, owner, repository))
-    live = ownership(found).select("hash", (F.col("owners") <= max_owners).alias("live"))
+    few = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories) & (F.col("documents") <= max_documents)
+    live = ownership(found).select("hash", few.alias("live"))
     each = found.select("key", F.explode(F.concat("base", "owned")).alias("s"))
     judged = (
         each.join(live, F.col("s.hash") == F.col("hash"))

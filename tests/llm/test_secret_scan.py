@@ -63,6 +63,17 @@ def test_ownership_separates_examples(spark):
     assert masked[9] == f"my [SECRET] and token={shared}" and masked[0] == rows[0][1]
 
 
+@pytest.mark.parametrize("source", ["hot", None])
+def test_value_in_many_documents_of_one_source(spark, source):
+    shared, lone = "Qq7" + "Example0" * 3, "Zx9" + "aB3d" * 6
+    rows = [(i, f"{i} token={shared}", source, "en") for i in range(3000)] + [(5000, f"my {lone}", source, "en")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    masked = {r.doc_id: r.text for r in secret_scan.mask_secrets(docs).collect()}
+    assert all(masked[i] == rows[i][1] for i in range(3000)) and masked[5000] == "my [SECRET]"
+    spread = spark.createDataFrame([(i, f"key {shared}", "one", f"l{i}") for i in range(6)], docs.schema)
+    assert all(not r["all"] for r in secret_scan.scan_secrets(spread).collect())
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string, lang string")
     assert secret_scan.scan_secrets(docs).collect() == [] and secret_scan.mask_secrets(docs).collect() == []
