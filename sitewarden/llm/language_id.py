@@ -27,19 +27,28 @@ SYMBOLS = 64
 RIDGE = 1e-3
 SHARPNESS = 4.0
 UNKNOWN = "und"
-_TABLE = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
+_EXACT = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
+#: Places for n-grams with a character outside the alphabet, found by a hash of the characters.
+_HASH_BITS = 17
+_TABLE = _EXACT + (1 << _HASH_BITS)
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _BLOCK = 1 << 18
 _BATCH = 64
 
 
 class Presence:
-    """Which n-grams a text holds, over an alphabet of the most frequent characters; all others are one symbol."""
+    """Which n-grams a text holds: those of the alphabet (the most frequent characters) have a place each, all others share
+    hashed places.
+    """
 
     def __init__(self, alphabet: list[int]):
         self.lookup = np.zeros(max(alphabet, default=0) + 2, np.int32)
         for symbol, point in enumerate(alphabet, 1):
             self.lookup[point] = symbol
         self.table = np.zeros(_TABLE, bool)
+        one, s = np.arange(SYMBOLS) == 0, SYMBOLS
+        two = one[:, None] | one
+        self.other = np.flatnonzero(np.concatenate([one, two.ravel(), (two[:, :, None] | one).ravel(), np.zeros(_TABLE - s - s**2 - s**3, bool)]))
 
     def of(self, text: str) -> np.ndarray:
         """The table of n-grams; valid until the next call."""
@@ -47,11 +56,24 @@ class Presence:
         points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
         for k in range(0, len(points), _BLOCK):  # blocks overlap by two characters
             a = self.lookup[np.minimum(points[k : k + _BLOCK + 2], len(self.lookup) - 1)]
-            self.table[a] = True
+            self.table[a] = True  # symbol 0 is any other character; what holds it is cleared at the end
             self.table[SYMBOLS + SYMBOLS * a[:-1] + a[1:]] = True
             self.table[SYMBOLS + SYMBOLS**2 + SYMBOLS * (SYMBOLS * a[:-2] + a[1:-1]) + a[2:]] = True
+            if not a.all():
+                self._hashed(points[k : k + _BLOCK + 2].astype(np.uint64), a == 0)
+        self.table[self.other] = False
         return self.table
 
+    def _hashed(self, p: np.ndarray, other: np.ndarray) -> None:
+        for n in (1, 2, 3):
+            m = max(0, len(p) - n + 1)
+            at = np.flatnonzero(np.logical_or.reduce([other[i : i + m] for i in range(n)]))
+            h = np.full(len(at), n, np.uint64)
+            for i in range(n):
+                h = (h ^ p[at + i]) * _MIX[i]
+                h ^= h >> np.uint64(29)
+            self.table[_EXACT + (h * _MIX[0] >> np.uint64(64 - _HASH_BITS)).astype(np.int64)] = True
+
 
 @dataclass
 class LanguageModel:

@@ -58,6 +58,19 @@ def test_odd_texts(spark):
     assert L.predict(df.where("false"), model).collect() == []
 
 
+def test_scripts_outside_the_alphabet(spark):
+    rng = np.random.default_rng(3)
+    kinds = {"en": range(97, 123), "fr": range(0xDF, 0x100), "cs": range(0x101, 0x137, 2), "vi": range(0x1EA0, 0x1EF0), "ko": range(0xAC00, 0xAC60), "th": range(0x0E01, 0x0E30)}
+    docs = []
+    for lang, points in kinds.items():
+        words = ["".join(chr(points[j]) for j in rng.integers(0, len(points), 4)) for _ in range(40)]
+        docs += [(lang, " ".join(rng.choice(words, 30 if lang in ("en", "fr", "cs") else 6))) for _ in range(40)]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(docs)], "doc_id long, text string, lang string")
+    model = L.fit(df.where("doc_id % 4 <> 2"))
+    got = {r.doc_id: r.lang_pred for r in L.predict(df, model).collect()}
+    assert np.mean([got[i] == docs[i][0] for i in range(2, len(docs), 4)]) > 0.9
+
+
 def test_blocks(monkeypatch):
     text = "".join(chr(97 + i * i % 23) for i in range(1000))
     presence = L.Presence(list(range(97, 120)))
