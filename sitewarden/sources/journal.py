@@ -115,7 +115,7 @@ def read_journal(spark: SparkSession, path: str, fmt: str = "parquet", delimiter
 def _csv_cells(line: Column, delimiter: str) -> Column:
     """As many cells as the line has; quotes may hold delimiters, doubled quotes are one, an empty cell is null."""
     d = re.escape(delimiter)
-    found = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(f'{d}("(?:[^"]|"")*"|[^{d}]*)'), F.lit(1))
+    found = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(f'{d}("[^"]*+(?:""[^"]*+)*+"|[^{d}]*)'), F.lit(1))
     inner = lambda c: F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
     return F.transform(found, lambda c: F.when(c.startswith('"') & c.endswith('"') & (F.length(c) > 1), inner(c)).when(c != "", c))
 

@@ -258,3 +258,11 @@ def test_arrivals_are_imported_once(spark, tmp_path):
     totals = {r["batch"]: r for r in read("report") if r["file"] is None}
     assert (totals[0]["created"], totals[0]["n_errors"], totals[0]["failed_files"], totals[0]["adopted_acts"]) == (2, 1, 1, 1)
     assert (totals[1]["created"], totals[1]["updated"]) == (1, 1)
+
+
+def test_long_quoted_csv_cell(spark, tmp_path):
+    from sitewarden.sources import journal as j
+
+    line = 'a;"' + 'x;' * 100_000 + '""y";"";b'
+    cells = spark.createDataFrame([(line,)], "line string").select(j._csv_cells(F.col("line"), ";").alias("c")).first().c
+    assert cells == ["a", "x;" * 100_000 + '"y', "", "b"]
