@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from sitewarden.llm import (
     byte_bpe,
+    collocations,
     cross_polytope,
+    decontamination,
     exact_dedup,
     language_id,
+    lexical_search,
     packing,
     secret_scan,
     simhash_dedup,
@@ -122,3 +125,76 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op13_decontaminate", rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+     i AS (SELECT item_id, regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM benchmark),
+     sized AS (SELECT item_id, w, least(len(w), 10) AS m FROM i WHERE len(w) > 0),
+     starts AS (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM sized),
+     windows AS (SELECT DISTINCT item_id, m, array_to_string(w[p : p + m - 1], ' ') AS g FROM starts),
+     lengths AS (SELECT DISTINCT m FROM windows),
+     places AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, lengths WHERE len(w) >= m),
+     grams AS (SELECT doc_id, m, p, array_to_string(w[p : p + m - 1], ' ') AS g FROM places),
+     hits AS (SELECT doc_id, p, m, item_id FROM grams JOIN windows USING (m, g)),
+     words AS (SELECT DISTINCT doc_id, unnest(range(p, p + m)) AS at FROM hits),
+     n AS (SELECT doc_id, count(*) AS n_hit FROM words GROUP BY doc_id),
+     of_doc AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+                       string_agg(DISTINCT item_id::varchar, ',' ORDER BY item_id::varchar) AS ids FROM hits GROUP BY doc_id)
+SELECT d.doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN of_doc USING (doc_id)
+""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
+    ids = F.array_sort(F.col("items").cast("array<string>"))
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+@query("op11_collocations", rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+     split AS (SELECT lang, [x FOR x IN string_split_regex(piece, '[ \t]+') IF x <> ''] AS w FROM pieces),
+     totals AS (SELECT lang, sum(len(w))::bigint AS n FROM split GROUP BY lang),
+     starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+     grams AS (SELECT lang, w[i : i + k - 1] AS g FROM starts, range(1, 6) AS ks(k) WHERE i + k - 1 <= len(w)),
+     f AS (SELECT lang, g, count(*) AS f FROM grams GROUP BY lang, g HAVING count(*) >= 100),
+     parts AS (SELECT lang, f, g[2 :] AS inner_g FROM f WHERE len(g) > 2 UNION ALL SELECT lang, f, g[: len(g) - 1] FROM f WHERE len(g) > 2),
+     longer AS (SELECT lang, inner_g, max(f) AS f FROM parts GROUP BY ALL),
+     kept AS (SELECT f.lang, f.g, f.f AS a FROM f LEFT JOIN longer ON f.lang = longer.lang AND f.g = inner_g
+              WHERE len(f.g) > 1 AND (longer.f IS NULL OR longer.f < f.f)),
+     cuts AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM kept),
+     scored AS (SELECT c.lang, c.g, c.a, k, x.f AS l, y.f AS r, n, (1000::hugeint * c.a * n) // (x.f::hugeint * y.f) AS score
+                FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = c.g[: k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1 :]
+                JOIN totals t ON t.lang = c.lang),
+     best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+     named AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score::bigint AS score FROM best)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM named QUALIFY rank <= 2000
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    phrases, _ = collocations.mine(table(spark, folder, "documents"))
+    best = collocations.ranked(phrases)
+    return best.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+@query("op12_lexical", rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+     sized AS (SELECT doc_id, w, len(w)::bigint AS n FROM d WHERE len(w) > 0),
+     total AS (SELECT count(*) AS nn, sum(n)::bigint AS ll FROM sized),
+     item AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS t FROM benchmark),
+     words AS (SELECT doc_id, n, unnest(w) AS t FROM sized),
+     tf AS (SELECT doc_id, n, t, count(*) AS tf FROM words WHERE t IN (SELECT t FROM item) GROUP BY ALL),
+     weight AS (SELECT t, floor(1000 * ln((2 * nn + 2)::double / (2 * count(*) + 1)::double))::bigint AS w FROM tf, total GROUP BY t, nn),
+     part AS (SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * nn) // ll)))) AS c FROM tf JOIN weight USING (t), total),
+     scored AS (SELECT item_id, doc_id, sum(c)::bigint AS score FROM item JOIN part USING (t) GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::integer AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
