@@ -164,9 +164,9 @@ def text_chunks(t: Tables) -> DataFrame:
 
 
 def norm_chunks(t: Tables) -> DataFrame:
-    """Chunks with text and vector under one id: documents with the embedding of the same number."""
+    """Chunks with text and vector under one id: documents with the embedding of the same number, if there is one."""
     vectors = t.embeddings.select(F.col("vec_id").alias("row_id"), "embedding")
-    return text_chunks(t).join(vectors, "row_id")
+    return text_chunks(t).join(vectors, "row_id", "left")
 
 
 def norm_allowed(t: Tables) -> DataFrame:
@@ -243,7 +243,7 @@ WHERE n >= (SELECT sum(n) / count(*) FROM (SELECT count(*) AS n FROM embeddings
 UNION ALL SELECT concat('N', CAST(n_nationkey AS VARCHAR)), concat('R', CAST(n_regionkey AS VARCHAR), '.N', CAST(n_nationkey AS VARCHAR)), 1 FROM nation
 UNION ALL SELECT concat('C', CAST(c_custkey AS VARCHAR)), concat('R', CAST(n_regionkey AS VARCHAR), '.N', CAST(n_nationkey AS VARCHAR), '.C', CAST(c_custkey AS VARCHAR)), 2 FROM customer JOIN nation ON c_nationkey = n_nationkey""",
 }
-NORM_CHUNKS_SQL = "SELECT d.doc_id AS row_id, d.source AS doc_id, d.lang, d.text AS chunk, CAST(e.embedding AS DOUBLE[]) AS embedding FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id"
+NORM_CHUNKS_SQL = "SELECT d.doc_id AS row_id, d.source AS doc_id, d.lang, d.text AS chunk, CAST(e.embedding AS DOUBLE[]) AS embedding FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id"
 NORM_ALLOWED_SQL = """SELECT doc_id FROM (SELECT doc_id, count(*) AS n FROM norm_chunks GROUP BY 1) p
 WHERE n >= (SELECT sum(n) / count(*) FROM (SELECT count(*) AS n FROM norm_chunks GROUP BY doc_id) q)"""
 _NEEDS = {"incidents": ("located",), "acts": ("located",)}

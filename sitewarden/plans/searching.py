@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sitewarden.functions import stemming
+from sitewarden.operators import postings, tags, vector_index
 from sitewarden.operators import retrieval as r
-from sitewarden.operators import tags
 from sitewarden.plans import roles
 from sitewarden.plans.registry import query
+from sitewarden.session import scratch_folder
 from sitewarden.sources import tables
 
 _COSINE = """SELECT q.query_id, c.row_id, round(list_dot_product(c.embedding, q.embedding)
@@ -56,6 +58,22 @@ def vector_section(t):
     return _shown(r.vector_search_section(sections, roles.queries(t), "3"))
 
 
+@query(
+    "vector_section_indexed",
+    roles.sql(
+        _TOP.format(where="", k=10),
+        "chunks",
+        "queries",
+        pairs=_COSINE.format(chunks="(SELECT * FROM chunks WHERE doc_id = '3')"),
+    ),
+)
+def vector_section_indexed(t):
+    """The same from a stored inverted-file index, which is exact without a limit on probes."""
+    sections = roles.chunks(t).withColumnRenamed("doc_id", "section_type")
+    index = vector_index.build_index(sections, scratch_folder(t.spark, "vectors"))
+    return _shown(vector_index.search_index(index, roles.queries(t), 10, "3")[0])
+
+
 # Every vector of the table is a query.
 @query(
     "vector_search_grid",
@@ -117,6 +135,100 @@ def keyword_and(t):
     return _shown(r.keyword_and(roles.text_chunks(t), roles.text_queries(t), 10))
 
 
+def _index(t, config=stemming.SIMPLE, stop=None):
+    """A stored index of the texts, as a store would keep it beside them."""
+    return postings.build_index(roles.text_chunks(t), scratch_folder(t.spark, "index"), config, stop)
+
+
+@query(
+    "keyword_or_indexed",
+    roles.sql(
+        _TOP.format(where="", k=3),
+        "text_chunks",
+        "text_queries",
+        tokens=_TOKENS,
+        terms=_OR_TERMS,
+        counts="SELECT row_id, term, count(*) AS tf FROM tokens GROUP BY 1, 2",
+        pairs="SELECT query_id, row_id, round(sum(tf)::DOUBLE * 0.1::DOUBLE, 6) AS score FROM counts JOIN terms USING (term) GROUP BY 1, 2",
+    ),
+)
+def keyword_or_indexed(t):
+    return _shown(postings.search_any(_index(t), roles.text_queries(t), 3)[0])
+
+
+@query("keyword_and_indexed", roles.sql(_TOP.format(where="", k=10), "text_chunks", "text_queries", **_KEYWORD_AND))
+def keyword_and_indexed(t):
+    return _shown(postings.search_all(_index(t), roles.text_queries(t), 10)[0])
+
+
+_STOP = ("the", "of", "and")
+
+
+def _english_stems(words: str) -> dict[str, str]:
+    """The English stemmer as a chain of views over the distinct words of a view; the last is ``stems`` (word, term)."""
+    vowel, consonant = "[aeiouy]", "[^aeiouy]"
+    short = f"({consonant}{vowel}[^aeiouywxY]|^{vowel}{consonant})$"
+    listed = lambda text: ", ".join(f"'{w}'" for w in text.split())
+    pairs = lambda rules: [r.split(":") for r in rules.split()]
+    after = lambda start: f"length(regexp_extract(substr(w, {start} + 1), '^.*?{vowel}{consonant}'))"
+    keep = "word, p1, p2"
+    rest = "left(w, length(w) - length(e))"
+
+    def ending(source: str, endings) -> str:
+        return f"(SELECT *, {rest} AS rest FROM (SELECT *, regexp_extract(w, '({'|'.join(endings)})$', 1) AS e FROM {source}) x)"
+
+    def replaced(source: str, rules, condition: str) -> str:
+        value = "CASE e " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in rules) + " END"
+        return f"SELECT {keep}, CASE WHEN e <> '' AND {condition} THEN rest || {value} ELSE w END AS w FROM {ending(source, [a for a, _ in rules])} y"
+
+    prefix = f"length(regexp_extract(w, '^({'|'.join(stemming.EN_R1_PREFIX.split())})'))"
+    whole = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in pairs(stemming.EN_WHOLE))
+    held = listed(stemming.EN_AFTER_1A)
+    return {
+        "st_y": f"SELECT word, regexp_replace(regexp_replace(word, '^y', 'Y'), '({vowel})y', '\\1Y', 'g') AS w FROM (SELECT DISTINCT term AS word FROM {words}) d",
+        "st_p1": f"SELECT *, CASE WHEN {prefix} > 0 THEN {prefix} WHEN {after(0)} = 0 THEN length(w) ELSE {after(0)} END AS p1 FROM st_y",
+        "st_p2": f"SELECT {keep[:-4]}, CASE WHEN {after('p1')} = 0 THEN length(w) ELSE p1 + {after('p1')} END AS p2, w FROM st_p1",
+        "st_1a": f"""SELECT {keep}, CASE WHEN e = 'sses' THEN rest || 'ss' WHEN e IN ('ied', 'ies') THEN rest || CASE WHEN length(w) > 4 THEN 'i' ELSE 'ie' END
+WHEN e = 's' AND regexp_matches(w, '{vowel}.+s$') THEN rest ELSE w END AS w FROM {ending('st_p2', ['sses', 'ied', 'ies', 'us', 'ss', 's'])} y""",
+        "st_cut": f"""SELECT {keep}, w, rest, e IN ('eed', 'eedly') AND length(rest) >= p1 AS doubled,
+e IN ('ed', 'edly', 'ing', 'ingly') AND regexp_matches(rest, '{vowel}') AS cut FROM {ending('st_1a', ['eedly', 'eed', 'ingly', 'edly', 'ing', 'ed'])} y""",
+        "st_1b": f"""SELECT {keep}, CASE WHEN w IN ({held}) THEN w WHEN doubled THEN rest || 'ee' WHEN NOT cut THEN w WHEN regexp_matches(rest, '(at|bl|iz)$') THEN rest || 'e'
+WHEN regexp_matches(rest, '({'|'.join(stemming.EN_DOUBLES.split())})$') THEN left(rest, length(rest) - 1)
+WHEN regexp_matches(rest, '{short}') AND length(rest) <= p1 THEN rest || 'e' ELSE rest END AS w FROM st_cut""",
+        "st_1c": f"SELECT {keep}, CASE WHEN regexp_matches(w, '^.+{consonant}[yY]$') THEN left(w, length(w) - 1) || 'i' ELSE w END AS w FROM st_1b",
+        "st_2": replaced("st_1c", pairs(stemming.EN_STEP_2),
+                         "length(rest) >= p1 AND (e <> 'li' OR regexp_matches(rest, '[cdeghkmnrt]$')) AND (e <> 'ogi' OR rest LIKE '%l')"),
+        "st_3": replaced("st_2", pairs(stemming.EN_STEP_3), "length(rest) >= CASE WHEN e = 'ative' THEN p2 ELSE p1 END"),
+        "st_4": replaced("st_3", [(e, "") for e in stemming.EN_STEP_4.split()], "length(rest) >= p2 AND (e <> 'ion' OR regexp_matches(rest, '[st]$'))"),
+        "st_5": f"""SELECT {keep}, CASE WHEN w LIKE '%e' AND (length(w) > p2 OR (length(w) > p1 AND NOT regexp_matches(left(w, length(w) - 1), '{short}')))
+THEN left(w, length(w) - 1) WHEN w LIKE '%ll' AND length(w) > p2 THEN left(w, length(w) - 1) ELSE w END AS w FROM st_4""",
+        "stems": f"""SELECT word, CASE WHEN NOT regexp_matches(word, '^[a-z]+$') OR length(word) <= 2 THEN word ELSE CASE word {whole}
+ELSE CASE WHEN word IN ({held}) THEN word ELSE replace(w, 'Y', 'y') END END END AS term FROM st_5 WHERE word NOT IN ({listed(' '.join(_STOP))})""",
+    }
+
+
+@query(
+    "keyword_and_stemmed",
+    roles.sql(
+        _TOP.format(where="", k=10),
+        "text_chunks",
+        "text_queries",
+        raw_tokens=_TOKENS,
+        raw_terms=_AND_TERMS,
+        all_words="SELECT term FROM raw_tokens UNION SELECT term FROM raw_terms",
+        **_english_stems("all_words"),
+        **{
+            **_KEYWORD_AND,
+            "tokens": "SELECT row_id, s.term, pos FROM raw_tokens t JOIN stems s ON t.term = s.word",
+            "terms": "SELECT DISTINCT query_id, s.term FROM raw_terms t JOIN stems s ON t.term = s.word",
+        },
+    ),
+)
+def keyword_and_stemmed(t):
+    """The search configuration with stems; the sample has no Russian words, so its words of plain letters get English ones."""
+    return _shown(postings.search_all(_index(t, stemming.RUSSIAN, _STOP), roles.text_queries(t), 10)[0])
+
+
 @query(
     "whitelist",
     roles.sql("SELECT doc_id FROM allowed", "allowed"),

@@ -62,12 +62,17 @@ def clean_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name in this application's part of the shared folder."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
     For results several branches of a plan need: the work is done once, later joins are planned from true sizes, and
     a lost executor costs a read, not a recomputation. ``clean_staged`` removes the copies.
     """
-    path = f"{run_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    path = scratch_folder(df.sparkSession, "staged")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
