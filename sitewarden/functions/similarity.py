@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,28 +12,147 @@ from pyspark.sql import types as T
 
 Similarity = Callable[[Column, Column], Column]
 
+#: Cells of one table of run lengths, and the length from which very common characters of the second text start no block.
+_CELLS, _LONG_TEXT = 1 << 20, 200
+
+
+class _Texts:
+    """Code points of texts one after another."""
+
+    def __init__(self, texts: list[str]):
+        self.codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass") + b"\0\0\0\0", np.int32)
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.begin = np.cumsum(self.sizes) - self.sizes
+
+    def window(self, which: np.ndarray, low: np.ndarray, high: np.ndarray, filler: int) -> np.ndarray:
+        """Rows ``text[low:high]``, filled up to the longest."""
+        at = np.arange(int((high - low).max()))
+        place = (self.begin[which] + low)[:, None] + at
+        return np.where(at < (high - low)[:, None], self.codes[np.minimum(place, len(self.codes) - 1)], filler)
+
+
+def _common(texts: _Texts) -> np.ndarray:
+    """Which characters are so common in a long text that no block starts from them."""
+    mark = np.zeros(len(texts.codes), bool)
+    for t in np.flatnonzero(texts.sizes >= _LONG_TEXT).tolist():
+        span = slice(texts.begin[t], texts.begin[t] + texts.sizes[t])
+        _, number, count = np.unique(texts.codes[span], return_inverse=True, return_counts=True)
+        mark[span] = count[number] > texts.sizes[t] // 100 + 1
+    return mark
+
+
+def _longest_blocks(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per row the longest run that both windows share, the first in the left one, then in the right one: begins and length."""
+    n, wide = right.shape
+    run, before = np.zeros((n, wide + 1), np.int32), np.zeros((n, wide + 1), np.int32)
+    best, at_left, at_right = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for i in range(left.shape[1]):
+        np.multiply(before[:, :-1] + 1, left[:, i : i + 1] == right, out=run[:, 1:])
+        longest = run.max(axis=1)
+        better = np.flatnonzero(longest > best)
+        if len(better):
+            j = run[better].argmax(axis=1)
+            best[better], at_left[better], at_right[better] = longest[better], i + 1, j
+        run, before = before, run
+    return at_left - best, at_right - best, best
+
+
+def ratcliff_ratios(left: list[str], right: list[str], needed: np.ndarray | None = None) -> np.ndarray:
+    """Twice the characters in common blocks over both lengths, for many pairs of texts at once.
+
+    The longest common block of a pair, then those to the left and to the right of it, and so on; every round treats the open
+    parts of all pairs together. Equals the standard library's ``SequenceMatcher(None, left, right).ratio()``, also in that
+    very common characters of a text of 200 or more start no block. A pair whose open parts cannot lift it to ``needed`` is
+    given up; its ratio is then some value below.
+    """
+    a, b = _Texts(left), _Texts(right)
+    total = a.sizes + b.sizes
+    matched = np.zeros(len(total), np.int64)
+    common = _common(b)
+    hidden = common.any()
+    pair = np.flatnonzero((a.sizes > 0) & (b.sizes > 0))
+    part = np.stack([pair, np.zeros_like(pair), a.sizes[pair], np.zeros_like(pair), b.sizes[pair]])  # pair, left from-to, right from-to
+    while part.shape[1]:
+        if needed is not None:
+            room = np.minimum(part[2] - part[1], part[4] - part[3])
+            most = 2 * (matched + np.bincount(part[0], room, len(total)))
+            part = part[:, (most >= needed * total - 1e-6)[part[0]]]
+            if not part.shape[1]:
+                break
+        part = part[:, np.argsort(np.maximum(part[2] - part[1], part[4] - part[3]), kind="stable")]
+        later, at = [], 0
+        while at < part.shape[1]:
+            # As many parts as fit the table when filled up to the longest of them.
+            sizes = (part[4] - part[3])[at:]
+            fits = np.flatnonzero(np.maximum.accumulate(sizes) * np.arange(1, len(sizes) + 1) <= _CELLS)
+            end = at + max(1, int(fits[-1]) + 1 if len(fits) else 1)
+            which, a0, a1, b0, b1 = now = part[:, at:end]
+            mine, other = a.window(which, a0, a1, -1), b.window(which, b0, b1, -2)
+            shown = other
+            if hidden:
+                place = np.minimum((b.begin[which] + b0)[:, None] + np.arange(other.shape[1]), len(common) - 1)
+                shown = np.where(common[place], -2, other)
+            i, j, size = _longest_blocks(mine, shown)
+            if hidden:
+                i, j, size = _widened(mine, other, i, j, size, a1 - a0, b1 - b0)
+            np.add.at(matched, which, size)
+            hit = size > 0
+            later.append(np.stack([which, a0, a0 + i, b0, b0 + j])[:, hit & (i > 0) & (j > 0)])
+            later.append(np.stack([which, a0 + i + size, a1, b0 + j + size, b1])[:, hit & (a0 + i + size < a1) & (b0 + j + size < b1)])
+            at = end
+        part = np.concatenate(later, axis=1)
+    return np.where(total > 0, 2.0 * matched / np.maximum(total, 1), 1.0)
+
+
+def _widened(left, right, i, j, size, left_size, right_size) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks grown to both sides by equal characters, common ones included."""
+    rows = np.arange(len(i))
+    for back in (True, False):
+        while True:
+            x, y = (i - 1, j - 1) if back else (i + size, j + size)
+            inside = (x >= 0) & (y >= 0) & (x < left_size) & (y < right_size)
+            grows = inside & (left[rows, np.clip(x, 0, left.shape[1] - 1)] == right[rows, np.clip(y, 0, right.shape[1] - 1)])
+            if not grows.any():
+                break
+            size = size + grows
+            if back:
+                i, j = i - grows, j - grows
+    return i, j, size
+
+
+def _scored(left: pd.Series, right: pd.Series, needed: pd.Series | None = None) -> pd.Series:
+    """Ratios of a batch; a pair of texts that repeats is compared once, for the least that any of its rows needs."""
+    rows = pd.DataFrame({"a": left, "b": right, "n": needed if needed is not None else 0.0})
+    known = rows.dropna(subset=["a", "b"])
+    pairs = known.groupby(["a", "b"], sort=False)["n"].min().reset_index()
+    if pairs.empty:
+        return pd.Series(np.full(len(rows), np.nan))
+    pairs["ratio"] = ratcliff_ratios(pairs["a"].tolist(), pairs["b"].tolist(), None if needed is None else pairs["n"].to_numpy(float))
+    return rows[["a", "b"]].merge(pairs, on=["a", "b"], how="left")["ratio"].astype("float64")
+
 
 @F.pandas_udf(T.DoubleType())
 def _ratcliff(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in batches:
-        # A matcher indexes its second text, so pairs with the same second text are scored one after another.
-        scores: dict[tuple[str, str], float] = {}
-        matcher = SequenceMatcher(None)
-        for pair in sorted({p for p in zip(left, right) if None not in p}, key=lambda p: p[1]):
-            if matcher.b != pair[1]:
-                matcher.set_seq2(pair[1])
-            matcher.set_seq1(pair[0])
-            scores[pair] = matcher.ratio()
-        yield pd.Series([scores.get(p, float("nan")) for p in zip(left, right)], dtype="float64")
+        yield _scored(left, right)
+
+
+@F.pandas_udf(T.DoubleType())
+def _ratcliff_needed(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for left, right, needed in batches:
+        yield _scored(left, right, needed)
+
 
+def ratcliff(a: Column, b: Column, needed: Column | None = None) -> Column:
+    """Ratio of two texts, argument order kept (it is not symmetric); undefined where one is null.
 
-def ratcliff(a: Column, b: Column) -> Column:
-    """``difflib`` ratio of two texts, argument order kept (it is not symmetric); undefined where one is null."""
-    return _ratcliff(a, b)
+    With ``needed``, a ratio below it may come out as any value below it.
+    """
+    return _ratcliff(a, b) if needed is None else _ratcliff_needed(a, b, needed)
 
 
-def levenshtein_ratio(a: Column, b: Column) -> Column:
-    """``1 - distance / longer length``; native, used where a SQL engine must agree."""
+def levenshtein_ratio(a: Column, b: Column, needed: Column | None = None) -> Column:
+    """``1 - distance / longer length``; native, used where a SQL engine must agree. ``needed`` plays no part."""
     longer = F.greatest(F.length(a), F.length(b))
     return F.when(longer == 0, F.lit(1.0)).otherwise(
         F.lit(1.0) - F.levenshtein(a, b).cast("double") / longer.cast("double")

@@ -300,7 +300,7 @@ def best_match(
     names = F.col("a_name"), F.col("i_name")
     near = asking.join(offered, ["inc_context", "salt"]).where((names[0] != names[1]) & (bound(*names) >= F.col("name_needed")))
     near = near.where(bag_bound(F.size(F.array_intersect("a_bag", "i_bag")), *names) >= F.col("name_needed")).drop("a_bag", "i_bag")
-    named = computed_once(near, {"s_name": ratio(F.col("a_name"), F.col("i_name"))})
+    named = computed_once(near, {"s_name": ratio(F.col("a_name"), F.col("i_name"), F.col("name_needed"))})
     similar = best_of(
         named.withColumn("score", total(F.col("s_name"))).where(
             (F.col("score") >= threshold) & (F.col("score") >= F.col("beaten"))

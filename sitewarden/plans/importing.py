@@ -8,6 +8,7 @@ from sitewarden import schemas as S
 from sitewarden.operators import upsert as u
 from sitewarden.plans import roles
 from sitewarden.plans.registry import query
+from sitewarden.session import scratch_folder
 from sitewarden.sources import acts as a
 from sitewarden.sources import journal as j
 from sitewarden.sources import manifest as mf
@@ -98,6 +99,42 @@ _JOURNAL = dict(raw=_sql_rows(), mapped=_MAPPED, judged=_JUDGED)
 _SHOW = ("row_no", "incident_time", "company", "classification", "region", "location", "victim_name", "injury_type", "description", "damage_amount_kzt", "investigation_status")
 
 
+_BROKEN_TEXT = "CASE WHEN k % 4 = 0 THEN '' ELSE concat('Order \"of\", ', chr(10), '\"', c_name, '\"') END"
+
+
+@query(
+    "journal_csv",
+    roles.sql(
+        f"SELECT file, {', '.join(_SHOW)}, CAST(incident_date AS VARCHAR) AS incident_date FROM judged WHERE failure IS NULL",
+        "located",
+        plain=_sql_rows(),
+        raw=f"SELECT * REPLACE (r.description2 AS description, 2 + row_number() OVER (PARTITION BY file ORDER BY row_no) AS row_no) FROM "
+        f"(SELECT p.*, {_BROKEN_TEXT} AS description2 FROM plain p JOIN located l ON l.k = p.row_no) r",
+        mapped=_MAPPED,
+        judged=_JUDGED,
+    ),
+)
+def journal_csv(t):
+    """The journals as CSV files with line breaks, quotes and delimiters in quoted cells, written and read back."""
+    folder = scratch_folder(t.spark, "journals")
+    cells = [*_CELLS]
+    broken = _numbered(t).selectExpr("c_nationkey AS nation", "k AS row_no", *[
+        f"{_BROKEN_TEXT if n == 'description' else e} AS {n}" for n, e in _cells("spark").items()])
+    data = broken.select("nation", "row_no", F.array(*cells).alias("cells"))
+    header = [j.HEADERS.get(n) or f"{j.PREFIX_HEADERS[n]}, тенге" for n in _CELLS]
+    header[0] = header[0].upper().replace(" ", " \n", 1)
+    head = t.nation.select(F.col("n_nationkey").alias("nation"), F.lit(-1).cast("long").alias("row_no"), F.array(*[F.lit(h) for h in header]).alias("cells"))
+    title = t.nation.select(F.col("n_nationkey").alias("nation"), F.lit(-2).cast("long").alias("row_no"), F.array(F.lit("Журнал происшествий")).alias("cells"))
+    quoted = F.transform("cells", lambda c: F.when(c.isNull(), F.lit("")).otherwise(F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))))
+    sheets = data.unionByName(head).unionByName(title).select("nation", "row_no", F.array_join(quoted, ",").alias("line"))
+    sheets.repartition("nation").sortWithinPartitions("nation", "row_no").select("nation", "line").write.partitionBy("nation").text(folder)
+    rows = j.read_journal(t.spark, f"{folder}/*", "csv")
+    good, _, _ = j.parse_journal(rows)
+    nation = F.regexp_extract("file", r"nation=(\d+)", 1).cast("long")
+    named = good.withColumn("nation", nation).drop("file").join(t.nation.select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("file")), "nation")
+    return named.select("file", *_SHOW, F.col("incident_date").cast("string").alias("incident_date")).withColumn("row_no", F.col("row_no").cast("long"))
+
+
 @query(
     "journal_map",
     roles.sql(

@@ -98,9 +98,45 @@ def match_score(t):
     return m.pair_scores(_own_pairs(t), _LEV).select("act_id", F.round("score", 6).alias("score"))
 
 
-@query("match_score_ratcliff")
+# Ratcliff/Obershelp in SQL: the longest common block (n * 1000 - begin is largest), then what lies left and right of it, summed over all rounds.
+_BLOCK = """list_max(flatten([[CASE WHEN contains(b, substr(a, i, n)) THEN n * 1000 - i ELSE 0 END FOR n IN range(1, length(a) - i + 2)]
+FOR i IN range(1, length(a) + 1)]))"""
+_RATCLIFF = f"""WITH RECURSIVE part AS (
+SELECT a AS a0, b AS b0, a, b, {_BLOCK} AS x FROM (SELECT DISTINCT a, b FROM texts WHERE a <> '' AND b <> '') d
+UNION ALL SELECT a0, b0, a, b, {_BLOCK} AS x FROM (
+SELECT a0, b0, CASE WHEN l THEN left(a, i - 1) ELSE substr(a, i + n) END AS a, CASE WHEN l THEN left(b, j - 1) ELSE substr(b, j + n) END AS b FROM (
+SELECT *, strpos(b, substr(a, i, n)) AS j FROM (SELECT *, n * 1000 - x AS i FROM (SELECT *, (x + 999) // 1000 AS n FROM part WHERE x > 0) p) q) r,
+(VALUES (true), (false)) AS side(l)) s WHERE a <> '' AND b <> '')
+SELECT a0 AS a, b0 AS b, 2.0::DOUBLE * sum((x + 999) // 1000) / (length(a0) + length(b0)) AS ratio FROM part GROUP BY a0, b0"""
+
+
+def _contained_in_pair(a: str, b: str, ratio: str) -> str:
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0.0::DOUBLE WHEN contains({a}, {b}) OR contains({b}, {a}) THEN 0.9::DOUBLE ELSE {ratio} END"
+
+
+_RATCLIFF_SCORES = f"""SELECT act_id, s_date, coalesce(n.ratio, 0.0::DOUBLE) AS s_name,
+greatest({_contained_in_pair('a_company', 'i_company', 'c.ratio')}, {_contained_in_pair('a_company', 'i_dzo', 'z.ratio')}) AS s_company,
+{_contained_in_pair('a_region', 'i_region', 'g.ratio')} AS s_region, s_injury
+FROM pairs JOIN (SELECT act_id, s_date, s_injury FROM scores) own USING (act_id)
+LEFT JOIN ratios n ON n.a = a_name AND n.b = i_name LEFT JOIN ratios c ON c.a = a_company AND c.b = i_company
+LEFT JOIN ratios z ON z.a = a_company AND z.b = i_dzo LEFT JOIN ratios g ON g.a = a_region AND g.b = i_region"""
+
+
+@query(
+    "match_score_ratcliff",
+    roles.sql(
+        f"SELECT act_id, round({_TOTAL}, 6) AS score FROM ratcliff_scores",
+        "incidents",
+        "acts",
+        **_OWN,
+        texts="""SELECT a_name AS a, i_name AS b FROM pairs UNION SELECT a_company, i_company FROM pairs
+UNION SELECT a_company, i_dzo FROM pairs UNION SELECT a_region, i_region FROM pairs""",
+        ratios=_RATCLIFF,
+        ratcliff_scores=_RATCLIFF_SCORES,
+    ),
+)
 def match_score_ratcliff(t):
-    """The default similarity; checked against its definition in the tests."""
+    """The default similarity."""
     return m.pair_scores(_own_pairs(t)).select("act_id", F.round("score", 6).alias("score"))
 
 

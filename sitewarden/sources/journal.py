@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +12,7 @@ from sitewarden import schemas as S
 from sitewarden.functions.frames import computed_once
 from sitewarden.functions.text import collapse, lookup, present, strip
 from sitewarden.operators.upsert import stable_id
+from sitewarden.sources.csvscan import csv_records
 
 RAW = T.StructType(
     [T.StructField("row_no", T.IntegerType()), T.StructField("cells", T.ArrayType(T.StringType()))]
@@ -92,32 +93,30 @@ NOT_IN_JOURNAL = (
 def read_journal(spark: SparkSession, path: str, fmt: str = "parquet", delimiter: str = ",") -> DataFrame:
     """Untyped rows of every journal under ``path``: ``file, row_no, cells``.
 
-    JSON lines and Parquet hold ``row_no`` and ``cells``. CSV files are read line by line, however large and however
-    wide: a line is numbered within its block of the file, and the lines of earlier blocks are added.
+    JSON lines and Parquet hold ``row_no`` and ``cells``. CSV files may be of any size and width, and quoted cells may hold line breaks
+    (see ``sources.csvscan``); a record is a row.
     """
     if fmt in ("json", "parquet"):
         rows = spark.read.schema(RAW).format(fmt).load(path)
         return rows.select(F.col("_metadata.file_path").alias("file"), "row_no", "cells")
     if fmt != "csv":
         raise ValueError(f"unsupported journal format {fmt!r}")
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.regexp_replace("value", "\r$", "").alias("line"), F.monotonically_increasing_id().alias("at"),
-    )
-    in_block = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
-    numbered = lines.withColumn("n", in_block)
-    before = F.coalesce(F.sum("lines").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("lines")).select("file", "block", before.alias("before"))
-    placed = numbered.where(F.col("line") != "").join(blocks, ["file", "block"])
-    return placed.select("file", (F.col("before") + F.col("n") - 1).cast("int").alias("row_no"), _csv_cells(F.col("line"), delimiter).alias("cells"))
+    records = csv_records(spark, path, delimiter)
+    return records.select("file", F.col("row_no").cast("int").alias("row_no"), _csv_cells(F.col("text"), delimiter).alias("cells"))
+
 
+def _csv_cells(record: Column, delimiter: str) -> Column:
+    """As many cells as the record has; quotes may hold delimiters and line breaks, doubled quotes are one, an empty cell is null.
 
-def _csv_cells(line: Column, delimiter: str) -> Column:
-    """As many cells as the line has; quotes may hold delimiters, doubled quotes are one, an empty cell is null."""
+    What follows a closing quote up to the delimiter belongs to the cell.
+    """
     d = re.escape(delimiter)
-    found = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(f'{d}("[^"]*+(?:""[^"]*+)*+"|[^{d}]*)'), F.lit(1))
+    quoted = '"[^"]*+(?:""[^"]*+)*+"'
+    found = F.regexp_extract_all(F.concat(F.lit(delimiter), record), F.lit(f"{d}({quoted}[^{d}]*|[^{d}]*)"), F.lit(1))
     inner = lambda c: F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
-    return F.transform(found, lambda c: F.when(c.startswith('"') & c.endswith('"') & (F.length(c) > 1), inner(c)).when(c != "", c))
+    mixed = lambda c: F.concat(inner(F.regexp_extract(c, f"^({quoted})", 1)), F.regexp_replace(c, f"^{quoted}", ""))
+    whole = lambda c: c.startswith('"') & c.rlike(f"^{quoted}\\z")
+    return F.transform(found, lambda c: F.when(whole(c), inner(c)).when(c.rlike(f"^{quoted}"), mixed(c)).when(c != "", c))
 
 
 # --- header ------------------------------------------------------------------------------------------------------------

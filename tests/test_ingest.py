@@ -1,7 +1,9 @@
 """Journal scan to quarantine, files, act records, store merges and arrivals."""
 
+import csv
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +113,48 @@ def test_csv_lines_keep_width_quotes_and_numbers(spark, tmp_path):
     assert rows["b.csv", 1] == ["two"]
 
 
+def _cells_of(spark, folder, block=None, delimiter=","):
+    if block:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        found = {}
+        for r in j.read_journal(spark, str(folder), "csv", delimiter).collect():
+            assert (r["file"][-5:], r["row_no"]) not in found
+            found[r["file"][-5:], r["row_no"]] = r["cells"]
+        return found
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("block", [None, 64, 700])
+def test_csv_line_breaks_in_quoted_cells(spark, tmp_path, block):
+    rng = random.Random(block or 1)
+    cells = ["plain", "two\nlines", 'say "hi"', "a,b", "\n\n", '"', "x\r\ny", 'end "\n', "long " * 40 + "\n" + "tail " * 30, "ü,\n\"ß\""]
+    for name in ("a.csv", "b.csv"):
+        rows = [[rng.choice(cells) for _ in range(rng.randint(1, 4))] for _ in range(120)]
+        with open(tmp_path / name, "w", newline="") as f:
+            csv.writer(f, lineterminator="\r\n" if name == "b.csv" else "\n").writerows(rows)
+        (tmp_path / name).with_suffix(".json").write_text(json.dumps(rows))
+    got = _cells_of(spark, tmp_path / "*.csv", block)
+    for name in ("a.csv", "b.csv"):
+        rows = json.loads((tmp_path / name).with_suffix(".json").read_text())
+        assert [got[name, i] for i in range(len(rows))] == rows
+    assert len(got) == 240
+
+
+@pytest.mark.parametrize("block", [None, 12])
+def test_csv_quotes_inside_cells_and_unclosed_cells(spark, tmp_path, block):
+    (tmp_path / "a.csv").write_text('5" pipe,"ok",2\nx,7"\n"q"z,"two\nlines"\nlast,1')
+    (tmp_path / "b.csv").write_text('one,"two\nthree"\n\nfour,"open\nfive,six\n"seven",8')
+    got = _cells_of(spark, tmp_path, block)
+    assert {k[1]: v for k, v in got.items() if k[0] == "a.csv"} == {0: ['5" pipe', "ok", "2"], 1: ["x", '7"'], 2: ["qz", "two\nlines"], 3: ["last", "1"]}
+    # The quote before seven closes the cell that the line with four opens; what follows belongs to the cell.
+    assert {k[1]: v for k, v in got.items() if k[0] == "b.csv"} == {0: ["one", "two\nthree"], 2: ["four", 'open\nfive,six\nseven"', "8"]}
+    (tmp_path / "c.csv").write_text('one,1\ntwo,"open\nthree,3\nfour,4')
+    got = _cells_of(spark, tmp_path / "c.csv", block)
+    assert [got["c.csv", i][0] for i in range(4)] == ["one", "two", "three", "four"]
+
+
 @pytest.mark.parametrize(
     "path, name",
     [

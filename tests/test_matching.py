@@ -4,6 +4,7 @@ import datetime
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +186,27 @@ def test_adoption_and_explicit_links(spark):
     moved, links = m.adopt(acts, incidents, relink_explicit=True)
     assert rows(moved)[2] == (9, S.LINK_AUTO) and links.count() == 2
     assert rows(m.link_on_upload(acts, incidents))[2] == (5, S.LINK_UNLINKED)
+
+
+def test_ratio_kernel_equals_its_definition():
+    rng = random.Random(11)
+    text = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    many = "".join(chr(c) for c in range(1000, 1150))
+    pairs = [(text("абв г", rng.randrange(20)), text("абв г", rng.randrange(20))) for _ in range(2000)]
+    pairs += [(text(letters, rng.choice([30, 220, 400])), text(letters, rng.choice([150, 199, 200, 330]))) for letters in ("ab", "abcdefghij", many) for _ in range(30)]
+    pairs += [(a, (a + b)[:250]) for a, b in pairs[-90:]] + [("", ""), ("a", ""), ("", "a"), ("😀é", "é😀")]
+    left, right = map(list, zip(*pairs))
+    wanted = [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    assert sim.ratcliff_ratios(left, right).tolist() == pytest.approx(wanted, abs=1e-12)
+    needed = np.array([rng.random() for _ in pairs])
+    early = sim.ratcliff_ratios(left, right, needed)
+    for got, want, least in zip(early, wanted, needed):
+        assert got == pytest.approx(want, abs=1e-12) if want >= least else got < least
+
+
+def test_ratio_of_columns(spark):
+    rows = [("иванов", "иванова", 0.5), ("иванов", "иванова", 0.99), ("иванов", None, 0.1), (None, "x", 0.1), ("", "", 0.2)]
+    df = spark.createDataFrame(rows, "a string, b string, n double")
+    got = [tuple(r) for r in df.select(sim.ratcliff(F.col("a"), F.col("b")), sim.ratcliff(F.col("a"), F.col("b"), F.col("n"))).collect()]
+    assert got[0] == got[1] == pytest.approx((12 / 13, 12 / 13)) and got[4] == (1.0, 1.0)
+    assert all(x is None or x != x for r in got[2:4] for x in r)
