@@ -208,5 +208,5 @@ def test_ratio_of_columns(spark):
     rows = [("иванов", "иванова", 0.5), ("иванов", "иванова", 0.99), ("иванов", None, 0.1), (None, "x", 0.1), ("", "", 0.2)]
     df = spark.createDataFrame(rows, "a string, b string, n double")
     got = [tuple(r) for r in df.select(sim.ratcliff(F.col("a"), F.col("b")), sim.ratcliff(F.col("a"), F.col("b"), F.col("n"))).collect()]
-    assert got[0] == got[1] == pytest.approx((12 / 13, 12 / 13)) and got[4] == (1.0, 1.0)
+    assert got[0] == pytest.approx((12 / 13, 12 / 13)) and got[1][0] == got[0][0] and got[1][1] < 0.99 and got[4] == (1.0, 1.0)
     assert all(x is None or x != x for r in got[2:4] for x in r)
