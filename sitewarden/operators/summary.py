@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewarden.functions.text import present
+from sitewarden.functions.text import any_of, present
 from sitewarden.schemas import INJURY_FATAL
 from sitewarden.session import staged
 
@@ -98,6 +98,31 @@ def summary(incidents: DataFrame) -> DataFrame:
     return _breakdowns(cells, SUMMARY_DIMENSIONS).where(present(F.col("key"))).unionByName(_head_counts(cells))
 
 
+def refresh_states(incidents: DataFrame, path: str, years: list[int] | None = None) -> None:
+    """Store the counts per year, victim and cell below ``path``; with ``years`` only those are counted and replaced.
+
+    A row without a date belongs to year 0. The counts of different years add up, so a summary never needs the incidents again.
+    """
+    year = F.coalesce(F.year("incident_date"), F.lit(0))
+    rows = incidents.withColumns({"_year": year, "month": month_of(F.col("incident_date"))})
+    if years is not None:
+        dated = F.col("incident_date")
+        spans = [(dated >= F.make_date(F.lit(y), F.lit(1), F.lit(1))) & (dated <= F.make_date(F.lit(y), F.lit(12), F.lit(31))) for y in years if y]
+        spans += [dated.isNull()] if 0 in years else []
+        rows = rows.where(any_of(spans) if spans else F.lit(False))
+    cells = rows.groupBy("_year", *SUMMARY_DIMENSIONS, "victim_name").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("injury_type") == INJURY_FATAL).alias("fatal"))
+    writer = cells.write.mode("overwrite").partitionBy("_year")
+    (writer.option("partitionOverwriteMode", "dynamic") if years is not None else writer).parquet(path)
+
+
+def summary_of_states(spark: SparkSession, path: str) -> DataFrame:
+    """``summary`` from stored counts."""
+    shape = ", ".join(f"{d} string" for d in SUMMARY_DIMENSIONS) + ", victim_name string, n long, fatal long"
+    cells = spark.read.schema(shape).parquet(path)
+    return _breakdowns(cells, SUMMARY_DIMENSIONS).where(present(F.col("key"))).unionByName(_head_counts(cells))
+
+
 def statistics(
     incidents: DataFrame,
     company: str | None = None,

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from sitewarden.functions.text import round_half_even
 from sitewarden.operators.retrieval import vector_search
+from sitewarden.session import staged
 
 ACTIVE = "active"
 ARTICLE, PARAGRAPHS = "article", ("paragraph", "subparagraph")
+#: Versions or points of one norm in one range of days, as far as days divide them.
+_PER_RANGE = 512
 
 
 def _holds(day: Column) -> Column:
@@ -33,9 +36,25 @@ def current_version(versions: DataFrame) -> DataFrame:
     return versions.where(F.col("effective_to").isNull() & (F.col("status") == ACTIVE))
 
 
-def version_at(versions: DataFrame, points: DataFrame) -> DataFrame:
-    """The version in force per point; ``points`` has ``norm_id, language, day``."""
-    return versions.join(points, ["norm_id", "language"]).where(_holds(F.col("day")))
+def version_at(versions: DataFrame, points: DataFrame, per_range: int = _PER_RANGE) -> DataFrame:
+    """The versions in force per point; ``points`` has ``norm_id, language, day``.
+
+    The days of a norm's points are cut into ranges, as many as its versions or points need at ``per_range`` each. A point lies in one range, a version in
+    those it holds in, so a norm with very many of both is spread, and its versions meet only the points near them.
+    """
+    keys = ["norm_id", "language"]
+    asked = points.where(F.col("day").isNotNull()).groupBy(*keys).agg(
+        F.min("day").alias("_first"), F.max("day").alias("_last"), F.count(F.lit(1)).alias("_points"))
+    held = versions.groupBy(*keys).agg(F.count(F.lit(1)).alias("_versions"))
+    ranges = F.ceil(F.greatest("_points", "_versions") / per_range)
+    span = asked.join(held, keys).select(*keys, "_first", "_last", F.ceil((F.datediff("_last", "_first") + 1) / ranges).alias("_days"))
+    number = lambda day: F.expr(f"datediff({day}, _first) div _days")
+    last = F.least(F.coalesce(F.date_sub("effective_to", 1), "_last"), "_last")
+    kept = versions.where(F.col("status") == ACTIVE).join(span, keys).withColumns(
+        {"_from": F.greatest("effective_from", "_first"), "_to": last}).where("_from <= _to and effective_from is not null")
+    kept = kept.withColumn("_range", F.explode(F.sequence(number("_from"), number("_to")))).drop("_first", "_last", "_days", "_from", "_to")
+    placed = points.join(span, keys).withColumn("_range", number("day")).drop("_first", "_last", "_days")
+    return kept.join(placed, [*keys, "_range"]).where(_holds(F.col("day"))).drop("_range")
 
 
 def version_history(versions: DataFrame) -> DataFrame:
@@ -92,6 +111,47 @@ def ancestors(norms: DataFrame, of: DataFrame | None = None) -> DataFrame:
     return steps.join(known, "ancestor_id").select("id", "ancestor_id", "ancestor_depth")
 
 
+def _parents(norms: DataFrame) -> DataFrame:
+    """``id, parent_id`` of norms whose parent exists; an orphan is a root."""
+    links = norms.where(F.col("parent_id").isNotNull()).select("id", "parent_id").distinct()
+    return staged(links.join(norms.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_semi").select("id", "parent_id"))
+
+
+def rings(norms: DataFrame) -> DataFrame:
+    """``id`` of the norms that are their own ancestors.
+
+    Every link is doubled until it has more steps than there are norms: what still leads somewhere then leads into a ring, and the norms it
+    leads to are the rings. Without a ring the links run out after as many rounds as the depth has binary digits.
+    """
+    pointers = _parents(norms)
+    steps, most = 1, pointers.count()
+    while steps <= most and pointers.limit(1).count():
+        onward = pointers.select(F.col("id").alias("parent_id"), F.col("parent_id").alias("_next"))
+        pointers = staged(pointers.join(onward, "parent_id").select("id", F.col("_next").alias("parent_id")))
+        steps *= 2
+    return pointers.select(F.col("parent_id").alias("id")).distinct()
+
+
+def ancestors_by_parent(norms: DataFrame) -> DataFrame:
+    """Ancestors from ``parent_id`` alone: ``id, ancestor_id, distance``, for norms without a stored path.
+
+    Links within a ring (see ``rings``) count as absent, as do parents that do not exist. Pairs of up to ``n`` steps are joined with those
+    of exactly ``n`` to reach ``2 n``, so the rounds grow with the logarithm of the depth.
+    """
+    ring = staged(rings(norms))
+    links = staged(_parents(norms).join(ring, "id", "left_anti"))
+    reached = staged(links.select("id", F.col("parent_id").alias("ancestor_id"), F.lit(1).cast("long").alias("distance")))
+    steps = 1
+    while True:
+        far = reached.where(F.col("distance") == steps).select("id", F.col("ancestor_id").alias("_via"))
+        onward = reached.select(F.col("id").alias("_via"), "ancestor_id", "distance")
+        more = staged(far.join(onward, "_via").select("id", "ancestor_id", (F.col("distance") + steps).alias("distance")))
+        if not more.limit(1).count():
+            return reached
+        reached = staged(reached.unionByName(more))
+        steps *= 2
+
+
 def retrievable(types: DataFrame) -> DataFrame:
     return types.where("is_retrievable")
 

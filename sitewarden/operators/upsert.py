@@ -6,6 +6,7 @@ the id they get if they turn out to be new.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 from functools import reduce
 
@@ -47,19 +48,23 @@ def stable_id(*parts: Column) -> Column:
 
 
 def prune_existing(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Key columns of the stored rows within the years the incoming rows span.
+    """Key columns of the stored rows in the years that occur among the incoming rows.
 
-    The bounds are a scalar subquery on dates, which prunes row groups; a ``year`` partition column is
-    pruned as well.
+    The years (a handful, fetched first) reach the scan as spans of dates, which prune row groups, and as values of a ``year`` partition
+    column, which prune folders: two far years read two folders, not all between them.
     """
-    dates = incoming.select("incident_date")
-    first = dates.select(F.make_date(F.year(F.min("incident_date")), F.lit(1), F.lit(1))).scalar()
-    last = dates.select(F.make_date(F.year(F.max("incident_date")), F.lit(12), F.lit(31))).scalar()
-    kept = existing.where((F.col("incident_date") >= first) & (F.col("incident_date") <= last))
+    years = sorted(r.y for r in incoming.where(F.col("incident_date").isNotNull()).select(F.year("incident_date").alias("y")).distinct().collect())
+    spans = []
+    for y in years:  # neighbouring years make one span
+        if spans and spans[-1][1] == y - 1:
+            spans[-1][1] = y
+        else:
+            spans.append([y, y])
+    dated = F.col("incident_date")
+    inside = [(dated >= F.lit(datetime.date(a, 1, 1))) & (dated <= F.lit(datetime.date(b, 12, 31))) for a, b in spans]
+    kept = existing.where(reduce(lambda x, y: x | y, inside, F.lit(False)))
     if "year" in existing.columns:
-        low = dates.select(F.year(F.min("incident_date"))).scalar()
-        high = dates.select(F.year(F.max("incident_date"))).scalar()
-        kept = kept.where((F.col("year") >= low) & (F.col("year") <= high))
+        kept = kept.where(F.col("year").isin(years or [-1]))
     return kept.select(*STORED_KEY_COLUMNS)
 
 

@@ -10,6 +10,7 @@ from sitewarden.operators import lookups, stats, summary, tags
 from sitewarden.operators.filters import IncidentFilters, filter_incidents
 from sitewarden.plans import roles
 from sitewarden.plans.registry import query
+from sitewarden.session import scratch_folder
 
 _HEAD = """SELECT 'total_incidents' AS dimension, '' AS key, count(*) AS n FROM {src}
 UNION ALL SELECT 'total_victims', '', count(DISTINCT victim_name) FROM {src}
@@ -35,6 +36,17 @@ def full_summary(t):
     return summary.summary(roles.incidents(t))
 
 
+@query("summary_incremental", roles.sql(SUMMARY_SQL, "incidents"))
+def summary_incremental(t):
+    """Stored counts of the years before an import, then refreshed for the years it touched."""
+    rows, states = roles.incidents(t), scratch_folder(t.spark, "summary")
+    old = rows.where("incident_date < DATE '1997-06-15'")
+    summary.refresh_states(old, states)
+    touched = [r.y for r in rows.where("incident_date >= DATE '1997-06-15'").select(F.year("incident_date").alias("y")).distinct().collect()]
+    summary.refresh_states(rows, states, touched)
+    return summary.summary_of_states(t.spark, states)
+
+
 @query(
     "summary_filtered",
     roles.sql(

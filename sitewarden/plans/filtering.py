@@ -170,6 +170,16 @@ def page(t):
     return shown.select("id", F.col("incident_date").cast("string").alias("incident_date"), "company", "location")
 
 
+@query(
+    "page_deep",
+    roles.sql("SELECT id, CAST(incident_date AS VARCHAR) AS incident_date FROM incidents ORDER BY incidents.incident_date DESC, id LIMIT 100 OFFSET 9000", "incidents"),
+)
+def page_deep(t):
+    """A page far into the table, found by counting ranges."""
+    rows = roles.incidents(t).select("id", "incident_date")
+    return lookups.page(rows, "incident_date", 100, 9000, shallow=500).select("id", F.col("incident_date").cast("string").alias("incident_date"))
+
+
 @query(
     "page_acts",
     roles.sql("SELECT id, link_status, company_name FROM acts WHERE language = 'kz' ORDER BY uploaded_at DESC, id LIMIT 20", "acts"),

@@ -12,6 +12,7 @@ from sitewarden.session import scratch_folder
 from sitewarden.sources import acts as a
 from sitewarden.sources import journal as j
 from sitewarden.sources import manifest as mf
+from sitewarden.sources.snapshots import SnapshotTable
 
 # --- journal: every nation sends one file, its orders are the rows -----------------------------------------------------
 
@@ -368,6 +369,18 @@ def dedup_key(t):
     return u.with_dedup_key(_incoming(t)).select("row_no", "victim_key", "location_key")
 
 
+@query("append_replay", roles.sql("SELECT id, CAST(incident_date AS VARCHAR) AS incident_date, company FROM incidents WHERE company <> 'MACHINERY'", "incidents"))
+def append_replay(t):
+    """Two batches appended to a stored table, the first of them twice; a write that ended before its manifest is left lying."""
+    stored = SnapshotTable(t.spark, scratch_folder(t.spark, "store"), S.INCIDENT)
+    rows = roles.incidents(t).withColumn("id", F.col("id").cast("string"))
+    batches = {"first": rows.where("company < 'MACHINERY'"), "second": rows.where("company > 'MACHINERY'")}
+    for name in ("first", "first", "second", "first"):
+        stored.append(batches[name], name, F.current_timestamp(), S.INCIDENT_DEFAULTS)
+    stored._write(S.conform(rows.limit(10), S.INCIDENT, S.INCIDENT_DEFAULTS))
+    return stored.read().select(F.col("id").cast("long").alias("id"), F.col("incident_date").cast("string").alias("incident_date"), "company")
+
+
 @query(
     "year_prune",
     roles.sql("SELECT id FROM stored WHERE year(incident_date) BETWEEN 1997 AND 1998", "incidents", stored=_UPSERT["stored"]),

@@ -91,6 +91,21 @@ def ancestors(t):
     return n.ancestors(roles.norms(t))
 
 
+@query(
+    "ancestors_by_parent",
+    roles.sql(
+        """SELECT s.id, s.ancestor_id, CAST(depth - a_depth AS BIGINT) AS distance FROM (SELECT s.*, a.depth AS a_depth FROM (
+SELECT id, depth, unnest(string_split(path, '.')[1:len(string_split(path, '.')) - 1]) AS ancestor_id FROM norms) s JOIN norms a ON a.id = s.ancestor_id) s""",
+        "norms",
+    ),
+)
+def ancestors_by_parent(t):
+    """The same tree known by its parents only."""
+    parts = F.split("path", r"\.")
+    known = roles.norms(t).select("id", F.when(F.size(parts) > 1, F.element_at(parts, -2)).alias("parent_id"))
+    return n.ancestors_by_parent(known)
+
+
 @query(
     "children",
     roles.sql("SELECT concat('C', CAST(c_custkey AS VARCHAR)) AS id, concat('N', CAST(c_nationkey AS VARCHAR)) AS parent_id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2"),

@@ -43,9 +43,7 @@ def merge_import(spark: SparkSession, path: str, classified: DataFrame, now: Col
     partitions are written to a staging table in the shared folder first: the store is never overwritten while it is
     read, and a lost executor reads the staged rows again instead of repeating the import.
     """
-    filled = classified.select(
-        *[_filled(classified, f) for f in S.INCIDENT.fields if f.name != "updated_at"], "action", "file_seq", "row_no"
-    )
+    filled = filled_incidents(classified)
     years = filled.select(F.year("incident_date").alias("year")).distinct()
     touched = read_store(spark, path).join(years, "year", "left_semi").select(*S.INCIDENT.fieldNames())
     result = staged(upsert(touched, filled, now, preserve_missing, missing))
@@ -58,6 +56,13 @@ def merge_import(spark: SparkSession, path: str, classified: DataFrame, now: Col
     )
 
 
+def filled_incidents(classified: DataFrame) -> DataFrame:
+    """Classified rows with all stored columns in their types, defaults filled."""
+    return classified.select(
+        *[_filled(classified, f) for f in S.INCIDENT.fields if f.name != "updated_at"], "action", "file_seq", "row_no"
+    )
+
+
 def _filled(df: DataFrame, field: T.StructField) -> Column:
     value = F.col(field.name) if field.name in df.columns else F.lit(None)
     if field.name in S.INCIDENT_DEFAULTS:
