@@ -1,5 +1,6 @@
 """Packing: tokens against the library, places checked for gaps and overlaps, bin counts against the bound."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -8,7 +9,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from sitewarden.llm.packing import best_fit, lower_bound, pack, pack_documents, sequences
+from sitewarden.llm import packing
+from sitewarden.llm.packing import WordTokenizer, best_fit, lower_bound, pack, pack_documents, sequences
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [None, "", "Hello world's  we're!! 12½ don't", "É À ñandú ÇA Straße ŒUVRE", "日本語 İstanbul ΣΑΣ x\x85y", "<|startoftext|> a <|endoftext|>",
@@ -71,3 +73,37 @@ def test_bound_never_exceeds_a_packing():
         assert lower_bound(lengths, 60) <= len(fill) + 1e-9
         assert fill.max() <= 60 and fill.sum() == lengths.sum()
         assert (np.bincount(where, lengths) == fill).all()
+
+
+def test_every_latin_character_as_the_library():
+    lib, own = Tokenizer.from_file(PATH), WordTokenizer(PATH, known_words=50)
+    texts = [f"ab{chr(c)}cd {chr(c)}{chr(c)} X{chr(c)} {chr(c)}x '{chr(c)}s '{chr(c)}" for c in range(1, 0x251) if not 0xD800 <= c < 0xE000]
+    texts += ["BAKI ƏHMED", "ÀƁ ɄɅ", "it's'S 're''RE 've'd'll'l 'm'm2's", "'", "''s", "'s", "x'", "x'l", "don't!'t", "½'s²'d", "a<|b", ""]
+    ids, counts = own.encode_rows(texts)
+    got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_random_texts_as_the_library():
+    rng = random.Random(9)
+    letters = ["a", "S", "s", "t", "RE", "re", "ll", "'", "'", " ", " ", "\n", "é", "Ə", "1", "½", "!", "?", "<", "|", "ß", "ž", "word", "́", "日"]
+    lib, own = Tokenizer.from_file(PATH), WordTokenizer(PATH)
+    texts = ["".join(rng.choices(letters[: 23 if i % 3 else 25], k=rng.randrange(40))) for i in range(3000)]
+    ids, counts = own.encode_rows(texts)
+    got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    want = lib.encode_batch(texts, add_special_tokens=False)
+    assert [(t, g) for t, g in zip(texts, got)] == [(t, e.ids) for t, e in zip(texts, want)]
+
+
+def test_words_that_share_a_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(packing, "_STEPS", np.zeros_like(packing._STEPS))
+    lib = Tokenizer.from_file(PATH)
+    text = "one two three one four two seven"
+    assert WordTokenizer(PATH).encode(text).tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_certificates(spark):
+    lengths = np.random.default_rng(4).integers(1, 1500, 2000)
+    got = pack(spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "item long, length long"), partition_items=300).collect()
+    assert all(r.bins >= r.bound > 0 for r in got)
+    assert len({r.sequence_id for r in got}) >= np.ceil(lower_bound(lengths, 2048) - 1e-9)
