@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-Similarity = Callable[[Column, Column], Column]
+Similarity = Callable[..., Column]
 
 #: Cells of one table of run lengths, and the length from which very common characters of the second text start no block.
 _CELLS, _LONG_TEXT = 1 << 20, 200
@@ -152,11 +152,18 @@ def ratcliff(a: Column, b: Column, needed: Column | None = None) -> Column:
 
 
 def levenshtein_ratio(a: Column, b: Column, needed: Column | None = None) -> Column:
-    """``1 - distance / longer length``; native, used where a SQL engine must agree. ``needed`` plays no part."""
+    """``1 - distance / longer length``; native, used where a SQL engine must agree.
+
+    With ``needed``, the distance is followed only as far as that allows, and a ratio below it comes out as -1.
+    """
     longer = F.greatest(F.length(a), F.length(b))
-    return F.when(longer == 0, F.lit(1.0)).otherwise(
-        F.lit(1.0) - F.levenshtein(a, b).cast("double") / longer.cast("double")
-    )
+    if needed is None:
+        distance = F.levenshtein(a, b)
+    else:
+        most = F.floor((F.lit(1.0) - needed) * longer + F.lit(1e-6)).cast("int")
+        distance = F.call_function("levenshtein", a, b, F.greatest(most, F.lit(0)))
+    ratio = F.lit(1.0) - distance.cast("double") / longer.cast("double")
+    return F.when(longer == 0, F.lit(1.0)).otherwise(ratio if needed is None else F.when(distance >= 0, ratio).otherwise(F.lit(-1.0)))
 
 
 def ratcliff_bound(a: Column, b: Column) -> Column:
@@ -181,13 +188,8 @@ def ratcliff_bag_bound(common: Column, a: Column, b: Column) -> Column:
     return F.lit(2.0) * common / F.greatest(F.length(a) + F.length(b), F.lit(1))
 
 
-def levenshtein_bag_bound(common: Column, a: Column, b: Column) -> Column:
-    """Every character of the longer text that the bags do not share costs an edit."""
-    return common.cast("double") / F.greatest(F.length(a), F.length(b), F.lit(1))
-
-
-#: Ratio, bound from the lengths, bound from the number of shared characters.
-SIMILARITIES: dict[str, tuple[Similarity, Similarity, Callable[[Column, Column, Column], Column]]] = {
+#: Ratio, bound from the lengths, and bound from the number of shared characters where the ratio costs more than counting them.
+SIMILARITIES: dict[str, tuple[Similarity, Similarity, Callable[[Column, Column, Column], Column] | None]] = {
     "ratcliff": (ratcliff, ratcliff_bound, ratcliff_bag_bound),
-    "levenshtein": (levenshtein_ratio, levenshtein_bound, levenshtein_bag_bound),
+    "levenshtein": (levenshtein_ratio, levenshtein_bound, None),
 }

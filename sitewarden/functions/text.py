@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WHITESPACE = r"(?U)\s+"
+#: The characters that ``WHITESPACE`` matches (the Unicode property of that name).
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -18,7 +20,7 @@ def collapse(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """White space of any kind removed at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def norm_key(c: Column) -> Column:

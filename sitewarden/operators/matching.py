@@ -186,6 +186,7 @@ def best_match(
     if rest_without_name >= threshold:
         raise ValueError("the name must be needed to reach the threshold; blocking relies on it")
     days = reachable_days(threshold, w)
+    ratio, bound, bag_bound = SIMILARITIES[similarity]
     text = lambda c: norm_text(F.col(c))
 
     # 1. profiles ---------------------------------------------------------------------------------------------
@@ -203,10 +204,9 @@ def best_match(
         )
         .where(F.col("a_name") != "")
     )
-    act_profiles = staged(
-        act_rows.groupBy(*act_context, "a_name").agg(F.min("act_id").alias("profile")).withColumn("a_bag", bag(F.col("a_name")))
-    )
-    inc_profiles = staged(
+    with_bag = lambda df, to, name: df if bag_bound is None else df.withColumn(to, bag(F.col(name)))
+    act_profiles = staged(with_bag(act_rows.groupBy(*act_context, "a_name").agg(F.min("act_id").alias("profile")), "a_bag", "a_name"))
+    inc_profiles = staged(with_bag(
         incidents.where(F.col("incident_date").isNotNull())
         .select(
             "id",
@@ -219,9 +219,9 @@ def best_match(
         )
         .where(F.col("i_name") != "")
         .groupBy(*inc_context, "i_name")
-        .agg(F.min("id").alias("incident_id"))
-        .withColumn("i_bag", bag(F.col("i_name")))
-    )
+        .agg(F.min("id").alias("incident_id")),
+        "i_bag", "i_name",
+    ))
 
     def spread(df: DataFrame) -> DataFrame:
         days_around = F.sequence(F.date_sub("a_date", days), F.date_add("a_date", days))
@@ -283,10 +283,12 @@ def best_match(
         .select("act_context", "inc_context", "salts", "s_date", "s_company", "s_region", "s_injury", "ceiling")
     )
 
+    bags = () if bag_bound is None else ("a_bag", "i_bag")
+
     # 4. similar names ----------------------------------------------------------------------------------------
     asking = (
         open_profiles.join(act_contexts, list(act_context))
-        .select("profile", "a_name", "a_bag", "beaten", "act_context")
+        .select("profile", "a_name", *bags[:1], "beaten", "act_context")
         .join(scored, "act_context")
         .where(F.col("ceiling") > F.col("beaten"))
         # A name must lift the score over the threshold and to what the act has already.
@@ -294,12 +296,12 @@ def best_match(
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     )
     offered = inc_profiles.join(inc_contexts, list(inc_context)).select(
-        "inc_context", "incident_id", "i_name", "i_bag", F.pmod(F.xxhash64("incident_id"), F.col("salts")).cast("int").alias("salt")
+        "inc_context", "incident_id", "i_name", *bags[1:], F.pmod(F.xxhash64("incident_id"), F.col("salts")).cast("int").alias("salt")
     )
-    ratio, bound, bag_bound = SIMILARITIES[similarity]
     names = F.col("a_name"), F.col("i_name")
     near = asking.join(offered, ["inc_context", "salt"]).where((names[0] != names[1]) & (bound(*names) >= F.col("name_needed")))
-    near = near.where(bag_bound(F.size(F.array_intersect("a_bag", "i_bag")), *names) >= F.col("name_needed")).drop("a_bag", "i_bag")
+    if bags:
+        near = near.where(bag_bound(F.size(F.array_intersect(*bags)), *names) >= F.col("name_needed")).drop(*bags)
     named = computed_once(near, {"s_name": ratio(F.col("a_name"), F.col("i_name"), F.col("name_needed"))})
     similar = best_of(
         named.withColumn("score", total(F.col("s_name"))).where(

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from sitewarden import schemas as S
 from sitewarden.functions.text import lookup, present, strip
+from sitewarden.session import staged
 
 # --- Fixed values ----------------------------------------------------------------------------------------------------
 
@@ -197,11 +198,12 @@ def accept_acts(parsed: DataFrame, incidents: DataFrame) -> tuple[DataFrame, Dat
     """
     company = strip(F.coalesce(F.nullif("act.company_name_from_act", F.lit("")), F.col("act.company_name"), F.lit("")))
     known = incidents.select(F.col("id").alias("incident_id"), F.lit(True).alias("known"))
-    # Most acts name no incident; they stay out of the join, where they would all have one key.
-    explicit = parsed.where(F.col("incident_id").isNotNull()).join(known, "incident_id", "left").select(*parsed.columns, "known")
-    free = parsed.where(F.col("incident_id").isNull()).withColumn("known", F.lit(None).cast("boolean"))
-    judged = (
-        explicit.unionByName(free)
+    # Most acts name no incident; a key of their own keeps them from meeting in one task.
+    key = F.coalesce(F.concat(F.lit("="), F.col("incident_id").cast("string")), F.concat(F.lit("-"), F.col("file_id").cast("string")))
+    marked = known.select(F.concat(F.lit("="), F.col("incident_id").cast("string")).alias("_key"), "known")
+    # Written once: the accepted and the rejected acts both read it.
+    judged = staged(
+        parsed.withColumn("_own", key).join(marked, F.col("_own") == F.col("_key"), "left").drop("_own", "_key")
         .withColumn("company_found", company)
         .withColumn(
             "reason",
