@@ -7,7 +7,7 @@ that leave it and of the stretches that end there; nodes are the edges of the ne
 through which all flow passes straight on (unary paths) are compacted into one path of words each. A phrase is part
 of an equally frequent longer one exactly if a single edge into or out of its node carries its whole flow.
 
-Scale: a phrase that reaches ``least`` is made of words and neighbouring pairs that do. Words, then pairs, are counted first, and a
+Scale: a phrase that reaches ``least`` is made of words and neighbouring pairs that do. Words, then pairs, are counted first (by hash), and a
 stretch is cut wherever a pair is known to be rarer, by a bitmap of fixed size that errs only towards not cutting. So edges grow
 with the text that frequent phrases cover, not with all text; every count stays exact. Repeats are added up in the
 task and before each shuffle. Tokenising works on blocks of a fixed size, whatever the length of a text.
@@ -17,8 +17,10 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -28,8 +30,8 @@ from sitewarden.llm.common import staged, whole_text
 from sitewarden.llm.words import BLOCK_BYTES, Words, alphabet, filter_of, gram_hashes, joined, passes, row_blocks, segments, text_buffer, words_of
 
 LONGEST, LEAST = 5, 100
-#: Different phrases that a task adds up before it hands them on; parts of a very common word.
-HELD, SALTS = 200_000, 16
+#: Different phrases that a task adds up before it hands them on, hashes that it sorts at once, and parts of a very common word.
+HELD, HASHES, SALTS = 500_000, 3_000_000, 16
 
 #: Words are separated by blanks and tabs; pieces by punctuation and line ends.
 PIECES = alphabet(b" \t", b".,;:!?\n\x0b\x0c\r")
@@ -68,7 +70,7 @@ def _stretches(batch: pa.RecordBatch, shared: int, block: int) -> Iterator[_Stre
 
 
 def _counted(texts: DataFrame, longest: int, block: int, held: int, phrases) -> DataFrame:
-    """``lang, words, phrase, f``: what ``phrases(stretch)`` yields as (words, list of phrases), added up over the table."""
+    """``lang, words, phrase, f``: what ``phrases(stretch)`` yields as (words, phrases or their counts), added up over the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, int], Counter] = {}
@@ -93,19 +95,48 @@ def _counted(texts: DataFrame, longest: int, block: int, held: int, phrases) ->
     return rows.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
 
 
-def _hashed(phrases: DataFrame, words: int) -> DataFrame:
-    """``hash`` of phrases of ``words`` words, as the tasks compute it."""
+def _often(texts: DataFrame, longest: int, block: int, least: int, hashes) -> DataFrame:
+    """``hash`` (its upper 48 bits) of whatever ``hashes(stretch)`` yields ``least`` times or more over the table.
+
+    Counted by hash alone: two phrases that share one may pass together, and a filter may err that way. A task sorts its hashes and sends
+    them on in ranges, six bytes and a count (up to ``least``) each; a range is added up in one piece of limited size.
+    """
+    parts = 1 << max(8, (4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    most = min(least, (1 << 32) - 1)
+    width = np.uint8 if most < 256 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            found, count = np.unique(np.concatenate(held) >> np.uint64(16), return_counts=True)
+            held.clear()
+            count = np.minimum(count, most).astype(width)
+            part = (found >> np.uint64(48 - parts.bit_length() + 1)).astype(np.int64)
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+            ends = np.append(first, len(part))
+            six = np.ascontiguousarray(found.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+            cut = lambda data, size: pa.array([data[a * size : b * size] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(part[first].astype(np.int32)), cut(six.tobytes(), 6), cut(count.tobytes(), count.itemsize)], names=["part", "six", "n"])
+
         for batch in batches:
-            langs = np.array(batch.column("lang").to_pylist(), object)
-            for lang in set(langs.tolist()):
-                data, bounds = text_buffer(batch.column("phrase").take(pa.array(np.flatnonzero(langs == lang))))
-                for a, b in row_blocks(bounds, BLOCK_BYTES):
-                    found = gram_hashes(words_of(joined(data, bounds, a, b)[0], PIECES).hashes, words, words)[::words]
-                    yield pa.RecordBatch.from_arrays([pa.array(_marked(found, lang).view(np.int64))], names=["hash"])
+            for stretch in _stretches(batch, longest - 1, block):
+                held.append(hashes(stretch))
+                if sum(map(len, held)) > HASHES:
+                    yield out()
+        if sum(map(len, held)):
+            yield out()
 
-    return phrases.select("lang", "phrase").mapInArrow(run, "hash long")
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        six = np.frombuffer(b"".join(rows["six"]), np.uint8).reshape(-1, 6)
+        wide = np.zeros((len(six), 8), np.uint8)
+        wide[:, :6] = six
+        found, number = np.unique(wide.view("<u8").ravel(), return_inverse=True)
+        total = np.bincount(number, np.frombuffer(b"".join(rows["n"]), width))
+        return pd.DataFrame({"hash": (found[total >= most] << np.uint64(16)).view(np.int64)})
+
+    return texts.mapInArrow(run, "part int, six binary, n binary").groupBy("part").applyInPandas(add, "hash long")
 
 
 def _part(phrase: str, words: int, last: bool) -> Column:
@@ -113,33 +144,36 @@ def _part(phrase: str, words: int, last: bool) -> Column:
     return F.substring_index(F.col(phrase), " ", -words if last else words)
 
 
-def grams(texts: DataFrame, longest: int = LONGEST, least: int = LEAST, block: int = BLOCK_BYTES, held: int = HELD) -> tuple[DataFrame, DataFrame]:
-    """The graph's edges and ends ``lang, words, phrase, f`` and the words of each language ``lang, n``.
+def grams(texts: DataFrame, longest: int = LONGEST, least: int = LEAST, block: int = BLOCK_BYTES, held: int = HELD) -> DataFrame:
+    """The graph's edges and ends ``lang, words, phrase, f``.
 
-    Rows of ``longest`` words are edges; shorter ones are ends of stretches, by which words that follow no more are made up for.
+    Rows of ``longest`` words are edges; shorter ones are the last words of stretches (as many as a node has, or the whole stretch), by which words
+    that follow no more are made up for; a row of no words counts all words of its language.
     """
-    single = staged(_counted(texts, longest, block, held, lambda s: [(1, [s.words.slice(i, i) for i in range(s.lead, s.n)])]))
-    totals = single.groupBy("lang").agg(F.sum("f").alias("n"))
     sc = texts.sparkSession.sparkContext
-    words = sc.broadcast(filter_of(_hashed(single.where(F.col("f") >= least), 1)).tobytes())
+    words = sc.broadcast(filter_of(staged(_often(texts, longest, block, least, lambda s: s.singles()[s.lead :]))).tobytes())
 
-    def frequent_pairs(s: _Stretch):
+    def neighbours(s: _Stretch) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of neighbouring words, and whether both stand in one piece and are frequent."""
         often = passes(np.frombuffer(words.value, np.uint8), s.singles())
-        both = often[:-1] & often[1:] & s.pairs()[1] if s.n > 1 else np.empty(0, bool)
+        hashes, together = s.pairs()
+        return hashes, together & often[:-1] & often[1:]
+
+    def frequent_pairs(s: _Stretch) -> np.ndarray:
+        hashes, both = neighbours(s)
         both[: max(0, s.lead - 1)] = False
-        yield 2, [s.words.slice(i, i + 1) for i in np.flatnonzero(both).tolist()]
+        return hashes[both]
 
-    pair = staged(_counted(texts, longest, block, held, frequent_pairs).where(F.col("f") >= least))
-    pairs = sc.broadcast(filter_of(_hashed(pair, 2)).tobytes())
+    pairs = sc.broadcast(filter_of(staged(_often(texts, longest, block, least, frequent_pairs))).tobytes())
 
     def edges_and_ends(s: _Stretch):
         if not s.n:
             return
+        yield 0, {b"": s.n - s.lead}
         often = passes(np.frombuffer(words.value, np.uint8), s.singles())
         linked = np.zeros(s.n, bool)  # to the next word
-        if s.n > 1:
-            hashes, together = s.pairs()
-            linked[:-1] = together & passes(np.frombuffer(pairs.value, np.uint8), hashes) & often[:-1] & often[1:]
+        hashes, both = neighbours(s)
+        linked[:-1] = both & passes(np.frombuffer(pairs.value, np.uint8), hashes)
         at = np.arange(s.n)
         begins = np.concatenate([[True], ~linked[:-1]])
         length = at - np.maximum.accumulate(np.where(begins, at, 0)) + 1  # words of the stretch up to here
@@ -149,10 +183,11 @@ def grams(texts: DataFrame, longest: int = LONGEST, least: int = LEAST, block: i
         ends[: max(0, s.lead - 1)] = False
         if s.more:
             ends[-1] = False
+        shown = np.minimum(length, longest - 1)
         for k in range(1, longest):
-            yield k, [slice_(i - k + 1, i) for i in np.flatnonzero(ends & (length >= k)).tolist()]
+            yield k, [slice_(i - k + 1, i) for i in np.flatnonzero(ends & (shown == k)).tolist()]
 
-    return staged(_counted(texts, longest, block, held, edges_and_ends)), totals
+    return staged(_counted(texts, longest, block, held, edges_and_ends))
 
 
 def flow(graph: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
@@ -161,18 +196,25 @@ def flow(graph: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFr
     Level by level from the longest: what leaves a node and what ends there make its occurrences.
     """
     nothing = F.lit(0).cast("long")
-    level = graph.where(F.col("words") == longest).select("lang", "phrase", "f", nothing.alias("into"), nothing.alias("out"))
-    found = level.where(F.col("f") >= least).withColumn("words", F.lit(longest))
+
+    def rows(of: DataFrame, phrase, f, into, out, ended) -> DataFrame:
+        return of.select("lang", phrase.alias("phrase"), f.alias("f"), into.alias("into"), out.alias("out"), ended.alias("ended"))
+
+    f, whole = F.col("f"), F.col("phrase")
+    level = rows(graph.where(F.col("words") == longest), whole, f, nothing, nothing, nothing)
+    found = level.where(f >= least).drop("ended").withColumn("words", F.lit(longest))
     for k in range(longest - 1, 0, -1):
-        leaving = level.select("lang", _part("phrase", k, False).alias("phrase"), "f", nothing.alias("into"), F.col("f").alias("out"))
-        arriving = level.where(F.col("f") >= least).select("lang", _part("phrase", k, True).alias("phrase"), nothing.alias("f"),
-                                                           F.col("f").alias("into"), nothing.alias("out"))
-        ended = graph.where(F.col("words") == k).select("lang", "phrase", "f", nothing.alias("into"), nothing.alias("out"))
-        level = leaving.unionAll(arriving).unionAll(ended).groupBy("lang", "phrase").agg(
-            F.sum("f").alias("f"), F.max("into").alias("into"), F.max("out").alias("out"))
+        first, last = _part("phrase", k, False), _part("phrase", k, True)
+        # An edge leaves its first node and arrives at its last; a stretch that ended further up ends here as well.
+        parts = [rows(level, first, f, nothing, f, nothing), rows(level.where(f >= least), last, nothing, f, nothing, nothing),
+                 rows(graph.where(F.col("words") == k), whole, f, nothing, nothing, f)]
+        if k < longest - 1:
+            parts.append(rows(level.where("ended > 0"), last, F.col("ended"), nothing, nothing, F.col("ended")))
+        level = reduce(DataFrame.unionAll, parts).groupBy("lang", "phrase").agg(
+            F.sum("f").alias("f"), F.max("into").alias("into"), F.max("out").alias("out"), F.sum("ended").alias("ended"))
         if k > 1:
             level = staged(level)
-        found = found.unionByName(level.where(F.col("f") >= least).withColumn("words", F.lit(k)))
+        found = found.unionByName(level.where(f >= least).drop("ended").withColumn("words", F.lit(k)))
     return found
 
 
@@ -238,7 +280,8 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longes
     if longest < 2:
         raise ValueError("phrases have two words or more")
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), whole_text(text_col).alias("text"))
-    graph, totals = grams(texts, longest, least, block, held)
+    graph = grams(texts, longest, least, block, held)
+    totals = graph.where("words = 0").select("lang", F.col("f").alias("n"))
     counts = staged(flow(graph, longest, least))
     paths = staged(compact(counts, longest))
     window = F.expr(f"transform(sequence(0, size(path) - {longest}), i -> array_join(slice(path, i + 1, {longest}), ' '))")
