@@ -21,95 +21,64 @@ from pyspark.sql import functions as F
 
 from sitewarden.llm.common import staged, whole_text
 
-#: Fitting: labelled rows and landmarks per language, and the most languages that are learned.
-PER_LANGUAGE, LANDMARKS, MOST_LANGUAGES = 300, 64, 200
-SYMBOLS = 64
+#: Fitting: labelled rows and landmarks per language.
+PER_LANGUAGE, LANDMARKS = 300, 64
 RIDGE = 1e-3
 SHARPNESS = 4.0
 UNKNOWN = "und"
-_EXACT = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
-#: Places for n-grams with a character outside the alphabet, found by a hash of the characters.
-_HASH_BITS = 17
-_TABLE = _EXACT + (1 << _HASH_BITS)
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-_BLOCK = 1 << 18
-_BATCH = 64
-
-
-class Presence:
-    """Which n-grams a text holds: those of the alphabet (the most frequent characters) have a place each, all others share
-    hashed places.
-    """
+#: Characters of a text that are cut into n-grams at once, and texts of one product.
+_BLOCK, _BATCH = 1 << 18, 64
+
+
+def ngrams(text: str) -> np.ndarray:
+    """The distinct n-grams of one to three characters, sorted: each is its code points at 21 bits, so any two stay apart."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4").astype(np.int64) + 1
+    found = np.empty(0, np.int64)
+    for k in range(0, len(points), _BLOCK):  # blocks overlap by two characters
+        p = points[k : k + _BLOCK + 2]
+        two = p[:-1] << 21 | p[1:]
+        part = np.unique(np.concatenate([p, two, two[:-1] << 21 | p[2:]]))
+        found = part if not len(found) else np.union1d(found, part)
+    return found
 
-    def __init__(self, alphabet: list[int]):
-        self.lookup = np.zeros(max(alphabet, default=0) + 2, np.int32)
-        for symbol, point in enumerate(alphabet, 1):
-            self.lookup[point] = symbol
-        self.table = np.zeros(_TABLE, bool)
-        one, s = np.arange(SYMBOLS) == 0, SYMBOLS
-        two = one[:, None] | one
-        self.other = np.flatnonzero(np.concatenate([one, two.ravel(), (two[:, :, None] | one).ravel(), np.zeros(_TABLE - s - s**2 - s**3, bool)]))
-
-    def of(self, text: str) -> np.ndarray:
-        """The table of n-grams; valid until the next call."""
-        self.table[:] = False
-        points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
-        for k in range(0, len(points), _BLOCK):  # blocks overlap by two characters
-            a = self.lookup[np.minimum(points[k : k + _BLOCK + 2], len(self.lookup) - 1)]
-            self.table[a] = True  # symbol 0 is any other character; what holds it is cleared at the end
-            self.table[SYMBOLS + SYMBOLS * a[:-1] + a[1:]] = True
-            self.table[SYMBOLS + SYMBOLS**2 + SYMBOLS * (SYMBOLS * a[:-2] + a[1:-1]) + a[2:]] = True
-            if not a.all():
-                self._hashed(points[k : k + _BLOCK + 2].astype(np.uint64), a == 0)
-        self.table[self.other] = False
-        return self.table
-
-    def _hashed(self, p: np.ndarray, other: np.ndarray) -> None:
-        for n in (1, 2, 3):
-            m = max(0, len(p) - n + 1)
-            at = np.flatnonzero(np.logical_or.reduce([other[i : i + m] for i in range(n)]))
-            h = np.full(len(at), n, np.uint64)
-            for i in range(n):
-                h = (h ^ p[at + i]) * _MIX[i]
-                h ^= h >> np.uint64(29)
-            self.table[_EXACT + (h * _MIX[0] >> np.uint64(64 - _HASH_BITS)).astype(np.int64)] = True
+
+def held_rows(grams: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+    """Which of the sorted ``grams`` each text holds."""
+    held = np.zeros((len(texts), len(grams)), np.float32)
+    if len(grams):
+        for row, own in zip(held, texts):
+            at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+            row[at[grams[at] == own]] = 1
+    return held
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
-    alphabet: list[int]
-    grams: np.ndarray  # n-grams that some landmark holds
+    grams: np.ndarray  # sorted n-grams that some landmark holds
     weights: np.ndarray  # one column per language
 
-    def scores(self, texts: list[str], presence: Presence) -> np.ndarray:
+    def scores(self, texts: list[str]) -> np.ndarray:
         """Regression values, one row per text."""
         out = np.zeros((len(texts), len(self.languages)))
         for k in range(0, len(texts), _BATCH):
-            part = texts[k : k + _BATCH]
-            held, norm = np.empty((len(part), len(self.grams)), np.float32), np.empty(len(part))
-            for i, text in enumerate(part):
-                table = presence.of(text)
-                held[i], norm[i] = table[self.grams], max(1, np.count_nonzero(table))
-            out[k : k + _BATCH] = held @ self.weights / np.sqrt(norm)[:, None]
+            part = [ngrams(t) for t in texts[k : k + _BATCH]]
+            norm = np.sqrt(np.maximum(1, np.array([len(g) for g in part])))
+            out[k : k + _BATCH] = held_rows(self.grams, part) @ self.weights / norm[:, None]
         return out
 
 
-def fit_kernel(held: np.ndarray, labels: np.ndarray, landmarks: np.ndarray, languages: list[str], alphabet: list[int],
-               ridge: float = RIDGE) -> LanguageModel:
-    """``held``: presence rows of the sample, eight n-grams to a byte; ``landmarks``: positions of the landmark rows among them.
+def fit_kernel(sample: list[np.ndarray], labels: np.ndarray, landmarks: np.ndarray, languages: list[str], ridge: float = RIDGE) -> LanguageModel:
+    """``sample``: the n-grams of each labelled row; ``landmarks``: positions of the landmark rows among them.
 
-    Only the n-grams of landmarks are unpacked, a few rows at a time, so the driver holds the packed rows and one matrix.
+    Only the n-grams of landmarks take part in products, a few rows at a time.
     """
-    norm = np.sqrt(np.maximum(1, np.bitwise_count(held).sum(axis=1, dtype=np.int64))).astype(np.float64)
-    grams = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(held[landmarks], axis=0)))
-
-    def unpacked(rows: np.ndarray) -> np.ndarray:
-        return np.unpackbits(rows, axis=1)[:, grams].astype(np.float32)
-
-    marks = np.concatenate([unpacked(held[landmarks[k : k + _BATCH]]) for k in range(0, len(landmarks), _BATCH)])
+    norm = np.sqrt(np.maximum(1, np.array([len(g) for g in sample]))).astype(np.float64)
+    grams = np.unique(np.concatenate([sample[i] for i in landmarks])) if len(landmarks) else np.empty(0, np.int64)
+    marks = held_rows(grams, [sample[i] for i in landmarks])
     marks /= norm[landmarks].astype(np.float32)[:, None]
-    kernel = np.concatenate([unpacked(held[k : k + _BATCH]) @ marks.T for k in range(0, len(held), _BATCH)]).astype(np.float64) / norm[:, None]
+    kernel = np.concatenate([held_rows(grams, sample[k : k + _BATCH]) @ marks.T for k in range(0, len(sample), _BATCH)])
+    kernel = kernel.astype(np.float64) / norm[:, None]
     values, vectors = np.linalg.eigh(kernel[landmarks])
     solid = values > 1e-8 * values.max()
     project = vectors[:, solid] / np.sqrt(values[solid])
@@ -117,54 +86,42 @@ def fit_kernel(held: np.ndarray, labels: np.ndarray, landmarks: np.ndarray, lang
     target = np.where(labels[:, None] == np.arange(len(languages)), 1.0, -1.0)
     gram = features.T @ features + ridge * len(features) * np.eye(features.shape[1])
     dual = project @ np.linalg.solve(gram, features.T @ target)
-    return LanguageModel(languages, alphabet, grams, marks.T @ dual.astype(np.float32))
+    return LanguageModel(languages, grams, marks.T @ dual.astype(np.float32))
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE,
         landmarks: int = LANDMARKS) -> LanguageModel | None:
     """A model of the languages in ``labelled``; null where no row has text and language.
 
-    The sample is the ``per_language`` rows of each language with the smallest hash of their id.
+    The sample is the ``per_language`` rows of each language with the smallest hash of their id and text; very long texts are read whole.
     """
     rows = labelled.select(F.xxhash64(id_col, whole_text(text_col)).alias("h"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
     rows = rows.where(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
     order = Window.partitionBy("l").orderBy("h")
     chosen = rows.select("h", "l").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
     chosen = staged(chosen)
-    languages = [r.l for r in chosen.select("l").distinct().orderBy("l").limit(MOST_LANGUAGES + 1).collect()]
-    if not languages:
-        return None
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    # At most per_language x MOST_LANGUAGES rows of a hash and a name.
-    sample = staged(rows.join(F.broadcast(chosen), ["h", "l"]).dropDuplicates(["h", "l"]))
-
-    def characters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for text in batch["t"]:
-                points, counts = np.unique(np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4"), return_counts=True)
-                yield pd.DataFrame({"point": points.astype(np.int64), "n": counts.astype(np.int64)})
-
-    common = sample.mapInPandas(characters, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    alphabet = sorted(r.point for r in common.orderBy(F.desc("n"), "point").limit(SYMBOLS - 1).collect())
+    # per_language rows of a hash and a name for each language.
+    sample = staged(rows.join(chosen, ["h", "l"]).dropDuplicates(["h", "l"]))
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        presence = Presence(alphabet)
         for batch in batches:
-            yield pd.DataFrame({"l": batch["l"], "n": batch["n"], "bits": [np.packbits(presence.of(t)).tobytes() for t in batch["t"]]})
+            yield pd.DataFrame({"l": batch["l"], "n": batch["n"], "grams": [ngrams(t).tobytes() for t in batch["t"]]})
 
-    found = sample.mapInPandas(held, "l string, n int, bits binary").orderBy("l", "n").collect()
-    bits = np.frombuffer(b"".join(bytes(r.bits) for r in found), np.uint8).reshape(len(found), -1)
+    found = sample.mapInPandas(held, "l string, n int, grams binary").orderBy("l", "n").collect()
+    if not found:
+        return None
+    languages = sorted({r.l for r in found})
     labels = np.array([languages.index(r.l) for r in found])
     marks = np.flatnonzero([r.n <= landmarks for r in found])
-    return fit_kernel(bits, labels, marks, languages, alphabet)
+    return fit_kernel([np.frombuffer(bytes(r.grams), np.int64) for r in found], labels, marks, languages)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """``id``, ``lang_pred`` and ``score`` per row (all columns of ``docs`` besides, with ``keep``).
 
     Null, empty and letterless texts are ``und`` with score 0, as is every text without a model. The score is the soft
-    maximum of the regression values. Repeated rows are scored alike; an empty table gives no rows.
+    maximum of the regression values; of equal values the first language by name counts. Repeated rows are scored alike, very long texts whole;
+    an empty table gives no rows.
     """
 
     @F.pandas_udf("lang string, value double")
@@ -172,7 +129,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
         lang, value = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
         worded = [i for i, t in enumerate(texts) if next(filter(str.isalpha, t), None) is not None]
         if worded and model is not None:
-            scores = SHARPNESS * model.scores([texts.iloc[i] for i in worded], Presence(model.alphabet))
+            scores = SHARPNESS * model.scores([texts.iloc[i] for i in worded])
             share = np.exp(scores - scores.max(axis=1, keepdims=True))
             share /= share.sum(axis=1, keepdims=True)
             lang[worded] = np.array(model.languages, object)[share.argmax(axis=1)]

@@ -18,16 +18,13 @@ def plain_kernel(a, b):
 
 def test_kernel_and_regression():
     texts = ["the cat sat on the mat", "un chat est assis là", "the dog and the bird", "le chien et l'oiseau là"]
-    alphabet = sorted({ord(c) for t in texts for c in t})
-    presence = L.Presence(alphabet)
-    held = np.stack([presence.of(t).copy() for t in texts])
     labels, marks = np.array([0, 1, 0, 1]), np.arange(4)
-    model = L.fit_kernel(np.packbits(held, axis=1), labels, marks, ["en", "fr"], alphabet, ridge=0.01)
+    model = L.fit_kernel([L.ngrams(t) for t in texts], labels, marks, ["en", "fr"], ridge=0.01)
     k = np.array([[plain_kernel(a, b) for b in texts] for a in texts])
     dual = np.linalg.solve(k + 0.04 * np.eye(4), np.where(labels[:, None] == [0, 1], 1.0, -1.0))
-    new = "the mat là"
+    new = "the mat là 日本 \U0001f600"
     want = np.array([plain_kernel(new, t) for t in texts]) @ dual
-    assert np.allclose(model.scores([new], presence)[0], want, atol=1e-4)
+    assert np.allclose(model.scores([new])[0], want, atol=1e-4)
 
 
 @pytest.fixture(scope="module")
@@ -72,8 +69,22 @@ def test_scripts_outside_the_alphabet(spark):
 
 
 def test_blocks(monkeypatch):
-    text = "".join(chr(97 + i * i % 23) for i in range(1000))
-    presence = L.Presence(list(range(97, 120)))
-    whole = presence.of(text).copy()
+    text = "".join(chr(97 + i * i % 23) for i in range(1000)) + "日本語 ёЁ" * 20
+    whole = L.ngrams(text)
+    low = text.lower()
+    assert len(whole) == len({low[i : i + n] for n in (1, 2, 3) for i in range(len(low) - n + 1)})
     monkeypatch.setattr(L, "_BLOCK", 7)
-    assert (presence.of(text) == whole).all()
+    assert (L.ngrams(text) == whole).all()
+
+
+def test_many_languages(spark):
+    rng = np.random.default_rng(4)
+    docs = []
+    for k in range(230):
+        points = [int(c) for c in rng.choice(np.arange(0x4E00, 0x9000), 12)]
+        docs += [(f"l{k:03}", "".join(chr(points[j]) for j in rng.integers(0, 12, 40))) for _ in range(3)]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(docs)], "doc_id long, text string, lang string")
+    model = L.fit(df.where("doc_id % 3 < 2"), landmarks=2)
+    assert len(model.languages) == 230
+    got = {r.doc_id: r.lang_pred for r in L.predict(df, model).collect()}
+    assert np.mean([got[i] == docs[i][0] for i in range(2, len(docs), 3)]) > 0.9
