@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from sitewarden.llm.common import whole_text
 
-#: Pieces that a worker remembers, the longest of them, and the texts whose new pieces are encoded together.
-CACHED_PIECES, LONG_PIECE, TEXTS_AT_ONCE = 200_000, 64, 128
+#: Pieces that a worker remembers, the longest of them, and the texts, characters and pieces of a text that are split at once.
+CACHED_PIECES, LONG_PIECE, TEXTS_AT_ONCE, CHARS_AT_ONCE, PIECES_AT_ONCE = 200_000, 64, 128, 1 << 19, 50_000
+#: Bytes of new pieces that are encoded together, and the size from which a piece is encoded on its own, byte after byte.
+NEW_BYTES, ALONE = 1 << 19, 1024
 CACHED_PAIRS = 500_000
 
 
@@ -268,24 +270,64 @@ class TextEncoder:
         self.vocabulary = Vocabulary.load(path)
         self.pieces = PieceEncoder(self.vocabulary)
         # White space as Unicode defines it, whatever the regular expression library takes it for.
-        self._find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        compiled = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        self._find, self._each = compiled.findall, compiled.finditer
         self._known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian 32-bit numbers; the new pieces of a few texts are encoded together."""
-        out, known = [], self._known
-        for k in range(0, len(texts), TEXTS_AT_ONCE):
-            split = [self._find(t) for t in texts[k : k + TEXTS_AT_ONCE]]
-            new = list(set().union(*split) - known.keys())
-            known.update(zip(new, self.pieces.encode([p.encode() for p in new])))
-            out += [b"".join([known[p] for p in pieces]) for pieces in split]
-            for p in new:
-                if len(p) > LONG_PIECE:
-                    del known[p]
-            if len(known) > CACHED_PIECES:
-                known.clear()
+        """Ids as little-endian 32-bit numbers; the new pieces of a few texts are encoded together, a very long text in parts."""
+        out: list[bytes] = []
+        some: list[str] = []
+        for text in texts:
+            if some and (len(some) == TEXTS_AT_ONCE or sum(map(len, some)) + len(text) > CHARS_AT_ONCE):
+                out += self._joined([self._find(t) for t in some])
+                some = []
+            if len(text) > CHARS_AT_ONCE:
+                out.append(b"".join(self._joined([part])[0] for part in self._parts(text)))
+            else:
+                some.append(text)
+        return out + self._joined([self._find(t) for t in some])
+
+    def _parts(self, text: str) -> Iterator[list[str]]:
+        """The pieces of a long text, a limited number and size at once."""
+        part, size = [], 0
+        for found in self._each(text):
+            part.append(found.group())
+            size += len(part[-1])
+            if len(part) == PIECES_AT_ONCE or size > CHARS_AT_ONCE:
+                yield part
+                part, size = [], 0
+        if part:
+            yield part
+
+    def _joined(self, split: list[list[str]]) -> list[bytes]:
+        known = self._known
+        new = list(set().union(*split) - known.keys())
+        for at in self._batches(new):
+            known.update(zip(at, self.pieces.encode([p.encode() for p in at])))
+        out = [b"".join([known[p] for p in pieces]) for pieces in split]
+        for p in new:
+            if len(p) > LONG_PIECE:
+                del known[p]
+        if len(known) > CACHED_PIECES:
+            known.clear()
         return out
 
+    def _batches(self, new: list[str]) -> Iterator[list[str]]:
+        """New pieces, some bytes at once; a very long one is encoded right here, by its plain prefix table."""
+        batch, size = [], 0
+        for p in new:
+            if len(p) >= ALONE:
+                self._known[p] = np.array(PrefixEncoding(self.vocabulary, p.encode()).ids(), "<i4").tobytes()
+                continue
+            batch.append(p)
+            size += len(p)
+            if size > NEW_BYTES // 4:  # up to four bytes a character
+                yield batch
+                batch, size = [], 0
+        if batch:
+            yield batch
+
 
 @lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str) -> TextEncoder:
@@ -312,7 +354,8 @@ def _decoded(tokens: dict[int, bytes], ids: pa.ListArray) -> pa.Array:
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """``id`` and ``ids`` (array of int) of every whole text; null and empty texts give an empty array.
 
-    With ``decoded`` the ids are decoded again in the same task, as ``decode`` would.
+    With ``decoded`` the ids are decoded again in the same task, as ``decode`` would. Ids of rows may be null or repeat, each row is encoded for itself; an
+    empty table gives no rows; very long texts and pieces are encoded in parts of limited size; other columns play no part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -63,6 +63,15 @@ def test_edit_stops_early(vocabulary):
     assert e.last == B.PrefixEncoding(vocabulary, e.data).last
 
 
+def test_long_texts_and_pieces(library):
+    encoder, rng = B.TextEncoder(PATH, P.PATTERN), random.Random(6)
+    words = " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(250_000))
+    run = "".join(rng.choices("abc", k=60_000))
+    texts = ["short", words, "x " + run + " y", " " * 30_000 + "b", "end"]
+    for t, ids in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(ids, "<i4").tolist() == library.encode_ordinary(t)
+
+
 def test_frames(spark, library):
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate([None, *ODD])] + [(None, "x", 2), (1, "twice", 1), (1, "twice", 1)], "doc_id long, text string, ids int")
     rows = B.decode(B.encode(docs, PATH, P.PATTERN), PATH).collect()
