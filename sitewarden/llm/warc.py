@@ -16,8 +16,9 @@ import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewarden.llm.common import staged, staged_folder
@@ -26,7 +27,9 @@ LEAST_SHARED = 100
 SHARD_BYTES = 16 << 20
 FILE_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
-SAMPLED_PER_SHARD = 64
+SAMPLED = 1 << 16
+#: A row without an id sorts first.
+_NO_ID = -(1 << 63)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 _MANIFEST = "shard int, number int, temporary string, final string, records long, bytes long, sha256 string"
@@ -154,13 +157,29 @@ class _Files:
             self.out = None
 
 
-def _range_limits(pages: DataFrame, shards: int, rows: int) -> list[int]:
-    """Ids that part the table into ranges of about equal numbers of rows; a fixed number of ids per shard is looked at."""
+def _id():
+    return F.coalesce("page_id", F.lit(_NO_ID).cast("long"))
+
+
+def _range_limits(seen: DataFrame, shards: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of id and digest hash that part the table into ranges of about equal numbers; some ``SAMPLED`` pairs are looked at, however large it is."""
     if shards < 2:
-        return []
-    every = max(1, rows // (SAMPLED_PER_SHARD * shards))
-    ids = sorted({r[0] for r in pages.where(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).select("page_id").distinct().collect() if r[0] is not None})
-    return sorted({ids[len(ids) * i // shards] for i in range(1, shards)}) if ids else []
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    pairs = seen.select(_id().alias("i"), F.xxhash64("digest").alias("h"))
+    some = pairs.where(F.pmod(F.xxhash64("i", "h"), F.lit(max(1, rows // SAMPLED))) == 0).distinct()
+    found = sorted((r.i, r.h) for r in some.collect())
+    chosen = sorted({found[len(found) * k // shards] for k in range(1, shards)}) if found else []
+    return np.array([i for i, _ in chosen], np.int64), np.array([h for _, h in chosen], np.int64)
+
+
+def shard_of(ids: np.ndarray, hashes: np.ndarray, limits: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The range of each pair: the limits at or below it."""
+    low, high = np.searchsorted(limits[0], ids, "left"), np.searchsorted(limits[0], ids, "right")
+    for a in np.unique(low[low < high]).tolist():  # ids that several ranges share
+        here = np.flatnonzero((low == a) & (high > low))
+        b = int(high[here[0]])
+        low[here] = a + np.searchsorted(limits[1][a:b], hashes[here], "right")
+    return low
 
 
 def revisits(seen: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
@@ -186,14 +205,17 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     seen = staged(rows.select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("bytes")))
     total, count = seen.agg(F.sum("bytes"), F.count(F.lit(1))).first()
     shards = max(1, -(-(total or 0) // shard_bytes))
-    limits = _range_limits(seen, shards, count)
-    shard: Column = F.lit(0)
-    if limits:
-        shard = F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x <= F.coalesce(F.col("page_id"), F.lit(limits[0] - 1))))
+    limits = pages.sparkSession.sparkContext.broadcast(_range_limits(seen, shards, count))
+
+    @F.pandas_udf("int")
+    def shard(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(shard_of(ids.to_numpy(np.int64), hashes.to_numpy(np.int64), limits.value).astype(np.int32))
+
     marks = revisits(seen).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to")
     both = marks.unionByName(rows.withColumns({"digest": F.sha2("payload", 256), "refers_to": F.lit(None).cast("long")}))
-    dealt = both.withColumn("shard", shard).withColumn("page", F.col("payload").isNotNull())
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "page", "digest", "url")
+    # Ranges of (id, digest): a mark lies with the page it is for, and rows without id, or with one id, are spread by what they hold.
+    dealt = both.withColumn("shard", shard(_id(), F.xxhash64("digest"))).withColumn("page", F.col("payload").isNotNull())
+    dealt = dealt.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "page", "url")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, of, known = _Files(folder, file_bytes), None, {}

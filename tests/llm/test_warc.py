@@ -52,6 +52,14 @@ def test_same_files_each_time(spark, tmp_path):
     assert seen[0] == seen[1]
 
 
+def test_one_id_and_no_id_are_spread(spark, tmp_path):
+    rows = [(None, "u", f"<p>{i}</p>" * 40) for i in range(200)] + [(5, "u", f"<b>{i}</b>" * 40) for i in range(200)] + [(6, "u", "<b>7</b>" * 40)]
+    manifest = warc.write_archives(frame(spark, rows), f"file://{tmp_path}/w", shard_bytes=8_000, file_bytes=1 << 20).collect()
+    assert len(manifest) > 8 and max(r.records for r in manifest) < 100
+    back = warc.read_archives(spark, f"file://{tmp_path}/w").collect()
+    assert len(back) == 401 and [(r.page_id, r.refers_to) for r in back if r.record_type == "revisit"] == [(6, 5)]
+
+
 def test_damage_is_found():
     data = warc.record(1, "u", b"payload", None)
     assert warc.parsed(data)[:1] == (1,)
