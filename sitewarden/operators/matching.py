@@ -8,7 +8,8 @@ Scoring every pair of a date window is quadratic in the busiest date, so the sea
    the least name score a link would still need; pairs that cannot reach it are gone before any name is read;
 3. an equal name is the best any context can offer, and it is found by an equi-join on date and name. Similar names
    are searched only in contexts that could still beat the act's best equal-name score;
-4. that search meets on (date, context pair, salt). The salt splits a context that one date repeats often; bounds from the
+4. dates are taken one gap after the other, and an act goes on to the next only if that could beat what it has found; a search
+   meets on (context pair, salt). The salt splits a context that one date repeats often; bounds from the
    names' lengths and shared characters drop pairs that can neither reach the threshold nor what the act has already,
    before any name is compared.
 
@@ -268,46 +269,62 @@ def best_match(
     # 3. contexts: which pairs of them could still give an act something better -------------------------------------
     open_profiles = act_profiles.join(equal, "profile", "left").withColumn(
         "beaten", F.coalesce(-F.col("hit.minus"), F.lit(0.0))
-    )
-    act_contexts = open_profiles.groupBy(*act_context).agg(
-        F.min("profile").alias("act_context"), F.min("beaten").alias("least_beaten")
-    )
-    inc_contexts = inc_profiles.groupBy(*inc_context).agg(
+    ).drop("hit")
+    inc_contexts = staged(inc_profiles.groupBy(*inc_context).agg(
         F.min("incident_id").alias("inc_context"),
         F.ceil(F.count(F.lit(1)) / F.lit(_ROWS_PER_SALT)).cast("int").alias("salts"),
-    )
-    scored = (
-        with_context_scores(spread(act_contexts).join(inc_contexts, "day"))
-        .withColumn("ceiling", total(F.lit(1.0)))
-        .where((F.col("ceiling") >= threshold - _SLACK) & (F.col("ceiling") > F.col("least_beaten")))
-        .select("act_context", "inc_context", "salts", "s_date", "s_company", "s_region", "s_injury", "ceiling")
-    )
-
+    ))
     bags = () if bag_bound is None else ("a_bag", "i_bag")
-
-    # 4. similar names ----------------------------------------------------------------------------------------
-    asking = (
-        open_profiles.join(act_contexts, list(act_context))
-        .select("profile", "a_name", *bags[:1], "beaten", "act_context")
-        .join(scored, "act_context")
-        .where(F.col("ceiling") > F.col("beaten"))
-        # A name must lift the score over the threshold and to what the act has already.
-        .withColumn("name_needed", (F.greatest(F.lit(threshold), F.col("beaten")) - F.lit(_SLACK) - total(F.lit(0.0))) / F.lit(w.name))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    )
+    names = F.col("a_name"), F.col("i_name")
     offered = inc_profiles.join(inc_contexts, list(inc_context)).select(
         "inc_context", "incident_id", "i_name", *bags[1:], F.pmod(F.xxhash64("incident_id"), F.col("salts")).cast("int").alias("salt")
     )
-    names = F.col("a_name"), F.col("i_name")
-    near = asking.join(offered, ["inc_context", "salt"]).where((names[0] != names[1]) & (bound(*names) >= F.col("name_needed")))
-    if bags:
-        near = near.where(bag_bound(F.size(F.array_intersect(*bags)), *names) >= F.col("name_needed")).drop(*bags)
-    named = computed_once(near, {"s_name": ratio(F.col("a_name"), F.col("i_name"), F.col("name_needed"))})
-    similar = best_of(
-        named.withColumn("score", total(F.col("s_name"))).where(
-            (F.col("score") >= threshold) & (F.col("score") >= F.col("beaten"))
+
+    def open_contexts(contexts: DataFrame, gap: int) -> DataFrame:
+        """Pairs of contexts that lie ``gap`` days apart and whose best total reaches the threshold and exceeds what all their acts have."""
+        around = [F.col("a_date")] if gap == 0 else [F.date_sub("a_date", gap), F.date_add("a_date", gap)]
+        met = contexts.withColumn("day", F.explode(F.array(*around))).join(inc_contexts, "day")
+        return (
+            with_context_scores(met)
+            .withColumn("ceiling", total(F.lit(1.0)))
+            .where((F.col("ceiling") >= threshold - _SLACK) & (F.col("ceiling") > F.col("least_beaten")))
+            .select("act_context", "inc_context", "salts", "s_date", "s_company", "s_region", "s_injury", "ceiling")
         )
-    )
+
+    # 4. similar names ----------------------------------------------------------------------------------------
+    def similar_names(profiles: DataFrame, gap: int) -> DataFrame:
+        """Best incident ``gap`` days apart with a similar name, where it lifts a profile to the threshold and to what it has."""
+        contexts = profiles.groupBy(*act_context).agg(F.min("profile").alias("act_context"), F.min("beaten").alias("least_beaten"))
+        asking = (
+            profiles.join(contexts, list(act_context))
+            .select("profile", "a_name", *bags[:1], "beaten", "act_context")
+            .join(open_contexts(contexts, gap), "act_context")
+            .where(F.col("ceiling") > F.col("beaten"))
+            .withColumn("name_needed", (F.greatest(F.lit(threshold), F.col("beaten")) - F.lit(_SLACK) - total(F.lit(0.0))) / F.lit(w.name))
+            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        )
+        near = asking.join(offered, ["inc_context", "salt"]).where((names[0] != names[1]) & (bound(*names) >= F.col("name_needed")))
+        if bags:
+            near = near.where(bag_bound(F.size(F.array_intersect(*bags)), *names) >= F.col("name_needed")).drop(*bags)
+        named = computed_once(near, {"s_name": ratio(*names, F.col("name_needed"))})
+        return best_of(
+            named.withColumn("score", total(F.col("s_name"))).where(
+                (F.col("score") >= threshold) & (F.col("score") >= F.col("beaten"))
+            )
+        )
+
+    # Nearer dates first: what an act finds there mostly exceeds all that a date further off could give.
+    similar = None
+    for gap in range(days + 1):
+        most = w.date * (1 - gap / 4) + w.name + w.company + w.region + w.injury
+        open_profiles = staged(open_profiles.where(F.col("beaten") < most))
+        found = staged(similar_names(open_profiles, gap))
+        raised = found.select("profile", (-F.col("hit.minus")).alias("raised"))
+        open_profiles = open_profiles.join(raised, "profile", "left").withColumn(
+            "beaten", F.greatest("beaten", F.coalesce("raised", F.lit(0.0)))).drop("raised")
+        similar = found if similar is None else similar.unionByName(found)
+    if similar is None:
+        similar = equal.where(F.lit(False))
 
     # the better of both per profile, then back to the acts -----------------------------------------------------------
     best = equal.unionByName(similar).groupBy("profile").agg(F.min("hit").alias("hit"))
