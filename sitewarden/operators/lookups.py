@@ -15,6 +15,7 @@ MAX_PAGE = 1000
 #: Rows that are simply taken from the head, and ranges of one count.
 SHALLOW, PAGE_RANGES = 10_000, 64
 
+# The columns of the lists, in their order.
 INCIDENT_BRIEF = (
     "id",
     "incident_date",

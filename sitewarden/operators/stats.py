@@ -10,6 +10,7 @@ from sitewarden.schemas import PERSON
 
 POSITION_UNKNOWN = "не указано"
 
+# The columns of the digest, in their order.
 DIGEST_COLUMNS = (
     "ai_summary",
     "root_causes",

@@ -87,6 +87,7 @@ def _table(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
+# Fixed values from here on: names and types of the stored fields, in their order.
 INCIDENT = _table(
     id=_STR,
     incident_date=_DATE,

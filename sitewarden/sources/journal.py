@@ -57,6 +57,8 @@ PREFIX_HEADERS = {
 REQUIRED = ("incident_date", "company", "classification", "region", "location", "investigation_status")
 HEADER_MIN_HITS = 4
 NO_DESCRIPTION = "Нет описания"
+NO_HEADER, NO_COLUMNS = "Не удалось определить строку заголовка", "Отсутствуют обязательные колонки: "
+WRONG_VALUE, MISSING_VALUE = "Некорректное значение для {field}: '", "missing required fields after parsing"
 # Cell texts a spreadsheet reader takes for a missing value.
 MISSING_CELLS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -176,9 +178,9 @@ def locate_columns(headers: DataFrame) -> DataFrame:
 
 def rejected_files(located: DataFrame) -> DataFrame:
     """Files without a header or without a required column: ``file, reason``."""
-    reason = F.when(~F.col("accepted"), F.lit("Не удалось определить строку заголовка")).when(
+    reason = F.when(~F.col("accepted"), F.lit(NO_HEADER)).when(
         F.size("missing") > 0,
-        F.concat(F.lit("Отсутствуют обязательные колонки: "), F.array_join("missing", ", ")),
+        F.concat(F.lit(NO_COLUMNS), F.array_join("missing", ", ")),
     )
     return located.select("file", reason.alias("reason")).where(F.col("reason").isNotNull())
 
@@ -239,7 +241,7 @@ def conform_enum(c: Column, domain: tuple[str, ...]) -> Column:
 
 def _enum_error(raw: Column, conformed: Column, field: str) -> Column:
     """Message for a non-null text outside the domain, null otherwise."""
-    message = F.concat(F.lit(f"Некорректное значение для {field}: '"), strip(raw), F.lit("'"))
+    message = F.concat(F.lit(WRONG_VALUE.format(field=field)), strip(raw), F.lit("'"))
     return F.when(raw.isNotNull() & conformed.isNull(), message)
 
 
@@ -282,7 +284,7 @@ def map_journal_rows(rows: DataFrame) -> DataFrame:
 def split_valid(mapped: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(good rows, errors)``; an error row has ``file, row_no, message``."""
     missing = ~present(F.col("location")) | F.greatest(*[F.col(f).isNull().cast("int") for f in REQUIRED]).cast("boolean")
-    text = F.coalesce(F.col("error"), F.when(missing, F.lit("missing required fields after parsing")))
+    text = F.coalesce(F.col("error"), F.when(missing, F.lit(MISSING_VALUE)))
     judged = mapped.withColumn("failure", text)
     good = judged.where(F.col("failure").isNull()).drop("failure", "error")
     message = F.concat(F.lit("Row "), F.col("row_no").cast("string"), F.lit(": "), F.col("failure"))
