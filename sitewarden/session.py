@@ -67,6 +67,21 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_staged: list[str] = []
+
+
+def staged_so_far() -> int:
+    return len(_staged)
+
+
+def release_staged(spark: SparkSession, since: int) -> None:
+    """Remove what was staged from the ``since``-th table on, but for the newest: for a chain whose results are each written before the next."""
+    for path in _staged[since:-1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _staged[since:-1] = []
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
@@ -75,4 +90,5 @@ def staged(df: DataFrame) -> DataFrame:
     """
     path = scratch_folder(df.sparkSession, "staged")
     df.write.parquet(path)
+    _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
