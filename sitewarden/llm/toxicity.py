@@ -191,7 +191,11 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
 
 
 def predict(docs: DataFrame, chain: Chain | None, categories: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` and one probability ``p_<category>`` for every row; null text is empty, and without a chain all are 0."""
+    """``id`` and one probability ``p_<category>`` for every row; null text is empty, and without a chain all are 0.
+
+    Rows that repeat get the same probabilities, a tie at 0.5 is left to the caller, very long texts are read whole, an empty table gives no rows, and other
+    columns play no part.
+    """
 
     @F.pandas_udf("array<double>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
