@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import string
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewarden.session import ensure_checkpoint_dir, ship_package, staged
+from sitewarden.session import scratch_folder, ship_package, staged
 
-__all__ = ["ascii_lower", "ship_package", "staged", "staged_folder", "table", "whole_text"]
+__all__ = ["ascii_lower", "row_key", "ship_package", "staged", "staged_folder", "table", "whole_text"]
 
 
 #: Rows that a Python worker gets at once, where the session does not say: texts may be very long.
@@ -36,6 +35,12 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
+def row_key(id_col: str, text: Column) -> Column:
+    """128 bits that stand for a row's id and whole text."""
+    name = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(name, F.lit("\0"), text)))
+
+
 def staged_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared folder."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder name in this application's part of the shared folder, which ``clean_staged`` removes."""
+    return scratch_folder(spark, name)

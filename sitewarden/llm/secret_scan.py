@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitewarden.llm.common import staged, whole_text
+from sitewarden.llm.common import row_key, staged, whole_text
 
 # The base kinds in their order, their patterns and the least length of what counts.
 ASSIGN = (
@@ -64,7 +64,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner: Column, repos
         F.coalesce(repository.cast("string"), F.lit("")).alias("repository"), whole_text(text_col).alias("text"),
     )
     found = rows.select(
-        "id", "owner", "repository", F.xxhash64("id", "text").alias("key"),
+        "id", "owner", "repository", row_key("id", F.col("text")).alias("key"),
         *[_spans("text", k, i, p, g, n).alias(k) for i, (k, p, g, n) in enumerate(KINDS)],
         F.when(F.col("text").rlike(OWNED), F.col("text")).alias("text"),
     )
@@ -153,7 +153,7 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     some = F.lit(False)
     for pattern in (ASSIGN, ACCESS, HEX, MIXED):
         some = some | whole_text(text_col).rlike(pattern)
-    rows = docs.where(some).select(F.struct(*docs.columns).alias("_row"), F.xxhash64(F.col(id_col), whole_text(text_col)).alias("_own"))
+    rows = docs.where(some).select(F.struct(*docs.columns).alias("_row"), row_key(id_col, whole_text(text_col)).alias("_own"))
     hit, text = F.col("_spans").isNotNull(), F.col("_row")[text_col]
     out = rows.join(live, F.col("_own") == F.col("_key"), "left").withColumn("_new", F.when(hit, mask(text, F.col("_spans"))).otherwise(text))
     changed = {text_col: F.col("_new")}

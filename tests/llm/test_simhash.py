@@ -57,10 +57,10 @@ def rows():
     return out + [(None, "alone without id " * 9), (None, texts[0]), out[5], out[5]]
 
 
-@pytest.mark.parametrize("levels", [1, 3, 4])
-def test_components(spark, rows, levels):
+@pytest.mark.parametrize("leaf", [4, 40, 32_768])
+def test_components(spark, rows, leaf):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, fp int")
-    got = S.near_duplicates(docs, levels=levels).withColumn("fp", S.fingerprint_hex()).select("doc_id", "fp", "component_id").collect()
+    got = S.near_duplicates(docs, leaf=leaf).withColumn("fp", S.fingerprint_hex()).select("doc_id", "fp", "component_id").collect()
     assert sorted((tuple(r) for r in got), key=str) == plain_components(rows)
 
 
@@ -70,7 +70,7 @@ def test_long_text_in_blocks():
 
 
 def test_links_of_close_fingerprints(spark):
-    """Random families, chains and a shard dealt out in blocks give the components of all pairs."""
+    """Random families and chains give the components of all pairs, with leaves of any size, also dealt out in blocks."""
     rng = np.random.default_rng(3)
     seeds = [int(x) for x in rng.integers(0, 1 << 63, 40)]
     fps = set(seeds) | {0, (1 << 64) - 1}
@@ -84,8 +84,8 @@ def test_links_of_close_fingerprints(spark):
     df = spark.createDataFrame([(S._signed(x),) for x in fps], "fp long")
     from sitewarden.llm.components import components
 
-    for block in (20_000, 7):
-        got = {r.node: r.root for r in components(S.links(df, block=block)).collect()}
+    for leaf, block in ((32_768, 65_536), (32_768, 7), (16, 65_536), (16, 5)):
+        got = {r.node: r.root for r in components(S.links(df, leaf=leaf, block=block)).collect()}
         label = {x: x for x in fps}
 
         def find(x):
@@ -106,6 +106,26 @@ def test_links_of_close_fingerprints(spark):
         assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
 
 
+def test_visits_cover_every_near_pair_and_stay_few():
+    rng = np.random.default_rng(8)
+    fps = rng.integers(0, 1 << 63, 30_000).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, 30_000).astype(np.uint64)
+    tree = S.Tree(rng.permutation(fps)[:8192], 8)
+    flips = np.zeros(len(fps), np.uint64)
+    for _ in range(3):
+        flips |= np.uint64(1) << rng.integers(0, 64, len(fps)).astype(np.uint64)
+    sides = []
+    for side in (fps, fps ^ flips):
+        leaf, row, own = tree.descend(side, 3)
+        assert (np.bincount(row[own], minlength=len(side)) == 1).all()
+        sides.append((set(zip(row.tolist(), leaf.tolist())), dict(zip(row[own].tolist(), leaf[own].tolist()))))
+    for i in range(len(fps)):
+        later = max(sides[0][1][i], sides[1][1][i])
+        assert (i, later) in sides[0][0] and (i, later) in sides[1][0]
+    home = np.bincount([*sides[0][1].values()], minlength=512)[256:]
+    assert home.max() < 12 * len(fps) / 256  # the medians keep the leaves alike
+    assert len(sides[0][0]) < 40 * len(fps)
+
+
 def test_empty(spark):
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
