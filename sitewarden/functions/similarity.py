@@ -179,8 +179,8 @@ def levenshtein_bound(a: Column, b: Column) -> Column:
 
 def bag(text: Column) -> Column:
     """The characters of a text, each with its number among its like: sets of these intersect as bags of characters do."""
-    letters = F.array_sort(F.split(text, ""))
-    return F.transform(letters, lambda c, i: F.concat(c, (i + 1 - F.array_position(letters, c)).cast("string")))
+    letters = F.array_sort(F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long")))
+    return F.transform(letters, lambda c, i: F.shiftleft(c, 32) + (i + 1 - F.array_position(letters, c)))
 
 
 def ratcliff_bag_bound(common: Column, a: Column, b: Column) -> Column:

@@ -4,16 +4,15 @@ The score of a pair is 0.35 date + 0.30 name + 0.20 company + 0.10 region + 0.05
 Scoring every pair of a date window is quadratic in the busiest date, so the search is blocked exactly:
 
 1. copies collapse: rows equal in everything the score looks at are one profile (partial aggregate, then shuffle);
-2. company, region and severity make up a *context*. Contexts meet per date, and each pair of contexts gets
-   the least name score a link would still need; pairs that cannot reach it are gone before any name is read;
-3. an equal name is the best any context can offer, and it is found by an equi-join on date and name. Similar names
-   are searched only in contexts that could still beat the act's best equal-name score;
-4. dates are taken one gap after the other, and an act goes on to the next only if that could beat what it has found; a search
-   meets on (context pair, salt). The salt splits a context that one date repeats often; bounds from the
-   names' lengths and shared characters drop pairs that can neither reach the threshold nor what the act has already,
-   before any name is compared.
-
-No step drops a pair that could reach the threshold. Profiles, text similarities and equal-name results are staged in the
+2. company, region and severity make up a *kind*, which no date is part of; two kinds are scored once, whatever the number of dates
+   they meet on, and pairs that cannot reach the threshold with an equal name on the same date are gone before any name is read;
+3. an equal name is the best any context (a kind on a date) can offer, and it is found by an equi-join on date and name;
+4. similar names are searched in bands of the total that a pair of contexts could reach at most, the best first: an act goes on to
+   the next band only if that could beat what it has found. A search meets on (date, kind, salt). The salt splits a context
+   that one date repeats often; bounds from the names' lengths and shared characters drop pairs that can neither reach the threshold
+   nor what the act has already, before any name is compared.
+
+No step drops a pair that could reach the threshold. Profiles, pairs of kinds and what each band found are staged in the
 shared folder, because several later steps read them.
 """
 
@@ -60,6 +59,8 @@ class Weights:
 DEFAULT_WEIGHTS = Weights()
 _SLACK = 1e-9
 _ROWS_PER_SALT = 4096
+#: Ends of the bands in which contexts are searched, as shares of the way from the best total any pair of them offers down to the threshold.
+_BANDS = (0.125, 0.25, 0.5, 1)
 
 
 def score_date(a: Column, b: Column) -> Column:
@@ -189,11 +190,12 @@ def best_match(
     days = reachable_days(threshold, w)
     ratio, bound, bag_bound = SIMILARITIES[similarity]
     text = lambda c: norm_text(F.col(c))
+    spark = acts.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    # 1. profiles ---------------------------------------------------------------------------------------------
-    act_context = ("a_date", "a_company", "a_region", "a_class")
-    inc_context = ("day", "i_company", "i_dzo", "i_region", "i_class")
-    act_rows = (
+    # 1. kinds and profiles -----------------------------------------------------------------------------------
+    act_kind, inc_kind = ("a_company", "a_region", "a_class"), ("i_company", "i_dzo", "i_region", "i_class")
+    act_rows = staged(
         acts.where(F.col("incident_date_from_act").isNotNull())
         .select(
             F.col("id").alias("act_id"),
@@ -205,9 +207,7 @@ def best_match(
         )
         .where(F.col("a_name") != "")
     )
-    with_bag = lambda df, to, name: df if bag_bound is None else df.withColumn(to, bag(F.col(name)))
-    act_profiles = staged(with_bag(act_rows.groupBy(*act_context, "a_name").agg(F.min("act_id").alias("profile")), "a_bag", "a_name"))
-    inc_profiles = staged(with_bag(
+    inc_rows = staged(
         incidents.where(F.col("incident_date").isNotNull())
         .select(
             "id",
@@ -219,42 +219,63 @@ def best_match(
             F.coalesce(severity_class(F.col("injury_type")), F.lit("")).alias("i_class"),
         )
         .where(F.col("i_name") != "")
-        .groupBy(*inc_context, "i_name")
-        .agg(F.min("id").alias("incident_id")),
-        "i_bag", "i_name",
-    ))
+        .groupBy("day", *inc_kind, "i_name")
+        .agg(F.min("id").alias("incident_id"))
+    )
+
+    def numbered(rows: DataFrame, columns: tuple[str, ...], number: str) -> DataFrame:
+        return staged(rows.select(*columns).distinct().withColumn(number, F.monotonically_increasing_id()))
+
+    act_kinds, inc_kinds = numbered(act_rows, act_kind, "a_kind"), numbered(inc_rows, inc_kind, "i_kind")
+    with_bag = lambda df, to, name: df if bag_bound is None else df.withColumn(to, bag(F.col(name)))
+    act_members = act_rows.join(act_kinds, list(act_kind)).drop(*act_kind)
+    profiled = act_members.groupBy("a_date", "a_kind", "a_name").agg(F.min("act_id").alias("profile"))
+    act_profiles = staged(with_bag(profiled, "a_bag", "a_name"))
+    inc_profiles = staged(with_bag(inc_rows.join(inc_kinds, list(inc_kind)).drop(*inc_kind), "i_bag", "i_name"))
 
     def spread(df: DataFrame) -> DataFrame:
         days_around = F.sequence(F.date_sub("a_date", days), F.date_add("a_date", days))
         return df.withColumn("day", F.explode(days_around))
 
-    def classes_and_date(df: DataFrame) -> DataFrame:
-        empty = F.lit("")
-        injury = _score_classes(F.nullif(F.col("a_class"), empty), F.nullif(F.col("i_class"), empty))
-        return df.withColumns({"s_date": score_date(F.col("a_date"), F.col("day")), "s_injury": injury})
-
-    def text_pairs(act_text: str, incident_texts: DataFrame) -> DataFrame:
-        """Similarity of every two texts that meet on some day, computed once per distinct pair."""
-        near = spread(act_profiles.select("a_date", act_text).distinct()).select("day", act_text).distinct()
-        met = near.join(incident_texts.toDF("day", "i_text").distinct(), "day").select(act_text, "i_text").distinct()
-        return staged(met.withColumn("s_text", _contained_or_ratio(F.col(act_text), F.col("i_text"), similarity)))
+    inc_contexts = staged(inc_profiles.groupBy("day", "i_kind").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(_ROWS_PER_SALT)).cast("int").alias("salts")))
+    near_days = staged(spread(act_profiles.select("a_date", "a_kind").distinct()).select("day", "a_kind").distinct())
 
-    days_texts = lambda c: inc_profiles.select("day", c)
-    region_pairs = text_pairs("a_region", days_texts("i_region")).toDF("a_region", "i_region", "s_region")
-    company_pairs = text_pairs("a_company", days_texts("i_company").union(days_texts("i_dzo")))
+    def total(name: Column) -> Column:
+        return match_score(F.col("s_date"), name, F.col("s_company"), F.col("s_region"), F.col("s_injury"), w)
 
-    def with_context_scores(df: DataFrame) -> DataFrame:
-        """Adds the scores of everything but the name; the text scores are looked up, not computed per row."""
-        return (
-            classes_and_date(df)
-            .join(region_pairs, ["a_region", "i_region"])
+    def text_pairs(met: DataFrame, act_text: str, *incident_texts: str) -> DataFrame:
+        """Similarity of every two texts of kinds that meet, computed once per distinct pair."""
+        both = [met.select(act_text, F.col(c).alias("i_text")).distinct() for c in incident_texts]
+        pairs = both[0] if len(both) == 1 else both[0].union(both[1]).distinct()
+        return staged(pairs.withColumn("s_text", _contained_or_ratio(F.col(act_text), F.col("i_text"), similarity)))
+
+    def scored_kinds() -> DataFrame:
+        """``a_kind, i_kind`` with the scores of everything but date and name, if these could lift the pair to the threshold."""
+        meetings = near_days.groupBy("day").agg(F.count(F.lit(1)).alias("n")).join(
+            inc_contexts.groupBy("day").agg(F.count(F.lit(1)).alias("m")), "day")
+        n_meetings = meetings.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).first()[0]
+        if act_kinds.count() * inc_kinds.count() <= n_meetings:
+            met = act_kinds.select("a_kind").crossJoin(inc_kinds.select("i_kind"))
+        else:
+            met = near_days.repartition(tasks, "day").join(inc_contexts.select("day", "i_kind"), "day").select("a_kind", "i_kind").distinct()
+        met = staged(met).join(act_kinds, "a_kind").join(inc_kinds, "i_kind")
+        region_pairs = text_pairs(met, "a_region", "i_region").toDF("a_region", "i_region", "s_region")
+        company_pairs = text_pairs(met, "a_company", "i_company", "i_dzo")
+        empty = F.lit("")
+        return staged(
+            met.join(region_pairs, ["a_region", "i_region"])
             .join(company_pairs.toDF("a_company", "i_company", "s_own"), ["a_company", "i_company"])
             .join(company_pairs.toDF("a_company", "i_dzo", "s_dzo"), ["a_company", "i_dzo"])
-            .withColumn("s_company", F.greatest("s_own", "s_dzo"))
+            .select(
+                "a_kind", "i_kind", F.lit(1.0).alias("s_date"), F.greatest("s_own", "s_dzo").alias("s_company"), "s_region",
+                _score_classes(F.nullif(F.col("a_class"), empty), F.nullif(F.col("i_class"), empty)).alias("s_injury"),
+            )
+            .where(total(F.lit(1.0)) >= threshold - _SLACK)
+            .drop("s_date")
         )
 
-    def total(name: Column) -> Column:
-        return match_score(F.col("s_date"), name, F.col("s_company"), F.col("s_region"), F.col("s_injury"), w)
+    kind_pairs = scored_kinds()
 
     def best_of(df: DataFrame) -> DataFrame:
         """Highest score, then lowest incident, per profile."""
@@ -263,47 +284,51 @@ def best_match(
     # 2. equal names ------------------------------------------------------------------------------------------
     named_alike = inc_profiles.drop("i_bag").withColumnRenamed("i_name", "a_name")
     same_name = spread(act_profiles.drop("a_bag")).join(named_alike, ["day", "a_name"])
-    same_scored = with_context_scores(same_name).withColumn("score", total(F.lit(1.0)))
+    same_scored = same_name.join(kind_pairs, ["a_kind", "i_kind"]).withColumn("s_date", score_date(F.col("a_date"), F.col("day")))
+    same_scored = same_scored.withColumn("score", total(F.lit(1.0)))
     equal = staged(best_of(same_scored.where(F.col("score") >= threshold)))
 
-    # 3. contexts: which pairs of them could still give an act something better -------------------------------------
+    # 3. contexts: which of them could still give an act something better --------------------------------------------
     open_profiles = act_profiles.join(equal, "profile", "left").withColumn(
         "beaten", F.coalesce(-F.col("hit.minus"), F.lit(0.0))
     ).drop("hit")
-    inc_contexts = staged(inc_profiles.groupBy(*inc_context).agg(
-        F.min("incident_id").alias("inc_context"),
-        F.ceil(F.count(F.lit(1)) / F.lit(_ROWS_PER_SALT)).cast("int").alias("salts"),
-    ))
     bags = () if bag_bound is None else ("a_bag", "i_bag")
     names = F.col("a_name"), F.col("i_name")
-    offered = inc_profiles.join(inc_contexts, list(inc_context)).select(
-        "inc_context", "incident_id", "i_name", *bags[1:], F.pmod(F.xxhash64("incident_id"), F.col("salts")).cast("int").alias("salt")
+    offered = inc_profiles.join(inc_contexts, ["day", "i_kind"]).select(
+        "day", "i_kind", "incident_id", "i_name", *bags[1:], F.pmod(F.xxhash64("incident_id"), F.col("salts")).cast("int").alias("salt")
     )
 
-    def open_contexts(contexts: DataFrame, gap: int) -> DataFrame:
-        """Pairs of contexts that lie ``gap`` days apart and whose best total reaches the threshold and exceeds what all their acts have."""
-        around = [F.col("a_date")] if gap == 0 else [F.date_sub("a_date", gap), F.date_add("a_date", gap)]
-        met = contexts.withColumn("day", F.explode(F.array(*around))).join(inc_contexts, "day")
+    def open_contexts(contexts: DataFrame, gaps: list[int], low: float, high: float) -> DataFrame:
+        """Pairs of contexts whose best total lies from ``low`` to below ``high`` and exceeds what all acts of theirs have."""
+        gap = F.abs(F.col("gap"))
+        met = (
+            contexts.withColumn("gap", F.explode(F.array(*[F.lit(g) for d in gaps for g in sorted({d, -d})])))
+            .withColumn("day", F.date_add("a_date", F.col("gap")))
+            .repartition(tasks, "day")
+            .join(inc_contexts, "day")
+            .join(kind_pairs, ["a_kind", "i_kind"])
+            .withColumn("s_date", F.lit(1.0) - gap / F.lit(4.0))
+        )
         return (
-            with_context_scores(met)
-            .withColumn("ceiling", total(F.lit(1.0)))
-            .where((F.col("ceiling") >= threshold - _SLACK) & (F.col("ceiling") > F.col("least_beaten")))
-            .select("act_context", "inc_context", "salts", "s_date", "s_company", "s_region", "s_injury", "ceiling")
+            computed_once(met, {"ceiling": total(F.lit(1.0))})
+            .where((F.col("ceiling") >= low) & (F.col("ceiling") < high) & (F.col("ceiling") > F.col("least_beaten")))
+            .select("a_date", "a_kind", "day", "i_kind", "salts", "ceiling", total(F.lit(0.0)).alias("rest"), "s_date", "s_company", "s_region", "s_injury")
         )
 
     # 4. similar names ----------------------------------------------------------------------------------------
-    def similar_names(profiles: DataFrame, gap: int) -> DataFrame:
-        """Best incident ``gap`` days apart with a similar name, where it lifts a profile to the threshold and to what it has."""
-        contexts = profiles.groupBy(*act_context).agg(F.min("profile").alias("act_context"), F.min("beaten").alias("least_beaten"))
+    def similar_names(profiles: DataFrame, gaps: list[int], low: float, high: float) -> DataFrame:
+        """Best incident with a similar name in these contexts, where it lifts a profile to the threshold and to what it has."""
+        contexts = profiles.groupBy("a_date", "a_kind").agg(F.min("beaten").alias("least_beaten"))
         asking = (
-            profiles.join(contexts, list(act_context))
-            .select("profile", "a_name", *bags[:1], "beaten", "act_context")
-            .join(open_contexts(contexts, gap), "act_context")
+            profiles.join(open_contexts(contexts, gaps, low, high), ["a_date", "a_kind"])
             .where(F.col("ceiling") > F.col("beaten"))
-            .withColumn("name_needed", (F.greatest(F.lit(threshold), F.col("beaten")) - F.lit(_SLACK) - total(F.lit(0.0))) / F.lit(w.name))
+            .withColumn("name_needed", (F.greatest(F.lit(threshold), F.col("beaten")) - F.lit(_SLACK) - F.col("rest")) / F.lit(w.name))
             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+            .drop("a_date", "a_kind", "salts", "ceiling", "rest")
+            .repartition(tasks, "day", "i_kind", "salt")
         )
-        near = asking.join(offered, ["inc_context", "salt"]).where((names[0] != names[1]) & (bound(*names) >= F.col("name_needed")))
+        # Merged, never broadcast: names and bags in memory are many times their size in files.
+        near = asking.join(offered.hint("merge"), ["day", "i_kind", "salt"]).where((names[0] != names[1]) & (bound(*names) >= F.col("name_needed")))
         if bags:
             near = near.where(bag_bound(F.size(F.array_intersect(*bags)), *names) >= F.col("name_needed")).drop(*bags)
         named = computed_once(near, {"s_name": ratio(*names, F.col("name_needed"))})
@@ -313,23 +338,25 @@ def best_match(
             )
         )
 
-    # Nearer dates first: what an act finds there mostly exceeds all that a date further off could give.
-    similar = None
-    for gap in range(days + 1):
-        most = w.date * (1 - gap / 4) + w.name + w.company + w.region + w.injury
-        open_profiles = staged(open_profiles.where(F.col("beaten") < most))
-        found = staged(similar_names(open_profiles, gap))
+    # The contexts that offer most first, in bands of what they offer: what an act finds there mostly exceeds all that the others could give.
+    most = kind_pairs.withColumn("s_date", F.lit(1.0)).agg(F.max(total(F.lit(1.0)))).first()[0]
+    similar, high = None, None if most is None else most + _SLACK
+    for share in () if most is None else _BANDS:
+        low = min(most, threshold) - _SLACK if share == 1 else most - share * (most - threshold)
+        gaps = [d for d in range(days + 1) if most - w.date * d / 4 >= low - _SLACK]
+        open_profiles = staged(open_profiles.where(F.col("beaten") < high))
+        found = staged(similar_names(open_profiles, gaps, low, high))
         raised = found.select("profile", (-F.col("hit.minus")).alias("raised"))
         open_profiles = open_profiles.join(raised, "profile", "left").withColumn(
             "beaten", F.greatest("beaten", F.coalesce("raised", F.lit(0.0)))).drop("raised")
-        similar = found if similar is None else similar.unionByName(found)
+        similar, high = found if similar is None else similar.unionByName(found), low
     if similar is None:
         similar = equal.where(F.lit(False))
 
     # the better of both per profile, then back to the acts -----------------------------------------------------------
     best = equal.unionByName(similar).groupBy("profile").agg(F.min("hit").alias("hit"))
-    members = act_rows.join(act_profiles, [*act_context, "a_name"]).select("act_id", "profile")
-    return members.join(best, "profile").select(
+    linked = act_profiles.drop("a_bag").join(best, "profile")
+    return act_members.join(linked, ["a_date", "a_kind", "a_name"]).select(
         "act_id", F.col("hit.incident_id").alias("incident_id"), (-F.col("hit.minus")).alias("score")
     )
 

@@ -210,3 +210,27 @@ def test_ratio_of_columns(spark):
     got = [tuple(r) for r in df.select(sim.ratcliff(F.col("a"), F.col("b")), sim.ratcliff(F.col("a"), F.col("b"), F.col("n"))).collect()]
     assert got[0] == pytest.approx((12 / 13, 12 / 13)) and got[1][0] == got[0][0] and got[1][1] < 0.99 and got[4] == (1.0, 1.0)
     assert all(x is None or x != x for r in got[2:4] for x in r)
+
+
+def test_names_of_contexts_that_offer_less_are_not_compared(spark, monkeypatch):
+    """What an act finds in the context that offers most spares it the names of all others."""
+    ratio, bound, _ = sim.SIMILARITIES["levenshtein"]
+    compared = spark.sparkContext.accumulator(0)
+
+    def seen(a):
+        compared.add(1)
+        return a
+
+    noted = F.udf(seen, "string").asNondeterministic()
+    monkeypatch.setitem(sim.SIMILARITIES, "levenshtein", (lambda a, b, n=None: ratio(a, b) if n is None else ratio(noted(a), b, n), bound, None))
+    acts = spark.createDataFrame([(1, None, S.LINK_UNLINKED, DAY, "Иванов Иван", "АО А", "Алматы", "смертельный")], ACT)
+    rows = [(0, DAY, "Иванова Иван", "АО А", None, "Алматы", "смертельный")]
+    rows += [(i, DAY, f"Петров Пе{i:03}", "АО А", None, f"Костанай {i % 7}", "смертельный") for i in range(1, 101)]
+    found = m.best_match(acts, spark.createDataFrame(rows, INCIDENT), similarity="levenshtein").collect()
+    assert [(r["act_id"], r["incident_id"], round(r["score"], 6)) for r in found] == [(1, 0, 0.945)]
+    assert 0 < compared.value < 20  # the plan reads the ratio several times per pair
+
+
+def test_bags_are_numbers(spark):
+    """Bags of numbers take half the memory of bags of texts."""
+    assert dict(spark.createDataFrame([("абба",)], "a string").select(sim.bag(F.col("a")).alias("b")).dtypes)["b"] == "array<bigint>"
