@@ -25,6 +25,8 @@ UNTITLED = "Без названия"
 POSITION_WEIGHT = 0.1  # weight of an unlabelled word position in cover-density ranking
 
 _CHUNKS_PER_BLOCK, _QUERIES_PER_BLOCK = 20_000, 512
+#: Blocks of queries, scored one after the other, that meet a block of chunks at once: a chunk is shuffled once for all of them.
+_QUERY_BLOCKS_PER_MEETING = 16
 #: What travels to every task at most: numbers of query vectors (32 MB), and words of queries. Beyond it rows are shuffled.
 MOST_QUERY_NUMBERS, MOST_QUERY_TERMS = 4_000_000, 200_000
 
@@ -96,26 +98,35 @@ def _best_in_tasks(base: DataFrame, queries: DataFrame, asked: list, k: int, thr
     return typed_ids(base.mapInArrow(run, f"query_id {query_kind}, row_id {row_kind}, score double"), queries, base)
 
 
-def _best_of_blocks(base: DataFrame, asked: DataFrame, k: int, threshold: float | None, schema: T.StructType) -> DataFrame:
-    """The same for any number of queries: blocks of chunks meet blocks of queries, each of limited size."""
+def _blocks(base: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks and queries once per block of the other side, with their blocks ``cb`` and ``qb``."""
 
     def number(df: DataFrame, size: int) -> Column:
         return df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size)).cast("int").alias("n")).scalar()
 
-    chunk_blocks, query_blocks = number(base, _CHUNKS_PER_BLOCK), number(asked, _QUERIES_PER_BLOCK)
+    chunk_blocks, query_blocks = number(base, _CHUNKS_PER_BLOCK), number(asked, _QUERIES_PER_BLOCK * _QUERY_BLOCKS_PER_MEETING)
 
     def block(df: DataFrame, id_column: str, own: str, n_own: Column, other: str, n_other: Column) -> DataFrame:
         return df.withColumn(own, F.pmod(F.xxhash64(id_column), n_own).cast("int")).withColumn(
             other, F.explode(F.sequence(F.lit(0), n_other - 1)))
 
-    left = block(base, "row_id", "cb", chunk_blocks, "qb", query_blocks)
-    right = block(asked, "query_id", "qb", query_blocks, "cb", chunk_blocks)
+    return block(base, "row_id", "cb", chunk_blocks, "qb", query_blocks), block(asked, "query_id", "qb", query_blocks, "cb", chunk_blocks)
+
+
+def _best_of_blocks(base: DataFrame, asked: DataFrame, k: int, threshold: float | None, schema: T.StructType) -> DataFrame:
+    """The same for any number of queries: blocks of chunks meet blocks of queries, each of limited size."""
+    left, right = _blocks(base, asked)
 
     def search(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or wanted.empty:
             return pd.DataFrame({"query_id": [], "row_id": [], "score": []})
-        found = top_k(wanted["query_id"].to_numpy(), stacked(wanted["embedding"]), rows["row_id"].to_numpy(), stacked(rows["embedding"]), k, threshold)
-        return pd.DataFrame(dict(zip(("query_id", "row_id", "score"), found)))
+        ids, vectors = wanted["query_id"].to_numpy(), stacked(wanted["embedding"])
+        row_ids, offered = rows["row_id"].to_numpy(), stacked(rows["embedding"])
+        found = [
+            pd.DataFrame(dict(zip(("query_id", "row_id", "score"), top_k(ids[a : a + _QUERIES_PER_BLOCK], vectors[a : a + _QUERIES_PER_BLOCK], row_ids, offered, k, threshold))))
+            for a in range(0, len(ids), _QUERIES_PER_BLOCK)
+        ]
+        return pd.concat(found, ignore_index=True)
 
     return left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(search, schema)
 

@@ -220,3 +220,14 @@ def test_empty_vector_index(spark, tmp_path):
     full = vector_index.build_index(chunks, f"{tmp_path}/full")
     assert vector_index.search_index(full, queries.where("false"))[0].count() == 0
     assert vector_index.search_index(full, queries, 50)[0].count() == 15 * 11
+
+
+def test_a_chunk_meets_many_queries_at_once(spark):
+    """1 200 queries are three blocks to score, but a chunk is shuffled once for all of them."""
+    rows = spark.range(1200).select(F.col("id").alias("row_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    left, right = r._blocks(rows, rows.withColumnRenamed("row_id", "query_id"))
+    assert (left.count(), right.count()) == (1200, 1200)
+    kept = r.vector_search(rows.limit(40), rows.withColumnRenamed("row_id", "query_id"), 2, None, most_numbers=1)
+    alone = r.vector_search(rows.limit(40), rows.withColumnRenamed("row_id", "query_id"), 2, None)
+    pairs = lambda df: sorted((x.query_id, x.row_id, x.score) for x in df.collect())
+    assert pairs(kept) == pairs(alone)
