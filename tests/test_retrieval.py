@@ -166,6 +166,32 @@ def test_index_skips_windows_that_cannot_reach_the_best(spark, tmp_path):
     assert windows.count() == 100 and windows.where("read").count() == 2
 
 
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_index_moves_blocks_and_no_single_occurrences(spark, tmp_path):
+    rows = [(i, "d", "common " * (1 + i % 3) + ("rare other" if i % 50 == 0 else "other")) for i in range(400)]
+    chunks = spark.createDataFrame(rows, "row_id long, doc_id string, chunk string")
+    index = postings.build_index(chunks, f"{tmp_path}/index", span=2)
+    queries = _asked(spark, "common rare", "other", "other common")
+    for search, scan in ((postings.search_any, r.keyword_or), (postings.search_all, r.keyword_and)):
+        hits, _ = search(index, queries, 3)
+        assert "FlatMapCoGroupsInArrow" in _plan(hits) and "arrays_zip" not in _plan(hits)
+        assert _rows(hits) == _rows(scan(chunks, queries, 3))
+
+
+def test_index_of_very_long_texts_and_equal_ids(spark, tmp_path):
+    rows = [(i, "d", "aa bb " * 1_100_000 + f"end{i}") for i in range(3)] + [(7, "d", "aa cc"), (7, "d", "cc aa aa")]
+    chunks = spark.createDataFrame(rows, "row_id long, doc_id string, chunk string")
+    index = postings.build_index(chunks, f"{tmp_path}/index")
+    blocks = {x["term"]: x for x in index.blocks(spark).select("term", "window", "most", "at", "tf", F.size("positions").alias("n")).collect()}
+    assert blocks["aa"][1:] == (0, 1_100_000, [0, 1, 2, 7], [1_100_000] * 3 + [3], 3_300_003)
+    assert blocks["bb"]["at"] == [0, 1, 2] and blocks["cc"]["tf"] == [2] and index.blocks(spark).count() == 6
+    hits, _ = postings.search_any(index, _asked(spark, "cc", "aa"), 2)
+    assert [tuple(x)[1:3] for x in hits.orderBy("query_id", "rank").collect()] == [(7, 0.2), (0, 110000.0), (1, 110000.0)]
+
+
 def test_inflected_words_match(spark, tmp_path):
     texts = _texts(spark, "Нарушения трудового законодательства", "трудовое нарушение", "закон", "Laws and the running")
     texts = texts.select(F.col("row_id").cast("long").alias("row_id"), F.lit("d").alias("doc_id"), "chunk")
