@@ -1,9 +1,9 @@
 """CSV records from lines, with line breaks in quoted cells, in parallel over the blocks of a file.
 
-Whether a line begins inside a quoted cell depends on all lines before it. As a block does not know that, it follows both
-cases: for either state at its beginning it gives the state before each of its lines, the records begun so far and the state at its end.
-The blocks of a file (one row each) are then chained, which settles the case of every block. Lines that are whole records stay where
-they are; only the lines of broken records are shuffled and joined.
+Whether a line begins inside a quoted cell depends on all lines before it. As a block does not know that, a first scan follows both
+cases (one, as soon as they meet) and leaves a row per block: for either state at its beginning the records begun and the state at its end.
+The blocks of a file are then chained, which settles the case of every block. A second scan cuts the records; only parts of
+records that lie in several blocks are shuffled and joined.
 
 A quote opens a cell only at its beginning, as the format has it; elsewhere it is a character. A file that ends inside a quoted cell has no
 such cell: from the line that opens it on, lines are records by themselves.
@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitewarden.session import staged
+
 
 def _machines(delimiter: str) -> tuple[re.Pattern, re.Pattern]:
     """What a line must match to end inside a quoted cell: if it begins a record, and if it begins inside one."""
@@ -30,65 +32,65 @@ def _machines(delimiter: str) -> tuple[re.Pattern, re.Pattern]:
     return re.compile(rf"{opened}\Z", re.S), re.compile(rf'(?:[^"]|"")*+(?:"[^{d}]*+{d}{opened})?\Z', re.S)
 
 
-class _Block:
-    """Both cases of a block, line after line."""
+def _states(state: int, texts: list[str], machines, known: list[int] | None = None) -> list[int]:
+    """The state before each of some lines and after the last; from where it equals ``known`` it is taken from there."""
+    states = [state]
+    for i, text in enumerate(texts):
+        if known is not None and state == known[i]:
+            return states + known[i + 1 :]
+        state = int(machines[state].match(text) is not None)
+        states.append(state)
+    return states
+
 
-    def __init__(self):
-        self.state = [0, 1]
-        self.lines = 0
-        self.records = [0, 0]
-        self.last_begin = [-1, -1]
+def _before(part: pa.Array, starts: list[int], machines) -> list[tuple[np.ndarray, int]]:
+    """For each state a block may be in: the state before each of some lines, and after the last. Lines without a quote keep it."""
+    quoted = np.flatnonzero(pc.match_substring(part, '"').to_numpy(zero_copy_only=False))
+    texts = part.take(pa.array(quoted)).to_pylist()
+    spans = np.diff(np.concatenate([[0], quoted + 1, [len(part)]]))
+    out, known = [], None
+    for start in starts:
+        known = _states(start, texts, machines, known)
+        out.append((np.repeat(np.array(known, np.int64), spans), known[-1]))
+    return out
 
-    def lines_of(self, quoted: np.ndarray, texts: list[str], n: int, machines) -> list[np.ndarray]:
-        """For both cases the state before each of ``n`` lines, of which those at ``quoted`` hold a quote."""
-        ends = [[bool(m.match(t)) for t in texts] for m in machines]
-        before = []
-        for case in (0, 1):
-            state, states = self.state[case], [self.state[case]]
-            for i in range(len(texts)):
-                state = int(ends[state][i])
-                states.append(state)
-            self.state[case] = state
-            spans = np.diff(np.concatenate([[0], quoted + 1, [n]]))
-            before.append(np.repeat(np.array(states, np.int64), spans))
-        return before
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], int, int]]:
+    """The stretches of lines of one block: its file and beginning, and where they begin and end in the batch."""
+    number, name = batch.column("block").to_numpy(zero_copy_only=False), batch.column("file").dictionary_encode()
+    code = name.indices.to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (number[1:] != number[:-1])][: len(code)]).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(code)]):
+        yield (name.dictionary[int(code[a])].as_py(), int(number[a])), a, b
 
-def _followed(lines: DataFrame, delimiter: str) -> DataFrame:
-    """``file, block, n, line`` with, for both cases, the state before the line, the records begun up to it, and the state after it."""
-    columns = "file string, block long, n long, line string, in0 int, in1 int, out0 int, out1 int, records0 long, records1 long, begin0 long, begin1 long"
+
+def _block_ends(lines: DataFrame, delimiter: str) -> DataFrame:
+    """A row per block: its lines and, for both cases, the state at its end, the records begun, and the line that began the last one."""
+    columns = ("file", "block", "lines", "out0", "out1", "records0", "records1", "begin0", "begin1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines, at, block = _machines(delimiter), None, None
+        machines, at, held = _machines(delimiter), None, None
+
+        def given() -> pa.RecordBatch:
+            n, state, records, begin = held
+            return pa.RecordBatch.from_arrays([pa.array([v]) for v in (*at, n, *state, *records, *begin)], names=list(columns))
+
         for batch in batches:
-            files, blocks, texts = batch.column("file"), batch.column("block"), batch.column("line")
-            number = blocks.to_numpy(zero_copy_only=False)
-            name = files.dictionary_encode()
-            code = name.indices.to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (number[1:] != number[:-1])][: len(code)])
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(code)]):
-                here = (name.dictionary[int(code[a])].as_py(), int(number[a]))
+            for here, a, b in _runs(batch):
                 if here != at:
-                    at, block = here, _Block()
-                part = texts.slice(a, b - a)
-                quoted = np.flatnonzero(pc.match_substring(part, '"').to_numpy(zero_copy_only=False))
-                before = block.lines_of(quoted, part.take(pa.array(quoted)).to_pylist(), b - a, machines)
-                n = np.arange(block.lines, block.lines + b - a)
-                out = {"file": files.slice(a, b - a), "block": blocks.slice(a, b - a), "n": pa.array(n), "line": part}
-                more = {}
-                for case in (0, 1):
-                    begins = before[case] == 0
-                    records = block.records[case] + np.cumsum(begins)
-                    last = np.maximum.accumulate(np.where(begins, n, block.last_begin[case]))
-                    after = np.append(before[case][1:], block.state[case])
-                    more |= {f"in{case}": before[case].astype(np.int32), f"out{case}": after.astype(np.int32), f"records{case}": records, f"begin{case}": last}
-                    block.records[case], block.last_begin[case] = int(records[-1]), int(last[-1])
-                block.lines += b - a
-                order = [c.split()[0] for c in columns.split(", ")]
-                out |= {c: pa.array(v) for c, v in more.items()}
-                yield pa.RecordBatch.from_arrays([out[c] for c in order], names=order)
-
-    return lines.mapInArrow(run, columns)
+                    if at is not None:
+                        yield given()
+                    at, held = here, (0, [0, 1], [0, 0], [-1, -1])
+                n, state, records, begin = held
+                for case, (before, after) in enumerate(_before(batch.column("line").slice(a, b - a), state, machines)):
+                    begins = np.flatnonzero(before == 0)
+                    state[case], records[case] = after, records[case] + len(begins)
+                    begin[case] = n + int(begins[-1]) if len(begins) else begin[case]
+                held = n + b - a, state, records, begin
+        if at is not None:
+            yield given()
+
+    return lines.mapInArrow(run, "file string, " + ", ".join(f"{c} long" for c in columns[1:]))
 
 
 def _chained(blocks: pd.DataFrame) -> pd.DataFrame:
@@ -109,6 +111,53 @@ def _chained(blocks: pd.DataFrame) -> pd.DataFrame:
     return found.assign(tail_line=tail[0] if open_ else -1, tail_record=tail[1] if open_ else -1)
 
 
+def _records(lines: DataFrame, delimiter: str) -> DataFrame:
+    """``file, row_no, line_no, whole, text`` of every record, or of the part of it that lies in a block, of lines whose block is settled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machines, at = _machines(delimiter), None
+        n = state = records = 0
+        row_no, line_no, begun, open_, held = 0, 0, False, False, []
+
+        def given(file: str, rows: np.ndarray, numbers: np.ndarray, whole: np.ndarray, texts: pa.Array) -> pa.RecordBatch:
+            arrays = [pa.array([file] * len(rows), pa.string()), pa.array(rows), pa.array(numbers), pa.array(whole), texts.cast(pa.string())]
+            return pa.RecordBatch.from_arrays(arrays, names=["file", "row_no", "line_no", "whole", "text"])
+
+        def last(ends: bool) -> Iterator[pa.RecordBatch]:
+            """What is held; ``ends`` if its record does not go on elsewhere."""
+            if held:
+                yield given(at[0], np.array([row_no]), np.array([line_no]), np.array([begun and ends]), pa.array(["\n".join(held)], pa.string()))
+
+        for batch in batches:
+            for here, a, b in _runs(batch):
+                case, lines_before, records_before, tail_line, tail_record = (
+                    batch.column(c)[a].as_py() for c in ("case", "lines_before", "records_before", "tail_line", "tail_record"))
+                if here != at:
+                    yield from last(not open_)
+                    at, n, state, records = here, lines_before, case, records_before
+                    row_no, line_no, begun, held = records - 1, n, False, []
+                part = batch.column("line").slice(a, b - a)
+                (before, state), = _before(part, [state], machines)
+                numbers = np.arange(n, n + b - a)
+                in_tail = (numbers >= tail_line) & (tail_line >= 0)
+                rows = np.where(in_tail, tail_record + numbers - tail_line, records + np.cumsum(before == 0) - 1)
+                begins = np.flatnonzero((before == 0) | in_tail)
+                n, records = n + b - a, records + int((before == 0).sum())
+                held = held + part.slice(0, int(begins[0]) if len(begins) else b - a).to_pylist()
+                if len(begins):
+                    yield from last(True)
+                    parts = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), part)
+                    whole = begins[:-1]
+                    if len(whole):
+                        yield given(here[0], rows[whole], numbers[whole], np.ones(len(whole), bool), pc.binary_join(parts, "\n"))
+                    row_no, line_no, begun, held = int(rows[begins[-1]]), int(numbers[begins[-1]]), True, part.slice(int(begins[-1])).to_pylist()
+                open_ = bool(state) and not bool(in_tail[-1])
+        if at is not None:
+            yield from last(not open_)
+
+    return lines.mapInArrow(run, "file string, row_no long, line_no long, whole boolean, text string")
+
+
 def csv_records(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     """``file, row_no, text`` of every record of the CSV files under ``path``; records are numbered from 0, blank lines count and are left out.
 
@@ -116,19 +165,11 @@ def csv_records(spark: SparkSession, path: str, delimiter: str = ",") -> DataFra
     """
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
-    followed = _followed(lines, delimiter)
-    last = F.max_by(F.struct("out0", "out1", "records0", "records1", "begin0", "begin1"), "n").alias("last")
-    blocks = followed.groupBy("file", "block").agg(last, F.count(F.lit(1)).alias("lines")).select("file", "block", "lines", "last.*")
-    settled = blocks.groupBy("file").applyInPandas(
-        _chained, "file string, block long, case long, lines_before long, records_before long, tail_line long, tail_record long")
-    here = followed.join(settled, ["file", "block"])
-    pick = lambda c: F.when(F.col("case") == 1, F.col(f"{c}1")).otherwise(F.col(f"{c}0"))
-    line_no = F.col("lines_before") + F.col("n")
-    in_tail = (F.col("tail_line") >= 0) & (line_no >= F.col("tail_line"))
-    placed = here.select(
-        "file", "line", line_no.alias("line_no"), (in_tail | ((pick("in") == 0) & (pick("out") == 0))).alias("whole"),
-        F.when(in_tail, F.col("tail_record") + line_no - F.col("tail_line")).otherwise(F.col("records_before") + pick("records") - 1).alias("row_no"))
-    broken = placed.where(~F.col("whole")).groupBy("file", "row_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("parts"))
-    joined = broken.select("file", "row_no", F.array_join("parts.line", "\n").alias("text"))
-    records = placed.where("whole").select("file", "row_no", F.col("line").alias("text")).unionByName(joined)
+    settled = staged(_block_ends(lines, delimiter).groupBy("file").applyInPandas(
+        _chained, "file string, block long, case long, lines_before long, records_before long, tail_line long, tail_record long"))
+    # A row per block travels to the lines, which stay in their order.
+    found = staged(_records(lines.join(F.broadcast(settled), ["file", "block"]), delimiter))
+    broken = found.where("not whole").groupBy("file", "row_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("parts"))
+    joined = broken.select("file", "row_no", F.array_join("parts.text", "\n").alias("text"))
+    records = found.where("whole").select("file", "row_no", "text").unionByName(joined)
     return records.select("file", "row_no", F.regexp_replace("text", "\r$", "").alias("text")).where("text <> ''")

@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from sitewarden import schemas as S
 from sitewarden.functions.frames import computed_once
-from sitewarden.functions.text import collapse, lookup, present, strip
+from sitewarden.functions.text import any_of, collapse, lookup, present, strip
 from sitewarden.operators.upsert import stable_id
+from sitewarden.session import staged
 from sitewarden.sources.csvscan import csv_records
 
 RAW = T.StructType(
@@ -78,6 +79,7 @@ ENUMS = {
 DATES = ("incident_date", "victim_birth_date", "consequences_elimination_date")
 TIMES = ("incident_time", "consequences_elimination_time")
 FIELDS = (*HEADERS, *PREFIX_HEADERS)
+_TYPED_AT_ONCE = 6
 NOT_IN_JOURNAL = (
     "work_type",
     "equipment",
@@ -104,7 +106,7 @@ def read_journal(spark: SparkSession, path: str, fmt: str = "parquet", delimiter
     if fmt != "csv":
         raise ValueError(f"unsupported journal format {fmt!r}")
     records = csv_records(spark, path, delimiter)
-    return records.select("file", F.col("row_no").cast("int").alias("row_no"), _csv_cells(F.col("text"), delimiter).alias("cells"))
+    return staged(records.select("file", F.col("row_no").cast("int").alias("row_no"), _csv_cells(F.col("text"), delimiter).alias("cells")))
 
 
 def _csv_cells(record: Column, delimiter: str) -> Column:
@@ -137,10 +139,12 @@ def detect_header(
     """
     names = F.transform(F.col("cells"), lambda c: _norm_name(F.coalesce(c, F.lit(""))))
     wanted = F.array(*[_norm_name(F.lit(HEADERS[f])) for f in required])
+    # Names are normalised only in rows that hold the longest word of one.
+    text = F.lower(F.array_join("cells", " "))
+    likely = any_of([text.contains(w) for w in sorted({max(HEADERS[f].lower().split(), key=len) for f in required})])
+    hits = F.when(F.col("cells").isNull() | likely, F.size(F.array_intersect(names, wanted))).otherwise(F.lit(0))
     looked_at = rows if scan is None else rows.where(F.col("row_no") < scan)
-    scored = looked_at.select(
-        "file", "row_no", "cells", F.size(F.array_intersect(names, wanted)).alias("hits")
-    )
+    scored = looked_at.select("file", "row_no", "cells", hits.alias("hits"))
     best = scored.groupBy("file").agg(
         F.max_by(F.struct("row_no", "cells", "hits"), F.struct(F.col("hits"), -F.col("row_no"))).alias("h")
     )
@@ -267,7 +271,10 @@ def map_journal_rows(rows: DataFrame) -> DataFrame:
             return parse_number(raw)
         return strip(raw)
 
-    mapped = computed_once(values, {f: typed(f) for f in FIELDS})
+    # Some at a time: one method of generated code for all would be too large to be compiled to machine code.
+    mapped = values
+    for i in range(0, len(FIELDS), _TYPED_AT_ONCE):
+        mapped = computed_once(mapped, {f: typed(f) for f in FIELDS[i : i + _TYPED_AT_ONCE]})
     error = F.coalesce(*[_enum_error(F.col(f"raw_{f}"), F.col(f), f) for f in ENUMS])
     described = F.when(present(F.col("description")), F.col("description")).otherwise(F.lit(NO_DESCRIPTION))
     fatal = F.coalesce(F.col("injury_type") == S.INJURY_FATAL, F.lit(False))

@@ -310,3 +310,19 @@ def test_long_quoted_csv_cell(spark, tmp_path):
     line = 'a;"' + 'x;' * 100_000 + '""y";"";b'
     cells = spark.createDataFrame([(line,)], "line string").select(j._csv_cells(F.col("line"), ";").alias("c")).first().c
     assert cells == ["a", "x;" * 100_000 + '"y', "", "b"]
+
+
+def test_csv_is_scanned_once_however_often_rows_are_used(spark, tmp_path):
+    cell = lambda i: '"' + "line\n" * (i % 4) + f'of ""{i}"""'
+    (tmp_path / "a.csv").write_text("\n".join(f"{i},{cell(i)},x" for i in range(3000)) + "\n", encoding="utf-8")
+    rows = j.read_journal(spark, str(tmp_path), "csv")
+    assert "MapInArrow" not in rows._jdf.queryExecution().toString()
+    got = {x["row_no"]: x["cells"] for x in rows.collect()}
+    assert got == {i: [str(i), "line\n" * (i % 4) + f'of "{i}"', "x"] for i in range(3000)}
+
+
+def test_names_of_a_header_are_found_in_any_case_and_spacing(spark):
+    header = [f"  {j.HEADERS[f].upper().replace(' ', '  ')}\n" for f in j.REQUIRED]
+    rows = spark.createDataFrame([("f", 0, ["title", None]), ("f", 4, header), ("g", 2, ["a"]), ("g", 1, [None]), ("h", 0, None)], "file string, row_no int, cells array<string>")
+    found = {x["file"]: (x["header_row"], x["hits"]) for x in j.detect_header(rows).collect()}
+    assert found["f"] == (4, len(j.REQUIRED)) and found["g"] == (1, 0) and set(found) == {"f", "g", "h"}
