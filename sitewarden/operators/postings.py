@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sitewarden.functions.frames import computed_once
 from sitewarden.functions.stemming import SIMPLE, search_term
 from sitewarden.functions.text import words
 from sitewarden.operators.retrieval import KEYWORD_K, POSITION_WEIGHT, and_terms, or_terms, top_per_query, whitelist
@@ -154,6 +155,11 @@ def _merged(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, f"term string, window long, most int, {_PACKED}, bucket int")
 
 
+def _terms_of(found: DataFrame, config: str, stop: Sequence[str] | None) -> DataFrame:
+    """``word, term`` of the distinct words that are searched; a plain filter would take the stemming below the distinct, to every row."""
+    return computed_once(found.distinct(), {"term": search_term(F.col("word"), config, stop)}).where("term is not null")
+
+
 def build_index(chunks: DataFrame, folder: str, config: str = SIMPLE, stop: Sequence[str] | None = None, span: int = SPAN) -> WordIndex:
     """Write the index of ``row_id`` (whole numbers, one row each), ``doc_id`` and ``chunk`` below ``folder``.
 
@@ -169,7 +175,7 @@ def build_index(chunks: DataFrame, folder: str, config: str = SIMPLE, stop: Sequ
         named = found.withColumn("term", search_term(F.col("word"), config, stop)).where("term is not null").drop("word")
     else:
         found = staged(found)
-        terms = staged(found.select("word").distinct().withColumn("term", search_term(F.col("word"), config, stop)).where("term is not null"))
+        terms = staged(_terms_of(found.select("word"), config, stop))
         named = found.join(terms, "word").drop("word")
     # A term's blocks of some windows make a file of its folder, so no task writes all of a frequent term.
     filed = named.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.floor(F.col("window") / WINDOWS_PER_FILE))

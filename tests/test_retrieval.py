@@ -200,6 +200,14 @@ def test_inflected_words_match(spark, tmp_path):
     assert [(x[0], x[2]) for x in _rows(hits)] == [(0, 0), (0, 1), (1, 2), (2, 3)]
 
 
+def test_words_are_stemmed_after_they_are_made_distinct(spark):
+    found = spark.range(50).select(F.concat(F.lit("law"), F.when(F.col("id") % 2 == 0, "s").otherwise("")).alias("word"))
+    terms = postings._terms_of(found, stemming.RUSSIAN, ["the"])
+    plan = terms._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan[plan.index("Aggregate") :]
+    assert sorted(tuple(x) for x in terms.collect()) == [("law", "law"), ("laws", "law")]
+
+
 def test_empty_index(spark, tmp_path):
     nothing = spark.createDataFrame([], "row_id long, doc_id string, chunk string")
     index = postings.build_index(nothing, f"{tmp_path}/index")
