@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Similarity = Callable[..., Column]
+#: Numbers of pairs, and the ratios of their texts.
+Found = tuple[np.ndarray, np.ndarray]
 
 #: Cells of one table of run lengths, and the length from which very common characters of the second text start no block.
 _CELLS, _LONG_TEXT = 1 << 20, 200
@@ -193,3 +196,205 @@ SIMILARITIES: dict[str, tuple[Similarity, Similarity, Callable[[Column, Column,
     "ratcliff": (ratcliff, ratcliff_bound, ratcliff_bag_bound),
     "levenshtein": (levenshtein_ratio, levenshtein_bound, None),
 }
+
+
+# --- many pairs of some texts at once, for searches inside a task --------------------------------------------------------
+
+#: Letters that one machine word holds, letters up to which texts are compared by words, and pairs compared together.
+_WORD, _LONG, _TOGETHER = 64, 256, 1 << 13
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+class Words:
+    """Distinct texts that go by their numbers: sizes, letters as small numbers by place, and which letters they hold once and twice."""
+
+    def __init__(self, texts: list[str]):
+        coded = _Texts(texts)
+        letters, number = np.unique(coded.codes, return_inverse=True)
+        self.texts, self.sizes, self.n_letters = texts, coded.sizes, len(letters)
+        at = np.arange(min(_LONG, int(self.sizes.max(initial=0))))[:, None]
+        place = np.minimum(coded.begin + at, len(number) - 1)
+        small = np.min_scalar_type(self.n_letters)
+        self.letters = np.where(at < self.sizes, number[place], self.n_letters).astype(small)  # by place and text; the last number is no letter
+        once, twice = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
+        for column in self.letters:
+            bit = np.where(column < self.n_letters, np.uint64(1) << (column % 32).astype(np.uint64), np.uint64(0))
+            twice |= once & bit
+            once |= bit
+        self.held = np.where(self.sizes <= _LONG, once | twice << np.uint64(32), np.uint64(0))
+
+    def lacking(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Letters, at least, that the left texts hold and the right ones lack, and the other way; long texts tell nothing."""
+        a, b = self.held[left], self.held[right]
+        told = (a != 0) & (b != 0)
+        return np.bitwise_count(a & ~b) * told, np.bitwise_count(b & ~a) * told
+
+    def _tables(self, which: np.ndarray, words: int) -> np.ndarray:
+        """Per machine word, text and letter the places of the letter, as bits."""
+        table, rows = np.zeros((words, len(which), self.n_letters + 1), np.uint64), np.arange(len(which))
+        for p in range(int(self.sizes[which].max(initial=0))):
+            table[p // _WORD, rows, self.letters[p][which]] |= np.uint64(1 << p % _WORD)
+        table[:, :, self.n_letters] = 0
+        return table.reshape(words, -1)
+
+    def _by_bits(self, left: np.ndarray, right: np.ndarray, step: Callable[..., None], begin: tuple[int, ...]) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Run ``step`` over the letters of the right texts; gives slices of the pairs, their state (a row per machine word) at the end and the left texts' bits."""
+        together = max(256, min(_TOGETHER, (1 << 21) // (self.n_letters + 1)))
+        for low in range(0, len(left), together):
+            part = slice(low, low + together)
+            a, b = left[part], right[part]
+            new = np.ones(len(a), bool)
+            new[1:] = a[1:] != a[:-1]
+            words = max(1, -(-int(self.sizes[a].max()) // _WORD))
+            tables, base = self._tables(a[new], words), (np.cumsum(new) - 1) * (self.n_letters + 1)
+            size = self.sizes[b]
+            state = np.stack([np.full((words, len(a)), x, np.uint64) for x in begin])
+            ended = state.copy()
+            for j in range(int(size.max())):
+                step(np.take(tables, base + self.letters[j][b], axis=1), state)
+                if (last := size == j + 1).any():
+                    np.copyto(ended, state, where=last)
+            own = np.clip(self.sizes[a] - _WORD * np.arange(words)[:, None], 0, _WORD)
+            yield part, ended, np.where(own > 0, _ALL >> ((_WORD - own) % _WORD).astype(np.uint64), np.uint64(0))
+
+    def _comparable(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Pairs that words can compare, those of shorter left texts first."""
+        able = np.flatnonzero((self.sizes[left] <= _LONG) & (self.sizes[right] <= _LONG))
+        words = -(-self.sizes[left[able]] // _WORD)
+        return able if (words <= 1).all() else able[np.argsort(words, kind="stable")]
+
+    def distances(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Levenshtein distances; a column of the table is two rows of bits (Myers), very long texts take the table itself."""
+        out, able = np.zeros(len(left), np.int64), self._comparable(left, right)
+        for part, (up, down), mask in self._by_bits(left[able], right[able], _column, (_ALL, 0)):
+            change = np.bitwise_count(up & mask).astype(np.int64) - np.bitwise_count(down & mask)
+            out[able[part]] = self.sizes[right[able[part]]] + change.sum(axis=0)
+        if len(able) < len(out):
+            long = np.flatnonzero((self.sizes[left] > _LONG) | (self.sizes[right] > _LONG))
+            out[long] = _long_distances([self.texts[i] for i in left[long].tolist()], [self.texts[i] for i in right[long].tolist()])
+        return out
+
+    def in_order(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Letters, at most, that two texts share in the same order."""
+        out, able = np.minimum(self.sizes[left], self.sizes[right]), self._comparable(left, right)
+        for part, (rest,), mask in self._by_bits(left[able], right[able], _shared, (_ALL,)):
+            out[able[part]] = np.bitwise_count(~rest & mask).sum(axis=0)
+        return out
+
+
+def _column(equal: np.ndarray, state: np.ndarray) -> None:
+    """Differences down a column, from those of the column before; what rises or falls at the end of a word goes into the next."""
+    one, last = np.uint64(1), np.uint64(_WORD - 1)
+    rises, falls = one, np.uint64(0)
+    for word, e in enumerate(equal):
+        up, down = state[:, word]
+        vertical = e | down
+        if word:
+            e = e | falls
+        across = (((e & up) + up) ^ up) | e
+        rise, fall = down | ~(across | up), up & across
+        risen = (rise << one) | rises
+        state[0, word], state[1, word] = (fall << one) | falls | ~(vertical | risen), risen & vertical
+        if word + 1 < len(equal):
+            rises, falls = rise >> last, fall >> last
+
+
+def _shared(equal: np.ndarray, state: np.ndarray) -> None:
+    carry = None
+    for word, e in enumerate(equal):
+        rest = state[0, word]
+        hit = rest & e
+        whole = rest + hit
+        over = whole < rest
+        if carry is not None:
+            more = whole + carry
+            over, whole = over | (more < whole), more
+        state[0, word] = whole | (rest - hit)
+        if word + 1 < len(equal):
+            carry = over.astype(np.uint64)
+
+
+def _long_distances(left: list[str], right: list[str]) -> np.ndarray:
+    """A row of the tables of many pairs at a time; what a row passes on to its right is a running minimum."""
+    a, b = _Texts(left), _Texts(right)
+    out, order = np.zeros(len(left), np.int64), np.argsort(np.maximum(a.sizes, b.sizes), kind="stable")
+    while len(order):
+        sizes = np.maximum(a.sizes, b.sizes)[order] + 1
+        now = order[: max(1, int(np.searchsorted(sizes * np.arange(1, len(sizes) + 1), _CELLS, "right")))]
+        order, zero = order[len(now) :], np.zeros(len(now), np.int64)
+        mine, other = a.window(now, zero, a.sizes[now], -1), b.window(now, zero, b.sizes[now], -2)
+        at = np.arange(other.shape[1] + 1)
+        row = np.broadcast_to(at, (len(now), len(at)))
+        out[now] = b.sizes[now]
+        for i in range(mine.shape[1]):
+            new = np.empty((len(now), len(at)), np.int64)
+            new[:, 0] = i + 1
+            np.minimum(row[:, 1:] + 1, row[:, :-1] + (other != mine[:, i : i + 1]), out=new[:, 1:])
+            row = np.minimum.accumulate(new - at, axis=1) + at
+            done = np.flatnonzero(a.sizes[now] == i + 1)
+            out[now[done]] = row[done, b.sizes[now[done]]]
+    return out
+
+
+@dataclass(frozen=True)
+class Kernel:
+    """A similarity for numbers of ``Words``.
+
+    ``ratios`` of pairs; ``unequal``: no two different texts of at most that size are more alike; ``bound``: no pair is more alike;
+    ``search`` gives pairs by number with their ratios, leaving out such as cannot reach what ``needed`` says of their numbers then.
+    """
+
+    ratios: Callable[[Words, np.ndarray, np.ndarray], np.ndarray]
+    unequal: Callable[[np.ndarray], np.ndarray]
+    bound: Callable[[Words, np.ndarray, np.ndarray], np.ndarray]
+    search: Callable[[Words, np.ndarray, np.ndarray, np.ndarray, Callable[[np.ndarray], np.ndarray]], Iterator[Found]]
+
+
+def _levenshtein_ratios(words: Words, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    longer = np.maximum(words.sizes[left], words.sizes[right])
+    return np.where(longer > 0, 1.0 - words.distances(left, right) / np.maximum(longer, 1), 1.0)
+
+
+def _levenshtein_most(words: Words, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    a, b = words.sizes[left], words.sizes[right]
+    apart = np.maximum(np.maximum(*words.lacking(left, right)), np.abs(a - b))
+    return 1.0 - apart / np.maximum(np.maximum(a, b), 1)
+
+
+def _levenshtein_search(words: Words, left: np.ndarray, right: np.ndarray, owner: np.ndarray, needed: Callable) -> Iterator[Found]:
+    yield np.arange(len(left)), _levenshtein_ratios(words, left, right)
+
+
+def _ratcliff_of(words: Words, left: np.ndarray, right: np.ndarray, needed: np.ndarray | None = None) -> np.ndarray:
+    return ratcliff_ratios([words.texts[i] for i in left.tolist()], [words.texts[i] for i in right.tolist()], needed)
+
+
+def _ratcliff_most(words: Words, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    a, b = words.sizes[left], words.sizes[right]
+    only_a, only_b = words.lacking(left, right)
+    return 2.0 * np.minimum(a - only_a, b - only_b) / np.maximum(a + b, 1)
+
+
+def _ratcliff_search(words: Words, left: np.ndarray, right: np.ndarray, owner: np.ndarray, needed: Callable) -> Iterator[Found]:
+    """Matching blocks are in order: pairs that share most letters in order come first, one per owner, then two, then four."""
+    most = 2.0 * words.in_order(left, right) / np.maximum(words.sizes[left] + words.sizes[right], 1)
+    open_ = np.flatnonzero(most >= needed(np.arange(len(left))))
+    spare = most[open_] - needed(open_)
+    open_ = open_[np.lexsort((-spare, owner[open_]))]
+    new = np.ones(len(open_), bool)
+    new[1:] = owner[open_][1:] != owner[open_][:-1]
+    place = np.arange(len(open_)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    turn, now = np.frexp(place + 1.0)[1], 1
+    while len(open_):
+        mine = turn == now
+        some, open_, turn, now = open_[mine], open_[~mine], turn[~mine], now + 1
+        able = needed(some)
+        some = some[most[some] >= able]
+        if len(some):
+            yield some, _ratcliff_of(words, left[some], right[some], needed(some))
+
+
+KERNELS: dict[str, Kernel] = {
+    "ratcliff": Kernel(_ratcliff_of, lambda size: 1.0 - 0.5 / np.maximum(size, 1), _ratcliff_most, _ratcliff_search),
+    "levenshtein": Kernel(_levenshtein_ratios, lambda size: 1.0 - 1.0 / np.maximum(size, 1), _levenshtein_most, _levenshtein_search),
+}

@@ -4,28 +4,28 @@ The score of a pair is 0.35 date + 0.30 name + 0.20 company + 0.10 region + 0.05
 Scoring every pair of a date window is quadratic in the busiest date, so the search is blocked exactly:
 
 1. copies collapse: rows equal in everything the score looks at are one profile (partial aggregate, then shuffle);
-2. company, region and severity make up a *kind*, which no date is part of; two kinds are scored once, whatever the number of dates
-   they meet on, and pairs that cannot reach the threshold with an equal name on the same date are gone before any name is read;
-3. an equal name is the best any context (a kind on a date) can offer, and it is found by an equi-join on date and name;
-4. similar names are searched in bands of the total that a pair of contexts could reach at most, the best first: an act goes on to
-   the next band only if that could beat what it has found. A search meets on (date, kind, salt). The salt splits a context
-   that one date repeats often; bounds from the names' lengths and shared characters drop pairs that can neither reach the threshold
-   nor what the act has already, before any name is compared.
-
-No step drops a pair that could reach the threshold. Profiles, pairs of kinds and what each band found are staged in the
-shared folder, because several later steps read them.
+2. profiles meet in blocks: the acts of some neighbouring dates with the incidents of these and the dates around, in as many
+   blocks as the rows of a band of dates need, so that a task holds a bounded number of either side whatever one date holds;
+3. in a block (``operators/namesearch``) contexts are scored once, an act meets equal names first, then the contexts that offer most,
+   and goes on only where that could beat what it has; bounds from sizes and letters drop pairs before names are compared;
+4. the best of the blocks of an act is its match.
+
+No step drops a pair that could reach the threshold.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyarrow import Table
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitewarden.functions.frames import computed_once
-from sitewarden.functions.similarity import SIMILARITIES, bag
+from sitewarden.functions.similarity import SIMILARITIES
 from sitewarden.functions.text import norm_text
+from sitewarden.operators.namesearch import ACT_KEY, PARTS, Rule, best_in_block
 from sitewarden.operators.upsert import apply_links
 from sitewarden.schemas import INJURY_FATAL, LINK_AUTO, LINK_UNLINKED
 from sitewarden.session import staged
@@ -58,9 +58,8 @@ class Weights:
 
 DEFAULT_WEIGHTS = Weights()
 _SLACK = 1e-9
-_ROWS_PER_SALT = 4096
-#: Ends of the bands in which contexts are searched, as shares of the way from the best total any pair of them offers down to the threshold.
-_BANDS = (0.125, 0.25, 0.5, 1)
+#: Acts in a block; eight times as many incidents.
+_ROWS_PER_SALT = 32768
 
 
 def score_date(a: Column, b: Column) -> Column:
@@ -188,13 +187,10 @@ def best_match(
     if rest_without_name >= threshold:
         raise ValueError("the name must be needed to reach the threshold; blocking relies on it")
     days = reachable_days(threshold, w)
-    ratio, bound, bag_bound = SIMILARITIES[similarity]
     text = lambda c: norm_text(F.col(c))
-    spark = acts.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = 4 * int(acts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    # 1. kinds and profiles -----------------------------------------------------------------------------------
-    act_kind, inc_kind = ("a_company", "a_region", "a_class"), ("i_company", "i_dzo", "i_region", "i_class")
+    # 1. profiles ---------------------------------------------------------------------------------------------
     act_rows = staged(
         acts.where(F.col("incident_date_from_act").isNotNull())
         .select(
@@ -207,7 +203,9 @@ def best_match(
         )
         .where(F.col("a_name") != "")
     )
-    inc_rows = staged(
+    act_profiles = staged(act_rows.groupBy(*ACT_KEY).agg(F.min("act_id").alias("profile")).where(F.col("profile").isNotNull()).drop("profile"))
+    inc_key = ("day", "i_company", "i_dzo", "i_region", "i_class", "i_name")
+    inc_profiles = staged(
         incidents.where(F.col("incident_date").isNotNull())
         .select(
             "id",
@@ -219,144 +217,56 @@ def best_match(
             F.coalesce(severity_class(F.col("injury_type")), F.lit("")).alias("i_class"),
         )
         .where(F.col("i_name") != "")
-        .groupBy("day", *inc_kind, "i_name")
+        .groupBy(*inc_key)
         .agg(F.min("id").alias("incident_id"))
     )
 
-    def numbered(rows: DataFrame, columns: tuple[str, ...], number: str) -> DataFrame:
-        return staged(rows.select(*columns).distinct().withColumn(number, F.monotonically_increasing_id()))
-
-    act_kinds, inc_kinds = numbered(act_rows, act_kind, "a_kind"), numbered(inc_rows, inc_kind, "i_kind")
-    with_bag = lambda df, to, name: df if bag_bound is None else df.withColumn(to, bag(F.col(name)))
-    act_members = act_rows.join(act_kinds, list(act_kind)).drop(*act_kind)
-    profiled = act_members.groupBy("a_date", "a_kind", "a_name").agg(F.min("act_id").alias("profile"))
-    act_profiles = staged(with_bag(profiled, "a_bag", "a_name"))
-    inc_profiles = staged(with_bag(inc_rows.join(inc_kinds, list(inc_kind)).drop(*inc_kind), "i_bag", "i_name"))
-
-    def spread(df: DataFrame) -> DataFrame:
-        days_around = F.sequence(F.date_sub("a_date", days), F.date_add("a_date", days))
-        return df.withColumn("day", F.explode(days_around))
-
-    inc_contexts = staged(inc_profiles.groupBy("day", "i_kind").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(_ROWS_PER_SALT)).cast("int").alias("salts")))
-    near_days = staged(spread(act_profiles.select("a_date", "a_kind").distinct()).select("day", "a_kind").distinct())
-
-    def total(name: Column) -> Column:
-        return match_score(F.col("s_date"), name, F.col("s_company"), F.col("s_region"), F.col("s_injury"), w)
-
-    def text_pairs(met: DataFrame, act_text: str, *incident_texts: str) -> DataFrame:
-        """Similarity of every two texts of kinds that meet, computed once per distinct pair."""
-        both = [met.select(act_text, F.col(c).alias("i_text")).distinct() for c in incident_texts]
-        pairs = both[0] if len(both) == 1 else both[0].union(both[1]).distinct()
-        return staged(pairs.withColumn("s_text", _contained_or_ratio(F.col(act_text), F.col("i_text"), similarity)))
-
-    def scored_kinds() -> DataFrame:
-        """``a_kind, i_kind`` with the scores of everything but date and name, if these could lift the pair to the threshold."""
-        meetings = near_days.groupBy("day").agg(F.count(F.lit(1)).alias("n")).join(
-            inc_contexts.groupBy("day").agg(F.count(F.lit(1)).alias("m")), "day")
-        n_meetings = meetings.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).first()[0]
-        if act_kinds.count() * inc_kinds.count() <= n_meetings:
-            met = act_kinds.select("a_kind").crossJoin(inc_kinds.select("i_kind"))
-        else:
-            met = near_days.repartition(tasks, "day").join(inc_contexts.select("day", "i_kind"), "day").select("a_kind", "i_kind").distinct()
-        met = staged(met).join(act_kinds, "a_kind").join(inc_kinds, "i_kind")
-        region_pairs = text_pairs(met, "a_region", "i_region").toDF("a_region", "i_region", "s_region")
-        company_pairs = text_pairs(met, "a_company", "i_company", "i_dzo")
-        empty = F.lit("")
-        return staged(
-            met.join(region_pairs, ["a_region", "i_region"])
-            .join(company_pairs.toDF("a_company", "i_company", "s_own"), ["a_company", "i_company"])
-            .join(company_pairs.toDF("a_company", "i_dzo", "s_dzo"), ["a_company", "i_dzo"])
-            .select(
-                "a_kind", "i_kind", F.lit(1.0).alias("s_date"), F.greatest("s_own", "s_dzo").alias("s_company"), "s_region",
-                _score_classes(F.nullif(F.col("a_class"), empty), F.nullif(F.col("i_class"), empty)).alias("s_injury"),
-            )
-            .where(total(F.lit(1.0)) >= threshold - _SLACK)
-            .drop("s_date")
-        )
-
-    kind_pairs = scored_kinds()
-
-    def best_of(df: DataFrame) -> DataFrame:
-        """Highest score, then lowest incident, per profile."""
-        return df.groupBy("profile").agg(F.min(F.struct((-F.col("score")).alias("minus"), "incident_id")).alias("hit"))
-
-    # 2. equal names ------------------------------------------------------------------------------------------
-    named_alike = inc_profiles.drop("i_bag").withColumnRenamed("i_name", "a_name")
-    same_name = spread(act_profiles.drop("a_bag")).join(named_alike, ["day", "a_name"])
-    same_scored = same_name.join(kind_pairs, ["a_kind", "i_kind"]).withColumn("s_date", score_date(F.col("a_date"), F.col("day")))
-    same_scored = same_scored.withColumn("score", total(F.lit(1.0)))
-    equal = staged(best_of(same_scored.where(F.col("score") >= threshold)))
-
-    # 3. contexts: which of them could still give an act something better --------------------------------------------
-    open_profiles = act_profiles.join(equal, "profile", "left").withColumn(
-        "beaten", F.coalesce(-F.col("hit.minus"), F.lit(0.0))
-    ).drop("hit")
-    bags = () if bag_bound is None else ("a_bag", "i_bag")
-    names = F.col("a_name"), F.col("i_name")
-    offered = inc_profiles.join(inc_contexts, ["day", "i_kind"]).select(
-        "day", "i_kind", "incident_id", "i_name", *bags[1:], F.pmod(F.xxhash64("incident_id"), F.col("salts")).cast("int").alias("salt")
+    # 2. blocks: some neighbouring dates of acts with all incidents around, split where that is too many ---------------------
+    n_acts, dates = act_profiles.agg(F.count(F.lit(1)), F.countDistinct("a_date")).first()
+    n_incidents, days_with = inc_profiles.agg(F.count(F.lit(1)), F.countDistinct("day")).first()
+    most_incidents = 8 * _ROWS_PER_SALT
+    wide = max(1, min(
+        _ROWS_PER_SALT * dates // max(1, n_acts), most_incidents * days_with // max(1, n_incidents) - 2 * days, dates // tasks))
+    band = lambda day, shift=0: F.floor((F.unix_date(day) + shift) / wide)
+    act_bands = act_profiles.withColumn("band", band("a_date"))
+    inc_bands = inc_profiles.withColumn("band", F.explode(F.sequence(band("day", -days), band("day", days))))
+    in_parts = lambda most: F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int")
+    sizes = staged(
+        act_bands.groupBy("band").agg(in_parts(_ROWS_PER_SALT).alias("a_blocks"))
+        .join(inc_bands.groupBy("band").agg(in_parts(most_incidents).alias("i_blocks")), "band")
     )
+    block = ("band", "a_block", "i_block")
 
-    def open_contexts(contexts: DataFrame, gaps: list[int], low: float, high: float) -> DataFrame:
-        """Pairs of contexts whose best total lies from ``low`` to below ``high`` and exceeds what all acts of theirs have."""
-        gap = F.abs(F.col("gap"))
-        met = (
-            contexts.withColumn("gap", F.explode(F.array(*[F.lit(g) for d in gaps for g in sorted({d, -d})])))
-            .withColumn("day", F.date_add("a_date", F.col("gap")))
-            .repartition(tasks, "day")
-            .join(inc_contexts, "day")
-            .join(kind_pairs, ["a_kind", "i_kind"])
-            .withColumn("s_date", F.lit(1.0) - gap / F.lit(4.0))
-        )
+    def dealt(rows: DataFrame, key: tuple[str, ...], own: str, other: str) -> GroupedData:
+        """Every row into one block of its own side, with each of the other side."""
         return (
-            computed_once(met, {"ceiling": total(F.lit(1.0))})
-            .where((F.col("ceiling") >= low) & (F.col("ceiling") < high) & (F.col("ceiling") > F.col("least_beaten")))
-            .select("a_date", "a_kind", "day", "i_kind", "salts", "ceiling", total(F.lit(0.0)).alias("rest"), "s_date", "s_company", "s_region", "s_injury")
+            rows.join(sizes, "band")
+            .withColumn(f"{own}_block", F.pmod(F.xxhash64(*key), F.col(f"{own}_blocks")).cast("int"))
+            .withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)))
+            .drop("a_blocks", "i_blocks")
+            .repartition(tasks, *block)
+            .groupBy(*block)
         )
 
-    # 4. similar names ----------------------------------------------------------------------------------------
-    def similar_names(profiles: DataFrame, gaps: list[int], low: float, high: float) -> DataFrame:
-        """Best incident with a similar name in these contexts, where it lifts a profile to the threshold and to what it has."""
-        contexts = profiles.groupBy("a_date", "a_kind").agg(F.min("beaten").alias("least_beaten"))
-        asking = (
-            profiles.join(open_contexts(contexts, gaps, low, high), ["a_date", "a_kind"])
-            .where(F.col("ceiling") > F.col("beaten"))
-            .withColumn("name_needed", (F.greatest(F.lit(threshold), F.col("beaten")) - F.lit(_SLACK) - F.col("rest")) / F.lit(w.name))
-            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-            .drop("a_date", "a_kind", "salts", "ceiling", "rest")
-            .repartition(tasks, "day", "i_kind", "salt")
-        )
-        # Merged, never broadcast: names and bags in memory are many times their size in files.
-        near = asking.join(offered.hint("merge"), ["day", "i_kind", "salt"]).where((names[0] != names[1]) & (bound(*names) >= F.col("name_needed")))
-        if bags:
-            near = near.where(bag_bound(F.size(F.array_intersect(*bags)), *names) >= F.col("name_needed")).drop(*bags)
-        named = computed_once(near, {"s_name": ratio(*names, F.col("name_needed"))})
-        return best_of(
-            named.withColumn("score", total(F.col("s_name"))).where(
-                (F.col("score") >= threshold) & (F.col("score") >= F.col("beaten"))
-            )
-        )
-
-    # The contexts that offer most first, in bands of what they offer: what an act finds there mostly exceeds all that the others could give.
-    most = kind_pairs.withColumn("s_date", F.lit(1.0)).agg(F.max(total(F.lit(1.0)))).first()[0]
-    similar, high = None, None if most is None else most + _SLACK
-    for share in () if most is None else _BANDS:
-        low = min(most, threshold) - _SLACK if share == 1 else most - share * (most - threshold)
-        gaps = [d for d in range(days + 1) if most - w.date * d / 4 >= low - _SLACK]
-        open_profiles = staged(open_profiles.where(F.col("beaten") < high))
-        found = staged(similar_names(open_profiles, gaps, low, high))
-        raised = found.select("profile", (-F.col("hit.minus")).alias("raised"))
-        open_profiles = open_profiles.join(raised, "profile", "left").withColumn(
-            "beaten", F.greatest("beaten", F.coalesce("raised", F.lit(0.0)))).drop("raised")
-        similar, high = found if similar is None else similar.unionByName(found), low
-    if similar is None:
-        similar = equal.where(F.lit(False))
-
-    # the better of both per profile, then back to the acts -----------------------------------------------------------
-    best = equal.unionByName(similar).groupBy("profile").agg(F.min("hit").alias("hit"))
-    linked = act_profiles.drop("a_bag").join(best, "profile")
-    return act_members.join(linked, ["a_date", "a_kind", "a_name"]).select(
+    # 3. the best incident of an act in each block, then of all; its score is computed from the names once more -----------------
+    rule = Rule(threshold, days, similarity, (w.date, w.name, w.company, w.region, w.injury), SUBSTRING_SCORE, SEVERITY_MISMATCH)
+
+    def search(block_acts: Table, block_incidents: Table) -> Table:
+        return best_in_block(block_acts, block_incidents, rule)
+
+    fields = [act_profiles.schema[c] for c in ACT_KEY] + [inc_profiles.schema[c] for c in ("incident_id", "i_name")]
+    fields += [T.StructField(c, T.DoubleType()) for c in (*PARTS, "s_name")]
+    found = dealt(act_bands, ACT_KEY, "a", "i").cogroup(dealt(inc_bands, inc_key, "i", "a")).applyInArrow(search, T.StructType(fields))
+    names = F.col("a_name"), F.col("i_name"), F.col("s_name") - F.lit(_SLACK)
+    scored = computed_once(found, {"s_name": SIMILARITIES[similarity][0](*names)})
+    score = match_score(F.col("s_date"), F.col("s_name"), F.col("s_company"), F.col("s_region"), F.col("s_injury"), w)
+    best = (
+        scored.withColumn("score", score)
+        .where(F.col("score") >= threshold)
+        .groupBy(*ACT_KEY)
+        .agg(F.min(F.struct((-F.col("score")).alias("minus"), "incident_id")).alias("hit"))
+    )
+    return act_rows.join(best, list(ACT_KEY)).select(
         "act_id", F.col("hit.incident_id").alias("incident_id"), (-F.col("hit.minus")).alias("score")
     )
 

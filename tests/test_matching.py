@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitewarden import schemas as S
+from sitewarden import session
 from sitewarden.functions import similarity as sim
 from sitewarden.operators import matching as m
+from sitewarden.operators import namesearch
 
 DAY = datetime.date(2026, 1, 15)
 ACT = "id long, incident_id long, link_status string, incident_date_from_act date, victim_name_from_act string, company_name_from_act string, region_from_act string, injury_severity string"
@@ -234,3 +236,90 @@ def test_names_of_contexts_that_offer_less_are_not_compared(spark, monkeypatch):
 def test_bags_are_numbers(spark):
     """Bags of numbers take half the memory of bags of texts."""
     assert dict(spark.createDataFrame([("абба",)], "a string").select(sim.bag(F.col("a")).alias("b")).dtypes)["b"] == "array<bigint>"
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y)))
+        row = now
+    return row[-1]
+
+
+def test_numbered_texts_compare_as_their_definitions():
+    rng = random.Random(5)
+    many = "".join(chr(c) for c in range(1000, 1400))
+    texts = ["", "a", "😀é", "ab" * 32, "ab" * 32 + "c", "x" * 63, "x" * 64]
+    texts += ["".join(rng.choices(letters, k=rng.choice([1, 5, 18, 40, 63, 64, 65, 90, 128, 129, 256, 257, 300]))) for letters in ("ab", "абвгде 0123", many) for _ in range(25)]
+    words = sim.Words(texts := list(dict.fromkeys(texts)))
+    pairs = [(i, j) for i in range(len(texts)) for j in rng.sample(range(len(texts)), 25)]
+    left, right = (np.array(x) for x in zip(*pairs))
+    wanted = [_distance(texts[i], texts[j]) for i, j in pairs]
+    assert words.distances(left, right).tolist() == wanted
+    for name, exact in (("levenshtein", [1 - d / max(len(texts[i]), len(texts[j]), 1) for d, (i, j) in zip(wanted, pairs)]), ("ratcliff", [SequenceMatcher(None, texts[i], texts[j]).ratio() for i, j in pairs])):
+        kernel, told = sim.KERNELS[name], (left != right) & (words.sizes[left] > 0) & (words.sizes[right] > 0)
+        assert kernel.ratios(words, left, right)[told] == pytest.approx(np.array(exact)[told], abs=1e-12)
+        assert (kernel.bound(words, left, right) - exact > -1e-12)[told].all()
+        assert (kernel.unequal(np.maximum(words.sizes[left], words.sizes[right])) - exact > -1e-12)[told].all()
+        for needed in (0.0, 0.4):
+            found = np.full(len(left), -1.0)
+            for at, ratio in kernel.search(words, left, right, left, lambda p: np.full(len(p), needed)):
+                found[at] = ratio
+            assert all(got == pytest.approx(want, abs=1e-12) if want >= needed else got < needed for got, want in zip(found[told], np.array(exact)[told]))
+
+
+def test_search_stages_no_bands(spark):
+    """Rows, profiles, incidents and the sizes of the blocks are written, whatever the contexts; before, three tables per band were besides."""
+    rows = [(i, DAY, f"Иванов Иван{i}", "АО А", None, "Алматы", "смертельный") for i in range(40)]
+    acts = spark.createDataFrame([(i, None, S.LINK_UNLINKED, DAY, f"Иванов Ива{i}", "АО А", "Алматы", "смертельный") for i in range(40)], ACT)
+    before = session.staged_so_far()
+    links = m.best_match(acts, spark.createDataFrame(rows, INCIDENT), similarity="levenshtein")
+    assert links.count() == 40 and session.staged_so_far() - before == 4
+
+
+@pytest.mark.parametrize("similarity", ["levenshtein", "ratcliff"])
+def test_what_an_act_has_spares_it_other_names(monkeypatch, similarity):
+    """Of 100 acts and 2 000 incidents of one date few names are compared, and the result is that of all pairs."""
+    rng = random.Random(2)
+    kernel, compared = sim.KERNELS[similarity], []
+
+    def search(words, left, right, *more):
+        compared.append(len(left))
+        return kernel.search(words, left, right, *more)
+
+    monkeypatch.setitem(namesearch.KERNELS, similarity, sim.Kernel(kernel.ratios, kernel.unequal, kernel.bound, search))
+    name = lambda: "".join(rng.choices("абвгдежзиклмн", k=9))
+    regions = ["алматы", "г. алматы", "астана", "актобе", "караганда"]
+    offered = [(DAY + datetime.timedelta(days=rng.choice([0, 0, 1, 3])), "а", "", rng.choice(regions), "тяжел", name(), i) for i in range(2000)]
+    asked = [(DAY, "ао а", rng.choice(regions), "тяжел", offered[rng.randrange(2000)][5][: rng.choice([7, 8, 9])]) for _ in range(100)]
+    asked = list(dict.fromkeys(asked))
+    table = lambda names, rows: namesearch.pa.table(dict(zip(names, map(list, zip(*rows)))))
+    rule = namesearch.Rule(0.8, 2, similarity, (0.35, 0.3, 0.2, 0.1, 0.05), 0.9, 0.3)
+    found = namesearch.best_in_block(
+        table(namesearch.ACT_KEY, asked), table(("day", "i_company", "i_dzo", "i_region", "i_class", "i_name", "incident_id"), offered), rule
+    ).to_pylist()
+    ratio = (lambda a, b: SequenceMatcher(None, a, b).ratio()) if similarity == "ratcliff" else (lambda a, b: 1 - _distance(a, b) / max(len(a), len(b)))
+    near = lambda a, b: 0.9 if a in b or b in a else ratio(a, b)
+    wanted = {}
+    for a in asked:
+        for i in offered:
+            if (gap := abs((a[0] - i[0]).days)) <= 2:
+                score = 0.35 * (1 - gap / 4) + 0.18 + 0.1 * near(a[2], i[3]) + 0.05
+                if score + 0.3 >= 0.8 and (score := score + 0.3 * ratio(a[4], i[5])) >= 0.8:
+                    wanted[a] = min(wanted.get(a, (0, 0)), (-round(score, 9), i[6]))
+    assert {tuple(r[c] for c in namesearch.ACT_KEY): r["incident_id"] for r in found} == {a: i for a, (_, i) in wanted.items()}
+    assert len(wanted) > 50 and 0 < sum(compared) < len(asked) * len(offered) / 10
+
+
+def test_long_and_odd_names_and_dates(spark):
+    """Names of more letters than a machine word, dates far apart, an act that comes twice, ids that are null."""
+    far = datetime.date(1, 1, 2)
+    long = "Иванов " * 12
+    fields = lambda day, name: (None, S.LINK_UNLINKED, day, name, "АО А", "Алматы", None)
+    acts = [(1, *fields(DAY, long)), (1, *fields(DAY, long)), (2, *fields(far, "Ким А")), (3, *fields(DAY, "")), (None, *fields(DAY, "Ким"))]
+    incidents = [(5, DAY, long + "х", "АО А", None, "Алматы", None), (6, far, "Ким Б", "АО А", None, "Алматы", None), (7, DAY, "Ким", None, "АО А", "Алматы", None)]
+    for similarity in ("levenshtein", "ratcliff"):
+        found = m.best_match(spark.createDataFrame(acts, ACT), spark.createDataFrame(incidents, INCIDENT), similarity=similarity).collect()
+        assert sorted((r["act_id"], r["incident_id"]) for r in found) == [(1, 5), (1, 5), (2, 6)]
