@@ -212,10 +212,11 @@ class Words:
         coded = _Texts(texts)
         letters, number = np.unique(coded.codes, return_inverse=True)
         self.texts, self.sizes, self.n_letters = texts, coded.sizes, len(letters)
-        at = np.arange(min(_LONG, int(self.sizes.max(initial=0))))[:, None]
-        place = np.minimum(coded.begin + at, len(number) - 1)
-        small = np.min_scalar_type(self.n_letters)
-        self.letters = np.where(at < self.sizes, number[place], self.n_letters).astype(small)  # by place and text; the last number is no letter
+        number = number.astype(np.min_scalar_type(self.n_letters))
+        self.letters = np.full((min(_LONG, int(self.sizes.max(initial=0))), len(texts)), self.n_letters, number.dtype)  # by place and text; the last number is no letter
+        for p, column in enumerate(self.letters):
+            reaching = np.flatnonzero(self.sizes > p)
+            column[reaching] = number[coded.begin[reaching] + p]
         once, twice = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
         for column in self.letters:
             bit = np.where(column < self.n_letters, np.uint64(1) << (column % 32).astype(np.uint64), np.uint64(0))

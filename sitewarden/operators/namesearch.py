@@ -92,7 +92,7 @@ class _TextScores:
 
     def of(self, left: list[str], right: list[str]) -> np.ndarray:
         """Scores of every left with every right text, none of them twice."""
-        if (len(self.left) + len(left)) * (len(self.right) + len(right)) > _KEPT:
+        if len(self.left.keys() | left) * len(self.right.keys() | right) > _KEPT:
             self.__init__(self.rule)
         i, j = (np.array([known.setdefault(t, len(known)) for t in texts], np.int64) for known, texts in ((self.left, left), (self.right, right)))
         if (grown := np.maximum(self.scores.shape, (len(self.left), len(self.right)))).tolist() != list(self.scores.shape):
